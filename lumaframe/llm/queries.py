@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -15,5 +16,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES = {}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.copies(documents(spark, sf_dir))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w),
+o AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM r),
+l AS (SELECT arg_min(own, ratio) AS level FROM o WHERE own <= ratio),
+t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, level * weight) END AS target FROM o, l),
+c AS (SELECT *, CASE WHEN size <= 0 THEN 0 ELSE floor(log2(size::DOUBLE) * 8)::INT + 1 END AS class,
+  coalesce(doc_id, -1) % (SELECT greatest(1, (count(*) + 127999) // 128000) FROM d) AS block FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, block, size, doc_id NULLS LAST) AS rank,
+  (('0x' || substr(md5('mix' || coalesce(source, '')), 1, 12))::BIGINT)::DOUBLE / 281474976710656.0 AS begin FROM c)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE size * (floor(begin + rank * (target / source_size)) - floor(begin + (rank - 1) * (target / source_size))) END::BIGINT AS taken
+FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+"""
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing}
+ORACLES = {"op4_mixing": OP4_SQL}
