@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, langid, mixing
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,5 +40,11 @@ FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
 """
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing, "op8_language_id": op8_language_id}
 ORACLES = {"op4_mixing": OP4_SQL}
