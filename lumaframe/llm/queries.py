@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing
+from . import bpe, jaccard, langid, line_dedup, mixing
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,11 +40,39 @@ FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+OP3_SQL = """
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+f AS (SELECT *, length(translate(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0 AS filled FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS w FROM f WHERE filled),
+t AS (SELECT doc_id, w, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS win FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY w)),
+r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY win ORDER BY doc_id, w) AS place FROM t WHERE win IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, w + k AS w FROM r, (VALUES (0), (1), (2)) v(k) WHERE place > 1),
+k AS (SELECT f.doc_id, f.i, f.line, c.w IS NOT NULL AS gone FROM f LEFT JOIN n ON f.doc_id = n.doc_id AND f.i = n.i LEFT JOIN c ON n.doc_id = c.doc_id AND n.w = c.w),
+g AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM k GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir), size=4, percent=85)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_mixing": op4_mixing, "op8_language_id": op8_language_id}
-ORACLES = {"op4_mixing": OP4_SQL}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_language_id": op8_language_id,
+}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
