@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Merges are driven by a hierarchical-bitmap rank queue: one bucket per merge rank holds
-positions in a linked list of symbols, three levels of 64-bit words mark the buckets
-that hold any, find-first-set names the next rank, and entries that a merge has
+positions in a linked list of symbols, two levels of bit words mark the buckets that
+hold any, find-first-set names the next rank, and entries that a merge has
 overtaken are skipped when they surface. A pre-token of n bytes costs O(n log n) at
 most, so one that spans a whole document is no special case.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -24,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest pre-token kept in a worker's memo, and most of them kept.
-MEMO_CHARS, MEMO_ENTRIES = 40, 400_000
+#: Longest pre-token kept in a worker's memo, and most of them kept in each of its two generations.
+MEMO_CHARS, MEMO_ENTRIES = 40, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,41 +35,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank; pop gives the leftmost position of the lowest rank."""
+    """Positions by merge rank; pop gives the leftmost position of the lowest rank.
+
+    Two levels of 256-bit words: a bit of a leaf marks a bucket that holds positions, a
+    bit of the root a leaf that isn't zero. x & -x is the first set bit.
+    """
 
     def __init__(self, size: int):
-        self.low = [0] * (size // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0  # one bit for each word of mid, as wide as needed
+        self.leaf = [0] * (size // 256 + 1)
+        self.root = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [position]
-            word = rank >> 6
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
+            word = rank >> 8
+            self.leaf[word] |= 1 << (rank & 255)
+            self.root |= 1 << word
         else:
             heappush(bucket, position)
 
     def pop(self) -> tuple[int, int]:
-        top = self.top
-        group = (top & -top).bit_length() - 1
-        bits = self.mid[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
+        word = (self.root & -self.root).bit_length() - 1
+        bits = self.leaf[word]
+        rank = (word << 8) + (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            self.low[word] = bits & (bits - 1)
-            if not self.low[word]:
-                self.mid[group] &= ~(1 << (word & 63))
-                if not self.mid[group]:
-                    self.top &= ~(1 << group)
+            self.leaf[word] = bits = bits & (bits - 1)
+            if not bits:
+                self.root &= self.root - 1
         return rank, position
 
 
@@ -84,46 +82,40 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
         n, queue = len(piece), self.queue
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        rank_at = [-1] * n  # of the pair that starts here; -1: none, or merged away
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+        push, pop = queue.push, queue.pop
+        after = list(range(1, n + 2))
+        before = list(range(-1, n))
+        rank_at = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # of the pair that starts here
+        rank_at.append(None)
+        for i, rank in enumerate(rank_at):
             if rank is not None:
-                rank_at[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+                push(rank, i)
+        while queue.root:
+            rank, i = pop()
             if rank_at[i] != rank:
-                continue  # stale
+                continue  # stale: a merge has overtaken this entry
             gone = after[i]
-            end = after[gone]
-            after[i] = end
-            rank_at[gone] = -1
+            after[i] = end = after[gone]
+            rank_at[gone] = None
             if end < n:
                 before[end] = i
-                new = ranks.get(piece[i : after[end]])
-                if new is None:
-                    rank_at[i] = -1
-                else:
-                    rank_at[i] = new
-                    queue.push(new, i)
+                rank_at[i] = new = rank_of(piece[i : after[end]])
+                if new is not None:
+                    push(new, i)
             else:
-                rank_at[i] = -1
+                rank_at[i] = None
             left = before[i]
             if left >= 0:
-                new = ranks.get(piece[left:end])
-                if new is None:
-                    rank_at[left] = -1
-                elif rank_at[left] != new:
-                    rank_at[left] = new
-                    queue.push(new, left)
-        ids, i = [], 0
+                old = rank_at[left]
+                rank_at[left] = new = rank_of(piece[left:end])
+                if new is not None and new != old:
+                    push(new, left)
+        ids, i, ranks = [], 0, self.ranks
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
             i = after[i]
@@ -132,25 +124,48 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+            self.memo.age()
         return b"".join(map(self.memo.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Memo(dict):
+    """Ids by pre-token; when it is full, what the last generation has used again lives on."""
+
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = _pack(self.codec.merge(piece.encode()))
         if len(piece) <= MEMO_CHARS:
             self[piece] = ids
         return ids
 
 
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def worker_codec(name: str, ranks, pattern: str) -> Codec:
+    """The codec of this Python worker: its memo serves all tasks that the worker runs."""
+    if (name, pattern) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name, pattern] = Codec(ranks.value, pattern)
+    return _CODECS[name, pattern]
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids binary, n_tokens long): whole texts as token ids, one output row per input row.
 
@@ -164,7 +179,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = worker_codec(vocabulary, ranks, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):  # ids take more bytes than text; keep batches small
                 part = batch.slice(start, 512)
@@ -185,7 +200,7 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, "")
+        codec = worker_codec(vocabulary, ranks, "")
         for batch in batches:
             texts = [codec.decode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["key", "decoded"])
@@ -204,7 +219,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = worker_codec(vocabulary, ranks, pattern)
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
             for t in batch.column(1):

@@ -34,7 +34,7 @@ def test_rank_queue_orders_and_skips():
     for rank, position in [(49_999, 3), (7, 9), (7, 2), (4096, 1), (63, 5), (64, 4)]:
         queue.push(rank, position)
     assert [queue.pop() for _ in range(6)] == [(7, 2), (7, 9), (63, 5), (64, 4), (4096, 1), (49_999, 3)]
-    assert not queue.top and not any(queue.low) and not any(queue.mid)
+    assert not queue.root and not any(queue.leaf) and not queue.buckets
 
 
 def test_rows(spark):
