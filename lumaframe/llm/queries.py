@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, line_dedup, mixing
+from . import bpe, jaccard, langid, licenses, line_dedup, media, mixing
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -68,11 +68,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("matches")
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.store(documents(spark, sf_dir)))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
+    "op10_media_columns": op10_media_columns,
 }
 ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
