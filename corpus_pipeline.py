@@ -1,12 +1,67 @@
-"""Corpus pipeline: five stages, each calling one corpus operator on all that the stage before kept."""
+"""Corpus pipeline: five stages, each calling one corpus operator on all that the stage before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
+and read again as the next stage's docs. All stages but the last return the columns of
+`documents`. Nulls, empty and repeated rows follow the operators' docstrings.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumaframe.llm import bpe, jaccard, langid, line_dedup, mixing
+from lumaframe.llm.shared import documents, written
+
+#: A document is rejected as of no known language below this mean marginal; clear mixtures of two stay.
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters or without a clear label go."""
+    found = langid.predict(docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}), langid.train(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of three-line windows; n_chars follows the text, and no row goes."""
+    kept = line_dedup.drop_repeated_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest doc_id, of each group that links of 0.8 on five-word shingles join."""
+    kept = jaccard.classes(docs, size=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).select(F.col("doc_id").alias("k"))
+    return jaccard.one_row_each(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi"), "doc_id")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the bytes decoded from them, and the ids."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixture),
+    ("bpe", tokens),
+]
 
-STAGES: list = []
+#: The conditional random field has no SQL form; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -208,8 +208,8 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
     return rows.mapInArrow(run, f"key {kind}, decoded binary").select(F.col("key").alias(key), "decoded")
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, keeping digests only.
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids; with_ids adds the ids.
 
     The ids stay in the worker that made them: sending them through the JVM to a second
     operator would move about twice the text. Nulls, repeats and extra columns as in encode.
@@ -217,20 +217,19 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    columns = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string()), pa.field("ids", pa.binary())]
+    columns = columns[: 3 + with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(vocabulary, ranks, pattern)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for t in batch.column(1):
-                ids = codec.encode(t.as_py())
-                counts.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    out = rows.mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            for start in range(0, batch.num_rows, 512):  # ids take more bytes than text; keep batches small
+                part, got = batch.slice(start, 512), []
+                for t in part.column(1):
+                    ids = codec.encode(t.as_py())
+                    got.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), ids)[: len(columns)])
+                made = [pa.array(list(x), c.type) for x, c in zip(zip(*got, strict=True), columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["key", *(c.name for c in columns)])
+
+    out = rows.mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
     return out.withColumnRenamed("key", key)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -179,6 +179,13 @@ def classes(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id"
     )
 
 
+def one_row_each(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The first row of each key, in the order of a hash of the whole row; columns are those of df."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    return df.select(F.col(key).alias("key"), row.alias("row")).withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
+
+
 def _links(df: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     """(a, b): digests of linked sets that connect each component of the candidate groups."""
     rows = groups.join(nodes.select(F.col("set").alias("id"), F.col("key").alias("own"), "n"), "id")
