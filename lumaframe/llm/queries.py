@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, licenses, line_dedup, media, mixing
+from . import bpe, embedding_dedup, jaccard, langid, licenses, line_dedup, media, mixing
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -58,6 +58,10 @@ FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir), size=4, percent=85)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
