@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard, langid, licenses, line_dedup, media, mixing
+from . import bpe, embedding_dedup, jaccard, langid, licenses, line_dedup, media, mixing, suffix_dedup
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -40,6 +40,15 @@ FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
 """
 
 
+def cut_digests(found: DataFrame) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_digests(suffix_dedup.drop_repeated_bytes(documents(spark, sf_dir)))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -83,6 +92,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
