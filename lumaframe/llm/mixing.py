@@ -6,9 +6,9 @@ random offset, and a document is emitted once for each integer that its stretch
 sum crosses. The order runs through size classes, so large and small documents are
 sampled evenly and a source's words come close to its target.
 
-The prefix sum is taken in two steps: counts of small blocks of a source are summed
-along the blocks, then rows are numbered inside each block. No task holds a source, so
-one that has a third of all rows is dealt out like any other.
+The prefix sum is taken in three steps: over the size classes of a source, over the
+cells of a class (by key), and over the rows of a cell. No task holds a source or a
+class, so one that has a third of all rows is dealt out like any other.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Rows that a block holds on average; blocks of a size class are told apart by key.
-BLOCK_ROWS = 2000
+#: Rows that a cell holds when a third of all rows share a source and a size class.
+CELL_ROWS = 2000
 SEED = "mix"
 
 
@@ -62,32 +64,50 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(2**48)
 
 
-def _taken(rows: DataFrame, weights, share: float, most: float, seed: str) -> DataFrame:
+def _placed(rows: DataFrame, cells: int) -> DataFrame:
+    """rows with the three parts of their place in the order: source, size class and cell."""
+    return rows.select(
+        "*",
+        F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")).alias("sk"),
+        size_class(F.col("size")).alias("class"),
+        F.pmod(F.coalesce(F.col("key").cast("long"), F.lit(-1)), F.lit(cells)).alias("cell"),
+    )
+
+
+def _taken(rows: DataFrame, sizes: DataFrame, weights, share: float, most: float, seed: str) -> DataFrame:
     """rows (key, source, size and any others) with source_size, target and n_copies.
 
-    Rows move once, to their block: the join with the blocks' starts and the numbering
-    inside a block have the same keys.
+    sizes has the same rows without the others. Rows move once, to their cell: the join
+    with the cells' starts and the numbering inside a cell have the same keys. The sums
+    ahead of a cell are taken over its size class, and over the classes of its source, so
+    neither a large source nor a large group of equal documents is one task.
     """
-    n_rows = rows.agg(F.count("*").alias("n")).first()["n"]
-    blocks = max(1, -(-n_rows // (BLOCK_ROWS * 64)))
-    rows = rows.withColumn("class", size_class(F.col("size")))
-    rows = rows.withColumn("block", F.pmod(F.coalesce(F.col("key").cast("long"), F.lit(-1)), F.lit(blocks)))
-    rows = rows.withColumn("sk", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")))
-    by_block = rows.groupBy("source", "sk", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    goal = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    along = Window.partitionBy("sk").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_block.withColumn("ahead", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    starts = starts.join(goal, starts["source"].eqNullSafe(goal["source"]))
-    starts = starts.select("sk", "class", "block", "ahead", "source_size", "target")
-    rows = rows.join(starts, ["sk", "class", "block"])
-    inside = Window.partitionBy("sk", "class", "block").orderBy("size", F.col("key").asc_nulls_last())
+    cells = max(1, -(-sizes.count() // (3 * CELL_ROWS)))
+    by_cell = _placed(sizes, cells).groupBy("source", "sk", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    by_class = by_cell.groupBy("source", "sk", "class").agg(F.sum("n").alias("m"), F.sum("words").alias("words"))
+    goal = targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    goal = goal.withColumnRenamed("source", "s")
+    before = Window.unboundedPreceding, -1
+    along = Window.partitionBy("sk").orderBy("class").rowsBetween(*before)
+    classes = by_class.withColumn("ahead", F.coalesce(F.sum("m").over(along), F.lit(0)))
+    classes = classes.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("sk", "class", "ahead", "source_size", "target")
+    along = Window.partitionBy("sk", "class").orderBy("cell").rowsBetween(*before)
+    starts = by_cell.select("sk", "class", "cell", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("within"))
+    starts = starts.join(classes, ["sk", "class"])
+    rows = _placed(rows, cells).join(starts, ["sk", "class", "cell"])
+    inside = Window.partitionBy("sk", "class", "cell").orderBy("size", F.col("key").asc_nulls_last())
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
-    rows = rows.withColumn("rank", F.col("ahead") + F.row_number().over(inside)).withColumn("rate", rate)
+    rows = rows.withColumn("rank", F.col("ahead") + F.col("within") + F.row_number().over(inside)).withColumn("rate", rate)
     begin = offset(F.col("source"), seed)
     crossed = F.floor(begin + F.col("rank") * F.col("rate")) - F.floor(begin + (F.col("rank") - 1) * F.col("rate"))
     return rows.withColumn("n_copies", F.when(F.col("size") == 0, 0).otherwise(crossed).cast("long"))
 
 
+def _sizes(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(key, source, size) as a table in the shared folder: texts are counted once."""
+    return written(df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+
+
 def copies(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED,
@@ -99,8 +119,8 @@ def copies(
     words are never taken. Rows with equal key, source and size are interchangeable, so
     repeated rows give the same rows in every run. Other columns are dropped.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    taken = _taken(rows, weights, share, most, seed)
+    rows = _sizes(df, key, text, source)
+    taken = _taken(rows, rows, weights, share, most, seed)
     return taken.select(F.col("key").alias(key), "size", "source", "source_size", "target", "n_copies")
 
 
@@ -114,5 +134,5 @@ def mix(
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.select(row.alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    taken = _taken(rows, weights, share, most, seed).where("n_copies > 0")
+    taken = _taken(rows, _sizes(df, key, text, source), weights, share, most, seed).where("n_copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")

@@ -31,8 +31,8 @@ o AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS L
 l AS (SELECT arg_min(own, ratio) AS level FROM o WHERE own <= ratio),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, level * weight) END AS target FROM o, l),
 c AS (SELECT *, CASE WHEN size <= 0 THEN 0 ELSE floor(log2(size::DOUBLE) * 8)::INT + 1 END AS class,
-  coalesce(doc_id, -1) % (SELECT greatest(1, (count(*) + 127999) // 128000) FROM d) AS block FROM d),
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, block, size, doc_id NULLS LAST) AS rank,
+  coalesce(doc_id, -1) % (SELECT greatest(1, (count(*) + 5999) // 6000) FROM d) AS cell FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, cell, size, doc_id NULLS LAST) AS rank,
   (('0x' || substr(md5('mix' || coalesce(source, '')), 1, 12))::BIGINT)::DOUBLE / 281474976710656.0 AS begin FROM c)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE size * (floor(begin + rank * (target / source_size)) - floor(begin + (rank - 1) * (target / source_size))) END::BIGINT AS taken
