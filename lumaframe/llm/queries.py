@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard, langid, licenses, line_dedup, media, mixing, suffix_dedup
+from . import bpe, embedding_dedup, jaccard, langid, licenses, line_dedup, media, mixing, pii, suffix_dedup
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,6 +67,10 @@ FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
