@@ -1,4 +1,6 @@
 """Registry of the queries over the driver tables and their SQL oracles."""
 
-QUERIES = {}
-ORACLES = {}
+from . import archive
+
+QUERIES = dict(archive.QUERIES)
+ORACLES = dict(archive.ORACLES)
