@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Longest pre-token kept in a worker's memo, and most of them kept in each of its two generations.
-MEMO_CHARS, MEMO_ENTRIES = 40, 500_000
+MEMO_CHARS, MEMO_ENTRIES = 40, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -173,8 +175,8 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
     Rows with a null or repeated key are encoded like any other; other columns are
     dropped, so their names can't clash.
     """
-    spark = df.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    small_batches(df.sparkSession)
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -195,6 +197,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
 
 def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, decoded binary): the bytes that token ids stand for. Null ids give empty bytes."""
+    small_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -214,6 +217,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
     The ids stay in the worker that made them: sending them through the JVM to a second
     operator would move about twice the text. Nulls, repeats and extra columns as in encode.
     """
+    small_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import small_batches, written
 from .shingles import Bands, digest, shingle_sets
 
 BANDS, ROWS = 20, 3
@@ -160,6 +160,7 @@ def classes(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id"
     with nothing. A null key counts as the smallest and comes back as null. Repeated rows
     are in one class; other columns are dropped.
     """
+    small_batches(df.sparkSession)
     rows = written(_profiles(df, size, key, text), "profiles")
     nodes = rows.where("n_shingles > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Bounds of the training sample and of the model; parameters of train().
 TRAIN_DOCS, LEXICON_WORDS, ROUNDS = 150, 2000, 6
 #: Words of a chunk; bytes of text that a worker scores at once.
@@ -249,6 +251,7 @@ def predict(df: DataFrame, field: Field | None, text: str = "text") -> DataFrame
     rows = df.select(row.alias("row"), plain.alias("text"))
     if field is None:
         return rows.select("row.*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("lang_pred string, score double")

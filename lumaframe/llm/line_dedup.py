@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 LINES = 3
 
 
@@ -58,6 +60,7 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text")
     null with no lines; a text of fewer than three filled lines stays as it is. Columns
     of df keep their names and order; n_lines or n_removed of df are replaced.
     """
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
     low = F.lit(-(2**63)).cast("long")

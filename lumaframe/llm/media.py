@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, written
+from .shared import new_folder, small_batches, written
 
 SHARD_BYTES, WIDTH, LEVEL = 64 << 20, 64, 4
 #: Signature and header of an image: all that a metadata read fetches.
@@ -113,6 +113,7 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: i
     shards are made once.
     """
     spark = df.sparkSession
+    small_batches(df.sparkSession)
     folder = new_folder(spark, "media")
     place, path = fs.FileSystem.from_uri(folder)
     place.create_dir(path, recursive=True)

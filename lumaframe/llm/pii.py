@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 ROUNDS = 8
 #: For tests and examples; a deployment passes its own.
 KEY = b"example key, replace"
@@ -232,6 +234,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
     string, and texts without personal data come back unchanged. n_pii and pii_kinds of
     df are replaced; other columns pass through whatever their names.
     """
+    small_batches(df.sparkSession)
     permutation = Permutation(key)
 
     @F.pandas_udf(_RESULT)

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts of an Arrow batch.
+TEXT_ROWS = 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +41,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to sizes that hold whole texts in a worker's share of memory.
+
+    The default of 10,000 rows is made for numbers; smaller settings of the session stay.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a whole text column; sizes the number of buckets."""
     return df.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
