@@ -1,6 +1,7 @@
 """Registry of the queries over the driver tables and their SQL oracles."""
 
-from . import archive
+from . import archive, light  # noqa: F401
 
+# the modules share one registry
 QUERIES = dict(archive.QUERIES)
 ORACLES = dict(archive.ORACLES)
