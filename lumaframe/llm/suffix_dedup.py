@@ -2,22 +2,25 @@
 
 Equal strings of LENGTH bytes have the same smallest-hashed SEED-byte substring at the
 same place, their anchor. Consecutive windows of a text with one anchor form a context of
-at most 2 * LENGTH - SEED bytes; contexts, not windows, are shuffled by anchor, so
-strings that may be equal meet in one shard while most text moves once or not at all:
-
-1. Documents are dealt to buckets by key. Each bucket finds its contexts, collapses equal
-   ones and packs the distinct ones by shard.
-2. A shard keeps anchors that came in more than one context, collapses equal contexts of
-   different buckets, and sorts the remaining windows (suffixes cut at LENGTH) by a
-   mergesort whose comparisons find the common extension by binary search over prefix
-   polynomial hashes. Neighbours that agree over LENGTH bytes are compared byte by byte,
-   so a hash collision can't remove anything. What a smaller document holds is reported
-   back to the bucket as one bit for each window.
-3. A bucket finds its contexts again, reads its bits and cuts the covered bytes.
-
-Everything is bounded by the sizes of a bucket and a shard; a text of any length is one
-document of its bucket and is worked on in pieces. A passage that many documents share
-costs each bucket one context inside the passage, and each document one at its two edges.
+at most 2 * LENGTH - SEED bytes, so strings that may be equal meet wherever contexts are
+shuffled by anchor. Documents are dealt to buckets by key, anchors to shards by hash:
+
+1. A bucket sends 32 bits of each distinct anchor to its shard, which answers with one
+   bit: whether another bucket has it too.
+2. A bucket collapses equal contexts and sends the distinct ones whose anchor is shared.
+   The shard collapses equal contexts of different buckets and sorts the windows that are
+   left (suffixes cut at LENGTH) by a mergesort whose comparisons find the common
+   extension by binary search over prefix polynomial hashes. Neighbours that agree over
+   LENGTH bytes are compared byte by byte, so a hash collision can't remove anything. What
+   a document with a smaller key holds goes back as one bit for each window.
+3. A bucket reads its bits and cuts the covered bytes.
+
+Texts move once, and of most of a text no more than a few bits of its anchors after that;
+each of the three steps finds the contexts anew, which is cheaper than moving them.
+Buckets and shards have a size of their own: their number grows with the input. A text of
+any length is one document of its bucket and is worked on in pieces. A passage that many
+documents share costs each bucket one context inside the passage, and each document one
+at its two edges.
 """
 
 from __future__ import annotations
@@ -35,8 +38,12 @@ from .shingles import mix
 
 LENGTH, SEED = 50, 24
 #: Text bytes of a bucket, and text bytes whose contexts (about 3.7 times as much) meet in a shard.
-BUCKET_BYTES, SHARD_TEXT = 6_000_000, 3_000_000
+BUCKET_BYTES, SHARD_TEXT = 4_000_000, 2_000_000
+#: Windows that a shard sorts at once.
+WINDOWS = 1_000_000
 _PIECE = 1 << 20
+#: Spans that are expanded to bytes at once.
+_SPANS = 1 << 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 NO_KEY = -(2**63)
 
@@ -50,6 +57,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _UP, _DOWN = _powers(_PIECE + 1)
+_STEPS = np.arange(2 * LENGTH, dtype=np.uint8)
 
 
 @dataclass
@@ -120,17 +128,27 @@ def _piece(data: np.ndarray, a: int, b: int, bounds: np.ndarray):
     return start + a, windows, anchor, seeds[owned[fresh]], name
 
 
+def _within(size: np.ndarray) -> np.ndarray:
+    """0, 1, .. of each of several spans, one after another."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of several spans, one after another."""
     first = np.cumsum(size) - size
-    return data[np.repeat(start - first, size) + np.arange(int(size.sum()))]
+    out = np.empty(int(size.sum()), np.uint8)
+    for i in range(0, len(start), _SPANS):
+        s = slice(i, i + _SPANS)
+        a, b = int(first[i]), int(first[s][-1] + size[s][-1])
+        out[a:b] = data[np.repeat(start[s] - first[s], size[s]) + np.arange(a, b)]
+    return out
 
 
 def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether spans at a and b agree byte by byte."""
     out = np.zeros(len(a), bool)
-    for i in range(0, len(a), 1 << 16):
-        s = slice(i, i + (1 << 16))
+    for i in range(0, len(a), _SPANS):
+        s = slice(i, i + _SPANS)
         differs = _gather(data, a[s], size[s]) != _gather(data, b[s], size[s])
         if len(a[s]):
             out[s] = ~np.logical_or.reduceat(differs, np.cumsum(size[s]) - size[s])
@@ -151,7 +169,7 @@ def _classes(data: np.ndarray, start: np.ndarray, size: np.ndarray, name: np.nda
 
 
 class Bucket:
-    """The documents of a bucket in a fixed order, their contexts, and the distinct ones by shard."""
+    """The documents of a bucket in a fixed order, and their contexts."""
 
     def __init__(self, keys: list[int], texts: list[str], shards: int):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -160,19 +178,39 @@ class Bucket:
         self.bounds = np.concatenate([[0], np.cumsum([len(raw[i]) for i in self.order])]).astype(np.int64)
         self.keys = np.array([keys[i] for i in self.order], np.int64)
         self.found = c = contexts_of(self.data, self.bounds)
-        self.owner = self.keys[np.searchsorted(self.bounds, c.start, side="right") - 1] if len(c.start) else np.zeros(0, np.int64)
-        first = _classes(self.data, c.start, c.windows + LENGTH - 1, c.name)
+        name = (mix(c.seed) % np.uint64(shards)) << np.uint64(32) | c.seed >> np.uint64(32)
+        self.anchors, self.of_anchor, self.often = np.unique(name, return_inverse=True, return_counts=True)
+        self.anchor_shard = (self.anchors >> np.uint64(32)).astype(np.int64)
+
+    def anchor_rows(self):
+        """(shard, its anchors, 32 bits each in rising order) of each shard."""
+        for a, b in _runs(self.anchor_shard):
+            yield int(self.anchor_shard[a]), _pack_rising((self.anchors[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+    def choose(self, replies: list[tuple[int, bytes]]) -> None:
+        """Contexts whose anchor occurs more than once, the distinct ones of them, and which of those go to shards."""
+        shared = np.zeros(len(self.anchors), bool)
+        begin = {int(self.anchor_shard[a]): (a, b) for a, b in _runs(self.anchor_shard)}
+        for shard, body in replies:
+            a, b = begin[shard]
+            shared[a:b] = np.unpackbits(np.frombuffer(body, np.uint8), count=b - a).astype(bool)
+        at = np.flatnonzero((shared | (self.often > 1))[self.of_anchor])
+        c = self.found
+        self.live = live = Contexts(c.start[at], c.windows[at], c.anchor[at], c.seed[at], c.name[at])
+        self.owner = self.keys[np.searchsorted(self.bounds, live.start, side="right") - 1] if len(at) else np.zeros(0, np.int64)
+        first = _classes(self.data, live.start, live.windows + LENGTH - 1, live.name)
         self.distinct, self.of = np.unique(first, return_inverse=True)  # the first one has the smallest key
-        shard = (mix(c.seed[self.distinct]) % np.uint64(shards)).astype(np.int64)
-        self.packed = np.argsort(shard, kind="stable")
-        self.shard = shard[self.packed]
-        self.groups = np.flatnonzero(np.concatenate([[True], self.shard[1:] != self.shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        anchor = self.of_anchor[at][self.distinct]
+        sent = np.flatnonzero(shared[anchor] | (np.bincount(anchor, minlength=len(self.anchors))[anchor] > 1))
+        shard = self.anchor_shard[anchor[sent]]
+        order = np.argsort(shard, kind="stable")
+        self.packed, self.shard = sent[order], shard[order]
 
-    def rows(self):
+    def context_rows(self):
         """(shard, packed contexts) of each shard."""
         pack = zstandard.ZstdCompressor(level=3)
-        c = self.found
-        for a, b in zip(self.groups, np.append(self.groups[1:], len(self.packed)), strict=True):
+        c = self.live
+        for a, b in _runs(self.shard):
             at = self.distinct[self.packed[a:b]]
             text = _gather(self.data, c.start[at], c.windows[at] + LENGTH - 1)
             keys = self.owner[at]
@@ -181,9 +219,9 @@ class Bucket:
 
     def cut(self, replies: list[tuple[int, bytes]]):
         """(number of the row, bytes, removed spans, kept bytes) of each document."""
-        c = self.found
+        c = self.live
         mask = np.zeros(len(self.distinct), np.uint32)
-        begin = dict(zip(self.shard[self.groups].tolist(), self.groups.tolist(), strict=True))
+        begin = {int(self.shard[a]): a for a, _ in _runs(self.shard)}
         for shard, body in replies:
             pairs = np.frombuffer(body, np.uint32).reshape(2, -1)
             mask[self.packed[begin[shard] + pairs[0].astype(np.int64)]] |= pairs[1]
@@ -206,25 +244,55 @@ class Bucket:
                 yield row, b - a, np.zeros((0, 2), np.int64), self.data[a:b].tobytes()
 
 
+def _runs(values: np.ndarray):
+    """(begin, end) of each run of equal values."""
+    if not len(values):
+        return []
+    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return list(zip(edge.tolist(), [*edge[1:].tolist(), len(values)], strict=True))
+
+
+def _pack_rising(values: np.ndarray) -> bytes:
+    """Rising 32-bit values as steps, byte by byte of their weight, compressed."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=3).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_rising(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def shared_anchors(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """For each row of distinct values whether another row has them too."""
+    every = np.concatenate(rows)
+    _, of, count = np.unique(every, return_inverse=True, return_counts=True)
+    return np.split(count[of] > 1, np.cumsum([len(r) for r in rows])[:-1])
+
+
 class Suffixes:
     """Suffixes of contexts, compared over at most LENGTH bytes by prefix polynomial hashes."""
 
     def __init__(self, text: np.ndarray, place: np.ndarray):
         """place: of each byte in its context."""
-        self.text, self.down = text, _DOWN[place]
+        self.text, self.place = text, place
         self.sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _UP[place], out=self.sums[1:])
-
-    def _hash(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (self.sums[at + size] - self.sums[at]) * self.down[at]
+        for i in range(0, len(text), _PIECE):
+            part = slice(i, i + _PIECE)
+            values = (text[part].astype(np.uint64) + np.uint64(1)) * _UP[place[part]]
+            np.cumsum(values, out=self.sums[i + 1 : i + 1 + len(values)])
+            self.sums[i + 1 : i + 1 + len(values)] += self.sums[i]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes at a and b, LENGTH at most, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH)
-        while (low < high).any():
-            middle = (low + high + 1) // 2
-            equal = self._hash(a, middle) == self._hash(b, middle)
-            low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
+        base_a, base_b, down_a, down_b = self.sums[a], self.sums[b], _DOWN[self.place[a]], _DOWN[self.place[b]]
+        low = np.zeros(len(a), np.int64)
+        step = 32
+        while step:  # lengths are tried bit by bit, longest first
+            trial = low + step
+            equal = (trial <= LENGTH) & ((self.sums[np.minimum(a + trial, len(self.text))] - base_a) * down_a == (self.sums[np.minimum(b + trial, len(self.text))] - base_b) * down_b)
+            low = np.where(equal, trial, low)
+            step //= 2
         return low
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -297,35 +365,52 @@ def earlier(keys: np.ndarray, windows: np.ndarray, anchor: np.ndarray, text: np.
     c = heads[mixed]
     body = _gather(text, start[c], size[c])
     begin = np.cumsum(size[c]) - size[c]
-    place = np.arange(len(body)) - np.repeat(begin, size[c])
+    place = np.concatenate([_STEPS[_within(size[c[i : i + _SPANS]])] for i in range(0, len(c), _SPANS)])
     suffixes = Suffixes(body, place)
-    which = np.repeat(np.arange(len(c)), windows[c])
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(windows[c]) - windows[c], windows[c])
-    at = begin[which] + offset
-    group = of_seed[mixed][which] * 64 + (anchor[c][which] - offset)  # equal windows have their anchor at one place
+    own, windows_c, anchor_c, group = least[mixed], windows[c], anchor[c], of_seed[mixed]
+    held = np.zeros(len(c), np.uint32)
+    # equal windows have their anchor at one place, so places are sorted apart; as many at once as fit in WINDOWS
+    of_place = [int(((anchor_c >= k) & (anchor_c - k < windows_c)).sum()) for k in range(LENGTH - SEED + 1)]
+    k = 0
+    while k < len(of_place):
+        end, total = k + 1, of_place[k]
+        while end < len(of_place) and total + of_place[end] <= WINDOWS:
+            total += of_place[end]
+            end += 1
+        place_of, which = np.nonzero((anchor_c >= np.arange(k, end)[:, None]) & (anchor_c - np.arange(k, end)[:, None] < windows_c))
+        offset = anchor_c[which] - (place_of + k)
+        if len(which) > 1:
+            smaller = _smallest(suffixes, begin[which] + offset, group[which] * 32 + place_of + k, own[which]) < own[which]
+            np.bitwise_or.at(held, which[smaller], np.uint32(1) << offset[smaller].astype(np.uint32))
+        k = end
+    # what a context's smallest key finds held, its other keys find held as well
+    of_mixed = np.zeros(len(heads), np.uint32)
+    of_mixed[mixed] = held
+    mask[live] |= of_mixed[of_head]
+    return mask
+
+
+def _smallest(suffixes: Suffixes, at: np.ndarray, group: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each suffix the smallest key of the suffixes of its group that agree with it over LENGTH bytes."""
     order = suffixes.sort(at, group)
     a, b = at[order[:-1]], at[order[1:]]
     near = np.flatnonzero(group[order[:-1]] == group[order[1:]])
     near = near[suffixes.common(a[near], b[near]) == LENGTH]
-    near = near[_same(body, a[near], b[near], np.full(len(near), LENGTH))]
+    near = near[_same(suffixes.text, a[near], b[near], np.full(len(near), LENGTH))]
     joined = np.zeros(len(order), bool)
     joined[near + 1] = True
     label = np.cumsum(~joined) - 1
-    smallest = np.full(int(label[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, label, least[mixed][which[order]])
-    held = np.zeros((len(heads), LENGTH - SEED + 1), np.int64)
-    held[:] = np.iinfo(np.int64).max
-    held[mixed[which[order]], offset[order]] = smallest[label]
-    for b in range(LENGTH - SEED + 1):
-        hit = live[held[of_head, b] < keys[live]]
-        mask[hit] |= np.uint32(1 << b)
-    return mask
+    least = np.full(int(label[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, keys[order])
+    out = np.empty(len(order), np.int64)
+    out[order] = least[label]
+    return out
 
 
 def _span_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
     total = np.zeros(len(start), np.uint64)
-    for i in range(0, len(start), 1 << 16):
-        s = slice(i, i + (1 << 16))
+    for i in range(0, len(start), _SPANS):
+        s = slice(i, i + _SPANS)
         place = np.arange(int(size[s].sum())) - np.repeat(np.cumsum(size[s]) - size[s], size[s])
         values = (_gather(text, start[s], size[s]).astype(np.uint64) + np.uint64(1)) * _UP[place]
         total[s] = np.add.reduceat(values, np.cumsum(size[s]) - size[s])
@@ -353,42 +438,72 @@ def drop_repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text")
     buckets, shards = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // SHARD_TEXT))
     rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "text").repartition(buckets, "bucket")
 
-    def pack(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        found = list(Bucket(table.column("key").to_pylist(), table.column("text").to_pylist(), shards).rows())
-        return pa.table({"shard": pa.array([s for s, _ in found], pa.int32()), "bucket": pa.array([bucket] * len(found), pa.int32()), "body": pa.array([b for _, b in found], pa.binary())})
+    def bucket_of(own: pa.Table) -> Bucket:
+        return Bucket(own.column("key").to_pylist(), own.column("text").to_pylist(), shards)
+
+    def told(replies: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+        rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "shard", "body")), strict=True)
+        return [(shard, body) for k, shard, body in rows if k == kind]
+
+    def sent(bucket: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+        return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "body": pa.array([b for _, b in rows], pa.binary())})
+
+    def answer(shard: int, kind: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+        return pa.table(
+            {
+                "bucket": pa.array([b for b, _ in rows], pa.int32()),
+                "shard": pa.array([shard] * len(rows), pa.int32()),
+                "kind": pa.array([kind] * len(rows), pa.int32()),
+                "body": pa.array([b for _, b in rows], pa.binary()),
+            }
+        )
+
+    def send_anchors(own: pa.Table) -> pa.Table:
+        return sent(own.column("bucket")[0].as_py(), list(bucket_of(own).anchor_rows()))
+
+    def match_anchors(table: pa.Table) -> pa.Table:
+        flags = shared_anchors([_unpack_rising(b.as_py()) for b in table.column("body")])
+        rows = [(b, np.packbits(f).tobytes()) for b, f in zip(table.column("bucket").to_pylist(), flags, strict=True) if f.any()]
+        return answer(table.column("shard")[0].as_py(), 1, rows)
+
+    def send_contexts(own: pa.Table, replies: pa.Table) -> pa.Table:
+        bucket = bucket_of(own)
+        bucket.choose(told(replies, 1))
+        return sent(own.column("bucket")[0].as_py(), list(bucket.context_rows()))
 
-    def sort(table: pa.Table) -> pa.Table:
-        shard, origin = table.column("shard")[0].as_py(), table.column("bucket").to_pylist()
+    def match_contexts(table: pa.Table) -> pa.Table:
         parts = [_unpack(b.as_py()) for b in table.column("body")]
         keys, windows, anchor, body = (np.concatenate(x) for x in zip(*parts, strict=True))
         mask = earlier(keys, windows.astype(np.int64), anchor.astype(np.int64), body)
-        out, at = [], 0
-        for bucket, part in zip(origin, parts, strict=True):
+        rows, at = [], 0
+        for bucket, part in zip(table.column("bucket").to_pylist(), parts, strict=True):
             own = mask[at : at + len(part[0])]
             at += len(part[0])
             hit = np.flatnonzero(own)
             if len(hit):
-                out.append((bucket, np.stack([hit.astype(np.uint32), own[hit]]).tobytes()))
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "body": pa.array([b for _, b in out], pa.binary())})
+                rows.append((bucket, np.stack([hit.astype(np.uint32), own[hit]]).tobytes()))
+        return answer(table.column("shard")[0].as_py(), 2, rows)
 
-    kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def cut(own: pa.Table, replies: pa.Table) -> pa.Table:
-        keys = own.column("key").to_pylist()
-        bucket = Bucket(keys, own.column("text").to_pylist(), shards)
-        told = zip(replies.column("shard").to_pylist(), replies.column("body").to_pylist(), strict=True)
-        got = list(bucket.cut(list(told)))
+        keys, bucket = own.column("key").to_pylist(), bucket_of(own)
+        bucket.choose(told(replies, 1))
+        got = list(bucket.cut(told(replies, 2)))
         return pa.table(
             {
                 "key": pa.array([keys[i] for i, _, _, _ in got], pa.int64()),
                 "n_bytes": pa.array([n for _, n, _, _ in got], pa.int64()),
-                "spans": pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for _, _, s, _ in got], pa.list_(kind)),
+                "spans": pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for _, _, s, _ in got], pa.list_(span)),
                 "kept": pa.array([k for _, _, _, k in got], pa.binary()),
             }
         )
 
-    packed = rows.groupBy("bucket").applyInArrow(pack, "shard int, bucket int, body binary")
-    replies = packed.groupBy("shard").applyInArrow(sort, "bucket int, shard int, body binary")
-    done = rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(cut, "key bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    to_shard, to_bucket = "shard int, bucket int, body binary", "bucket int, shard int, kind int, body binary"
+    own = rows.groupBy("bucket")
+    shared = own.applyInArrow(send_anchors, to_shard).groupBy("shard").applyInArrow(match_anchors, to_bucket)
+    contexts = own.cogroup(shared.groupBy("bucket")).applyInArrow(send_contexts, to_shard)
+    held = contexts.groupBy("shard").applyInArrow(match_contexts, to_bucket)
+    replies = shared.unionByName(held).groupBy("bucket")
+    done = own.cogroup(replies).applyInArrow(cut, "key bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
     return done.select(F.when(F.col("key") != NO_KEY, F.col("key")).cast(df.schema[key].dataType).alias(key), "n_bytes", "spans", "kept")
