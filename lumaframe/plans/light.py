@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumaframe.functions import field, geodesy, sky
-from lumaframe.operators import places, timeline
+from lumaframe.functions import colour, field, geodesy, sky
+from lumaframe.functions.formulas import Formula, turn
+from lumaframe.operators import places, terrain, timeline
 
 from .archive import query, table
 
@@ -368,3 +369,65 @@ def profile_merge(spark, sf_dir):
     a = part.where("p_partkey % 2 = 0").groupBy("bin").agg((F.max("p_size") * 1.0).alias("v"))
     b = part.where("p_partkey % 3 = 0").groupBy("bin").agg((F.max("p_retailprice") / 50).alias("v"))
     return places.merge_profiles(a, b, [], "v").select("bin", F.round("v", 6).alias("v"))
+
+
+def edges(spark, sf_dir):
+    """(spot, ax, ay, bx, by, height): walls of square buildings round each supplier."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    x, y = (p * 37 % 1600 - 800 + 0.5), (F.col("l_orderkey") * 53 % 1600 - 800 + 0.25)
+    rows = table(spark, sf_dir, "lineitem").select(s.alias("spot"), x.alias("x"), y.alias("y"), (F.col("l_quantity") + 3).alias("height")).where("abs(x) > 12 OR abs(y) > 12")
+    wall = lambda a, b, c, d: F.struct((F.col("x") + a).alias("ax"), (F.col("y") + b).alias("ay"), (F.col("x") + c).alias("bx"), (F.col("y") + d).alias("by"))
+    walls = F.array(wall(-8, -8, 8, -8), wall(8, -8, 8, 8), wall(8, 8, -8, 8), wall(-8, 8, -8, -8))
+    return rows.select("spot", "height", F.explode(walls).alias("w")).select("spot", "height", "w.*")
+
+
+EDGE_SQL = """b AS (SELECT l_suppkey AS spot, l_partkey*37%1600 - 800 + 0.5e0 AS x, l_orderkey*53%1600 - 800 + 0.25e0 AS y, l_quantity + 3 AS height FROM lineitem),
+e AS (SELECT spot, height, x+k[1] AS ax, y+k[2] AS ay, x+k[3] AS bx, y+k[4] AS by_ FROM b, (VALUES ([-8,-8,8,-8]), ([8,-8,8,8]), ([8,8,-8,8]), ([-8,8,-8,-8])) v(k) WHERE abs(x) > 12 OR abs(y) > 12),
+r AS (SELECT e.*, bin, sin(radians(bin*2e0)) AS ux, cos(radians(bin*2e0)) AS uy FROM e, range(180) q(bin)),
+m AS (SELECT spot, bin, height, (ax*(by_-ay) - ay*(bx-ax))/(ux*(by_-ay) - uy*(bx-ax)) AS t, (ax*uy - ay*ux)/(ux*(by_-ay) - uy*(bx-ax)) AS k FROM r WHERE abs(ux*(by_-ay) - uy*(bx-ax)) >= 1e-12)"""
+
+
+@query(f"WITH {EDGE_SQL} SELECT spot, bin, round(max(degrees(atan2(height, t))), 6) AS altitude FROM m WHERE t > 0 AND t <= 900 AND k BETWEEN 0 AND 1 GROUP BY ALL")
+def skyline(spark, sf_dir):
+    """The highest building angle in each of 180 bearings round each supplier; the SQL tries every ray on every wall."""
+    found = terrain.skyline(edges(spark, sf_dir), ["spot"], 2.0, 900.0)
+    return found.select("spot", F.col("bin").cast("long").alias("bin"), F.round("altitude", 6).alias("altitude"))
+
+
+@query(f"""WITH {H_SQL}, s AS (SELECT a."row", a.col, bool_or(b.height - pow(30e0*(b.col-a.col), 2)/(2*7/6e0*6371008.8) > a.height + 30e0*(b.col-a.col)*tan(radians(12e0))) AS shaded FROM h a LEFT JOIN h b ON a."row" = b."row" AND b.col > a.col GROUP BY ALL)
+SELECT "row", col, coalesce(shaded, FALSE) AS shaded FROM s""")
+def terrain_shadow(spark, sf_dir):
+    """Shadows of a low sun due east: each row of the field is one line."""
+    return terrain.shadow_mask(heights(spark, sf_dir), 90.0, 12.0, 30.0)
+
+
+@query("SELECT p_partkey AS id, round(least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)), 6) AS length, 6 AS corners FROM part WHERE p_partkey%4 <> 0")
+def cast_shadow(spark, sf_dir):
+    """Shadows of square footprints under a sun that is off their diagonals."""
+    p = F.col("p_partkey")
+    corner = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
+    rows = table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select(p.alias("id"), F.array(corner(0, 0), corner(8, 0), corner(8, 8), corner(0, 8)).alias("ring"), (F.col("p_size") + 2).cast("double").alias("height"))
+    found = terrain.cast_shadows(rows, F.col("id") % 4 * 90.0 + 33, (F.col("id") % 40 + 1).cast("double"))
+    return found.select("id", F.round("length", 6).alias("length"), F.size("shadow").alias("corners"))
+
+
+@query()
+def sun_alignments(spark, sf_dir):
+    """When the sun stands in a given bearing from each supplier over 30 days, to a sixteenth of a second."""
+    s = F.col("s_suppkey")
+    spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s % 100 - 50.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"), (s * 31 % 360).cast("double").alias("bearing"))
+    start = 1_772_323_200
+    tracked = spots.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + 30 * 86_400), F.lit(240))))
+    sampled = sky.SUN.on(tracked).select("spot", "lat", "lon", "bearing", "t", colour.signed_delta(F.col("sun_azimuth"), F.col("bearing")).alias("gap"))
+    found = timeline.crossings(sampled, ["spot"], ["t"], "gap", wrap=True)
+    brackets = found.select("spot", "lat", "lon", "bearing", (F.col("t") - 240.0).alias("lo"), F.col("t").cast("double").alias("hi"), "rising")
+    # the difference from the bearing is taken without a jump inside a bracket
+    turned = terrain.refine(brackets.withColumn("goal", F.lit(0.0)), _OffBearing(), "off", F.col("goal"))
+    return sky.SUN.on(turned).select("spot", "rising", F.round("t", 1).alias("t"), F.round("sun_altitude", 4).alias("altitude"))
+
+
+class _OffBearing(Formula):
+    """The sun's signed distance from a bearing."""
+
+    def __init__(self):
+        super().__init__([*sky.SUN.groups, {"off": turn("sun_azimuth - bearing + 180") + " - 180"}], ["off"])
