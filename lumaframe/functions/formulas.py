@@ -51,7 +51,8 @@ def cosd(x: str) -> str:
 
 
 def clip(x: str, low: str, high: str) -> str:
-    return f"least({high}, greatest({low}, {x}))"
+    """x within low and high; null stays null, which least and greatest would drop."""
+    return f"(CASE WHEN ({x}) < {low} THEN {low} WHEN ({x}) > {high} THEN {high} ELSE ({x}) END)"
 
 
 def up(x: str, digits: int) -> str:

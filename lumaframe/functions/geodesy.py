@@ -21,7 +21,7 @@ INVERSE = Formula(
     [
         {"h_": f"pow({sind('(lat2 - lat1) / 2')}, 2) + {cosd('lat1')} * {cosd('lat2')} * pow({sind('(lon2 - lon1) / 2')}, 2)",
          "by_": f"{sind('lon2 - lon1')} * {cosd('lat2')}", "bx_": f"{cosd('lat1')} * {sind('lat2')} - {sind('lat1')} * {cosd('lat2')} * {cosd('lon2 - lon1')}"},
-        {"distance": f"2 * {EARTH_M} * asin(least(1e0, sqrt(h_)))", "bearing": turn("degrees(atan2(by_, bx_))")},
+        {"distance": f"2 * {EARTH_M} * asin(CASE WHEN h_ > 1 THEN 1 ELSE sqrt(h_) END)", "bearing": turn("degrees(atan2(by_, bx_))")},
         {"compass": compass("bearing", COMPASS16), "eighth": compass("bearing", COMPASS8),
          "flat": f"sqrt(pow(radians(lat2 - lat1), 2) + pow(radians(lon2 - lon1) * {cosd('(lat1 + lat2) / 2')}, 2)) * {FLAT_EARTH_M}"},
     ],
@@ -44,7 +44,7 @@ DIRECT = Formula(
 BETWEEN = Formula(
     [
         {"h_": f"pow({sind('(lat2 - lat1) / 2')}, 2) + {cosd('lat1')} * {cosd('lat2')} * pow({sind('(lon2 - lon1) / 2')}, 2)"},
-        {"d_": "2 * asin(least(1e0, sqrt(h_)))"},
+        {"d_": "2 * asin(CASE WHEN h_ > 1 THEN 1 ELSE sqrt(h_) END)"},
         {"n_": "CASE WHEN abs(sin(d_)) < 1e-12 THEN NULL ELSE sin(d_) END"},
         {"p_": "sin((1 - part) * d_) / n_", "q_": "sin(part * d_) / n_"},
         {"x_": f"p_ * {cosd('lat1')} * {cosd('lon1')} + q_ * {cosd('lat2')} * {cosd('lon2')}",

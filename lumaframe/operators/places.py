@@ -22,7 +22,7 @@ def flat_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(F.radians((lat2 - lat1) / 2)), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians((lon2 - lon1) / 2)), F.lit(2))
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_M * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))  # null stays null
 
 
 def within(a: DataFrame, b: DataFrame, metres: float, most_lat: float = 80.0) -> DataFrame:

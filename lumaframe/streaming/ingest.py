@@ -12,18 +12,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def once_each(stream: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
     """The first row of each key; keys are remembered for as long as late rows are let in."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
 def bursts(stream: DataFrame, key: str, at: str, quiet: str = "8 seconds", late: str = "1 minute") -> DataFrame:
     """(key, start, end, n): one row for each burst of requests, ended by a quiet gap."""
-    made = stream.withWatermark(at, late).groupBy(F.session_window(at, quiet).alias("w"), key).agg(F.count("*").alias("n"))
+    made = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.session_window(at, quiet).alias("w"), key).agg(F.count("*").alias("n"))
     return made.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def hourly(stream: DataFrame, at: str, value: str, late: str = "10 minutes") -> DataFrame:
     """(start, n, total) of each hour."""
-    made = stream.withWatermark(at, late).groupBy(F.window(at, "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    made = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return made.select(F.col("w.start").alias("start"), "n", "total")
 
 
