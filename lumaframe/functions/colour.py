@@ -85,10 +85,16 @@ def half_up(x: Column, digits: int) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def nearest_name(h: Column, names: tuple[tuple[str, int], ...]) -> Column:
+    """Name of the nearest of several hues to h, 0 up to 360; of equally near ones the first listed."""
+    listed = F.array(*[F.struct(F.lit(float(at)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, at) in enumerate(names)])
+    away = lambda x: F.struct(F.least(F.abs(h - x["at"]), 360 - F.abs(h - x["at"])).alias("d"), x["i"].alias("i"), x["name"].alias("name"))
+    return F.array_min(F.transform(listed, away))["name"]
+
+
 def nearest_anchor(h: Column) -> Column:
-    """Slug of the nearest hue anchor; of equally near ones the first listed."""
-    ranked = [F.struct(circular_distance(h, F.lit(float(at))).alias("d"), F.lit(i).alias("i"), F.lit(slug).alias("slug")) for i, (slug, at) in enumerate(ANCHORS)]
-    return F.array_min(F.array(*ranked))["slug"]
+    """Slug of the nearest hue anchor."""
+    return nearest_name(h, ANCHORS)
 
 
 def classify(c: Column, h: Column) -> Column:

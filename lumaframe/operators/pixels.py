@@ -15,9 +15,18 @@ HUE_BINS, HUE_REACH, MONO_FRACTION, VIGNETTE_SYMMETRY = 36, 2, 0.007, 0.62
 
 
 def with_lab(pixels: DataFrame, r: str = "r", g: str = "g", b: str = "b") -> DataFrame:
-    """pixels with L, a, b, C and H."""
-    lab = colour.oklch(F.col(r), F.col(g), F.col(b))
-    return pixels.withColumn("__o", lab).select(*pixels.columns, *[F.col(f"__o.{n}").alias(f"{n}_" if n == "b" else n) for n in ("L", "a", "b", "C", "H")])
+    """pixels with L, a, b_, C and H.
+
+    One step for each stage of the conversion, so a channel is decoded once and the
+    generated code stays small.
+    """
+    keep = pixels.columns
+    rows = pixels.select("*", *[colour.decode(F.col(c)).alias(f"__l{i}") for i, c in enumerate((r, g, b))])
+    light = [F.col(f"__l{i}") for i in range(3)]
+    rows = rows.select(*keep, *[F.cbrt(m[0] * light[0] + m[1] * light[1] + m[2] * light[2]).alias(f"__c{i}") for i, m in enumerate(colour.TO_CONE)])
+    cone = [F.col(f"__c{i}") for i in range(3)]
+    rows = rows.select(*keep, *[(m[0] * cone[0] + m[1] * cone[1] + m[2] * cone[2]).alias(n) for n, m in zip(("L", "a", "b_"), colour.TO_LAB, strict=True)])
+    return rows.select("*", colour.chroma(F.col("a"), F.col("b_")).alias("C"), colour.hue(F.col("a"), F.col("b_")).alias("H"))
 
 
 def moments(w: Column, L: str = "L", a: str = "a", b: str = "b_", C: str = "C") -> list[Column]:
@@ -60,9 +69,7 @@ def histogram_percentiles(binned: DataFrame, group: list[str], bins: int = HIST_
 
 def nearest_band(h: Column) -> Column:
     """Key of the band nearest to a hue in whole degrees; of equally near ones the first listed."""
-    whole = F.floor(h).cast("double")
-    ranked = [F.struct(colour.circular_distance(whole, F.lit(float(at))).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, at) in enumerate(BANDS)]
-    return F.array_min(F.array(*ranked))["k"]
+    return colour.nearest_name(F.floor(h).cast("double"), BANDS)
 
 
 def bands(pixels: DataFrame, group: list[str]) -> DataFrame:

@@ -193,7 +193,7 @@ def drift_diff(spark, sf_dir):
     return archive.differences(table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""SELECT lang, label, total FROM (SELECT lang, label, sum(score) AS total, row_number() OVER (PARTITION BY lang ORDER BY sum(score) DESC, min(o)) AS n FROM
+@query("""SELECT lang, label, total::BIGINT AS total FROM (SELECT lang, label, sum(score) AS total, row_number() OVER (PARTITION BY lang ORDER BY sum(score) DESC, min(o)) AS n FROM
 (SELECT lang, 'quality' AS label, quality AS score, 0 AS o FROM documents JOIN labels USING (doc_id) UNION ALL SELECT lang, 'toxic', toxic, 1 FROM documents JOIN labels USING (doc_id))
 GROUP BY lang, label) WHERE n = 1""")
 def label_argmax(spark, sf_dir):
@@ -203,7 +203,7 @@ def label_argmax(spark, sf_dir):
 
 
 @query("""SELECT user_id, event_type, tier FROM (SELECT user_id, event_type, t AS tier, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM
-(SELECT *, length(event_type) AS t FROM events)) WHERE n = 1""")
+(SELECT *, length(event_type)::INT AS t FROM events)) WHERE n = 1""")
 def priority_distinct(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("tier", F.length("event_type"))
     return archive.keep_first(rows, ["user_id"], [F.col("tier"), F.col("event_id")]).select("user_id", "event_type", "tier")
