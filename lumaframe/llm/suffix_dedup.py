@@ -45,6 +45,8 @@ _PIECE = 1 << 20
 #: Spans that are expanded to bytes at once.
 _SPANS = 1 << 14
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Spreads seed hashes before their high bits are compared.
+_ORDER = np.uint64(0xD1342543DE82EF95)
 NO_KEY = -(2**63)
 
 
@@ -101,8 +103,8 @@ def _piece(data: np.ndarray, a: int, b: int, bounds: np.ndarray):
         return None
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((own + np.uint64(1)) * _UP[:n], out=sums[1:])
-    seeds = mix((sums[SEED:] - sums[:-SEED]) * _DOWN[: n - SEED + 1])
-    low = (seeds & ~np.uint64(_PIECE - 1)) | np.arange(len(seeds), dtype=np.uint64)  # ties: leftmost
+    seeds = (sums[SEED:] - sums[:-SEED]) * _DOWN[: n - SEED + 1]
+    low = (seeds * _ORDER & ~np.uint64(_PIECE - 1)) | np.arange(len(seeds), dtype=np.uint64)  # ties: leftmost
     span, width = 1, LENGTH - SEED + 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -125,7 +127,7 @@ def _piece(data: np.ndarray, a: int, b: int, bounds: np.ndarray):
     anchor = owned[fresh] - start
     stop = start + windows + LENGTH - 1
     name = mix((sums[stop] - sums[start]) * _DOWN[start] + windows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return start + a, windows, anchor, seeds[owned[fresh]], name
+    return start + a, windows, anchor, mix(seeds[owned[fresh]]), name
 
 
 def _within(size: np.ndarray) -> np.ndarray:
@@ -276,6 +278,8 @@ class Suffixes:
     def __init__(self, text: np.ndarray, place: np.ndarray):
         """place: of each byte in its context."""
         self.text, self.place = text, place
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        self.words = np.ndarray((len(text),), "<u8", padded, 0, (1,))
         self.sums = np.zeros(len(text) + 1, np.uint64)
         for i in range(0, len(text), _PIECE):
             part = slice(i, i + _PIECE)
@@ -296,9 +300,15 @@ class Suffixes:
         return low
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes at a come before those at b; the first eight bytes settle most pairs."""
+        first_a, first_b = self.words[a].byteswap(), self.words[b].byteswap()
+        out = first_a < first_b
+        tie = np.flatnonzero(first_a == first_b)
+        a, b = a[tie], b[tie]
         n = self.common(a, b)
         inside = np.minimum(n, LENGTH - 1)
-        return (n < LENGTH) & (self.text[a + inside] < self.text[b + inside])
+        out[tie] = (n < LENGTH) & (self.text[a + inside] < self.text[b + inside])
+        return out
 
     def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Order of suffixes by group, then by their bytes: a bottom-up mergesort of all groups at once."""
