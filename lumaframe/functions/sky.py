@@ -138,14 +138,32 @@ def _crossing(alt: float, name: str) -> list[dict[str, str]]:
     return groups
 
 
+DAY_HEAD = [
+    {"la_": clip("lat", "-89.9999", "89.9999"), "days_": f"t / 86400e0 + {UNIX_JD} - {J2000}"},
+    {"mean_noon": f"(floor(days_ + lon / 360 + 0.5) - lon / 360 + {J2000} - {UNIX_JD}) * 86400e0"},
+    *sun_state("mean_noon", "n_"), {"n1": "mean_noon - n_eot * 60"}, *sun_state("n1", "m_"), {"solar_noon": "mean_noon - m_eot * 60"},
+]
+
 #: lat, lon, t -> seconds of solar noon, rise and set, and whether the sun stays up or down all day.
 DAY = Formula(
     [
-        {"la_": clip("lat", "-89.9999", "89.9999"), "days_": f"t / 86400e0 + {UNIX_JD} - {J2000}"},
-        {"mean_noon": f"(floor(days_ + lon / 360 + 0.5) - lon / 360 + {J2000} - {UNIX_JD}) * 86400e0"},
-        *sun_state("mean_noon", "n_"), {"n1": "mean_noon - n_eot * 60"}, *sun_state("n1", "m_"), {"solar_noon": "mean_noon - m_eot * 60"},
+        *DAY_HEAD,
         *_crossing(-0.833, "d"),
         {"sunrise": "d_r3", "sunset": "d_s3", "polar": "CASE WHEN d_c > 1 THEN 'polar-night' WHEN d_c < -1 THEN 'midnight-sun' ELSE 'none' END"},
     ],
     ["solar_noon", "sunrise", "sunset", "polar"],
 )
+
+_SIDE = "CASE WHEN {0}_c > 1 THEN 'below' WHEN {0}_c < -1 THEN 'above' ELSE 'ok' END"
+
+#: lat, lon, t -> rise and set through -4 and 6 degrees, and which kind of day that makes.
+GOLDEN = Formula(
+    [
+        *DAY_HEAD,
+        *_crossing(-4, "lo"), *_crossing(6, "hi"),
+        {"lo_k": _SIDE.format("lo"), "hi_k": _SIDE.format("hi")},
+        {"r_lo": "lo_r3", "s_lo": "lo_s3", "r_hi": "hi_r3", "s_hi": "hi_s3",
+         "kind": "CASE WHEN lo_k = 'below' THEN 'none' WHEN lo_k = 'ok' AND hi_k = 'below' THEN 'all day long' WHEN lo_k = 'ok' AND hi_k = 'ok' THEN 'twice' WHEN lo_k = 'ok' THEN 'none' WHEN hi_k = 'above' THEN 'none' WHEN hi_k = 'ok' THEN 'through midnight' ELSE 'whole day' END"},
+    ],
+    ["r_lo", "s_lo", "r_hi", "s_hi", "kind"],
+)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumaframe.functions import colour, field, geodesy, sky
+from lumaframe.functions import colour, field, geodesy, sky, spectrum
 from lumaframe.functions.formulas import Formula, turn
 from lumaframe.operators import places, terrain, timeline
 
@@ -431,3 +431,91 @@ class _OffBearing(Formula):
 
     def __init__(self):
         super().__init__([*sky.SUN.groups, {"off": turn("sun_azimuth - bearing + 180") + " - 180"}], ["off"])
+
+
+SPECTRAL_SQL = f"""a AS (SELECT * FROM {field.AIR.sql(AIR_SQL)}), c AS (SELECT * FROM (VALUES {', '.join(f'({n}::DOUBLE, {x:.6f}::DOUBLE, {y:.6f}::DOUBLE, {z:.6f}::DOUBLE, {o:.6f}::DOUBLE)' for n, x, y, z, o in spectrum.BANDS)}) v(nm, x, y, z, o)),
+p AS (SELECT *, 2*{spectrum.PLANCK}*{spectrum.LIGHT}*{spectrum.LIGHT}/(pow(nm*1e-9, 5)*(exp({spectrum.PLANCK}*{spectrum.LIGHT}/(nm*1e-9*{spectrum.BOLTZMANN}*5772e0)) - 1)) AS pw, 0.008569e0*pow(nm/1000, -4)*(1 + 0.0113e0*pow(nm/1000, -2) + 0.00013e0*pow(nm/1000, -4)) AS ray FROM c),
+t AS (SELECT id, x, y, z, pw, coalesce(pw*exp(-(ray*pressure_ratio + beta*pow(nm/1000, -alpha) + o*0.3e0)*air_mass*pressure_ratio), 0) AS beam FROM a, p),
+s AS (SELECT id, sum(beam*x) AS bx, sum(beam*y) AS by_, sum(beam*z) AS bz, sum(pw*y) AS tot FROM t GROUP BY id),
+k AS (SELECT id, CASE WHEN bx+by_+bz > 0 THEN bx/(bx+by_+bz) END AS sx, CASE WHEN bx+by_+bz > 0 THEN by_/(bx+by_+bz) END AS sy, 133100e0*by_/tot AS lux FROM s),
+n AS (SELECT *, (sx - 0.332e0)/(0.1858e0 - sy) AS n FROM k)"""
+
+
+def air_rows(spark, sf_dir):
+    e = "event_id"
+    rows = table(spark, sf_dir, "events").selectExpr(f"{e} AS id", f"{e}%100 - 5e0 AS altitude", f"{e}%3000 + 0e0 AS elevation", f"CASE WHEN {e}%7 = 0 THEN NULL ELSE {e}%40 - 10e0 END AS dew", f"CASE WHEN {e}%3 = 0 THEN NULL ELSE {e}%50/100e0 END AS aod", f"CASE WHEN {e}%4 = 0 THEN NULL ELSE {e}%11/10e0 END AS sea")
+    return field.AIR.on(rows)
+
+
+@query(f"WITH {SPECTRAL_SQL} SELECT id, round(coalesce(sx, 0.3333), 5) AS sun_x, round(coalesce(sy, 0.3333), 5) AS sun_y, round(coalesce(437*n*n*n + 3601*n*n + 6861*n + 5517, 0), 1) AS sun_cct, round(lux, 2) AS lux FROM n")
+def spectral_light(spark, sf_dir):
+    """Colour, colour temperature and light of the direct sun from 41 bands."""
+    made = spectrum.spectral(F.col("air_mass"), F.col("pressure_ratio"), F.col("alpha"), F.col("beta"))
+    rows = air_rows(spark, sf_dir).select("id", made.alias("s"))
+    return rows.select("id", F.round("s.sun_x", 5).alias("sun_x"), F.round("s.sun_y", 5).alias("sun_y"), F.round("s.sun_cct", 1).alias("sun_cct"), F.round("s.lux", 2).alias("lux"))
+
+
+CLEAR_OUT = ["id", *[f"round({c}, 3) AS {c}" for c in spectrum.CLEAR_SKY.out]]
+
+
+@query(f"SELECT {', '.join(CLEAR_OUT)} FROM {spectrum.CLEAR_SKY.sql('(SELECT * FROM ' + field.AIR.sql(AIR_SQL) + ')')}")
+def clear_sky(spark, sf_dir):
+    return spectrum.CLEAR_SKY.on(air_rows(spark, sf_dir)).selectExpr(*CLEAR_OUT)
+
+
+TRAIL_SQL = "(SELECT p_partkey AS id, 36e0 - p_partkey%3*8 AS sensor_w, 24e0 - p_partkey%3*5 AS sensor_h, 12e0 + p_partkey%50 AS megapixels, 12e0 + p_partkey%390 AS focal, p_partkey%181 - 90e0 AS declination, p_partkey%600 + 0e0 AS seconds FROM part)"
+TRAIL_OUT = ["id", *[f"round({c}, 5) AS {c}" for c in spectrum.TRAILS.out]]
+
+
+@query(f"SELECT {', '.join(TRAIL_OUT)} FROM {spectrum.TRAILS.sql(TRAIL_SQL)}")
+def star_trails(spark, sf_dir):
+    p = "p_partkey"
+    rows = table(spark, sf_dir, "part").selectExpr(f"{p} AS id", f"36e0 - {p}%3*8 AS sensor_w", f"24e0 - {p}%3*5 AS sensor_h", f"12e0 + {p}%50 AS megapixels", f"12e0 + {p}%390 AS focal", f"{p}%181 - 90e0 AS declination", f"{p}%600 + 0e0 AS seconds")
+    return spectrum.TRAILS.on(rows).selectExpr(*TRAIL_OUT)
+
+
+BAND_OUT = ["id", "round(r_lo, 1) AS low_rise", "round(s_lo, 1) AS low_set", "round(r_hi, 1) AS high_rise", "round(s_hi, 1) AS high_set", "kind"]
+
+
+@query(f"SELECT {', '.join(BAND_OUT)} FROM {sky.GOLDEN.sql(DAYS_SQL)}")
+def golden_hours(spark, sf_dir):
+    """Where golden light begins and ends, morning and evening, with the polar cases named."""
+    return sky.GOLDEN.on(instants(spark, sf_dir).where("id % 10 = 1")).selectExpr(*BAND_OUT)
+
+
+@query()
+def core_nights(spark, sf_dir):
+    """Stretches of a night that are dark, without moon, and with the galactic core 10 degrees up, for each supplier."""
+    s = F.col("s_suppkey")
+    start = 1_781_438_400
+    spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s % 80 - 50.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"))
+    rows = spots.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + 86_400), F.lit(300))))
+    rows = sky.CORE.on(sky.MOON.on(sky.SUN.on(rows)))
+    parts = {"dark": -18 - F.col("sun_altitude"), "moonless": -0.833 - F.col("moon_altitude"), "up": F.col("core_altitude") - 10}
+    found = None
+    for name, value in parts.items():
+        own = timeline.positive_intervals(rows.select("spot", "t", value.alias(name)), ["spot"], "t", name)
+        found = own if found is None else timeline.intersections(found, own, ["spot"], 21_600)
+    return found
+
+
+@query("""WITH s AS (SELECT c_custkey%50 AS spot, c_custkey AS visit, (c_custkey*37%900)/10e0 AS altitude FROM customer), p AS (SELECT s_suppkey AS id, s_suppkey%50 AS spot, (s_suppkey*53%900)/10e0 AS altitude FROM supplier)
+SELECT id, visit, round(abs(s.altitude - p.altitude), 6) AS off FROM p JOIN s USING (spot) QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(s.altitude - p.altitude), visit) = 1""")
+def closest_visit(spark, sf_dir):
+    """The visit of the same spot whose sun stood nearest to a given altitude."""
+    visits = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("spot"), F.col("c_custkey").alias("visit"), (F.col("c_custkey") * 37 % 900 / 10.0).alias("v"))
+    probes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50).alias("spot"), (F.col("s_suppkey") * 53 % 900 / 10.0).alias("a"))
+    off = F.abs(F.col("v") - F.col("a"))
+    best = F.min_by(F.struct("visit", off.alias("off")), F.struct(off, "visit"))
+    return probes.join(visits, "spot").groupBy("id").agg(best.alias("b")).select("id", "b.visit", F.round("b.off", 6).alias("off"))
+
+
+@query(f"""WITH p AS ({TOWN}), n AS (SELECT id, lat, lon FROM p WHERE id%3 = 0), o AS (SELECT id, lat, lon FROM p WHERE id%3 <> 0),
+d AS (SELECT o.id, n.id AS spot, sqrt(pow(radians(n.lat-o.lat), 2) + pow(radians(n.lon-o.lon)*cos(radians((o.lat+n.lat)/2)), 2))*6371000e0 AS m FROM o JOIN n ON abs(o.lat-n.lat) < 0.01),
+b AS (SELECT id, min(spot) AS spot FROM d WHERE m <= 50 GROUP BY id) SELECT o.id, coalesce(b.spot, o.id) AS spot, b.spot IS NULL AS fresh FROM o LEFT JOIN b ON o.id = b.id""")
+def spot_upsert(spark, sf_dir):
+    """New places matched to the first saved spot within 50 m, or kept as new ones."""
+    rows = town(spark, sf_dir)
+    saved, new = rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
+    near = places.within(new, saved, 50.0).groupBy("a_id").agg(F.min("b_id").alias("spot"))
+    return new.join(near, F.col("id") == F.col("a_id"), "left").select("id", F.coalesce("spot", "id").alias("spot"), F.col("spot").isNull().alias("fresh"))
