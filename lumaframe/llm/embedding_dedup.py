@@ -4,7 +4,8 @@ Vectors are scaled to unit length and projected on the axes of random rotations.
 pair of cosine c the squared differences along the d axes of a rotation sum to 2 - 2c.
 With windows of half width w centred on a query, w**2 = REACH * (2 - 2c) / d, fewer than
 d / REACH axes can miss, so a pair at the threshold or above always counts at least
-d - d / REACH collisions: the count loses no recall, and few other pairs reach it.
+d - d / REACH collisions, and few other pairs reach that. Counts over the first axes stop
+earlier, where a pair at the threshold would be lost with probability MISS / 100 at most.
 
 Which pairs are counted at all is settled by tables. A table takes K of the projections
 and collects a pair if it collides in all K; T tables leave a pair at the threshold out
@@ -32,8 +33,8 @@ from .components import components
 from .shared import written
 
 COSINE, REACH, MISS = 0.95, 6.4, 1e-5
-#: Vectors that a cell should hold, vectors of a block, queries that meet their window at once.
-CELL_ROWS, BLOCK_ROWS, QUERY_ROWS = 4000, 6000, 256
+#: Vectors that a cell should hold, vectors of a block, queries and others that meet at once.
+CELL_ROWS, BLOCK_ROWS, QUERY_ROWS, SLICE_ROWS = 4000, 12_000, 128, 2048
 #: Cells are this many half windows wide.
 WIDE = 4.0
 
@@ -45,8 +46,11 @@ class Plan:
         self.size, self.cosine = size, cosine
         self.gap = 2.0 - 2.0 * cosine
         self.window = math.sqrt(REACH * self.gap / size) + 1e-9
-        self.misses = int(size / REACH) + 1
         inside = math.erf(math.sqrt(REACH / 2))
+        # (first axis, last axis, misses allowed so far): all axes by the bound, fewer by the binomial tail
+        steps = sorted({size, *(max(1, size // k) for k in (8, 4, 2))})
+        bound = int(size / REACH) + 1
+        self.counts = [(a, b, bound if b == size else min(bound, _tail(b, 1 - inside, MISS / 100))) for a, b in zip([0, *steps], steps, strict=False)]
         if size < 16:  # some axis has at most the mean difference, which is inside the window
             self.depth, self.tables = 1, size
         else:
@@ -83,6 +87,17 @@ class Plan:
         return found
 
 
+def _tail(n: int, p: float, risk: float) -> int:
+    """The fewest misses of n that a pair at the threshold exceeds with a probability under risk."""
+    total, k = 0.0, n
+    while k > 0:
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total >= risk:
+            return k
+        k -= 1
+    return 0
+
+
 def _names(cells: np.ndarray, table: int) -> np.ndarray:
     """A 64-bit name of each cell; cells that share one are only searched together."""
     name = np.full(len(cells), table + 1, np.uint64)
@@ -97,29 +112,32 @@ def linked(plan: Plan, vectors: np.ndarray, table: int, cell: int, side: np.ndar
     unit = plan.unit(vectors)
     spots = (unit @ plan.axes).astype(np.float32)
     own = list(range(table * plan.depth, (table + 1) * plan.depth))
-    order = np.argsort(spots[:, own[0]], kind="stable")
-    line = spots[order, own[0]]
     w = np.float32(plan.window + 1e-6)
-    rotation = np.arange(own[0] // plan.size * plan.size, own[0] // plan.size * plan.size + plan.size)
-    columns = [np.ascontiguousarray(spots[order, j]) for j in own]
+    turn = own[0] // plan.size * plan.size
+    # the axes of one rotation, the table's own last: they collide anyhow
+    rest = np.ascontiguousarray(np.roll(spots[:, turn : turn + plan.size], turn - own[-1] - 1, axis=1))
+    along = lambda rows: rows[np.argsort(spots[rows, own[0]], kind="stable")]
+    queries = along(np.arange(len(spots)) if side is None else np.flatnonzero(side == side.min()))
+    others = queries if side is None else along(np.flatnonzero(side != side.min()))
+    line = spots[others, own[0]]
+    mine, theirs = ([np.ascontiguousarray(spots[rows, j]) for j in own] for rows in (queries, others))
     out_i, out_j = [], []
-    for a in range(0, len(order), QUERY_ROWS):
-        b = min(len(order), a + QUERY_ROWS)
-        end = int(np.searchsorted(line, line[b - 1] + w, side="right"))
-        hits = None
-        for c in columns:
-            near = np.abs(c[a:b, None] - c[None, a:end]) <= w
-            hits = near if hits is None else hits & near
-        i, j = np.nonzero(hits)
-        up = j > i  # slices begin at the queries themselves
-        i, j = order[a + i[up]], order[a + j[up]]
-        if side is not None:
-            other = side[i] != side[j]
-            i, j = i[other], j[other]
+    for a in range(0, len(queries), QUERY_ROWS):
+        b = min(len(queries), a + QUERY_ROWS)
+        start = a if side is None else int(np.searchsorted(line, mine[0][a] - w, side="left"))
+        end = int(np.searchsorted(line, mine[0][b - 1] + w, side="right"))
+        parts = [_collide([p[a:b] for p in mine], [q[c : min(end, c + SLICE_ROWS)] for q in theirs], w, c) for c in range(start, end, SLICE_ROWS)]
+        if not parts:
+            continue
+        i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if side is None:
+            up = j > a + i  # slices begin at the queries themselves
+            i, j = i[up], j[up]
+        i, j = queries[a + i], others[j]
         missed = np.zeros(len(i), np.int64)
-        for part in np.array_split(rotation, min(4, len(rotation))):  # count collisions; stop where too many axes have missed
-            missed = missed + (np.abs(spots[np.ix_(i, part)] - spots[np.ix_(j, part)]) > w).sum(1)
-            keep = missed <= plan.misses
+        for first, last, most in plan.counts:  # count collisions; stop where too many axes have missed
+            missed = missed + (np.abs(np.take(rest[:, first:last], i, 0) - np.take(rest[:, first:last], j, 0)) > w).sum(1)
+            keep = missed <= most
             i, j, missed = i[keep], j[keep], missed[keep]
         for t in range(table):  # an earlier table reports what collides there
             earlier = list(range(t * plan.depth, (t + 1) * plan.depth))
@@ -137,6 +155,20 @@ def linked(plan: Plan, vectors: np.ndarray, table: int, cell: int, side: np.ndar
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _collide(mine: list[np.ndarray], theirs: list[np.ndarray], w: np.float32, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, start + j) of pairs within w along all projections; the tables are small enough for a core's cache."""
+    shape = len(mine[0]), len(theirs[0])
+    gap, near, hits = np.empty(shape, np.float32), np.empty(shape, bool), np.empty(shape, bool)
+    for k, (p, q) in enumerate(zip(mine, theirs, strict=True)):
+        np.subtract(p[:, None], q[None, :], out=gap)
+        np.abs(gap, out=gap)
+        np.less_equal(gap, w, out=near if k else hits)
+        if k:
+            hits &= near
+    i, j = np.divmod(np.flatnonzero(hits), shape[1])
+    return i, j + start
+
+
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("nd,nd->n", a, b) / np.sqrt(np.einsum("nd,nd->n", a, a) * np.einsum("nd,nd->n", b, b))
 
@@ -236,4 +268,5 @@ def _search(nodes: DataFrame, plan: Plan) -> DataFrame:
             }
         )
 
-    return entries.groupBy("table", "cell", "i", "j").applyInArrow(run, "node binary, other binary, links bigint")
+    # dealt by all four: the join's own partitioning would keep all blocks of a cell together
+    return entries.repartition("table", "cell", "i", "j").groupBy("table", "cell", "i", "j").applyInArrow(run, "node binary, other binary, links bigint")
