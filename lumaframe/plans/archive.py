@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, vectors
-from lumaframe.operators import archive, pixels, ranking
+from lumaframe.operators import archive, pixels, ranking, texture
 
 QUERIES, ORACLES = {}, {}
 
@@ -440,3 +440,19 @@ def stamp(spark, sf_dir):
     rows = table(spark, sf_dir, "part")
     ids = F.array_sort(F.collect_list(F.when(F.col("p_partkey") % 50 == 0, F.col("p_partkey"))))
     return rows.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("chapters"), F.array_join(ids, ",").alias("ids"))
+
+
+@query("""WITH i AS (SELECT p_partkey AS id, 400 + p_partkey*7%3000 AS w, 400 + p_partkey*11%2000 AS h FROM part), r AS (SELECT *, w - 2*floor(w*0.08)::INT - 192 AS sx, h - 2*floor(h*0.08)::INT - 192 AS sy FROM i)
+SELECT id, gx::INT AS gx, gy::INT AS gy, ((floor(w*0.08)::INT + floor(sx*gx/3.0)::INT)>>3)<<3 AS "left", ((floor(h*0.08)::INT + floor(sy*gy/2.0)::INT)>>3)<<3 AS top FROM r, range(4) a(gx), range(3) b(gy) WHERE sx > 0 AND sy > 0""".replace('<<3 AS "left"', '<<3)::INT AS "left"').replace("((floor(w", "(((floor(w").replace("<<3 AS top", "<<3)::INT AS top").replace("((floor(h", "(((floor(h"))
+def texture_grid(spark, sf_dir):
+    p = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(p.alias("id"), (p * 7 % 3000 + 400).cast("int").alias("width"), (p * 11 % 2000 + 400).cast("int").alias("height"))
+    return texture.origins(rows).select("id", "gx", "gy", "left", "top")
+
+
+@query()
+def texture_crops(spark, sf_dir):
+    """Texture of images that are one small crop each."""
+    luma = colour.luma(F.col("r"), F.col("g"), F.col("b"))
+    rows = images(spark, sf_dir).groupBy("image", "x", "y").agg(F.avg(luma).alias("luma"))
+    return texture.image_texture(texture.crops(rows, ["image"]), "image", F.lit(1000), F.lit(600))
