@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, vectors
-from lumaframe.operators import archive, pixels, ranking, texture
+from lumaframe.operators import archive, grade, pixels, ranking, texture
 
 QUERIES, ORACLES = {}, {}
 
@@ -456,3 +456,24 @@ def texture_crops(spark, sf_dir):
     luma = colour.luma(F.col("r"), F.col("g"), F.col("b"))
     rows = images(spark, sf_dir).groupBy("image", "x", "y").agg(F.avg(luma).alias("luma"))
     return texture.image_texture(texture.crops(rows, ["image"]), "image", F.lit(1000), F.lit(600))
+
+
+GRADE_SQL = f"""{IMAGE_SQL}, {ZONE_SQL}, zs AS (SELECT image, zone, sum(w) AS n, sum(w*a)/sum(w) AS a, sum(w*b_)/sum(w) AS b FROM zz WHERE w > 0 GROUP BY ALL),
+zc AS (SELECT *, n/sum(n) OVER (PARTITION BY image) AS coverage FROM zs), rf AS (SELECT zone, greatest(1e-4, coverage) AS w, a AS ra, b AS rb FROM zc WHERE image = 1),
+g AS (SELECT image, least(3, greatest(0.25, coalesce(sum(w*sqrt(ra*ra+rb*rb))/nullif(sum(w*sqrt(a*a+b*b)), 0), 1))) AS ratio, sum(w*a) AS sa, sum(w*b) AS sb, sum(w*ra) AS sra, sum(w*rb) AS srb, sum(w) AS n FROM zc JOIN rf USING (zone) WHERE image <> 1 GROUP BY image),
+hb AS (SELECT image, {BIN_SQL} AS bin, count(*)::DOUBLE AS n FROM lab GROUP BY ALL), hc AS (SELECT *, sum(n) OVER (PARTITION BY image ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY image) AS total FROM hb),
+pc AS (SELECT image, step, CASE WHEN step = 0 THEN 0 ELSE min(bin) END/511.0::DOUBLE AS level FROM hc, range(21) r(step) WHERE cum >= step/20.0::DOUBLE*total GROUP BY image, step),
+ex AS (SELECT c.image, avg(log2(r.level/c.level)) FILTER (r.level > 0.02 AND c.level > 0.02) AS lr FROM pc c JOIN pc r ON c.step = r.step AND r.image = 1 WHERE c.step BETWEEN 2 AND 18 AND c.step%2 = 0 GROUP BY c.image)"""
+
+
+@query(f"""{GRADE_SQL} SELECT image, round(greatest(-3, least(3, coalesce(3*lr, 0))), 4) AS faithful, round(greatest(-1.2, least(1.2, coalesce(3*lr, 0)*0.62)), 4) AS restrained, round(ratio, 4) AS ratio, round((sra - ratio*sa)/n, 4) AS da, round((srb - ratio*sb)/n, 4) AS db FROM g JOIN ex USING (image)""")
+def grade_match(spark, sf_dir):
+    """Exposure, saturation and cast that bring each image to the first one."""
+    lab = pixels.with_lab(images(spark, sf_dir))
+    zones = pixels.zones(lab).groupBy("image", "zone").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("a"), (F.sum(F.col("w") * F.col("b_")) / F.sum("w")).alias("b"))
+    zones = zones.withColumn("coverage", F.col("n") / F.sum("n").over(Window.partitionBy("image")))
+    colours = grade.zone_grade(zones, "image", 1)
+    looks = ranking.looks(lab, "image").select("id", "curve")
+    curves = looks.join(F.broadcast(looks.where("id = 1").select(F.col("curve").alias("told"))))
+    stops = curves.select(F.col("id").alias("image"), *[F.round(grade.exposure_stops(F.col("told"), F.col("curve"), r), 4).alias(n) for n, r in (("faithful", False), ("restrained", True))])
+    return colours.join(stops, "image").select("image", "faithful", "restrained", *[F.round(c, 4).alias(c) for c in ("ratio", "da", "db")])
