@@ -249,3 +249,26 @@ def path_length(points: DataFrame, group: str, distance: Callable[[Column, Colum
     """(group, length) of ordered points (group, pos, point)."""
     before = F.lag("point").over(Window.partitionBy(group).orderBy("pos"))
     return points.withColumn("__b", before).groupBy(group).agg(F.coalesce(F.sum(distance(F.col("point"), F.col("__b"))), F.lit(0.0)).alias("length"))
+
+
+def chained(ordered: DataFrame, group: str, rank: str) -> DataFrame:
+    """ordered (group, rank, pos, L, a, b) with pos counted from the other end where that joins better to the group before.
+
+    Only the two ends of each group are gathered, in rank order; a group of one never turns.
+    """
+    ends = ordered.groupBy(group, rank).agg(F.min_by(F.struct("L", "a", "b"), "pos").alias("head"), F.max_by(F.struct("L", "a", "b"), "pos").alias("tail"), F.count("*").alias("n")).withColumn("all", F.lit(1))
+    flat = ends.select("all", group, rank, "n", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("head", "tail") for c in "Lab"])
+
+    def turn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([rank, group], ignore_index=True)
+        head, tail = rows[["head_L", "head_a", "head_b"]].to_numpy(float), rows[["tail_L", "tail_a", "tail_b"]].to_numpy(float)
+        turned, last = [], None
+        for i in range(len(rows)):
+            flip = last is not None and rows["n"][i] > 1 and np.linalg.norm(last - tail[i]) < np.linalg.norm(last - head[i])
+            turned.append(bool(flip))
+            last = head[i] if flip else tail[i]
+        return pd.DataFrame({"g": rows[group], "n": rows["n"], "turned": turned})
+
+    flips = flat.groupBy("all").applyInPandas(turn, f"g {ordered.schema[group].dataType.simpleString()}, n bigint, turned boolean")
+    both = ordered.join(flips, F.col(group) == F.col("g"))
+    return both.withColumn("pos", F.when(F.col("turned"), F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos"))).drop("g", "n", "turned")

@@ -108,3 +108,23 @@ def positive_intervals(df: DataFrame, key: list[str], at: str, value: str) -> Da
     rows = rows.withColumn("__next", F.lead("__edge").over(Window.partitionBy(*key).orderBy(at)))
     open_ = rows.where("__on").groupBy(*key, "__run").agg(F.min(F.coalesce("__edge", F.col(at))).alias("start"), F.max_by(F.coalesce("__next", F.col(at)), at).alias("end"))
     return open_.select(*key, "start", "end").where("end > start")
+
+
+def passes(df: DataFrame, key: list[str], order: list[str], off: str, tolerance: float) -> DataFrame:
+    """(key, best, meets, from, to, behind) of each local minimum of |off|: the run of samples within tolerance round it.
+
+    behind tells whether off has both signs in that run and one sample on either side.
+    """
+    along = Window.partitionBy(*key).orderBy(*order)
+    rows = df.withColumns({"__i": F.row_number().over(along), "__abs": F.abs(off), "__in": F.abs(off) <= tolerance})
+    marked = runs(rows, key, ["__i"], "__in")
+    spans = marked.where("__in").groupBy(*key, "run").agg(F.min("__i").alias("first"), F.max("__i").alias("last"))
+    best = local_minima(marked, key, ["__i"], "__abs").select(*key, F.col("__i").alias("best"), "run", F.col("__in").alias("meets"))
+    both = best.join(spans, [*key, "run"], "left").withColumns({"from": F.coalesce("first", "best"), "to": F.coalesce("last", "best")})
+    signs = rows.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__i").alias("__j"), F.signum(off).alias("__sign"))
+    # the neighbourhood of a pass is a short stretch of its own series
+    on = F.col("__j").between(F.col("from") - 1, F.col("to") + 1)
+    for k in key:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    near = both.join(signs, on).groupBy(*key, "best", "meets", "from", "to").agg((F.max("__sign") - F.min("__sign") == 2).alias("behind"))
+    return near
