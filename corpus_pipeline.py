@@ -20,8 +20,9 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters or without a clear label go."""
-    found = langid.predict(docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}), langid.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # whole rows pass, so no column clashes with a result's
+    found = langid.predict(docs.select(row.alias("row"), "text"), langid.train(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group that links of 0.8 on five-word shingles join."""
     kept = jaccard.classes(docs, size=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).select(F.col("doc_id").alias("k"))
-    return jaccard.one_row_each(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi"), "doc_id")
+    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
+    return jaccard.one_row_each(docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi"), "doc_id")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

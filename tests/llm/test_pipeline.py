@@ -7,6 +7,7 @@ import corpus_pipeline as cp
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 from lumaframe.llm import bpe, langid, shared
 
@@ -69,5 +70,14 @@ def test_run_and_edges(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/a/documents.parquet")
     got = cp.run(spark, f"{tmp_path}/a").collect()
     assert got and {r.doc_id for r in got} <= set(range(4, 60))
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("k", "key", "row", "n", "score", "lang_pred", "size", "copy", "id", "w1"):
+        extra = extra.withColumn(name, F.lit("own"))
+    extra.write.parquet(f"{tmp_path}/c/documents.parquet")
+    docs = shared.documents(spark, f"{tmp_path}/c")
+    for name, stage in cp.STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, ""), name)
+        assert docs.columns == extra.columns and {r.score for r in docs.collect()} == {"own"}
+    assert cp.STAGES[-1][1](spark, docs, "").count() == docs.count() > 0
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/b").count() == 0
