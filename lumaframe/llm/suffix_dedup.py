@@ -5,8 +5,8 @@ same place, their anchor. Consecutive windows of a text with one anchor form a c
 at most 2 * LENGTH - SEED bytes, so strings that may be equal meet wherever contexts are
 shuffled by anchor. Documents are dealt to buckets by key, anchors to shards by hash:
 
-1. A bucket sends 32 bits of each distinct anchor to its shard, which answers with one
-   bit: whether another bucket has it too.
+1. A bucket sends 32 bits of each distinct anchor to its shard, which answers with two
+   bits: whether another bucket has it too, and whether it has very many contexts in all.
 2. A bucket collapses equal contexts and sends the distinct ones whose anchor is shared.
    The shard collapses equal contexts of different buckets and sorts the windows that are
    left (suffixes cut at LENGTH) by a mergesort whose comparisons find the common
@@ -39,6 +39,8 @@ from .shingles import mix
 LENGTH, SEED = 50, 24
 #: Text bytes of a bucket, and text bytes whose contexts (about 3.7 times as much) meet in a shard.
 BUCKET_BYTES, SHARD_TEXT = 4_000_000, 2_000_000
+#: Contexts of an anchor above which its windows are dealt out by their own bytes.
+HOT_CONTEXTS = 1000
 #: Windows that a shard sorts at once.
 WINDOWS = 1_000_000
 _PIECE = 1 << 20
@@ -174,6 +176,7 @@ class Bucket:
     """The documents of a bucket in a fixed order, and their contexts."""
 
     def __init__(self, keys: list[int], texts: list[str], shards: int):
+        self.shards = shards
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.order = sorted(range(len(raw)), key=lambda i: (keys[i], raw[i]))
         self.data = np.frombuffer(b"".join(raw[i] for i in self.order), np.uint8)
@@ -185,26 +188,38 @@ class Bucket:
         self.anchor_shard = (self.anchors >> np.uint64(32)).astype(np.int64)
 
     def anchor_rows(self):
-        """(shard, its anchors, 32 bits each in rising order) of each shard."""
+        """(shard, its anchors, 32 bits each in rising order, with their numbers of different contexts) of each shard."""
+        kinds = np.ones(len(self.anchors), np.int64)
+        again = np.flatnonzero(self.often[self.of_anchor] > 1)
+        pairs = np.unique(np.stack([self.of_anchor[again].astype(np.uint64), self.found.name[again]]), axis=1)
+        which, count = np.unique(pairs[0], return_counts=True)
+        kinds[which.astype(np.int64)] = count
+        kinds = np.minimum(kinds, 0xFFFF).astype("<u2")
         for a, b in _runs(self.anchor_shard):
-            yield int(self.anchor_shard[a]), _pack_rising((self.anchors[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            yield int(self.anchor_shard[a]), _pack_rising((self.anchors[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), kinds[a:b])
 
     def choose(self, replies: list[tuple[int, bytes]]) -> None:
         """Contexts whose anchor occurs more than once, the distinct ones of them, and which of those go to shards."""
-        shared = np.zeros(len(self.anchors), bool)
+        shared, hot = np.zeros(len(self.anchors), bool), np.zeros(len(self.anchors), bool)
         begin = {int(self.anchor_shard[a]): (a, b) for a, b in _runs(self.anchor_shard)}
         for shard, body in replies:
             a, b = begin[shard]
-            shared[a:b] = np.unpackbits(np.frombuffer(body, np.uint8), count=b - a).astype(bool)
+            flags = np.unpackbits(np.frombuffer(body, np.uint8).reshape(2, -1), axis=1, count=b - a).astype(bool)
+            shared[a:b], hot[a:b] = flags
         at = np.flatnonzero((shared | (self.often > 1))[self.of_anchor])
         c = self.found
-        self.live = live = Contexts(c.start[at], c.windows[at], c.anchor[at], c.seed[at], c.name[at])
+        live = Contexts(c.start[at], c.windows[at], c.anchor[at], c.seed[at], c.name[at])
+        of_anchor, apart = self.of_anchor[at], hot[self.of_anchor[at]]
+        if apart.any():  # an anchor of very many contexts: its windows go their own ways
+            live, of_anchor, apart = _windows_apart(self.data, live, of_anchor, apart)
+        self.live = live
         self.owner = self.keys[np.searchsorted(self.bounds, live.start, side="right") - 1] if len(at) else np.zeros(0, np.int64)
         first = _classes(self.data, live.start, live.windows + LENGTH - 1, live.name)
         self.distinct, self.of = np.unique(first, return_inverse=True)  # the first one has the smallest key
-        anchor = self.of_anchor[at][self.distinct]
+        anchor = of_anchor[self.distinct]
         sent = np.flatnonzero(shared[anchor] | (np.bincount(anchor, minlength=len(self.anchors))[anchor] > 1))
-        shard = self.anchor_shard[anchor[sent]]
+        own = (mix(live.name[self.distinct[sent]]) % np.uint64(self.shards)).astype(np.int64)
+        shard = np.where(apart[self.distinct[sent]], own, self.anchor_shard[anchor[sent]])
         order = np.argsort(shard, kind="stable")
         self.packed, self.shard = sent[order], shard[order]
 
@@ -254,22 +269,40 @@ def _runs(values: np.ndarray):
     return list(zip(edge.tolist(), [*edge[1:].tolist(), len(values)], strict=True))
 
 
-def _pack_rising(values: np.ndarray) -> bytes:
-    """Rising 32-bit values as steps, byte by byte of their weight, compressed."""
+def _windows_apart(data: np.ndarray, c: Contexts, of_anchor: np.ndarray, apart: np.ndarray) -> tuple[Contexts, np.ndarray, np.ndarray]:
+    """Contexts with those apart taken to single windows, each named by its own bytes."""
+    rest, some = np.flatnonzero(~apart), np.flatnonzero(apart)
+    which = np.repeat(some, c.windows[some])
+    offset = _within(c.windows[some])
+    start = c.start[which] + offset
+    size = np.full(len(start), LENGTH)
+    name = _span_hashes(data, start, size, c.seed[which])
+    join = lambda x, y: np.concatenate([x[rest], y])
+    made = Contexts(join(c.start, start), join(c.windows, np.ones(len(start), np.int64)), join(c.anchor, c.anchor[which] - offset), join(c.seed, c.seed[which]), join(c.name, name))
+    of_anchor, apart = join(of_anchor, of_anchor[which]), join(apart, np.ones(len(start), bool))
+    order = np.argsort(made.start, kind="stable")  # of equal ones the first has the smallest key
+    return Contexts(*(getattr(made, f)[order] for f in ("start", "windows", "anchor", "seed", "name"))), of_anchor[order], apart[order]
+
+
+def _pack_rising(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising 32-bit values as steps, and 16-bit counts, byte by byte of their weight, compressed."""
     steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=3).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+    planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
-def _unpack_rising(body: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+def _unpack_rising(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(6, -1)
+    values = np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.uint32)
+    return values, np.ascontiguousarray(planes[4:].T).view("<u2").ravel()
 
 
-def shared_anchors(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """For each row of distinct values whether another row has them too."""
-    every = np.concatenate(rows)
-    _, of, count = np.unique(every, return_inverse=True, return_counts=True)
-    return np.split(count[of] > 1, np.cumsum([len(r) for r in rows])[:-1])
+def shared_anchors(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each row of distinct values two flags each: another row has it too; it has more than HOT_CONTEXTS contexts in all."""
+    _, of, count = np.unique(np.concatenate([v for v, _ in rows]), return_inverse=True, return_counts=True)
+    total = np.bincount(of, np.concatenate([k for _, k in rows]))
+    flags = np.stack([count[of] > 1, total[of] > HOT_CONTEXTS])
+    return np.split(flags, np.cumsum([len(v) for v, _ in rows])[:-1], axis=1)
 
 
 class Suffixes:
@@ -473,7 +506,7 @@ def drop_repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text")
 
     def match_anchors(table: pa.Table) -> pa.Table:
         flags = shared_anchors([_unpack_rising(b.as_py()) for b in table.column("body")])
-        rows = [(b, np.packbits(f).tobytes()) for b, f in zip(table.column("bucket").to_pylist(), flags, strict=True) if f.any()]
+        rows = [(b, np.packbits(f, axis=1).tobytes()) for b, f in zip(table.column("bucket").to_pylist(), flags, strict=True) if f.any()]
         return answer(table.column("shard")[0].as_py(), 1, rows)
 
     def send_contexts(own: pa.Table, replies: pa.Table) -> pa.Table:

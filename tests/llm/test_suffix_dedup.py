@@ -67,6 +67,38 @@ def test_many_buckets_and_edges(spark, monkeypatch):
     assert suffix_dedup.drop_repeated_bytes(df.limit(0)).count() == 0
 
 
+def test_hot_anchors(monkeypatch):
+    """The same rows whether the windows of anchors are dealt out on their own or not."""
+    docs = made(12)
+    want = plain(docs)
+    for hot in (0, 3, 10**9):
+        monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+        shards = 5
+        buckets = [suffix_dedup.Bucket([k for k, _ in part], [t or "" for _, t in part], shards) for part in (docs[0::3], docs[1::3], docs[2::3])]
+        told = [[] for _ in buckets]
+        for s in range(shards):
+            rows = [(n, suffix_dedup._unpack_rising(body)) for n, b in enumerate(buckets) for shard, body in b.anchor_rows() if shard == s]
+            if rows:
+                for (n, _), f in zip(rows, suffix_dedup.shared_anchors([r for _, r in rows]), strict=True):
+                    told[n].append((s, np.packbits(f, axis=1).tobytes()))
+        for b, t in zip(buckets, told, strict=True):
+            b.choose(t)
+        back = [[] for _ in buckets]
+        for s in range(shards):
+            rows = [(n, suffix_dedup._unpack(body)) for n, b in enumerate(buckets) for shard, body in b.context_rows() if shard == s]
+            if rows:
+                keys, windows, anchor, body = (np.concatenate(x) for x in zip(*(r for _, r in rows), strict=True))
+                mask = suffix_dedup.earlier(keys, windows.astype(np.int64), anchor.astype(np.int64), body)
+                for (n, r), own in zip(rows, np.split(mask, np.cumsum([len(r[0]) for _, r in rows])[:-1]), strict=True):
+                    hit = np.flatnonzero(own)
+                    back[n].append((s, np.stack([hit.astype(np.uint32), own[hit]]).tobytes()))
+        got = []
+        for part, b, r in zip((docs[0::3], docs[1::3], docs[2::3]), buckets, back, strict=True):
+            for i, n, spans, kept in b.cut(r):
+                got.append((part[i][0], n, int(sum(e - a for a, e in spans)), len(spans), hashlib.sha256(kept).hexdigest()))
+        assert sorted(got) == want
+
+
 def test_long_documents_in_pieces(monkeypatch):
     docs = made(9)
     data = np.frombuffer("".join(t or "" for _, t in docs).encode(), np.uint8)
