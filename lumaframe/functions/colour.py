@@ -86,10 +86,16 @@ def half_up(x: Column, digits: int) -> Column:
 
 
 def nearest_name(h: Column, names: tuple[tuple[str, int], ...]) -> Column:
-    """Name of the nearest of several hues to h, 0 up to 360; of equally near ones the first listed."""
-    listed = F.array(*[F.struct(F.lit(float(at)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, at) in enumerate(names)])
-    away = lambda x: F.struct(F.least(F.abs(h - x["at"]), 360 - F.abs(h - x["at"])).alias("d"), x["i"].alias("i"), x["name"].alias("name"))
-    return F.array_min(F.transform(listed, away))["name"]
+    """Name of the nearest of several hues, listed in rising order, to h, 0 up to 360; of equally near ones the first listed.
+
+    Neighbours meet half-way, so this is a chain of comparisons in generated code.
+    """
+    (first, low), (last, high) = names[0], names[-1]
+    seam = (low + high + 360) / 2 % 360  # between the last hue and the first, which wins a tie
+    out = F.when(h < seam, last) if seam <= low else F.when(h >= seam, first)
+    for (name, at), (_, then) in zip(names, names[1:], strict=False):
+        out = out.when(h <= (at + then) / 2, name)
+    return out.otherwise(last)
 
 
 def nearest_anchor(h: Column) -> Column:
