@@ -20,9 +20,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import count_between
+
 # What a word is, the base phrases with their labels, and the templates.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
@@ -92,7 +94,7 @@ def scan(
     rare = sorted({w for own in sets.values() for w in _prefix_words(own, place, threshold)})
     phrases = {tuple(p.split()): label for p, label in base.items()}
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("key", "t", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), F.lower("t").alias("low"))
+    rows = rows.select("key", "t", count_between(F.col("t"), NOT_WORD_ANY_CASE).alias("n_words"), F.lower("t").alias("low"))
 
     def holds(*words: str) -> Column:
         out = F.lit(True)

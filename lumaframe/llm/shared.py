@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
+def count_between(text: Column, separators: str) -> Column:
+    """How many stretches of text stand between matches of separators, a character class with +; null text: 0.
+
+    Splitting where words end is several times faster than matching the words.
+    """
+    at_edge = lambda c: F.when(c.rlike(separators), 1).otherwise(0)
+    parts = F.size(F.split(text, separators)) - at_edge(F.substring(text, 1, 1)) - at_edge(F.right(text, F.lit(1)))
+    return F.when(text.isNull() | (text == ""), 0).otherwise(parts).cast("long")
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a whole text column; sizes the number of buckets."""
     return df.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
