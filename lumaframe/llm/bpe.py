@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 #: Longest pre-token kept in a worker's memo, and most of them kept in each of its two generations.
-MEMO_CHARS, MEMO_ENTRIES = 40, 300_000
+MEMO_CHARS, MEMO_ENTRIES = 40, 450_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
