@@ -1,4 +1,4 @@
-"""Grade matching: the exposure, saturation and cast that bring images to a reference.
+"""Grade matching: exposure, tone curve, saturation, cast, colour bands and zones that bring images to a reference.
 
 The closed-form steps of a grade as aggregates over percentile curves and tonal zones;
 each image is one row and independent of the others.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaframe.functions import colour
+
 # Percentiles that set exposure, and ranges of the controls.
 TAPS, LEAST_LEVEL, MOST_STOPS, RATIOS = tuple(range(2, 19, 2)), 0.02, 3.0, (0.25, 3.0)
 RESTRAINED, RESTRAINED_STOPS = 0.62, 1.2
@@ -46,3 +48,114 @@ def blend(identity: Column, restrained: Column, faithful: Column, strength: Colu
     """A control at a strength of 0 to 1: nothing, restrained at one half, faithful at one."""
     low = identity + (restrained - identity) * strength * 2
     return F.when(strength <= 0.5, low).otherwise(restrained + (faithful - restrained) * (strength * 2 - 1))
+
+
+# Percentiles that carry a tone curve, closest points on it and its steepest rise.
+CURVE_TAPS, LEAST_GAP, STEEPEST = (1, 3, 6, 10, 14, 17, 19), 14, 3.0
+# Share of a band that counts as present, its gains, and limits of a restrained mixer.
+PRESENT, LUMINANCE_GAIN, HUE_DEGREES, RESTRAINED_MIX = 0.02, 320, 22, {"sat": 32.0, "lum": 26.0, "hue": 20.0}
+# Shift of a full wheel, and the least shift that is set.
+WHEEL, LEAST_TINT = 0.06, 0.004
+# How far each kind of rendering can be trusted.
+FIDELITY = {"export": 1.0, "native": 0.9, "macos": 0.8, "preview": 0.55}
+
+
+def tone_curve(own: Column, reference: Column) -> Column:
+    """Points (x, y) of 0..255 that lead one percentile curve to another; rising, spaced, never steep.
+
+    Percentiles that are missing or too close to the last point or to an end are left out.
+    """
+    byte = lambda level: colour.half_up(colour.encode(F.pow(level, F.lit(3.0))) * 255, 0)
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    taps = F.array(*[at(byte(F.get(own, F.lit(i))), byte(F.get(reference, F.lit(i)))) for i in CURVE_TAPS])
+
+    def step(s: Column, p: Column) -> Column:
+        last = F.element_at(s["points"], -1)
+        high = F.greatest(s["high"], p["y"])
+        y = F.least(high, last["y"] + STEEPEST * (p["x"] - last["x"]))
+        fits = (p["x"] > 2) & (p["x"] - last["x"] >= LEAST_GAP) & (p["x"] <= 255 - LEAST_GAP) & p["y"].isNotNull()
+        return F.when(fits, F.struct(F.concat(s["points"], F.array(at(p["x"], y))).alias("points"), high.alias("high"))).otherwise(s)
+
+    start = F.struct(F.array(at(F.lit(0), F.lit(0))).alias("points"), F.lit(0.0).alias("high"))
+    return F.aggregate(taps, start, step, lambda s: F.concat(s["points"], F.array(at(F.lit(255), F.lit(255)))))
+
+
+def curve_level(points: Column, x: float) -> Column:
+    """The level that a curve of at least two points gives at x, linearly between points."""
+    inner = F.slice(points, F.lit(2), F.size(points) - 2)
+    i = F.size(F.filter(inner, lambda p: p["x"] < x))
+    a, b = F.get(points, i), F.get(points, i + 1)
+    share = F.when(b["x"] == a["x"], 0.0).otherwise((F.lit(float(x)) - a["x"]) / (b["x"] - a["x"]))
+    return a["y"] + (b["y"] - a["y"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+
+
+def softened(points: Column, pull: float) -> Column:
+    """A curve drawn towards the straight line by pull."""
+    return F.transform(points, lambda p: F.struct(p["x"].alias("x"), (p["y"] + (p["x"] - p["y"]) * pull).alias("y")))
+
+
+def curve_words(points: Column) -> dict[str, Column]:
+    """What a curve amounts to on five tone sliders."""
+    off = lambda x: (curve_level(points, x) - x) / 2.55 * 1.6
+    slope = (curve_level(points, 180) - curve_level(points, 76)) / (180 - 76)
+    sliders = {"contrast": (slope - 1) * 100, "highlights": off(200), "shadows": off(56), "whites": off(240), "blacks": off(16)}
+    return {name: colour.half_up(v, 0) for name, v in sliders.items()}
+
+
+def mixer(bands: DataFrame, image: str, reference: int, restrained: bool = False) -> DataFrame:
+    """(image, band, sat, lum, hue): the mixer's move of each colour band to the reference image's.
+
+    bands has image, band, share, chroma, L and hue. A band that the reference hardly has is
+    drained, the more the wider it is; one that the image hardly has is left alone. The
+    reference's few rows are joined by band.
+    """
+    damp = RESTRAINED if restrained else 1.0
+    most = RESTRAINED_MIX if restrained else dict.fromkeys(RESTRAINED_MIX, 100.0)
+    told = bands.where(F.col(image) == reference).select("band", F.col("share").alias("rs"), F.col("chroma").alias("rc"), F.col("L").alias("rl"), F.col("hue").alias("rh"))
+    both = bands.where((F.col(image) != reference) & (F.col("share") >= PRESENT)).join(told, "band", "left")
+    known = F.coalesce(F.col("rs") >= PRESENT, F.lit(False))
+    ratio = F.when(F.col("chroma") > 1e-5, F.col("rc") / F.col("chroma")).otherwise(1.0)
+    gone = -60 * F.least(F.lit(1.0), F.col("share") / 0.25)
+    moves = {
+        "sat": F.when(known, (ratio - 1) * 100).otherwise(gone),
+        "lum": F.when(known, (F.col("rl") - F.col("L")) * LUMINANCE_GAIN).otherwise(0.0),
+        "hue": F.when(known, colour.signed_delta(F.col("rh"), F.col("hue")) / HUE_DEGREES * 100).otherwise(0.0),
+    }
+    limited = {n: F.greatest(F.lit(-most[n]), F.least(F.lit(most[n]), v * damp)) for n, v in moves.items()}
+    return both.select(image, "band", *[v.alias(n) for n, v in limited.items()])
+
+
+def zone_tints(zones: DataFrame, image: str, reference: int) -> DataFrame:
+    """(image, zone, da, db, sat): the shift of each tonal zone to the reference's, as far as a full wheel reaches.
+
+    zones has image, zone, a and b; shifts too small to see are 0.
+    """
+    told = zones.where(F.col(image) == reference).select("zone", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    both = zones.where(F.col(image) != reference).join(told, "zone").withColumns({"da": F.col("ra") - F.col("a"), "db": F.col("rb") - F.col("b")})
+    both = both.withColumn("far", F.hypot("da", "db")).withColumn("sat", F.when(F.col("far") < LEAST_TINT, 0.0).otherwise(F.least(F.lit(100.0), F.col("far") / WHEEL * 100)))
+    reach = F.when(F.col("far") > 0, F.col("sat") / 100 * WHEEL / F.col("far")).otherwise(0.0)
+    scaled = F.least(F.lit(1.0), reach)
+    return both.select(image, "zone", (F.col("da") * scaled).alias("da"), (F.col("db") * scaled).alias("db"), "sat")
+
+
+def reachability(L: Column, a: Column, b: Column, to_L: Column, to_a: Column, to_b: Column) -> Column:
+    """1 where a grade has closed the gap to the reference, 0 where it is plain to see; unknown means count as 0."""
+    gap = F.abs(to_L - L) / 0.1 + F.hypot(to_a - a, to_b - b) / 0.06
+    return F.coalesce(_unit(1 - gap / 2), F.lit(0.0))
+
+
+def confidence(reference: Column, own: Column, shared: Column, textures: Column) -> Column:
+    """Trust in a match from both kinds of rendering, the number of shared regions and whether textures compare."""
+    of = lambda kind: F.element_at(F.create_map(*[F.lit(x) for kv in FIDELITY.items() for x in kv]), kind)
+    cover = F.least(F.lit(1.0), shared / 6)
+    return _unit(F.least(of(reference), of(own)) * (0.65 + 0.35 * cover) * F.when(textures, 1.0).otherwise(0.9))
+
+
+def extremes(controls: list[tuple[str, Column, float]]) -> Column:
+    """Names of the controls that stand at or beyond their limit on either side, in the order given."""
+    return F.array_compact(F.array(*[F.when(F.abs(v) >= limit, F.lit(name)) for name, v, limit in controls]))
+
+
+def _unit(x: Column) -> Column:
+    """x within 0 and 1; null stays null."""
+    return F.when(x < 0, 0.0).when(x > 1, 1.0).otherwise(x)

@@ -150,3 +150,31 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
         return F.when(spans & (x < at), 1).otherwise(0)
 
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), edge), F.lit(0), lambda s, v: s + v) % 2 == 1
+
+
+def profile_path(samples: DataFrame, key: list[str], at: str, ground: str, line: str, length: Column, width: int, height: int, padding: float = 0.08) -> DataFrame:
+    """(key, terrain, sight, top, bottom): a profile drawn to scale as two path strings.
+
+    ground holds the height with the earth's bulge, null where unknown, line the straight
+    line's height, at the distance along it; unknown ground isn't drawn. A key is one chart,
+    whose points make one string; a flat one is given a metre of range.
+    """
+    two = lambda v: F.format_string("%.2f", F.floor(v * 100 + 0.5) / 100)
+    known = F.when(F.col(ground).isNotNull(), F.col(line))
+    made = samples.groupBy(*key).agg(
+        F.least(F.min(ground), F.min(known)).alias("lo"), F.greatest(F.max(ground), F.max(known)).alias("hi"), F.any_value(length).alias("length"),
+        F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("d"), F.col(ground).cast("double").alias("g"), F.col(line).cast("double").alias("l")))).alias("p"),
+    )
+    flat, middle = F.col("hi") - F.col("lo") < 1, (F.col("hi") + F.col("lo")) / 2
+    made = made.where("lo IS NOT NULL AND length > 0").withColumns({"lo": F.when(flat, middle - 0.5).otherwise(F.col("lo")), "hi": F.when(flat, middle + 0.5).otherwise(F.col("hi"))})
+    pad = (F.col("hi") - F.col("lo")) * padding
+    made = made.withColumns({"top": F.col("hi") + pad, "bottom": F.col("lo") - pad, "q": F.filter("p", lambda s: s["g"].isNotNull())})
+    x = lambda d: two(d / F.col("length") * width)
+    y = lambda m: two(height - (m - F.col("bottom")) / (F.col("top") - F.col("bottom")) * height)
+    dot = lambda d, m: F.concat(x(d), F.lit(" "), y(m))
+    end = lambda s, i: F.element_at(s, i)
+    ground_path = F.concat(
+        F.lit("M"), F.array_join(F.transform("q", lambda s: dot(s["d"], s["g"])), "L"), F.lit("L"), x(end(F.col("q"), -1)["d"]), F.lit(f" {height}L"), x(end(F.col("q"), 1)["d"]), F.lit(f" {height}Z")
+    )
+    sight = F.concat(F.lit("M"), dot(end(F.col("p"), 1)["d"], end(F.col("p"), 1)["l"]), F.lit("L"), dot(end(F.col("p"), -1)["d"], end(F.col("p"), -1)["l"]))
+    return made.select(*key, ground_path.alias("terrain"), sight.alias("sight"), "top", "bottom")

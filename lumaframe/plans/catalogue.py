@@ -1,6 +1,6 @@
 """Registry of the queries over the driver tables and their SQL oracles."""
 
-from . import archive, light, more, records  # noqa: F401
+from . import archive, light, more, records, wording  # noqa: F401
 
 # the modules share one registry
 QUERIES = dict(archive.QUERIES)

@@ -124,10 +124,15 @@ def peak(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("user_id").agg(best.alias("b")).select("user_id", "b.event_id", "b.value")
 
 
-@query()
+@query(f"""WITH {E_SQL}, g AS (SELECT user_id, sec, max(value) - 50 AS v FROM e GROUP BY ALL),
+l AS (SELECT *, lag(v) OVER w AS pv, lag(sec) OVER w AS ps, lead(v) OVER w AS nv, lead(sec) OVER w AS ns FROM g WINDOW w AS (PARTITION BY user_id ORDER BY sec)),
+s AS (SELECT user_id, coalesce(ps + (sec - ps)*pv/(pv - v), sec) AS s, row_number() OVER (PARTITION BY user_id ORDER BY sec) AS k FROM l WHERE v > 0 AND (pv IS NULL OR pv <= 0)),
+t AS (SELECT user_id, coalesce(sec + (ns - sec)*v/(v - nv), sec) AS t, row_number() OVER (PARTITION BY user_id ORDER BY sec) AS k FROM l WHERE v > 0 AND (nv IS NULL OR nv <= 0))
+SELECT user_id, round(s, 2) AS "start", round(t, 2) AS "end" FROM s JOIN t USING (user_id, k) WHERE t > s""")
 def positive_intervals(spark, sf_dir):
     rows = samples(spark, sf_dir).groupBy("user_id", "at").agg((F.max("value") - 50).alias("gap"))
-    return timeline.positive_intervals(rows, ["user_id"], "at", "gap")
+    found = timeline.positive_intervals(rows, ["user_id"], "at", "gap")
+    return found.select("user_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
 
 
 SPOT = "c_custkey%160 - 80 + (c_custkey*37%1000)/1000e0"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaframe.functions.wording import counted
+
 
 def sequence_json(rows: DataFrame, group: str, rank: str, pos: str, fields: list[str]) -> DataFrame:
     """(group, body): each group's rows in order of pos as JSON, groups in order of rank.
@@ -46,3 +48,17 @@ def aligned(rows: DataFrame, group: str, order: str, left: str, right: str) -> D
     lines = rows.join(width, group).select(group, order, F.concat(F.rpad(F.col(left), F.col("__w") + 2, F.lit(" ")), F.col(right)).alias("__t"))
     made = lines.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "__t"))).alias("__l"))
     return made.select(group, F.array_join(F.transform("__l", lambda x: x["__t"]), "\n").alias("report"))
+
+
+def listed(rows: DataFrame, group: str, name: str, heading: str, one: str, shown: int = 12) -> DataFrame:
+    """(group, report): a heading with the count, the first names in order, and how many more there are.
+
+    Counts are aggregated, and only the names that are shown are collected.
+    """
+    first = Window.partitionBy(group).orderBy(name)
+    counts = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    top = rows.select(group, name).withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= shown)
+    names = top.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__i", F.concat(F.lit("  "), F.col(name).cast("string")).alias("t")))).alias("__l"))
+    more = F.when(F.col("__n") > shown, F.concat(F.lit("  …and "), (F.col("__n") - shown).cast("string"), F.lit(" more")))
+    head = F.concat(F.lit(f"{heading} "), counted(F.col("__n"), one), F.lit(":"))
+    return counts.join(names, group).select(group, F.concat_ws("\n", head, F.array_join(F.transform("__l", lambda x: x["t"]), "\n"), more).alias("report"))
