@@ -96,7 +96,7 @@ def chapter_summary(spark, sf_dir):
 @query()
 def chapter_fold(spark, sf_dir):
     """Where chapters end up once those of one or two photos have joined a neighbour."""
-    chapters = archive.split_chapters(photos(spark, sf_dir).where("id % 13 = 0"), "base").select("chapter", "L", "a", F.col("b_").alias("b"))
+    chapters = archive.split_chapters(photos(spark, sf_dir), "base").select("chapter", "L", "a", F.col("b_").alias("b"))
     return archive.folded_chapters(chapters)
 
 
@@ -442,6 +442,14 @@ def stamp(spark, sf_dir):
     return rows.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("chapters"), F.array_join(ids, ",").alias("ids"))
 
 
+@query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part")
+def stamp_all(spark, sf_dir):
+    """stamp with every id."""
+    rows = table(spark, sf_dir, "part")
+    ids = F.array_sort(F.collect_list("p_partkey"))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("chapters"), F.array_join(ids, ",").alias("ids"))
+
+
 @query("""WITH i AS (SELECT p_partkey AS id, 400 + p_partkey*7%3000 AS w, 400 + p_partkey*11%2000 AS h FROM part), r AS (SELECT *, w - 2*floor(w*0.08)::INT - 192 AS sx, h - 2*floor(h*0.08)::INT - 192 AS sy FROM i)
 SELECT id, gx::INT AS gx, gy::INT AS gy, ((floor(w*0.08)::INT + floor(sx*gx/3.0)::INT)>>3)<<3 AS "left", ((floor(h*0.08)::INT + floor(sy*gy/2.0)::INT)>>3)<<3 AS top FROM r, range(4) a(gx), range(3) b(gy) WHERE sx > 0 AND sy > 0""".replace('<<3 AS "left"', '<<3)::INT AS "left"').replace("((floor(w", "(((floor(w").replace("<<3 AS top", "<<3)::INT AS top").replace("((floor(h", "(((floor(h"))
 def texture_grid(spark, sf_dir):

@@ -95,6 +95,16 @@ def interval_intersect(spark, sf_dir):
     return timeline.intersections(a, b, ["k"], 600).drop("k")
 
 
+@query(f"""WITH {E_SQL}, a AS (SELECT sec AS s, sec + floor(value*3)::BIGINT AS t FROM e WHERE event_id%2 = 0), b AS (SELECT sec + 30 AS s, sec + 30 + floor(value*5)::BIGINT AS t FROM e WHERE event_id%2 <> 0)
+SELECT greatest(a.s, b.s) AS "start", least(a.t, b.t) AS "end" FROM a JOIN b ON greatest(a.s, b.s) < least(a.t, b.t)""")
+def interval_intersect_all(spark, sf_dir):
+    """interval_intersect over every event, dealt to the two sides by the parity of its id."""
+    rows = samples(spark, sf_dir).withColumn("k", F.lit(0))
+    a = rows.where("event_id % 2 = 0").select("k", F.col("at").alias("start"), (F.col("at") + F.floor(F.col("value") * 3)).alias("end"))
+    b = rows.where("event_id % 2 <> 0").select("k", (F.col("at") + 30).alias("start"), (F.col("at") + 30 + F.floor(F.col("value") * 5)).alias("end"))
+    return timeline.intersections(a, b, ["k"], 600).drop("k")
+
+
 GAP_SQL = f"{E_SQL}, g AS (SELECT *, value - 50 AS gap, lag(value - 50) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS before FROM e)"
 
 
@@ -254,10 +264,16 @@ DAYS_SQL = f"(SELECT * FROM {TIMES_SQL} WHERE id%10 = 1)"
 
 @query(f"SELECT {', '.join(DAY_OUT)} FROM {sky.DAY.sql(DAYS_SQL)}")
 def sun_times(spark, sf_dir):
-    """Noon, rise and set of one order in ten (the derivation of an instant, not a cap)."""
+    """Noon, rise and set of one order in ten; sun_times_all has every order."""
     return sky.DAY.on(instants(spark, sf_dir).where("id % 10 = 1")).selectExpr(*DAY_OUT)
 
 
+@query(f"SELECT {', '.join(DAY_OUT)} FROM {sky.DAY.sql(TIMES_SQL)}")
+def sun_times_all(spark, sf_dir):
+    """Noon, rise and set of every order."""
+    return sky.DAY.on(instants(spark, sf_dir)).selectExpr(*DAY_OUT)
+
+
 CLOUD_SQL = """(SELECT event_id AS id, CASE WHEN event_id%17 = 0 THEN NULL ELSE (event_id*7%100)::INT END AS code, CASE WHEN event_id%13 = 0 THEN NULL ELSE value END AS cloud, CASE WHEN event_id%5 = 0 THEN NULL ELSE event_id*3%101 + 0e0 END AS low,
 CASE WHEN event_id%7 = 0 THEN NULL ELSE event_id*11%101 + 0e0 END AS mid, CASE WHEN event_id%11 = 0 THEN NULL ELSE event_id*17%101 + 0e0 END AS high, event_id%70 - 20e0 AS sun FROM events)"""
 CLOUD_OUT = ["id", "condition", "round(blocking, 6) AS blocking", "quality", "round(direct, 6) AS direct", "dominant"]
@@ -409,20 +425,30 @@ def terrain_shadow(spark, sf_dir):
 @query("SELECT p_partkey AS id, round(least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)), 6) AS length, 6 AS corners FROM part WHERE p_partkey%4 <> 0")
 def cast_shadow(spark, sf_dir):
     """Shadows of square footprints under a sun that is off their diagonals."""
+    return _shadows(table(spark, sf_dir, "part").where("p_partkey % 4 <> 0"))
+
+
+@query("SELECT p_partkey AS id, round(least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)), 6) AS length, 6 AS corners FROM part")
+def cast_shadow_all(spark, sf_dir):
+    """cast_shadow of every part."""
+    return _shadows(table(spark, sf_dir, "part"))
+
+
+def _shadows(part):
     p = F.col("p_partkey")
     corner = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
-    rows = table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select(p.alias("id"), F.array(corner(0, 0), corner(8, 0), corner(8, 8), corner(0, 8)).alias("ring"), (F.col("p_size") + 2).cast("double").alias("height"))
+    rows = part.select(p.alias("id"), F.array(corner(0, 0), corner(8, 0), corner(8, 8), corner(0, 8)).alias("ring"), (F.col("p_size") + 2).cast("double").alias("height"))
     found = terrain.cast_shadows(rows, F.col("id") % 4 * 90.0 + 33, (F.col("id") % 40 + 1).cast("double"))
     return found.select("id", F.round("length", 6).alias("length"), F.size("shadow").alias("corners"))
 
 
 @query()
 def sun_alignments(spark, sf_dir):
-    """When the sun stands in a given bearing from each supplier over 30 days, to a sixteenth of a second."""
+    """When the sun stands in a given bearing from each supplier over a year, to a sixteenth of a second."""
     s = F.col("s_suppkey")
     spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s % 100 - 50.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"), (s * 31 % 360).cast("double").alias("bearing"))
     start = 1_772_323_200
-    tracked = spots.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + 30 * 86_400), F.lit(240))))
+    tracked = spots.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + 365 * 86_400), F.lit(240))))
     sampled = sky.SUN.on(tracked).select("spot", "lat", "lon", "bearing", "t", colour.signed_delta(F.col("sun_azimuth"), F.col("bearing")).alias("gap"))
     found = timeline.crossings(sampled, ["spot"], ["t"], "gap", wrap=True)
     brackets = found.select("spot", "lat", "lon", "bearing", (F.col("t") - 240.0).alias("lo"), F.col("t").cast("double").alias("hi"), "rising")
@@ -488,6 +514,12 @@ def golden_hours(spark, sf_dir):
     return sky.GOLDEN.on(instants(spark, sf_dir).where("id % 10 = 1")).selectExpr(*BAND_OUT)
 
 
+@query(f"SELECT {', '.join(BAND_OUT)} FROM {sky.GOLDEN.sql(TIMES_SQL)}")
+def golden_hours_all(spark, sf_dir):
+    """golden_hours of every order."""
+    return sky.GOLDEN.on(instants(spark, sf_dir)).selectExpr(*BAND_OUT)
+
+
 @query()
 def core_nights(spark, sf_dir):
     """Stretches of a night that are dark, without moon, and with the galactic core 10 degrees up, for each supplier."""

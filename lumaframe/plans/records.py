@@ -94,9 +94,9 @@ def month_grid(spark, sf_dir):
 
 
 def plan_spots(spark, sf_dir):
-    """(plan, pos, lat, lon, best, windows): customers of a nation as spots of a day."""
+    """(plan, pos, lat, lon, best, windows): all customers of a nation as spots of a day."""
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(
+    rows = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("plan"), k.cast("int").alias("pos"), (F.lit(55.9) + k % 13 / 100).alias("lat"), (F.lit(-3.2) + k % 17 / 100).alias("lon"), (F.lit(400) + k * 37 % 500).cast("int").alias("best"),
         F.array(F.struct((F.lit(380) + k * 31 % 300).cast("int").alias("start"), (F.lit(380) + k * 31 % 300 + k * 7 % 90).cast("int").alias("end")), F.struct((F.lit(800) + k % 100).cast("int").alias("start"), (F.lit(860) + k % 200).cast("int").alias("end"))).alias("windows"),
     )
@@ -105,18 +105,36 @@ def plan_spots(spark, sf_dir):
 
 @query()
 def day_plan(spark, sf_dir):
-    return itinerary.day_plans(plan_spots(spark, sf_dir))
+    """Plans of MOST customers with consecutive keys, so that none is left out."""
+    return itinerary.day_plans(plan_spots(spark, sf_dir).withColumn("plan", F.floor(F.col("pos") / itinerary.MOST)))
 
 
 @query("""WITH s AS (SELECT c_nationkey AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best FROM customer WHERE c_custkey%4 = 0)
 SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20""")
 def plan_conflicts(spark, sf_dir):
+    return itinerary.conflicts(plan_spots(spark, sf_dir).where("pos % 4 = 0"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best FROM customer)
+SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20""")
+def plan_conflicts_all(spark, sf_dir):
+    """plan_conflicts of every customer."""
     return itinerary.conflicts(plan_spots(spark, sf_dir))
 
 
 @query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part WHERE p_partkey%10 = 3 GROUP BY 1""")
 def sequence_export(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey % 10 = 3").withColumn("brand", F.col("p_brand")).withColumn("pos", F.col("p_partkey"))
+    return _sequences(table(spark, sf_dir, "part").where("p_partkey % 10 = 3"))
+
+
+@query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part GROUP BY 1""")
+def sequence_export_all(spark, sf_dir):
+    """sequence_export of every part."""
+    return _sequences(table(spark, sf_dir, "part"))
+
+
+def _sequences(part):
+    rows = part.withColumn("brand", F.col("p_brand")).withColumn("pos", F.col("p_partkey"))
     return sinks.sequence_json(rows, "brand", "p_brand", "pos", ["p_partkey", "p_size"]).select("brand", "body")
 
 
