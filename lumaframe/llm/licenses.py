@@ -1,6 +1,7 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A block is a sentence or line of a text. It matches a template when it holds at least
+A block is a sentence of a text, over as many lines as it is wrapped; a blank line ends it
+too, an abbreviation or a number after the stop doesn't. It matches a template when it holds at least
 THRESHOLD of the template's distinct words. Template words are ordered by how many
 documents of the whole table hold them, rarest first. A template of n words that needs
 o of them must share one of its n - o + 1 rarest (prefix filter); the block must hold o
@@ -37,7 +38,8 @@ TEMPLATES = {
     "reserved-notice": "all rights reserved",
 }
 THRESHOLD = 0.9
-BLOCK_END = r"\n|(?<=[.!?])[ \t\r]"
+_NO_STOP = "".join(f"(?<!{b}{w}\\.)" for w in ("[a-z]", "no", "co", "al", "ver", "vol", "inc", "ltd", "etc", "vers", "corp") for b in ("^", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"))
+BLOCK_END = r"\n[ \t\r]*\n|(?<=[.!?])" + _NO_STOP + r"(?![ \t\r\n]+[0-9])[ \t\r\n]"
 
 
 def _low(text: Column) -> Column:

@@ -55,3 +55,20 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_wrapped_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at x."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    texts = {
+        mpl: "mpl-2.0",
+        mpl.replace("v. 2.0", "v.\r\n * 2.0").replace("the terms", "the\n * terms"): "mpl-2.0",
+        bsd: "bsd",
+        "x. " + bsd.replace(" and use", "\n# and use").replace(" are", "\r\n# are"): "bsd",
+        'Licensed under the Apache License, Ver. 1.\nLicensed under the Apache License, Version\n2.0 (the "License");': "apache-2.0",
+        "Released under the\nMIT license.": "mit",
+        "Released under the\n \nMIT license.": "",
+        "Released under the. MIT license": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == dict(enumerate(texts.values()))
