@@ -49,7 +49,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     n = len(words)
     joined = np.zeros(max(0, n - size + 1), np.uint64)
     for k in range(size):
-        joined += words[k : n - size + 1 + k] * _TURN[k]
+        joined += words[k : k + len(joined)] * _TURN[k]
     joined = mix(joined)
     found = []
     for a, b in zip(splits[:-1].tolist(), splits[1:].tolist(), strict=True):

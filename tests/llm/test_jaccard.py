@@ -103,3 +103,13 @@ def test_tree_join_is_exact(sets, percent):
         x, y = sorted((find(root, a), find(root, b)))
         root[y] = x
     assert [find(root, k) for k in root] == [find(want, k) for k in range(len(own))]
+
+
+def test_single_short_texts():
+    words = [b"a", b"bc", b"D", b"ef", b"g"]
+    for size in (4, 5):
+        long = shingles.shingle_sets([b" ".join(words[:n]) for n in range(1, 6)] + [b"w " * 9], size)
+        for n in range(1, 6):
+            alone = shingles.shingle_sets([b" ".join(words[:n])], size)
+            assert len(alone) == 1 and len(alone[0]) == max(1, n - size + 1)
+            assert alone[0].tolist() == long[n - 1].tolist()
