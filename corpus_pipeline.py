@@ -32,10 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group that links of 0.8 on five-word shingles join."""
-    kept = jaccard.classes(docs, size=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return jaccard.one_row_each(docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi"), "doc_id")
+    """One document, of the smallest doc_id, of each group that links of 0.8 on five-word shingles join; all without words."""
+    return jaccard.one_of_each_class(docs, size=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -117,9 +117,10 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
     return links
 
 
-def _profiles(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, set, bands) of every row."""
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _profiles(df: DataFrame, size: int, key: str, text: str, own: Column | None = None) -> DataFrame:
+    """(key, own, n_shingles, set, bands) of every row; own is a bigint that passes through."""
+    own = F.lit(0) if own is None else own
+    rows = df.select(_coded(key).alias("key"), own.cast("long").alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(BANDS, ROWS)
@@ -128,14 +129,19 @@ def _profiles(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
+                        part.column("own"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()),
                         pa.array([bands.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["key", "n_shingles", "set", "bands"],
+                    ["key", "own", "n_shingles", "set", "bands"],
                 )
 
-    return rows.mapInArrow(run, "key bigint, n_shingles bigint, set binary, bands array<bigint>")
+    return rows.mapInArrow(run, "key bigint, own bigint, n_shingles bigint, set binary, bands array<bigint>")
+
+
+def _coded(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
 
 
 def _by_size(batch, column: str, size: int):
@@ -162,14 +168,7 @@ def classes(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id"
     """
     small_batches(df.sparkSession)
     rows = written(_profiles(df, size, key, text), "profiles")
-    nodes = rows.where("n_shingles > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    keys = nodes.select("set", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least != most")
-    near = keys.join(shared.select("band", "least"), "band").where("set != least").select("set", "least").distinct()
-    groups = components(near, "set", "least")
-    found = written(_links(df, nodes, groups, size, percent, key, text), "links")
-    joined = components(found, "a", "b")
+    nodes, joined = _joined(df, rows, size, percent, key, text)
     smallest = joined.join(nodes.select(F.col("set").alias("id"), "key"), "id").groupBy("component").agg(F.min("key").alias("first"))
     named = joined.join(smallest, "component").select(F.col("id").alias("set"), "first")
     alone = nodes.select("set", F.col("key").alias("own")).join(named, "set", "left").select("set", F.coalesce("first", "own").alias("component_id"))
@@ -180,11 +179,36 @@ def classes(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id"
     )
 
 
-def one_row_each(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The first row of each key, in the order of a hash of the whole row; columns are those of df."""
+def _joined(df: DataFrame, rows: DataFrame, size: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets of profiles, and (id, component) of those that links join."""
+    nodes = rows.where("n_shingles > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes, "nodes")
+    keys = nodes.select("set", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least != most")
+    near = keys.join(shared.select("band", "least"), "band").where("set != least").select("set", "least").distinct()
+    groups = components(near, "set", "least")
+    found = written(_links(df, nodes, groups, size, percent, key, text), "links")
+    return nodes, components(found, "a", "b")
+
+
+def one_of_each_class(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of df for each class of texts that links join: of the smallest key (null first), then of the smallest hash of the row.
+
+    Classes are those of the texts, whatever their keys: different texts under one key, or
+    under none, are told apart. Rows whose text has no words link with nothing, and all stay.
+    """
+    small_batches(df.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    first = Window.partitionBy("key").orderBy(F.xxhash64("row"))
-    return df.select(F.col(key).alias("key"), row.alias("row")).withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    held = df.where(worded)
+    rows = written(_profiles(held, size, key, text, F.xxhash64(row)), "profiles")
+    _, joined = _joined(held, rows, size, percent, key, text)
+    first = F.min(F.struct("key", "own")).alias("first")
+    sets = rows.groupBy("set").agg(first).join(joined.select(F.col("id").alias("set"), "component"), "set", "left")
+    kept = sets.groupBy(F.coalesce("component", "set").alias("class")).agg(F.min("first").alias("first")).select("first.*")
+    found = held.select(_coded(key).alias("key"), F.xxhash64(row).alias("own"), row.alias("row")).join(kept, ["key", "own"], "left_semi")
+    once = Window.partitionBy("key", "own").orderBy("own")  # equal rows have the same hash
+    return found.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*").unionByName(df.where(~worded))
 
 
 def _links(df: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:

@@ -81,3 +81,12 @@ def test_run_and_edges(spark, tmp_path):
     assert cp.STAGES[-1][1](spark, docs, "").count() == docs.count() > 0
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_near_duplicates_by_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(5) + " more"), (7, text(6)), (7, text(6)), (8, text(1)), (9, ""), (9, None), (9, ""), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit("x")).coalesce(1)
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()]
+    want = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (7, text(6)), (9, ""), (9, None), (9, ""), (None, " ")]
+    assert sorted(got, key=str) == sorted(want, key=str)
