@@ -8,7 +8,7 @@ keeps it in range), and the value with the new number takes its place: same leng
 separators, valid check digits. Equal values have equal pseudonyms in every document, so
 records stay linked; without the key they can't be turned back, with it they can.
 
-Row-local: texts without a digit, an @ or an assignment never leave the JVM.
+Row-local: texts without a digit, an @, an assignment or AKIA never leave the JVM.
 """
 
 from __future__ import annotations
@@ -211,16 +211,24 @@ _MAKE = {name: make for name, _, make in KINDS}
 def replace(text: str, permutation: Permutation, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms for valid values, and how many of each kind; back turns them round."""
     count: dict[str, int] = {}
-
-    def new(found: re.Match) -> str:
-        kind = found.lastgroup
-        made = _MAKE[kind](found[0], lambda size, value: permutation(kind, size, value, back))
-        if made is None:
-            return found[0]
-        count[kind] = count.get(kind, 0) + 1
-        return made
-
-    return _FIND.sub(new, text), count
+    parts, done = [], 0
+    while found := _FIND.search(text, done):
+        kind, end = found.lastgroup, found.end()
+        for value in _endings(kind, found[0]):
+            made = _MAKE[kind](value, lambda size, number: permutation(kind, size, number, back))  # noqa: B023
+            if made is not None:
+                count[kind] = count.get(kind, 0) + 1
+                end = found.start() + len(value)
+                break
+        parts += [text[done : found.start()], found[0] if made is None else made]
+        done = end
+    return "".join(parts) + text[done:], count
+
+
+def _endings(kind: str, value: str) -> list[str]:
+    """What a match may stand for, longest first: an IBAN's last groups may be words that follow it."""
+    cuts = [i for i, c in enumerate(value) if c == " "] if kind == "iban" else []
+    return [value, *[value[:i] for i in reversed(cuts)]]
 
 
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("kinds", T.StringType())])
@@ -250,7 +258,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
 
     keep = [c for c in df.columns if c not in ("n_pii", "pii_kinds")]
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    may = F.when(F.col(text).rlike("[0-9@=:]"), F.col(text))
+    may = F.when(F.col(text).rlike("[0-9@=:]|AKIA"), F.col(text))
     rows = df.select(row.alias("row"), F.col(text).alias("old"), run(may).alias("new"))
     columns = [F.coalesce("new.text", "old").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in keep]
     return rows.select(*columns, F.col("new.n").alias("n_pii"), F.col("new.kinds").alias("pii_kinds"))
