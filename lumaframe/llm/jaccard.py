@@ -1,17 +1,24 @@
 """N-gram Jaccard join with signature trees.
 
-Documents with equal shingle sets are one node, named by a digest of the set. Nodes
-that may be similar are brought together by band keys (min-hashes of the set): a link of
-similarity s is missed with probability (1 - s**ROWS) ** BANDS, 5e-9 at 0.85 and 6e-7 at
-0.8, and far less above. Inside such a candidate group the join is exact: a tree over
-the sets holds OR-combined token bitmaps, size ranges and bitmap slack at each node, a
-dual traversal drops node pairs whose largest possible overlap is below what the
-smallest sizes need, and pairs that reach the leaves are compared token by token. Node
-pairs that are already one component are skipped, so thousands of copies of a text cost
-about one comparison each.
-
-Candidate groups above BLOCK_SHINGLES are dealt out as pairs of blocks to different
-tasks; small ones share tasks. Texts are read twice and never leave the executors.
+Documents with equal shingle sets are one node, named by its smallest row and a digest of
+the set. Nodes that may be similar meet where they share a band key (min-hashes of the
+set): a link of similarity s is missed with probability (1 - s**ROWS) ** BANDS, 9e-7 at
+0.8 and 1e-9 at 0.85, and far less above; sets of similarity 0.3 share a key in one of
+twelve cases. Where nodes meet the join is exact: a tree over the sets holds OR-combined
+token bitmaps, size ranges and bitmap slack at each node, a dual traversal drops node
+pairs whose largest possible overlap is below what the smallest sizes need, and pairs
+that reach the leaves are compared token by token. Node pairs that are already one
+component are skipped, so thousands of copies of a text cost about one comparison each.
+
+Only verified links form components. The join runs twice: over the groups of the first
+FIRST bands, then over those groups of all bands that still hold several components,
+which after the first run are few. Groups of equal members are taken once. A group above
+TASK_SHINGLES / 4 is cut into blocks. The first run joins each block and the group's
+smallest set, so a large group of near copies becomes one component at linear cost; the
+second joins what lies outside the group's largest component with every block.
+
+Texts that share a key with another move once to a table of their own, and from there to
+the groups. They never leave the executors.
 """
 
 from __future__ import annotations
@@ -23,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import beside, components
 from .shared import small_batches, written
 from .shingles import Bands, digest, shingle_sets
 
-BANDS, ROWS = 20, 3
-#: Shingles of a block of a large candidate group, and of a task of small ones; bytes of text scored at once.
+BANDS, ROWS, FIRST = 35, 5, 6
+#: Shingles of a block of a large group, and of a task of small ones; bytes of text scored at once.
 BLOCK_SHINGLES, TASK_SHINGLES, BATCH_BYTES = 150_000, 1_000_000, 2_000_000
 FAN = 8
 NO_KEY = -(2**63)
@@ -70,15 +77,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Linked pairs that connect whatever links connect; with side, links between the two sides count only."""
+def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, parts: list | None = None) -> list[tuple[int, int]]:
+    """Linked pairs that connect whatever links connect.
+
+    With side, links between the two sides count only; sets of equal parts are connected from the start.
+    """
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][0] if len(sets[i]) else 0))
     sets = [sets[i] for i in order]
     side = None if side is None else np.asarray(side)[order]
     longest = max(map(len, sets), default=1)
     tree = Tree(sets, max(64, 1 << (2 * longest - 1).bit_length()))
-    root = np.arange(len(sets))
-    links = []
+    root, heads = list(range(len(sets))), {}
+    for i, own in enumerate(order if parts else ()):
+        root[i] = heads.setdefault(parts[own], i)
+    links, joined = [], bool(parts)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -100,8 +112,9 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
             if a != b and find(a) != find(b) and (side is None or side[a] != side[b]) and similar(sets[a], sets[b], percent):
                 root[find(a)] = find(b)
                 links.append((order[a], order[b]))
+                joined = True
             continue
-        if (level < top or len(links)) and one(level, a, b):
+        if joined and one(level, a, b):
             continue
         below, n = level - 1, len(tree.levels[level - 1][0])
         left, right = np.arange(a * FAN, min(n, (a + 1) * FAN)), np.arange(b * FAN, min(n, (b + 1) * FAN))
@@ -117,10 +130,9 @@ def forest(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
     return links
 
 
-def _profiles(df: DataFrame, size: int, key: str, text: str, own: Column | None = None) -> DataFrame:
+def _profiles(df: DataFrame, size: int, key: str, text: str, own: Column) -> DataFrame:
     """(key, own, n_shingles, set, bands) of every row; own is a bigint that passes through."""
-    own = F.lit(0) if own is None else own
-    rows = df.select(_coded(key).alias("key"), own.cast("long").alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(_coded(key).alias("key"), own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(BANDS, ROWS)
@@ -144,6 +156,16 @@ def _coded(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
 
 
+def _ordered(number: Column) -> Column:
+    """Eight bytes that stand in the order of a bigint."""
+    return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(NO_KEY))), 16, "0"))
+
+
+def _key_of(node: Column) -> Column:
+    """The key that a node's name begins with."""
+    return (F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)") + F.lit(NO_KEY).cast("decimal(20,0)")).cast("long")
+
+
 def _by_size(batch, column: str, size: int):
     """Slices of a batch of about BATCH_BYTES of text each, with their shingle sets."""
     texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
@@ -167,30 +189,18 @@ def classes(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id"
     are in one class; other columns are dropped.
     """
     small_batches(df.sparkSession)
-    rows = written(_profiles(df, size, key, text), "profiles")
-    nodes, joined = _joined(df, rows, size, percent, key, text)
-    smallest = joined.join(nodes.select(F.col("set").alias("id"), "key"), "id").groupBy("component").agg(F.min("key").alias("first"))
-    named = joined.join(smallest, "component").select(F.col("id").alias("set"), "first")
-    alone = nodes.select("set", F.col("key").alias("own")).join(named, "set", "left").select("set", F.coalesce("first", "own").alias("component_id"))
-    done = rows.join(alone, "set", "left")
+    own = F.xxhash64(text)
+    rows = written(_profiles(df, size, key, text, own), "profiles")
+    nodes, joined = _joined(df, rows, size, percent, key, text, own)
+    # a name begins with its key, so the smallest name of a component names its smallest key
+    named = nodes.select("set", "id").join(joined, "id", "left")
+    named = written(named.select("set", _key_of(F.coalesce("component", "id")).alias("component_id")), "classes")
     real = lambda c: F.when(c != NO_KEY, c)
-    return done.select(
+    return rows.join(named, "set", "left").select(
         real(F.col("key")).cast(df.schema[key].dataType).alias(key), "n_shingles", real(F.coalesce("component_id", "key")).alias("component_id")
     )
 
 
-def _joined(df: DataFrame, rows: DataFrame, size: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct sets of profiles, and (id, component) of those that links join."""
-    nodes = rows.where("n_shingles > 0").groupBy("set").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    keys = nodes.select("set", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least != most")
-    near = keys.join(shared.select("band", "least"), "band").where("set != least").select("set", "least").distinct()
-    groups = components(near, "set", "least")
-    found = written(_links(df, nodes, groups, size, percent, key, text), "links")
-    return nodes, components(found, "a", "b")
-
-
 def one_of_each_class(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of df for each class of texts that links join: of the smallest key (null first), then of the smallest hash of the row.
 
@@ -200,49 +210,81 @@ def one_of_each_class(df: DataFrame, size: int = 5, percent: int = 80, key: str
     small_batches(df.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    held = df.where(worded)
-    rows = written(_profiles(held, size, key, text, F.xxhash64(row)), "profiles")
-    _, joined = _joined(held, rows, size, percent, key, text)
-    first = F.min(F.struct("key", "own")).alias("first")
-    sets = rows.groupBy("set").agg(first).join(joined.select(F.col("id").alias("set"), "component"), "set", "left")
-    kept = sets.groupBy(F.coalesce("component", "set").alias("class")).agg(F.min("first").alias("first")).select("first.*")
-    found = held.select(_coded(key).alias("key"), F.xxhash64(row).alias("own"), row.alias("row")).join(kept, ["key", "own"], "left_semi")
+    held, own = df.where(worded), F.xxhash64(row)
+    rows = written(_profiles(held, size, key, text, own), "profiles")
+    nodes, joined = _joined(held, rows, size, percent, key, text, own)
+    kept = written(nodes.join(joined.where("id != component"), "id", "left_anti").select("key", "own"), "kept")
+    found = held.select(_coded(key).alias("key"), own.alias("own"), row.alias("row")).join(kept, ["key", "own"], "left_semi")
     once = Window.partitionBy("key", "own").orderBy("own")  # equal rows have the same hash
     return found.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*").unionByName(df.where(~worded))
 
 
-def _links(df: DataFrame, nodes: DataFrame, groups: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b): digests of linked sets that connect each component of the candidate groups."""
-    rows = groups.join(nodes.select(F.col("set").alias("id"), F.col("key").alias("own"), "n"), "id")
-    weight = rows.groupBy("component").agg(F.sum("n").alias("total")).withColumnRenamed("component", "group")
-    rows = rows.join(weight, F.col("component") == F.col("group"))
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    rows = rows.withColumn("blocks", F.when(F.col("total") <= TASK_SHINGLES / 4, 1).otherwise(blocks))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+def _joined(df: DataFrame, rows: DataFrame, size: int, percent: int, key: str, text: str, own: Column) -> tuple[DataFrame, DataFrame]:
+    """The distinct sets of profiles (id, set, key, own), and (id, component) of those that links join."""
+    first = F.min(F.struct("key", "own")).alias("first")
+    nodes = rows.where("n_shingles > 0").groupBy("set").agg(first, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = nodes.select(F.concat(_ordered(F.col("first.key")), _ordered(F.col("first.own")), F.col("set")).alias("id"), "set", "first.key", "first.own", "n", "bands")
+    nodes = written(nodes, "nodes")
+    keys = nodes.select("id", "key", "own", "n", F.posexplode("bands").alias("place", "band"))
+    keys = beside(keys, ["band"], "id", least=(F.min, "id"), most=(F.max, "id")).where("least != most").drop("least", "most")
+    keys = written(keys, "keys")
+    texts = df.select(_coded(key).alias("key"), own.alias("own"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    texts = texts.join(keys.select("id", "key", "own").distinct(), ["key", "own"])
+    texts = written(texts.groupBy("key", "own").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"), "texts")
+    keys = keys.select("id", "n", "place", "band")
+    links = written(_links(keys.where(F.col("place") < FIRST).withColumn("comp", F.col("id")), texts, size, percent, True), "links")
+    joined = written(components(links, "a", "b"), "joined")
+    keys = keys.join(joined, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    more = written(_links(keys, texts, size, percent, False), "links")
+    return nodes, components(links.union(more), "a", "b")
+
+
+def _links(keys: DataFrame, texts: DataFrame, size: int, percent: int, blockwise: bool) -> DataFrame:
+    """(a, b): names of linked sets, enough to connect what the links inside groups connect.
+
+    keys has (id, n, band, comp), comp naming what is connected already. With blockwise, a
+    large group is only joined inside its blocks and with its smallest set.
+    """
+    about = {"least": (F.min, "id"), "lo": (F.min, "comp"), "hi": (F.max, "comp"), "total": (F.sum, "n"), "mark": (F.bit_xor, F.xxhash64("id")), "members": (F.sum, F.lit(1))}
+    rows = beside(keys, ["band"], "id", **about).where("lo != hi")
+    rows = rows.withColumn("group", F.xxhash64("mark", "members", "least")).dropDuplicates(["group", "id"])  # of groups of equal members one stays
+    blocks = F.when(F.col("total") <= TASK_SHINGLES / 4, 1).otherwise(F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rows = written(rows.select("group", "id", "n", "comp", "least", blocks.alias("blocks")), "groups")
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     tasks = max(1, -(-total // TASK_SHINGLES))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    rows = rows.withColumn("block", block).select("id", "own", "component", "block", "blocks", F.explode(pair).alias("p"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "p.i", "p.j"))
-    rows = rows.select("id", "own", "component", "block", F.col("p.i").alias("i"), F.col("p.j").alias("j"), task.alias("task"))
-    texts = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("own"), F.col(text).alias("text")).where("text is not null")
-    # a digest names the set, so rows of the same key with another text are told apart
-    rows = rows.join(texts, "own")
+    none = F.lit(0).alias("i"), F.lit(0).alias("j")
+    dealt = rows.where("blocks = 1").select("group", "id", "comp", *none, F.lit(False).alias("guest"), F.pmod(F.xxhash64("group"), F.lit(tasks)).alias("task"))
+    large = rows.where("blocks > 1").withColumn("home", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    if not large.isEmpty():
+        if blockwise:
+            homes = large.select("group", "id", "comp", F.lit(0).alias("i"), F.col("home").alias("j"), F.lit(False).alias("guest"))
+            guests = large.where("id = least").select("group", "id", "comp", F.lit(0).alias("i"), upto(F.col("blocks")).alias("j"), F.lit(True).alias("guest"))
+        else:
+            large = beside(large, ["group", "comp"], "id", weight=(F.sum, "n"))
+            large = beside(large, ["group"], "id", main=(F.max, F.struct("weight", "comp"))).withColumn("outside", F.col("comp") != F.col("main.comp"))
+            large = beside(large, ["group"], "id", rest=(F.sum, F.when(F.col("outside"), F.col("n")).otherwise(0)))
+            parts = F.ceil(F.col("rest") / BLOCK_SHINGLES).cast("int")
+            homes = large.select("group", "id", "comp", upto(parts).alias("i"), F.col("home").alias("j"), F.lit(False).alias("guest"))
+            guests = large.where("outside").select("group", "id", "comp", F.pmod(F.xxhash64("id"), parts).cast("int").alias("i"), upto(F.col("blocks")).alias("j"), F.lit(True).alias("guest"))
+        dealt = dealt.union(homes.union(guests).withColumn("task", F.xxhash64("group", "i", "j")))
 
     def run(table: pa.Table) -> pa.Table:
-        ids, parts = table.column("id").to_pylist(), {}
-        keep = list(zip(table.column("component").to_pylist(), table.column("i").to_pylist(), table.column("j").to_pylist(), table.column("block").to_pylist(), strict=True))
-        sets = [s for _, some in _by_size(table, "text", size) for s in some]
-        for n, (component, i, j, block) in enumerate(keep):
-            if digest(sets[n]) == ids[n]:
-                parts.setdefault((component, i, j), {})[ids[n]] = (n, block)
+        ids = table.column("id").to_pylist()
+        place = {x: n for n, x in enumerate(ids)}
+        once = table.take(pa.array(list(place.values())))
+        sets = dict(zip(place, (s for _, some in _by_size(once, "text", size) for s in some), strict=True))
+        groups: dict = {}
+        where = zip(*(table.column(c).to_pylist() for c in ("group", "i", "j", "guest", "comp")), strict=True)
+        for x, (group, i, j, guest, comp) in zip(ids, where, strict=True):
+            if digest(sets[x]) == x[16:]:
+                groups.setdefault((group, i, j), []).append((x, guest, comp))
         a, b = [], []
-        for (_, i, j), members in parts.items():
-            own = [n for n, _ in members.values()]
-            side = None if i == j else np.array([x for _, x in members.values()])
-            for x, y in forest([sets[n] for n in own], percent, side):
-                a.append(ids[own[x]])
-                b.append(ids[own[y]])
+        for members in groups.values():
+            side = None if blockwise or not any(g for _, g, _ in members) else np.array([g for _, g, _ in members])
+            for x, y in forest([sets[m[0]] for m in members], percent, side, [m[2] for m in members]):
+                a.append(members[x][0])
+                b.append(members[y][0])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.groupBy("task").applyInArrow(run, "a binary, b binary")
+    return dealt.join(texts, "id").groupBy("task").applyInArrow(run, "a binary, b binary")

@@ -75,15 +75,16 @@ class Bands:
     def __init__(self, bands: int, rows: int, seed: int = 41):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        self.turn = rng.integers(0, 2**63, bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.flip = rng.integers(0, 2**63, bands * rows).astype(np.uint64)
+        self.turn = rng.integers(0, 2**31, bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+        self.flip = rng.integers(0, 2**32, bands * rows).astype(np.uint32)
         self.salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.turn), np.uint64(2**64 - 1))
-        for i in range(0, len(hashes), 4096):
-            low = np.minimum(low, ((hashes[i : i + 4096, None] ^ self.flip) * self.turn).min(0))
-        low = mix(low).reshape(self.bands, self.rows)
+        high = (hashes >> np.uint64(32)).astype(np.uint32)
+        low = np.full(len(self.turn), np.uint32(2**32 - 1))
+        for i in range(0, len(high), 256):  # as many as stay in a core's cache
+            low = np.minimum(low, ((high[i : i + 256, None] ^ self.flip) * self.turn).min(0))
+        low = mix(low.astype(np.uint64)).reshape(self.bands, self.rows)
         total = self.salt.copy()
         for r in range(self.rows):
             total = mix(total * _TURN[r] + low[:, r])

@@ -113,3 +113,45 @@ def test_single_short_texts():
             alone = shingles.shingle_sets([b" ".join(words[:n])], size)
             assert len(alone) == 1 and len(alone[0]) == max(1, n - size + 1)
             assert alone[0].tolist() == long[n - 1].tolist()
+
+
+def _texts(rng, groups, copies, words, changed):
+    """groups bases of words each; copies of each with up to changed words replaced."""
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(9999)}" for _ in range(words)]
+        for c in range(copies):
+            own = list(base)
+            for i in rng.sample(range(words), c % (changed + 1)):
+                own[i] = f"x{g}y{c}z{i}"
+            yield " ".join(own)
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(jaccard, "TASK_SHINGLES", 2000)
+    docs = list(enumerate(_texts(random.Random(11), 3, 90, 60, 5)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_classes(docs, 5, 80)
+
+
+def test_null_keys_stay_linear(spark):
+    docs = [(None, t) for t in _texts(random.Random(12), 500, 4, 40, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    own = jaccard.F.xxhash64("text")
+    rows = jaccard.written(jaccard._profiles(df, 5, "doc_id", "text", own), "profiles")
+    nodes, joined = jaccard._joined(df, rows, 5, 80, "doc_id", "text", own)
+    links = joined.groupBy("component").count().collect()
+    sets = [plain_set(t, 5) for _, t in docs]
+    assert nodes.count() == len({frozenset(s) for s in sets}) and joined.select("id").distinct().count() == joined.count()
+    want = [c for k, c in plain_classes([(i, t) for i, (_, t) in enumerate(docs)], 5, 80).values()]
+    assert len(links) == sum(1 for k in set(want) if len({frozenset(sets[i]) for i, c in enumerate(want) if c == k}) > 1)
+    assert jaccard.one_of_each_class(df).count() == len(set(want))
+
+
+def test_chains_of_unlike_texts_form_no_group(spark):
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    docs = [(i, " ".join(words[i * 46 : i * 46 + 100])) for i in range(600)]  # neighbours of similarity 0.35
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.classes(df, 5, 80)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i) for i in range(600)}
