@@ -1,12 +1,14 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A block is a sentence of a text, over as many lines as it is wrapped; a blank line ends it
-too, an abbreviation or a number after the stop doesn't. It matches a template when it holds at least
-THRESHOLD of the template's distinct words. Template words are ordered by how many
-documents of the whole table hold them, rarest first. A template of n words that needs
-o of them must share one of its n - o + 1 rarest (prefix filter); the block must hold o
-template words at all (length filter); and the words left after the first shared one
-must suffice on both sides (positional filter). What passes is counted exactly.
+A template is a sentence of a notice; its blocks in a text are all runs of as many words as
+it has itself, over line wraps, comment marks and punctuation alike. A block matches when
+it holds at least THRESHOLD of the template's distinct words. Template words are ordered
+by how many documents of the whole table hold them, rarest first. A template of n words
+that needs o of them must share one of its n - o + 1 rarest with a block (prefix filter).
+Around each such word the blocks that hold it are looked at, as those whose rarest shared
+word it is: only template words from its place in the order on count then, and the words
+around it must hold o of these (positional filter), before each block, which can't be
+shorter than o words (length filter), is counted exactly.
 
 The templates are a parameter of fixed size, so the join is evaluated inside each row
 with array expressions: no shuffle, no Python, whatever the number of equal texts. The
@@ -16,6 +18,7 @@ only thing collected is one count for each template word.
 from __future__ import annotations
 
 import math
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -23,23 +26,57 @@ from pyspark.sql import functions as F
 
 from .shared import count_between
 
-# What a word is, the base phrases with their labels, and the templates.
+# What a word is, the base phrases with their labels, and sentences of public notices.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under cc by sa 4 0",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "mit": "released under the mit license",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "reserved-notice": "all rights reserved",
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+    "bsd-3-clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "cc-by-4.0": ["This work is licensed under the Creative Commons Attribution 4.0 International License"],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3"],
+    "gpl-notice": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl-notice": ["GNU Lesser General Public License"],
+    "mit": [
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ],
+    "reserved-notice": ["All rights reserved"],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 THRESHOLD = 0.9
-_NO_STOP = "".join(f"(?<!{b}{w}\\.)" for w in ("[a-z]", "no", "co", "al", "ver", "vol", "inc", "ltd", "etc", "vers", "corp") for b in ("^", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"))
-BLOCK_END = r"\n[ \t\r]*\n|(?<=[.!?])" + _NO_STOP + r"(?![ \t\r\n]+[0-9])[ \t\r\n]"
+
+
+def words_of(template: str) -> list[str]:
+    """The words of a template, A-Z lower-cased."""
+    return re.findall("[^" + NOT_WORD[1:-2] + "]+", template.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+
+
+def needed(words: int, threshold: float) -> int:
+    """How many of a template's distinct words a block must hold."""
+    return max(1, math.ceil(threshold * words - 1e-9))
 
 
 def _low(text: Column) -> Column:
@@ -54,46 +91,47 @@ def word_frequencies(df: DataFrame, vocabulary: list[str], text: str = "text") -
     return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def _ordered(df: DataFrame, templates: dict[str, str], text: str) -> tuple[dict[str, int], dict[str, list[int]]]:
-    """The place of each template word, rarest first, and each template as sorted places."""
-    words = sorted({w for t in templates.values() for w in t.split()})
-    count = word_frequencies(df, words, text)
-    place = {w: i for i, w in enumerate(sorted(words, key=lambda w: (count.get(w, 0), w)))}
-    return place, {name: sorted({place[w] for w in t.split()}) for name, t in templates.items()}
+def _ordered(df: DataFrame, templates: dict[str, list[str]], text: str) -> tuple[dict[str, int], list[tuple[str, int, list[str]]]]:
+    """In how many documents each template word is, and for each template its label, its length and its distinct words, rarest first."""
+    words = {w for several in templates.values() for t in several for w in words_of(t)}
+    count = word_frequencies(df, sorted(words), text)
+    order = lambda t: sorted(set(words_of(t)), key=lambda w: (count.get(w, 0), w))
+    return count, [(label, len(words_of(t)), order(t)) for label, several in sorted(templates.items()) for t in several]
 
 
-def _matches(block: Column, sets: dict[str, list[int]], threshold: float) -> list[Column]:
-    """For each template, its containment in a block (sorted places) or null."""
-    found = []
-    for name, own in sorted(sets.items()):
-        need = max(1, math.ceil(threshold * len(own) - 1e-9))
-        tokens = F.array(*map(F.lit, own))
-        prefix = F.array(*map(F.lit, own[: len(own) - need + 1]))
-        shared = F.get(F.array_intersect(prefix, block), F.lit(0))  # the rarest word in common
-        left = len(own) - F.array_position(tokens, shared) + 1
-        right = F.size(block) - F.array_position(block, shared) + 1
-        common = F.size(F.array_intersect(block, tokens))
-        passed = (F.size(block) >= need) & shared.isNotNull() & (F.least(left, right) >= need) & (common >= need)
-        found.append(F.when(passed, F.struct(F.lit(name).alias("label"), (common / F.lit(float(len(own)))).alias("part"))))
-    return found
+def _best(words: Column, anchors: Column, length: int, own: list[str], threshold: float) -> Column:
+    """The largest part of a template that a block of length words holds, if that is enough; else null."""
+    need, n = needed(len(own), threshold), len(own)
+    tokens = F.array(*map(F.lit, own))
+
+    def around(anchor: Column) -> Column:
+        later = F.slice(tokens, F.array_position(tokens, anchor["word"]).cast("int"), F.lit(n))  # words from this place in the order on
+        first = F.greatest(anchor["at"] - (length - 1), F.lit(0))
+        near = F.slice(words, first + 1, anchor["at"] - first + length)
+        blocks = F.transform(F.sequence(first, anchor["at"]), lambda s: F.size(F.array_intersect(F.slice(words, s + 1, F.lit(length)), later)))
+        return F.when(F.size(F.array_intersect(near, later)) >= need, F.array_max(blocks))
+
+    held = F.array_max(F.transform(F.filter(anchors, lambda a: a["word"].isin(*own[: n - need + 1])), around))
+    return F.when(held >= need, held / F.lit(float(n)))
 
 
 def scan(
-    df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
+    df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None,
     base: dict[str, str] | None = None, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, matches), one row for each row of df.
 
     n_base counts the places where a base phrase's words stand consecutively; first_word
     and last_word are the smallest and largest start (words from 0, null without a place).
-    matches are (label, part) of templates whose best block holds at least threshold of
-    their words; labels joins base and template labels, sorted. score is the largest part,
-    1 with a base label, 0 without any. Null and empty texts have no words; rows are
-    independent of each other, so nulls, repeats and other columns of df don't matter.
+    matches are (label, part) of labels with a template whose best block holds at least
+    threshold of its words; labels joins base and template labels, sorted. score is the
+    largest part, 1 with a base label, 0 without any. Null and empty texts have no words;
+    rows are independent of each other, so nulls, repeats and other columns of df don't matter.
     """
     templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
-    place, sets = _ordered(df, templates, text)
-    rare = sorted({w for own in sets.values() for w in _prefix_words(own, place, threshold)})
+    count, known = _ordered(df, templates, text)
+    rare = sorted({w for _, _, own in known for w in own[: len(own) - needed(len(own), threshold) + 1]})
+    seen = [w for w in rare if count.get(w)]  # a word in no document at all needs no search
     phrases = {tuple(p.split()): label for p, label in base.items()}
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select("key", "t", count_between(F.col("t"), NOT_WORD_ANY_CASE).alias("n_words"), F.lower("t").alias("low"))
@@ -110,26 +148,21 @@ def scan(
             out = out | p
         return out
 
-    in_base, in_block = some([holds(*p) for p in phrases]), some([holds(w) for w in rare])
-    rows = rows.select("key", "n_words", F.when(in_base, _low(F.col("t"))).alias("b"), F.when(in_block, _low(F.col("t"))).alias("c"))
-    words = F.filter(F.split("b", NOT_WORD), lambda w: w != "")
-    empty = F.array().cast("array<array<int>>")
-    known = F.array(*map(F.lit, place))
-    number = F.create_map(*[F.lit(x) for w, i in place.items() for x in (w, i)])
-    blocks = F.transform(
-        F.split("c", BLOCK_END),
-        lambda x: F.array_sort(F.transform(F.array_intersect(F.split(x, NOT_WORD), known), lambda w: F.element_at(number, w))),
-    )
-    rows = rows.select("key", "n_words", words.alias("words"), F.coalesce(F.filter(blocks, lambda x: F.size(x) > 0), empty).alias("blocks"))
+    may = some([holds(*p) for p in phrases]) | some([holds(w) for w in seen])
+    rows = rows.select("key", "n_words", F.when(may, _low(F.col("t"))).alias("b"))
+    rows = rows.select("key", "n_words", F.filter(F.split("b", NOT_WORD), lambda w: w != "").alias("words"))
+    at = F.transform("words", lambda w, i: F.when(w.isin(*rare), F.struct(i.alias("at"), w.alias("word")))) if rare else F.array()
     starts = [_starts(F.col("words"), p).alias(f"s{i}") for i, p in enumerate(phrases)]
-    rows = rows.select("key", "n_words", "blocks", *starts)
-    found = F.flatten(F.transform("blocks", lambda x: F.filter(F.array(*_matches(x, sets, threshold)), lambda m: m.isNotNull())))
+    rows = rows.select("key", "n_words", "words", F.array_compact(at).alias("anchors"), *starts)
+    found = [F.when(F.size("anchors") > 0, _best(F.col("words"), F.col("anchors"), length, own, threshold)) for _, length, own in known]
     every = F.concat(*[F.col(f"s{i}") for i in range(len(phrases))])
     labels = [F.when(F.size(f"s{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
-    rows = rows.select("key", "n_words", every.alias("every"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("own"), found.alias("found"))
-    names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["label"])))
-    best = F.transform(names, lambda n: F.struct(n.alias("label"), F.array_max(F.transform(F.filter("found", lambda m: m["label"] == n), lambda m: m["part"])).alias("part")))
-    rows = rows.withColumn("matches", best)
+    rows = rows.select("key", "n_words", every.alias("every"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("own"), F.array(*found).alias("found"))
+    matches = []
+    for label in sorted(templates):
+        part = F.array_max(F.array(*[F.get("found", F.lit(i)) for i, (own, _, _) in enumerate(known) if own == label]))
+        matches.append(F.when(part.isNotNull(), F.struct(F.lit(label).alias("label"), part.alias("part"))))
+    rows = rows.select("key", "n_words", "every", "own", F.array_compact(F.array(*matches)).alias("matches"))
     part = F.coalesce(F.array_max(F.transform("matches", lambda m: m["part"])), F.lit(0.0))
     return rows.select(
         F.col("key").alias(key), "n_words", F.size("every").cast("long").alias("n_base"),
@@ -140,11 +173,6 @@ def scan(
     )
 
 
-def _prefix_words(own: list[int], place: dict[str, int], threshold: float) -> list[str]:
-    word = {i: w for w, i in place.items()}
-    return [word[i] for i in own[: len(own) - max(1, math.ceil(threshold * len(own) - 1e-9)) + 1]]
-
-
 def _starts(words: Column, phrase: tuple[str, ...]) -> Column:
     """Where the words of a phrase stand consecutively; empty if words is null."""
     same = lambda i: [F.get(words, i + k) == w for k, w in enumerate(phrase)]

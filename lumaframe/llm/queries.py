@@ -22,7 +22,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w),
@@ -31,8 +31,8 @@ o AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS L
 l AS (SELECT arg_min(own, ratio) AS level FROM o WHERE own <= ratio),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, level * weight) END AS target FROM o, l),
 c AS (SELECT *, CASE WHEN size <= 0 THEN 0 ELSE floor(log2(size::DOUBLE) * 8)::INT + 1 END AS class,
-  coalesce(doc_id, -1) % (SELECT greatest(1, (count(*) + 5999) // 6000) FROM d) AS cell FROM d),
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, cell, size, doc_id NULLS LAST) AS rank,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT AS spread, spread % (SELECT greatest(1, (count(*) + 5999) // 6000) FROM d) AS cell FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, cell, size, doc_id NULLS LAST, spread) AS rank,
   (('0x' || substr(md5('mix' || coalesce(source, '')), 1, 12))::BIGINT)::DOUBLE / 281474976710656.0 AS begin FROM c)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE size * (floor(begin + rank * (target / source_size)) - floor(begin + (rank - 1) * (target / source_size))) END::BIGINT AS taken
@@ -89,8 +89,39 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("matches")
 
 
+def op9_sql() -> str:
+    """All places of base phrases, and for each template the best run of as many words as it has, by joins of words."""
+    rows, number = [], 0
+    for label, several in licenses.TEMPLATES.items():
+        for template in several:
+            words = licenses.words_of(template)
+            own = sorted(set(words))
+            rows += [f"({number}, '{label}', {len(words)}, {len(own)}, {licenses.needed(len(own), licenses.THRESHOLD)}, '{w}')" for w in own]
+            number += 1
+    base = [(p.split() + [None, None], label) for p, label in licenses.BASE.items()]
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, pos, '{label}' AS label FROM n WHERE word = '{p[0]}' AND w1 = '{p[1]}'" + (f" AND w2 = '{p[2]}'" if p[2] else "") for p, label in base
+    )
+    return f"""
+WITH t(tid, label, len, n, need, word) AS (VALUES {", ".join(rows)}),
+x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS x FROM documents),
+w AS (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) - 1 AS pos FROM x),
+h AS (SELECT doc_id, tid, label, len, n, need, word, pos FROM w JOIN t USING (word)),
+b AS (SELECT s.doc_id, s.tid, s.label, s.n, s.need, s.pos, count(DISTINCT e.word) AS held FROM h s JOIN h e ON s.doc_id = e.doc_id AND s.tid = e.tid AND e.pos BETWEEN s.pos AND s.pos + s.len - 1 GROUP BY ALL),
+m AS (SELECT doc_id, label, max(held / n::DOUBLE) AS part FROM b WHERE held >= need GROUP BY ALL),
+n AS (SELECT doc_id, pos, word, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+p AS ({places}),
+q AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM m) GROUP BY doc_id),
+s AS (SELECT doc_id, max(part) AS part FROM m GROUP BY doc_id)
+SELECT x.doc_id, len(x)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0) END::DOUBLE AS score
+FROM x LEFT JOIN q ON x.doc_id = q.doc_id LEFT JOIN a ON x.doc_id = a.doc_id LEFT JOIN s ON x.doc_id = s.doc_id
+"""
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.features(media.store(documents(spark, sf_dir)))
+    found = media.described(media.store(documents(spark, sf_dir)))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature")
 
 
@@ -106,4 +137,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op9_license_scan": op9_sql()}
