@@ -6,8 +6,8 @@ labels, and a learned transition matrix ties neighbours together, so code-switch
 texts fall into runs. Forward-backward gives each word's marginals; a document takes the
 label with the largest mean marginal, and that mean is its score.
 
-Training collects a bounded sample (TRAIN_DOCS documents for each language, whole
-texts) to the driver and fits weights and transitions by the gradient of the
+Training collects a bounded sample (TRAIN_DOCS documents of at most TRAIN_BYTES for each of
+the TRAIN_LABELS most frequent languages, whole texts) to the driver and fits weights and transitions by the gradient of the
 conditional likelihood. Prediction is row-local, over whole texts, and vectorised:
 chunks of CHUNK words are multiplied out to small transfer matrices, messages pass from
 chunk to chunk of a document, and each chunk is then run forward and backward.
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-#: Bounds of the training sample and of the model; parameters of train().
-TRAIN_DOCS, LEXICON_WORDS, ROUNDS = 150, 2000, 6
+#: Bounds of the training sample and of the model; parameters of train(): documents of a
+#: label, bytes of a document, and labels.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LABELS, LEXICON_WORDS, ROUNDS = 150, 200_000, 100, 2000, 6
 #: Words of a chunk; bytes of text that a worker scores at once.
 CHUNK, BLOCK_BYTES = 32, 1_500_000
 GRAMS, AFFIXES = 1 << 16, 1 << 14
@@ -224,18 +225,25 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, **options) -> Field | None:
+def train(
+    df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS,
+    most_bytes: int = TRAIN_BYTES, labels: int = TRAIN_LABELS, **options,
+) -> Field | None:
     """A field from at most docs documents of each label outside the held-out part; None if there are none.
 
-    Documents come in the order of a hash of their key; null texts and null labels are left out.
+    Documents come in the order of a hash of their key and text; rows that agree in both
+    count once, so the sample is bounded however often a key or a text is repeated. Null
+    texts, null labels, texts above most_bytes and labels beyond the most frequent are left out.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
-    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = rows.select("key", "lang").withColumn("n", F.row_number().over(place)).where(F.col("n") <= docs)
-    chosen = chosen.select(F.col("key").alias("k"), F.col("lang").alias("l")).distinct()
-    sample = rows.join(F.broadcast(chosen), F.col("key").eqNullSafe(F.col("k")) & (F.col("lang") == F.col("l")), "left_semi")
-    got = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").collect())
+    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)) & (F.octet_length(text) <= most_bytes))
+    rows = rows.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels)
+    place = Window.partitionBy("lang").orderBy("h")
+    once = rows.select("h", "lang").join(F.broadcast(common), "lang", "left_semi").distinct()
+    chosen = once.withColumn("n", F.row_number().over(place)).where(F.col("n") <= docs).select(F.col("h").alias("k"), F.col("lang").alias("l"))
+    sample = rows.join(F.broadcast(chosen), (F.col("h") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi")
+    got = sample.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
+    got = sorted((r["text"], r["lang"]) for r in got.collect())
     return fit(got, **options) if any(len(words_of([t]).first) for t, _ in got) else None
 
 

@@ -66,3 +66,41 @@ def test_code_switch_and_edges(spark):
     assert langid.train(docs.limit(0)) is None
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
     assert langid.predict(df.limit(0), field).count() == 0
+
+
+def test_sample_is_bounded_whatever_the_keys(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(langid, "fit", lambda rows, **_: got.append(rows))
+    docs = spark.range(6000).selectExpr("7 AS doc_id", "concat('some words ', id) AS text", "concat('l', id % 3) AS lang")
+    same = spark.range(3000).selectExpr("7 AS doc_id", "'equal words' AS text", "'l0' AS lang")
+    langid.train(docs.union(same), docs=150)
+    assert len(got[0]) == 450 and len(set(got[0])) == 450
+    langid.train(docs.union(same), docs=20, labels=2, most_bytes=15)
+    assert len(got[1]) == 40 and {y for _, y in got[1]} == {"l0", "l1"} and all(len(t) <= 15 for t, _ in got[1])
+
+
+def test_slope_of_the_links():
+    rng = np.random.default_rng(3)
+    field = langid.Field(["a", "b"], np.zeros(0, np.uint64))
+    field.links = rng.normal(size=(2, 2))
+    scores, counts, y = rng.normal(size=(40, 2)), np.array([40]), rng.integers(0, 2, 40)
+
+    def likelihood(links):
+        step, total = np.exp(links), 0.0
+        message = np.exp(scores[0])
+        for t in range(1, 40):
+            message = (message @ step) * np.exp(scores[t])
+            total += np.log(message.sum())
+            message = message / message.sum()
+        return scores[np.arange(40), y].sum() + links[y[:-1], y[1:]].sum() - total
+
+    field.links[:] -= np.log(np.exp(field.links).sum(0))  # a uniform label before the first word then adds nothing
+    _, seen = field.marginals(scores, counts, pairs=True)
+    real = np.zeros((2, 2))
+    np.add.at(real, (y[:-1], y[1:]), 1.0)
+    for i in range(2):
+        for j in range(2):
+            off = np.zeros((2, 2))
+            off[i, j] = 1e-5
+            slope = (likelihood(field.links + off) - likelihood(field.links - off)) / 2e-5
+            assert abs(slope - (real - seen)[i, j]) < 1e-3
