@@ -29,6 +29,8 @@ from .shared import small_batches
 
 #: Longest pre-token kept in a worker's memo, and most of them kept in each of its two generations.
 MEMO_CHARS, MEMO_ENTRIES = 40, 450_000
+#: Characters of a text whose pre-tokens are split all at once.
+SPLIT_CHARS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,7 +79,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.split, self.walk = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.token = {rank: token for token, rank in ranks.items()}
         self.memo = _Memo(self)
@@ -125,9 +127,12 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.age()
-        return b"".join(map(self.memo.__getitem__, self.split(text)))
+        if len(text) <= SPLIT_CHARS:
+            return b"".join(map(self.memo.__getitem__, self.split(text)))
+        ids, known = bytearray(), self.memo
+        for found in self.walk(text):  # pre-tokens of a very long text are never all held at once
+            ids += known[found[0]]
+        return bytes(ids)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -153,6 +158,8 @@ class _Memo(dict):
         if ids is None:
             ids = _pack(self.codec.merge(piece.encode()))
         if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.age()
             self[piece] = ids
         return ids
 

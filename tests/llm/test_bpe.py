@@ -7,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumaframe.llm import bpe
+from lumaframe.llm import bpe, queries
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
@@ -49,3 +49,27 @@ def test_rows(spark):
     back = bpe.decode(kept, PATH)
     assert sorted(bytes(r.decoded) for r in back.collect()) == sorted((t or "").encode() for _, t, _ in rows)
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_query(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = queries.op1_bpe(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ids = np.array(TOLD.encode_ordinary(docs[r.doc_id]), "<u4").tobytes()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_memo_is_bounded_inside_a_text(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 500)
+    monkeypatch.setattr(bpe, "SPLIT_CHARS", 1000)
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    text = " ".join(f"w{i * 7919}" for i in range(20_000))
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == TOLD.encode_ordinary(text)
+    assert len(codec.memo) <= 500 and len(codec.memo.old) <= 500
+
+
+def test_very_long_texts():
+    for text in ("long words and lines\n" * 500_000, "x" * 300_000):
+        ids = np.frombuffer(CODEC.encode(text), "<u4").tolist()
+        assert CODEC.decode(CODEC.encode(text)).decode() == text and (len(text) > 10**6 or ids == TOLD.encode_ordinary(text))
