@@ -1,7 +1,8 @@
 """Media columns: payloads as images in tar shards, rows that carry digest, offset and length.
 
 Each task packs the payloads of its rows into tar shards of SHARD_BYTES in the shared
-folder, one member for each digest it meets, named by that digest. A shard has a name of
+folder, one member for each digest it meets, named by that digest; all rows of one text
+then name the same member. A shard has a name of
 its own and a row names a shard only once Spark has committed the task that wrote it, so
 retries and lost executors leave at most unreferenced files. Payloads are 8-bit grey
 images of WIDTH samples a row (PNG, lossless), a third to a half of the text's bytes.
@@ -108,9 +109,10 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: i
     """(key, n_bytes, folder, shard, offset, length, digest): whole texts as media, one row for each row of df.
 
     digest is the SHA-256 of the stored form. A null text counts as empty; an empty text
-    is WIDTH zero samples. Equal texts have equal digests and lengths; within a shard they
-    share one member. Other columns are dropped. The manifest is written at once, so
-    shards are made once.
+    is WIDTH zero samples. Equal texts have one digest and all name one member, whichever
+    task wrote it first by name; members of the same digest in other shards (tasks don't
+    know of each other's) are named by no row. Other columns are dropped. The manifest is
+    written at once, so shards are made once.
     """
     spark = df.sparkSession
     small_batches(df.sparkSession)
@@ -127,10 +129,13 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: i
             for t in batch.column(1):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
                 mark = hashlib.sha256(raw).digest()
-                if mark not in known or known[mark][0] != shards.name:
-                    image = to_image(pad(raw))
+                if mark not in known:
+                    image, last = to_image(pad(raw)), shards.name
                     digest = hashlib.sha256(image).hexdigest()
-                    known[mark] = (*shards.add(f"{digest}.png", image), digest)
+                    member = (*shards.add(f"{digest}.png", image), digest)
+                    if shards.name != last:
+                        known.clear()  # no more is remembered than one shard holds
+                    known[mark] = member
                 sizes.append(len(raw))
                 found.append(known[mark])
             shard, offset, length, digest = zip(*found, strict=True) if found else ((), (), (), ())
@@ -141,8 +146,17 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: i
         shards.close()
 
     packed = rows.mapInArrow(run, f"key {kind}, n_bytes bigint, shard string, offset bigint, length bigint, digest string")
-    packed = packed.withColumn("folder", F.lit(folder))
-    return written(packed, "manifest").withColumnRenamed("key", key)
+    packed = written(packed, "packed")
+    members = members_of(packed).withColumnRenamed("digest", "d")
+    addressed = packed.select("key", "n_bytes", "digest").join(members, F.col("digest") == F.col("d"))
+    return addressed.select(F.col("key").alias(key), "n_bytes", F.lit(folder).alias("folder"), "shard", "offset", "length", "digest")
+
+
+def members_of(manifest: DataFrame) -> DataFrame:
+    """One place (shard, offset, length) for each digest, as a table: what rows of equal texts share."""
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    rest = [c for c in ("folder",) if c in manifest.columns]
+    return written(manifest.groupBy("digest", *rest).agg(place).select("digest", *rest, "place.*"), "members")
 
 
 def _read(manifest: DataFrame, columns: list[str], take, schema: str, size: int | None) -> DataFrame:
@@ -183,19 +197,31 @@ def metadata(manifest: DataFrame) -> DataFrame:
     return _read(manifest, columns, read_header, "width bigint, height bigint, depth bigint", HEADER_BYTES)
 
 
+def described(manifest: DataFrame) -> DataFrame:
+    """manifest with width, height and depth of metadata(), and what features() makes of the payload.
+
+    Every digest is read once, its header by a range read of its own; rows of equal texts
+    get the same values.
+    """
+    members = members_of(manifest)
+    found = features(metadata(members))
+    size = F.concat_ws("x", "width", "height", "depth")
+    found = found.select(F.col("digest").alias("d"), "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", F.concat_ws(";", size, "samples").alias("feature"))
+    return manifest.join(written(found, "described"), F.col("digest") == F.col("d")).drop("d")
+
+
 def load(manifest: DataFrame) -> DataFrame:
     """manifest with the payload read back from its shard."""
     return _read(manifest, [pa.field("payload", pa.binary())], lambda image: (from_image(image),), "payload binary", None)
 
 
 def features(manifest: DataFrame) -> DataFrame:
-    """manifest with payload_bytes, payload_sha256, tail_crc32, media_sha256 and feature, from stored bytes only.
+    """manifest with payload_bytes, payload_sha256, tail_crc32, media_sha256 and samples, from stored bytes only.
 
-    feature has the header's fields, then mean, spread, entropy and number of distinct samples.
+    samples has mean, spread, entropy and number of distinct samples.
     """
 
     def take(image: bytes) -> tuple:
-        width, height, depth = read_header(image[:HEADER_BYTES])
         payload = from_image(image)
         count = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
         share = count[count > 0] / len(payload)
@@ -203,8 +229,8 @@ def features(manifest: DataFrame) -> DataFrame:
         mean = float((count * value).sum()) / len(payload)
         spread = max(0.0, float((count * value * value).sum()) / len(payload) - mean * mean) ** 0.5
         entropy = abs(float(-(share * np.log2(share)).sum()))
-        text = f"{width}x{height}x{depth};mean={mean:.4f};sd={spread:.4f};bits={entropy:.4f};distinct={len(share)}"
+        text = f"mean={mean:.4f};sd={spread:.4f};bits={entropy:.4f};distinct={len(share)}"
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(image).hexdigest(), text
 
-    columns = [pa.field("payload_bytes", pa.int64()), pa.field("payload_sha256", pa.string()), pa.field("tail_crc32", pa.int64()), pa.field("media_sha256", pa.string()), pa.field("feature", pa.string())]
-    return _read(manifest, columns, take, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, feature string", None)
+    columns = [pa.field("payload_bytes", pa.int64()), pa.field("payload_sha256", pa.string()), pa.field("tail_crc32", pa.int64()), pa.field("media_sha256", pa.string()), pa.field("samples", pa.string())]
+    return _read(manifest, columns, take, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, samples string", None)

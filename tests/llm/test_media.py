@@ -1,6 +1,8 @@
 import hashlib
+import math
 import tarfile
 import zlib
+from collections import Counter
 from pathlib import Path
 
 from hypothesis import given, settings
@@ -21,6 +23,14 @@ def test_round_trip(body):
     assert media.read_header(image[: media.HEADER_BYTES]) == (64, len(payload) // 64, 8)
 
 
+def plain_feature(payload):
+    n, count = len(payload), Counter(payload)
+    mean = sum(payload) / n
+    spread = math.sqrt(sum((x - mean) ** 2 for x in payload) / n)
+    bits = -sum(c / n * math.log2(c / n) for c in count.values())
+    return f"64x{n // 64}x8;mean={mean:.4f};sd={spread:.4f};bits={abs(bits):.4f};distinct={len(count)}"
+
+
 def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op10_media_columns(spark, SF).collect()
@@ -31,7 +41,7 @@ def test_query(spark):
         image = media.to_image(payload)
         assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(image))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
-        assert r.media_sha256 == hashlib.sha256(image).hexdigest()
+        assert r.media_sha256 == hashlib.sha256(image).hexdigest() and r.feature == plain_feature(payload)
 
 
 def test_shards_and_edges(spark):
@@ -48,5 +58,21 @@ def test_shards_and_edges(spark):
             assert f"{r.digest}.png" in tar.getnames()
     assert sorted(bytes(r.payload).rstrip(b"\0") for r in media.load(manifest).collect()) == sorted((t or "").encode() for _, t in rows)
     assert {(r.width, r.depth) for r in media.metadata(manifest).collect()} == {(64, 8)}
-    assert len({r.feature for r in media.features(manifest).where("doc_id in (1, 2)").collect()}) == 1
-    assert media.features(media.store(df.limit(0))).count() == 0
+    told = media.described(manifest)
+    assert told.count() == len(rows) and told.columns[: len(manifest.columns)] == manifest.columns
+    assert len({r.feature for r in told.where("doc_id in (1, 2)").collect()}) == 1
+    assert {(r.width, r.height, r.depth) for r in told.where("doc_id = 5").collect()} == {(64, 2813, 8)}
+    assert media.described(media.store(df.limit(0))).count() == 0
+
+
+def test_equal_texts_name_one_member(spark):
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 7) AS text").repartition(5)
+    manifest = media.store(df, shard_bytes=3000)
+    assert manifest.select("digest", "shard", "offset").distinct().count() == 7 and manifest.count() == 400
+
+
+def test_very_long_text(spark):
+    text = "é0" * 7_000_000
+    r = media.described(media.store(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    payload = media.pad(text.encode())
+    assert r.n_bytes == 21_000_000 and r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.height == len(payload) // 64
