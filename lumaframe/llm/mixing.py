@@ -6,19 +6,23 @@ random offset, and a document is emitted once for each integer that its stretch
 sum crosses. The order runs through size classes, so large and small documents are
 sampled evenly and a source's words come close to its target.
 
-The prefix sum is taken in three steps: over the size classes of a source, over the
-cells of a class (by key), and over the rows of a cell. No task holds a source or a
-class, so one that has a third of all rows is dealt out like any other.
+The prefix sum is taken in steps: over the size classes of a source, over the shelves of a
+class, over the cells of a shelf, and over the rows of a cell. Cells are dealt by a hash of
+key and text, and a class has about as many shelves as a shelf has cells. No task holds a
+source, a class or the rows of one key, so one that has a third of all rows is dealt out
+like any other. Sources are ranked and levelled by sums as well, and may be very many.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import count_between, written
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Rows that a cell holds when a third of all rows share a source and a size class.
@@ -27,29 +31,40 @@ SEED = "mix"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return count_between(text, SPACES)
+
+
+def _in_order(sizes: DataFrame) -> DataFrame:
+    """sizes with the place (from 0) of each source in code point order, null last."""
+    last = F.col("source").asc_nulls_last()
+    rows = written(sizes.repartitionByRange(last).withColumn("part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(last))
+    return rows.join(F.broadcast(starts), "part").withColumn("place", F.col("start") + within - 1).drop("part", "start")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row for each source.
+    """(source, source_size, target) from (source, source_size), one row for each source, as a table.
 
     Sources in code point order, null last, take the weights in turn. The budget is
     share times all sizes; a source stops at most times its size and what it leaves goes
     to the others by weight. The fixed point is min(cap, level * weight) with one level
-    for all sources, found along the sources ordered by cap / weight. The windows here
-    run over one row for each source, never over documents.
+    for all sources: it rises from what all would take until no more sources stop, by one
+    sum over the sources for each step.
     """
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, rest = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    rows = sizes.withColumn("weight", F.element_at(turn, ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int")))
-    rows = rows.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    budget = share * F.sum("source_size").over(Window.partitionBy())
-    left = budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    rows = rows.withColumn("own", left / F.sum("weight").over(rest))
-    level = F.min(F.when(F.col("own") <= F.col("ratio"), F.struct("ratio", "own"))).over(Window.partitionBy())["own"]
-    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("cap", level * F.col("weight")))
+    rows = _in_order(sizes).withColumn("weight", F.element_at(turn, (F.col("place") % len(weights) + 1).cast("int")))
+    rows = written(rows.withColumn("cap", most * F.col("source_size")), "caps")
+    level, budget = -1.0, share * (rows.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
+    while True:
+        stops = F.col("cap") / F.col("weight") < level
+        taken, free = rows.agg(F.sum(F.when(stops, F.col("cap")).otherwise(0.0)), F.sum(F.when(stops, 0.0).otherwise(F.col("weight")))).first()
+        higher = (budget - taken) / free if free else float("inf")
+        if higher == level or not free:
+            break
+        level = higher
+    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("cap", F.lit(level) * F.col("weight")) if free else F.col("cap"))
     return rows.select("source", "source_size", target.alias("target"))
 
 
@@ -64,48 +79,65 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(2**48)
 
 
+def _spread(key: str, text: str) -> Column:
+    """48 bits of a digest of key and text: the cell of a row."""
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+
+
 def _placed(rows: DataFrame, cells: int) -> DataFrame:
-    """rows with the three parts of their place in the order: source, size class and cell."""
-    return rows.select(
+    """rows with the parts of their place in the order: source, size class, and shelf and cell."""
+    shelf = math.isqrt(cells - 1) + 1
+    rows = rows.select(
         "*",
         F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")).alias("sk"),
         size_class(F.col("size")).alias("class"),
-        F.pmod(F.coalesce(F.col("key").cast("long"), F.lit(-1)), F.lit(cells)).alias("cell"),
+        F.pmod("spread", F.lit(cells)).alias("cell"),
     )
+    return rows.withColumn("shelf", F.floor(F.col("cell") / shelf).cast("int"))
 
 
 def _taken(rows: DataFrame, sizes: DataFrame, weights, share: float, most: float, seed: str) -> DataFrame:
-    """rows (key, source, size and any others) with source_size, target and n_copies.
+    """rows (key, source, size, spread and any others) with source_size, target and n_copies.
 
     sizes has the same rows without the others. Rows move once, to their cell: the join
     with the cells' starts and the numbering inside a cell have the same keys. The sums
-    ahead of a cell are taken over its size class, and over the classes of its source, so
-    neither a large source nor a large group of equal documents is one task.
+    ahead of a cell are taken over its shelf, over the shelves of its size class, and over
+    the classes of its source, so neither a large source nor a large group of documents of
+    equal size is one task.
     """
     cells = max(1, -(-sizes.count() // (3 * CELL_ROWS)))
-    by_cell = _placed(sizes, cells).groupBy("source", "sk", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    by_class = by_cell.groupBy("source", "sk", "class").agg(F.sum("n").alias("m"), F.sum("words").alias("words"))
+    keys = ["source", "sk", "class", "shelf", "cell"]
+    total = [F.sum("n").alias("n"), F.sum("words").alias("words")]
+    by_cell = _placed(sizes, cells).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    by_shelf = by_cell.groupBy(*keys[:4]).agg(*total)
+    by_class = by_shelf.groupBy(*keys[:3]).agg(*total)
     goal = targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     goal = goal.withColumnRenamed("source", "s")
-    before = Window.unboundedPreceding, -1
-    along = Window.partitionBy("sk").orderBy("class").rowsBetween(*before)
-    classes = by_class.withColumn("ahead", F.coalesce(F.sum("m").over(along), F.lit(0)))
-    classes = classes.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("sk", "class", "ahead", "source_size", "target")
-    along = Window.partitionBy("sk", "class").orderBy("cell").rowsBetween(*before)
-    starts = by_cell.select("sk", "class", "cell", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("within"))
-    starts = starts.join(classes, ["sk", "class"])
-    rows = _placed(rows, cells).join(starts, ["sk", "class", "cell"])
-    inside = Window.partitionBy("sk", "class", "cell").orderBy("size", F.col("key").asc_nulls_last())
+
+    def ahead(rows: DataFrame, by: list[str], along: str, name: str) -> DataFrame:
+        before = Window.partitionBy(*by).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(*by, along, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(name))
+
+    classes = ahead(by_class, ["source", "sk"], "class", "ahead").join(goal, F.col("source").eqNullSafe(F.col("s")))
+    shelves = ahead(by_shelf, ["sk", "class"], "shelf", "upto").join(classes.select("sk", "class", "ahead", "source_size", "target"), ["sk", "class"])
+    starts = ahead(by_cell, ["sk", "class", "shelf"], "cell", "within").join(shelves, ["sk", "class", "shelf"])
+    rows = _placed(rows, cells).drop("shelf").join(starts.drop("shelf"), ["sk", "class", "cell"])
+    inside = Window.partitionBy("sk", "class", "cell").orderBy("size", F.col("key").asc_nulls_last(), "spread")
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
-    rows = rows.withColumn("rank", F.col("ahead") + F.col("within") + F.row_number().over(inside)).withColumn("rate", rate)
+    rows = rows.withColumn("rank", F.col("ahead") + F.col("upto") + F.col("within") + F.row_number().over(inside)).withColumn("rate", rate)
     begin = offset(F.col("source"), seed)
     crossed = F.floor(begin + F.col("rank") * F.col("rate")) - F.floor(begin + (F.col("rank") - 1) * F.col("rate"))
     return rows.withColumn("n_copies", F.when(F.col("size") == 0, 0).otherwise(crossed).cast("long"))
 
 
 def _sizes(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, size) as a table in the shared folder: texts are counted once."""
-    return written(df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    """(key, source, size, spread) as a table in the shared folder: texts are counted once."""
+    return written(_counted(df, key, text, source), "sizes")
+
+
+def _counted(df: DataFrame, key: str, text: str, source: str, *others: Column) -> DataFrame:
+    return df.select(*others, F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _spread(key, text).alias("spread"))
 
 
 def copies(
@@ -116,8 +148,9 @@ def copies(
 
     size is the number of words (null text: 0). n_copies is how often the mix takes the
     document, at most ceil(most). A null source is a source of its own; documents without
-    words are never taken. Rows with equal key, source and size are interchangeable, so
-    repeated rows give the same rows in every run. Other columns are dropped.
+    words are never taken. Rows with equal key, source and text are interchangeable, so
+    repeated rows give the same rows in every run; they share one cell. Other columns are
+    dropped.
     """
     rows = _sizes(df, key, text, source)
     taken = _taken(rows, rows, weights, share, most, seed)
@@ -133,6 +166,6 @@ def mix(
     Columns are those of df, whatever their names. Nulls and repeated rows as in copies.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(row.alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = _counted(df, key, text, source, row.alias("row"))
     taken = _taken(rows, _sizes(df, key, text, source), weights, share, most, seed).where("n_copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")

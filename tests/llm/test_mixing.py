@@ -53,3 +53,25 @@ def test_edges(spark):
     total = sum(len(re.findall(mixing.WORD, t or "")) for _, t, _ in rows)
     assert total <= words <= 2 * total
     assert mixing.copies(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_many_sources(spark):
+    df = spark.range(4000).selectExpr("id * 6000 AS doc_id", "CASE WHEN id % 50 > 0 THEN repeat('w ', cast(1 + id * id % 90 AS int)) END AS text", "CASE WHEN id % 97 > 0 THEN concat('host', id % 1500) END AS source")
+    rows = mixing.copies(df).collect()
+    sizes, taken, longest, target = {}, {}, {}, {}
+    for r in rows:
+        sizes[r.source], target[r.source] = r.source_size, r.target
+        taken[r.source] = taken.get(r.source, 0) + r.n_copies * r["size"]
+        longest[r.source] = max(longest.get(r.source, 0), r["size"])
+    for s, t in fixed_point(sizes, (5.0, 2.0, 1.0)).items():
+        assert abs(target[s] - t) < 1e-6 * max(1, t) and abs(taken[s] - t) <= longest[s]
+
+
+def test_keys_in_strides_or_all_alike_meet_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 10)
+    for key in ("id * 6000", "NULL"):
+        df = spark.range(3000).selectExpr(f"cast({key} AS bigint) AS doc_id", "concat('a b ', id) AS text", "'s' AS source")
+        placed = mixing._placed(mixing._counted(df, "doc_id", "text", "source"), 100)
+        most = placed.groupBy("class", "cell").count().agg({"count": "max"}).first()[0]
+        assert most < 70
+        assert sum(r.n_copies for r in mixing.copies(df).collect()) == sum(r.n_copies for r in mixing.copies(df.repartition(3)).collect()) == 4500
