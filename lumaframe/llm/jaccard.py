@@ -13,7 +13,7 @@ component are skipped, so thousands of copies of a text cost about one compariso
 Only verified links form components. The join runs twice: over the groups of the first
 FIRST bands, then over those groups of all bands that still hold several components,
 which after the first run are few. Groups of equal members are taken once. A group above
-TASK_SHINGLES / 4 is cut into blocks. The first run joins each block and the group's
+WHOLE_SHINGLES is cut into blocks. The first run joins each block and the group's
 smallest set, so a large group of near copies becomes one component at linear cost; the
 second joins what lies outside the group's largest component with every block.
 
@@ -35,8 +35,8 @@ from .shared import small_batches, written
 from .shingles import Bands, digest, shingle_sets
 
 BANDS, ROWS, FIRST = 35, 5, 6
-#: Shingles of a block of a large group, and of a task of small ones; bytes of text scored at once.
-BLOCK_SHINGLES, TASK_SHINGLES, BATCH_BYTES = 150_000, 1_000_000, 2_000_000
+#: Shingles of the largest group that stays whole, of a block of others, and of a task of small ones; bytes of text scored at once.
+WHOLE_SHINGLES, BLOCK_SHINGLES, TASK_SHINGLES, BATCH_BYTES = 250_000, 150_000, 250_000, 2_000_000
 FAN = 8
 NO_KEY = -(2**63)
 
@@ -225,9 +225,12 @@ def _joined(df: DataFrame, rows: DataFrame, size: int, percent: int, key: str, t
     nodes = rows.where("n_shingles > 0").groupBy("set").agg(first, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = nodes.select(F.concat(_ordered(F.col("first.key")), _ordered(F.col("first.own")), F.col("set")).alias("id"), "set", "first.key", "first.own", "n", "bands")
     nodes = written(nodes, "nodes")
-    keys = nodes.select("id", "key", "own", "n", F.posexplode("bands").alias("place", "band"))
-    keys = beside(keys, ["band"], "id", least=(F.min, "id"), most=(F.max, "id")).where("least != most").drop("least", "most")
-    keys = written(keys, "keys")
+    name = F.xxhash64("id").alias("name")
+    keys = nodes.select(name, F.posexplode("bands").alias("place", "band"))
+    # as a table of its own, so that the join of a very common band can be split
+    shared = keys.groupBy("band").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least != most").select("band")
+    keys = keys.join(written(shared, "shared"), "band").join(nodes.select(name, "id", "key", "own", "n"), "name")
+    keys = written(keys.select("id", "key", "own", "n", "place", "band"), "keys")
     texts = df.select(_coded(key).alias("key"), own.alias("own"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     texts = texts.join(keys.select("id", "key", "own").distinct(), ["key", "own"])
     texts = written(texts.groupBy("key", "own").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"), "texts")
@@ -248,7 +251,7 @@ def _links(keys: DataFrame, texts: DataFrame, size: int, percent: int, blockwise
     about = {"least": (F.min, "id"), "lo": (F.min, "comp"), "hi": (F.max, "comp"), "total": (F.sum, "n"), "mark": (F.bit_xor, F.xxhash64("id")), "members": (F.sum, F.lit(1))}
     rows = beside(keys, ["band"], "id", **about).where("lo != hi")
     rows = rows.withColumn("group", F.xxhash64("mark", "members", "least")).dropDuplicates(["group", "id"])  # of groups of equal members one stays
-    blocks = F.when(F.col("total") <= TASK_SHINGLES / 4, 1).otherwise(F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.when(F.col("total") <= WHOLE_SHINGLES, 1).otherwise(F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     rows = written(rows.select("group", "id", "n", "comp", "least", blocks.alias("blocks")), "groups")
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     tasks = max(1, -(-total // TASK_SHINGLES))

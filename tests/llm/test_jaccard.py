@@ -128,6 +128,7 @@ def _texts(rng, groups, copies, words, changed):
 
 def test_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(jaccard, "WHOLE_SHINGLES", 500)
     monkeypatch.setattr(jaccard, "TASK_SHINGLES", 2000)
     docs = list(enumerate(_texts(random.Random(11), 3, 90, 60, 5)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
