@@ -55,7 +55,13 @@ def _extend(partial: DataFrame, spots: DataFrame, dwell: int, speed: float, end:
 
 
 def conflicts(spots: DataFrame, dwell: int = 20) -> DataFrame:
-    """(plan, a, b): pairs of spots of a plan whose best minutes are closer than a visit."""
-    a = spots.select("plan", F.col("pos").alias("a"), F.col("best").alias("x"))
-    b = spots.select("plan", F.col("pos").alias("b"), F.col("best").alias("y"))
-    return a.join(b, "plan").where((F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) < max(10, dwell))).select("plan", "a", "b")
+    """(plan, a, b): pairs of stops of a plan whose best minutes are closer than a visit.
+
+    Stops meet in slots as long as a visit: each looks into its own and the next one.
+    """
+    width = max(10, dwell)
+    slot = F.floor(F.col("best") / width)
+    left = spots.select("plan", F.col("pos").alias("a"), F.col("best").alias("x"), F.explode(F.array(slot, slot + 1)).alias("slot"), slot.alias("own"))
+    right = spots.select("plan", F.col("pos").alias("b"), F.col("best").alias("y"), slot.alias("slot"))
+    near = left.join(right, ["plan", "slot"]).where((F.abs(F.col("x") - F.col("y")) < width) & ((F.col("slot") > F.col("own")) | (F.col("a") < F.col("b"))))
+    return near.select("plan", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

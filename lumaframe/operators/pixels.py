@@ -74,10 +74,13 @@ def nearest_band(h: Column) -> Column:
 
 def bands(pixels: DataFrame, group: list[str]) -> DataFrame:
     """(group, band, share, chroma, L, hue) of pixels that have a hue; bands without pixels have no row."""
-    own = pixels.where(F.col("C") >= CHROMA_FLOOR).withColumn("band", nearest_band(F.col("H")))
-    made = own.groupBy(*group, "band").agg(
-        F.count("*").alias("n"), F.avg("C").alias("chroma"), F.avg("L").alias("L"), colour.hue(F.avg("a"), F.avg("b_")).alias("hue")
-    )
+    # whole degrees first: pixels are summed before bands are named, and grey ones leave afterwards, so that
+    # no filter is pushed below the colour conversion and repeats it
+    chromatic = lambda x: F.sum(F.when(F.col("C") >= CHROMA_FLOOR, x))
+    by_degree = pixels.groupBy(*group, F.floor("H").cast("int").alias("__h")).agg(chromatic(F.lit(1)).alias("n"), *[chromatic(F.col(c)).alias(c) for c in ("C", "L", "a", "b_")])
+    made = by_degree.where("n > 0").withColumn("band", nearest_band(F.col("__h"))).groupBy(*group, "band").agg(*[F.sum(c).alias(c) for c in ("n", "C", "L", "a", "b_")])
+    mean = lambda c: F.col(c) / F.col("n")
+    made = made.select(*group, "band", "n", mean("C").alias("chroma"), mean("L").alias("L"), colour.hue(mean("a"), mean("b_")).alias("hue"))
     return made.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group)))
 
 

@@ -17,7 +17,10 @@ FLAT_EARTH_M, EARTH_M = 6371000.0, 6371008.8
 
 
 def flat_metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return F.hypot(F.radians(lat2 - lat1), F.radians(lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))) * FLAT_EARTH_M
+    """Flat-earth metres, the short way round."""
+    apart = lon2 - lon1
+    apart = F.when(F.abs(apart) > 180, apart - 360 * F.signum(apart)).otherwise(apart)
+    return F.hypot(F.radians(lat2 - lat1), F.radians(apart) * F.cos(F.radians((lat1 + lat2) / 2))) * FLAT_EARTH_M
 
 
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -25,58 +28,94 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_M * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))  # null stays null
 
 
-def within(a: DataFrame, b: DataFrame, metres: float, most_lat: float = 80.0) -> DataFrame:
-    """(a_id, b_id, distance): pairs of (id, lat, lon) rows at most metres apart, flat-earth.
+def within(a: DataFrame, b: DataFrame, metres: float, distance=flat_metres) -> DataFrame:
+    """(a_id, b_id, distance): pairs of (id, lat, lon) rows at most metres apart, all over the globe.
 
-    Cells are metres high and, so that a degree of longitude is never overrated, metres wide
-    at most_lat; latitudes beyond it are not joined. The 180th meridian is an edge.
+    Latitudes are cut into bands a reach high, and each band into as many cells of longitude
+    as have a reach at its end nearer to a pole; at the poles that is one. A row of b is laid
+    out over the cells of three bands that its reach meets, round the 180th meridian too, and
+    meets the rows of a in them. distance is any function of two places that flat_metres or
+    great_circle bounds from below.
     """
     step = math.degrees(metres / FLAT_EARTH_M) * 1.000001
-    wide = step / math.cos(math.radians(most_lat))
-    cell = lambda c, s: F.floor(F.col(c) / s)
-    left = a.where(F.abs("lat") <= most_lat).select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), cell("lat", step).alias("y"), cell("lon", wide).alias("x"))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    right = b.where(F.abs("lat") <= most_lat).select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), cell("lat", step).alias("y0"), cell("lon", wide).alias("x0"))
-    right = right.withColumn("y", F.explode(F.transform(near, lambda k: F.col("y0") + k))).withColumn("x", F.explode(F.transform(near, lambda k: F.col("x0") + k)))
-    d = flat_metres(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    band = lambda lat: F.floor((lat + 90) / step).cast("int")
+    # the cosine of a band's end nearer to a pole, and how many cells it is cut into
+    end = lambda y: F.least(F.lit(90.0), F.greatest(F.abs(y * step - 90), F.abs((y + 1) * step - 90)))
+    cells = lambda y: F.greatest(F.lit(1), F.floor(360 / step * F.cos(F.radians(end(y)))).cast("int"))
+    turn = lambda lon: F.pmod(lon + 180, F.lit(360.0))
+    place = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lon")])
+    left = place(a, "a").withColumn("y", band(F.col("a_lat")))
+    left = left.withColumn("x", F.least(cells(F.col("y")) - 1, F.floor(turn(F.col("a_lon")) / 360 * cells(F.col("y"))).cast("int")))
+    right = place(b, "b").withColumn("y0", band(F.col("b_lat")))
+    right = right.withColumn("y", F.explode(F.array(*[F.col("y0") + k for k in (-1, 0, 1)])))
+    # how far apart in longitude a pair can be: sin(d / 2) of a reach over the smaller cosine of the bands
+    least_cos = F.least(F.cos(F.radians(end(F.col("y")))), F.cos(F.radians(end(F.col("y0")))))
+    wide = F.when(least_cos * 90 > step, F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(math.radians(step / 2)) / least_cos))) * 1.001).otherwise(180.0)
+    n, lon = cells(F.col("y")), turn(F.col("b_lon"))
+    low, high = F.floor((lon - wide) / 360 * n).cast("int"), F.floor((lon + wide) / 360 * n).cast("int")
+    high = F.least(high, low + n - 1)
+    right = right.withColumn("x", F.explode(F.transform(F.sequence(low, high), lambda x: F.pmod(x, n))))
+    d = distance(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     return left.join(right, ["y", "x"]).withColumn("distance", d).where(F.col("distance") <= metres).select("a_id", "b_id", "distance")
 
 
-def cluster(points: DataFrame, reach: float = 60.0, span: float = 250.0) -> DataFrame:
-    """(id, seed): single-link clusters over steps of reach, kept within span of their centre.
+def connected(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, part): each point's connected part, named by its smallest id, over neighbour pairs (a_id, b_id) in both directions.
 
-    Points (id, lat, lon) are first cut into the grid's connected parts by label propagation
-    over the neighbour pairs, since a cluster never leaves its part; each part is then grown
-    in the order of id by one task.
+    Every round takes each point to the smallest part among its neighbours and then follows
+    that part's own part twice, so names travel over doubling distances: rounds grow with the
+    logarithm of a chain's length, not with the length. Rounds are cut by checkpoints.
     """
-    pairs = within(points, points, reach).where("a_id != b_id").select("a_id", "b_id").persist()
     label = points.select("id", F.col("id").alias("part"))
+    cut = bool(points.sparkSession.sparkContext.getCheckpointDir())
     while True:
         near = pairs.join(label.withColumnRenamed("id", "b_id"), "b_id").groupBy(F.col("a_id").alias("id")).agg(F.min("part").alias("near"))
-        new = label.join(near, "id", "left").select("id", F.least("part", F.coalesce("near", "part")).alias("part"))
-        new = new.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        moved = new.join(label.withColumnRenamed("part", "was"), "id").where("part != was").limit(1).count()
-        label = new
+        new = label.join(near, "id", "left").select("id", "part", F.least("part", F.coalesce("near", "part")).alias("new"))
+        # a part whose members see a smaller one is renamed as a whole
+        names = new.groupBy("part").agg(F.min("new").alias("to")).select(F.col("part").alias("__p"), "to")
+        new = new.join(names, F.col("part") == F.col("__p")).select("id", "part", "to")
+        again = names.select(F.col("__p").alias("__q"), F.col("to").alias("further"))
+        new = new.join(again, F.col("to") == F.col("__q"), "left").select("id", "part", F.least("to", F.coalesce("further", "to")).alias("to"))
+        new = new.checkpoint() if cut else new.persist()
+        moved = not new.where("part != to").isEmpty()
+        label = new.select("id", F.col("to").alias("part"))
         if not moved:
-            break
+            return label
+
+
+def cluster(points: DataFrame, reach: float = 60.0, span: float = 250.0) -> DataFrame:
+    """(id, seed): single-link clusters over steps of reach, kept within span of their centre.
+
+    Points (id, lat, lon) are first cut into the grid's connected parts, since a cluster never
+    leaves its part; each part is then grown in the order of id by one task, which looks for
+    neighbours in cells of a reach. The order decides what joins what, so a part is sequential.
+    """
+    pairs = within(points, points, reach).where("a_id != b_id").select("a_id", "b_id").persist()
+    label = connected(points, pairs)
+    pairs.unpersist()
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
         at, n = rows[["lat", "lon"]].to_numpy(float), len(rows)
         free, seed = np.ones(n, bool), np.full(n, -1)
+        step = math.degrees(reach / FLAT_EARTH_M) * 1.000001
+        high = np.floor(at[:, 0] / step).astype(int)
+        near: dict[int, np.ndarray] = {y: np.flatnonzero(np.abs(high - y) <= 1) for y in np.unique(high)}
 
         def metres(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            north = np.radians(b[..., 0] - a[..., 0])
-            east = np.radians(b[..., 1] - a[..., 1]) * np.cos(np.radians((a[..., 0] + b[..., 0]) / 2))
-            return np.hypot(north, east) * FLAT_EARTH_M
+            north, turn = np.radians(b[..., 0] - a[..., 0]), (b[..., 1] - a[..., 1] + 180) % 360 - 180
+            return np.hypot(north, np.radians(turn) * np.cos(np.radians((a[..., 0] + b[..., 0]) / 2))) * FLAT_EARTH_M
 
         for s in range(n):
             if not free[s]:
                 continue
-            free[s], members, queue = False, [s], [s]
-            while queue:
-                origin, found = queue.pop(0), []
-                for c in np.flatnonzero(free & (metres(at, at[origin]) <= reach)):
+            free[s], members, queue, head = False, [s], [s], 0
+            while head < len(queue):
+                origin, found = queue[head], []
+                head += 1
+                band = near[high[origin]]
+                band = band[free[band]]
+                for c in band[metres(at[band], at[origin]) <= reach]:
                     trial = at[[*members, c]]
                     if metres(trial, trial.mean(0)).max() <= span:
                         free[c] = False

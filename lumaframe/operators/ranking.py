@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.functions import vectors
+from lumaframe.functions import colour, vectors
 
 from . import pixels
 
@@ -26,13 +26,6 @@ def _beside(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(F.broadcast(one))
 
 
-def min_max(value: str) -> Column:
-    """value scaled to 0..1 over all rows; 0 if all are equal."""
-    every = Window.partitionBy()
-    low, high = F.min(value).over(every), F.max(value).over(every)
-    return (F.col(value) - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
-
-
 def similar(reference: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, comp, col): distance in composition and in colour from the reference, each over its range.
 
@@ -62,18 +55,26 @@ def blended(scores: DataFrame, weight: float = 0.6, n: int = 30) -> DataFrame:
 def looks(rows: DataFrame, image: str) -> DataFrame:
     """One look for each image of pixels with L, a, b_ and C: curve, cast, chroma, spread and split.
 
-    All parts are sums or small histograms, combined before they are shuffled.
+    Pixels are read and converted once: they are summed by lightness bin, which is at most
+    HIST_BINS rows for each image before anything is shuffled.
     """
-    whole = rows.groupBy(F.col(image).alias("id")).agg(*pixels.moments(F.lit(1.0)))
-    counts = rows.groupBy(F.col(image).alias("id"), pixels.histogram_bin(F.col("L")).alias("bin")).agg(F.count("*").cast("double").alias("n"))
-    steps = pixels.histogram_percentiles(counts, ["id"])
-    curve = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "level"))).alias("c")).select("id", F.transform("c", lambda x: x["level"]).alias("curve"))
-    ends = pixels.zones(rows).groupBy(F.col(image).alias("id")).pivot("zone", ["zone.shadow", "zone.highlight"]).agg(
-        F.floor(F.sum("w") + 0.5).alias("n"), (F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("a"), (F.sum(F.col("w") * F.col("b_")) / F.sum("w")).alias("b")
-    )
-    of = lambda z: F.struct(*[F.col(f"`{z}_{c}`").alias(c) for c in "nab"])
-    both = whole.join(curve, "id").join(ends.select("id", of("zone.shadow").alias("shadow"), of("zone.highlight").alias("highlight")), "id", "left")
-    return both.select("id", "curve", F.col("a_mean").alias("a"), F.col("b_mean").alias("b"), F.col("C_mean").alias("chroma"), F.col("L_sd").alias("spread"), "shadow", "highlight")
+    z = colour.zone_weights(F.col("L"))
+    ends = {"shadow": 0, "highlight": 2}
+    rows = rows.select(F.col(image).alias("id"), pixels.histogram_bin(F.col("L")).alias("bin"), "L", "a", "b_", "C", *[F.get(z, F.lit(i))["w"].alias(f"w_{n}") for n, i in ends.items()])
+    sums = {"L": F.col("L"), "LL": F.col("L") * F.col("L"), "C": F.col("C"), "a": F.col("a"), "b": F.col("b_")}
+    for n in ends:
+        sums |= {f"n_{n}": F.col(f"w_{n}"), f"a_{n}": F.col(f"w_{n}") * F.col("a"), f"b_{n}": F.col(f"w_{n}") * F.col("b_")}
+    bins = rows.groupBy("id", "bin").agg(F.count("*").cast("double").alias("n"), *[F.sum(v).alias(f"s_{k}") for k, v in sums.items()])
+    along = Window.partitionBy("id").orderBy("bin")
+    bins = bins.withColumn("cum", F.sum("n").over(along)).withColumn("all", F.sum("n").over(Window.partitionBy("id")))
+    last = pixels.STEPS - 1
+    reached = [F.min(F.when(F.col("cum") >= F.lit(k) / F.lit(float(last)) * F.col("all"), F.col("bin"))).alias(f"q_{k}") for k in range(1, last + 1)]
+    whole = bins.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(f"s_{k}").alias(f"s_{k}") for k in sums], *reached)
+    mean = lambda k: F.col(f"s_{k}") / F.col("n")
+    end = lambda n: F.when(F.col(f"s_n_{n}") > 0, F.struct(F.floor(F.col(f"s_n_{n}") + 0.5).alias("n"), *[(F.col(f"s_{c}_{n}") / F.col(f"s_n_{n}")).alias(c) for c in "ab"])).alias(n)
+    curve = F.array(F.lit(0.0), *[F.col(f"q_{k}") / F.lit(float(pixels.HIST_BINS - 1)) for k in range(1, last + 1)])
+    spread = F.sqrt(F.greatest(F.lit(0.0), mean("LL") - mean("L") * mean("L")))
+    return whole.select("id", curve.alias("curve"), mean("a").alias("a"), mean("b").alias("b"), mean("C").alias("chroma"), spread.alias("spread"), end("shadow"), end("highlight"))
 
 
 def _split(p: str, least: int) -> Column:

@@ -28,8 +28,9 @@ def skyline(edges: DataFrame, key: list[str], step: float = 1.0, radius: float =
     rows = rows.withColumn("__f", bearing(F.col("ax"), F.col("ay")))
     sweep = F.pmod(bearing(F.col("bx"), F.col("by")) - F.col("__f") + 180, F.lit(360.0)) - 180
     rows = rows.withColumn("__s", sweep).withColumn("__first", F.col("__f") + F.least(F.lit(0.0), F.col("__s")))
-    n = F.floor(F.abs("__s") / step).cast("int") + 2
-    rows = rows.withColumn("bin", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda k: F.pmod(F.floor((F.col("__first") + k * step) / step + 0.5), F.lit(round(360 / step)))))))
+    start, bins = F.floor(F.col("__first") / step), round(360 / step)
+    end = F.least(F.ceil((F.col("__first") + F.abs("__s")) / step), start + bins - 1)
+    rows = rows.withColumn("bin", F.explode(F.sequence(start, F.greatest(start, end)))).withColumn("bin", F.pmod(F.col("bin"), F.lit(bins)))
     ux, uy = F.sin(F.radians(F.col("bin") * step)), F.cos(F.radians(F.col("bin") * step))
     ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     det = ux * ey - uy * ex
@@ -81,6 +82,16 @@ def swept_hull(rings: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def ring_area(ring: Column) -> Column:
+    """Area of a ring, an array of [x, y] without its first point again at the end."""
+    n = F.size(ring)
+    def cross(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, n))
+        return a[0] * b[1] - b[0] * a[1]
+
+    return F.abs(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), cross), F.lit(0.0), lambda s, v: s + v)) / 2
+
+
 def cast_shadows(buildings: DataFrame, azimuth: Column, altitude: Column) -> DataFrame:
     """buildings (ring, height) with length and shadow, the footprint swept away from the sun; null below the horizon."""
     rows = buildings.withColumn("length", shadow_length(F.col("height"), altitude)).where("length is not null")
@@ -107,11 +118,24 @@ def shadow_mask(cells: DataFrame, azimuth: float, altitude: float, metres: float
 
     def sweep(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("along", ascending=False, ignore_index=True)
-        d, h = -rows["along"].to_numpy(float) * step, rows["height"].to_numpy(float)
-        shaded = np.zeros(len(rows), bool)
+        x, h = -rows["along"].to_numpy(float) * step, rows["height"].to_numpy(float)
+        x = x - x[0]
+        # the ray over cell j comes down to h_j - (x - x_j) * slope - (x - x_j)**2 / 2R at x: but for what all
+        # share, a line in x of slope x_j / R. The highest line at rising x is found along an upper envelope.
+        rise, level = x / EFFECTIVE_RADIUS_M, h - x * x / (2 * EFFECTIVE_RADIUS_M) + x * slope
+        shaded, kept, at = np.zeros(len(rows), bool), [0], 0
         for i in range(1, len(rows)):
-            away = d[i] - d[:i]
-            shaded[i] = (h[:i] - away * away / (2 * EFFECTIVE_RADIUS_M) > h[i] + away * slope).any()
+            at = min(at, len(kept) - 1)
+            while at + 1 < len(kept) and level[kept[at + 1]] + rise[kept[at + 1]] * x[i] >= level[kept[at]] + rise[kept[at]] * x[i]:
+                at += 1
+            j, away = kept[at], x[i] - x[kept[at]]
+            shaded[i] = h[j] - away * away / (2 * EFFECTIVE_RADIUS_M) > h[i] + away * slope
+            while len(kept) > 1:
+                p, q = kept[-2], kept[-1]
+                if (level[i] - level[p]) * (rise[q] - rise[p]) < (level[q] - level[p]) * (rise[i] - rise[p]):
+                    break
+                kept.pop()
+            kept.append(i)
         return pd.DataFrame({"row": rows["row"], "col": rows["col"], "shaded": shaded})
 
     kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("row", "col"))

@@ -15,11 +15,14 @@ from lumaframe.operators import archive, grade, pixels, ranking, texture
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, also: str | None = None):
+    """Registers a query under its function's name, and under also, a name that it had before."""
+
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        for name in (f.__name__, *([also] if also else [])):
+            QUERIES[name] = f
+            if sql:
+                ORACLES[name] = sql
         return f
 
     return add
@@ -411,9 +414,9 @@ def resemble_rank(spark, sf_dir):
     return ranked.select("id", F.round("distance", 4).alias("distance"), F.array_contains("missing", "split").alias("no_split"))
 
 
-@query("""SELECT vec_id AS id, list_transform(embedding, lambda x: floor(x::DOUBLE/sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))*100000+0.5)/100000) AS v FROM embeddings WHERE vec_id < 40""")
+@query("""SELECT vec_id AS id, list_transform(embedding, lambda x: floor(x::DOUBLE/sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))*100000+0.5)/100000) AS v FROM embeddings""")
 def unit_vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("id"), vectors.normalised(F.col("embedding").cast("array<double>")).alias("v"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.normalised(F.col("embedding").cast("array<double>")).alias("v"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS id, [{'x': 0.0, 'y': 0.0}, {'x': 60.0 + c_custkey%40, 'y': 90.0}, {'x': 255.0, 'y': 255.0}] AS p FROM customer)
@@ -434,17 +437,9 @@ def comparison_report(spark, sf_dir):
     return both.select("region", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("comparable"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) FILTER (p_partkey%50 = 0) AS ids FROM part")
+@query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part", also="stamp_all")
 def stamp(spark, sf_dir):
-    """One row that identifies a record set."""
-    rows = table(spark, sf_dir, "part")
-    ids = F.array_sort(F.collect_list(F.when(F.col("p_partkey") % 50 == 0, F.col("p_partkey"))))
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("chapters"), F.array_join(ids, ",").alias("ids"))
-
-
-@query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part")
-def stamp_all(spark, sf_dir):
-    """stamp with every id."""
+    """One row that identifies a record set, all its ids in order."""
     rows = table(spark, sf_dir, "part")
     ids = F.array_sort(F.collect_list("p_partkey"))
     return rows.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("chapters"), F.array_join(ids, ",").alias("ids"))

@@ -37,7 +37,7 @@ def _asof(spark, sf_dir, tolerance, skip):
     reading = F.min("value") if not skip else F.min(F.when(F.col("event_id") % 2 == 0, F.col("value")))
     feed = rows.where("event_id % 3 = 0").groupBy("at").agg(reading.alias("reading"))
     probes = rows.where("event_id % 3 <> 0").select("event_id", "at")
-    return timeline.nearest_in_time(probes, feed, "event_id", "at", tolerance, ["reading"], "reading" if skip else None).drop("at")
+    return timeline.nearest_in_time(probes, feed, "at", tolerance, ["reading"], "reading" if skip else None).drop("at")
 
 
 @query(_asof_sql("", 3600))
@@ -86,19 +86,10 @@ def lit_ahead(spark, sf_dir):
     return _windows(spark, sf_dir).where("lit").groupBy("user_id").agg(F.sum(left).cast("long").alias("ahead"))
 
 
-@query(f"""WITH {E_SQL}, a AS (SELECT sec AS s, sec + floor(value*3)::BIGINT AS t FROM e WHERE event_id%40 = 0), b AS (SELECT sec + 30 AS s, sec + 30 + floor(value*5)::BIGINT AS t FROM e WHERE event_id%40 = 7)
-SELECT greatest(a.s, b.s) AS "start", least(a.t, b.t) AS "end" FROM a JOIN b ON greatest(a.s, b.s) < least(a.t, b.t)""")
-def interval_intersect(spark, sf_dir):
-    rows = samples(spark, sf_dir).withColumn("k", F.lit(0))
-    a = rows.where("event_id % 40 = 0").select("k", F.col("at").alias("start"), (F.col("at") + F.floor(F.col("value") * 3)).alias("end"))
-    b = rows.where("event_id % 40 = 7").select("k", (F.col("at") + 30).alias("start"), (F.col("at") + 30 + F.floor(F.col("value") * 5)).alias("end"))
-    return timeline.intersections(a, b, ["k"], 600).drop("k")
-
-
 @query(f"""WITH {E_SQL}, a AS (SELECT sec AS s, sec + floor(value*3)::BIGINT AS t FROM e WHERE event_id%2 = 0), b AS (SELECT sec + 30 AS s, sec + 30 + floor(value*5)::BIGINT AS t FROM e WHERE event_id%2 <> 0)
-SELECT greatest(a.s, b.s) AS "start", least(a.t, b.t) AS "end" FROM a JOIN b ON greatest(a.s, b.s) < least(a.t, b.t)""")
-def interval_intersect_all(spark, sf_dir):
-    """interval_intersect over every event, dealt to the two sides by the parity of its id."""
+SELECT greatest(a.s, b.s) AS "start", least(a.t, b.t) AS "end" FROM a JOIN b ON greatest(a.s, b.s) < least(a.t, b.t)""", also="interval_intersect_all")
+def interval_intersect(spark, sf_dir):
+    """Overlaps of the events' intervals; an event is on one side or the other by the parity of its id."""
     rows = samples(spark, sf_dir).withColumn("k", F.lit(0))
     a = rows.where("event_id % 2 = 0").select("k", F.col("at").alias("start"), (F.col("at") + F.floor(F.col("value") * 3)).alias("end"))
     b = rows.where("event_id % 2 <> 0").select("k", (F.col("at") + 30).alias("start"), (F.col("at") + 30 + F.floor(F.col("value") * 5)).alias("end"))
@@ -146,26 +137,39 @@ def positive_intervals(spark, sf_dir):
 
 
 SPOT = "c_custkey%160 - 80 + (c_custkey*37%1000)/1000e0"
-PAIR_SQL = f"""(SELECT c_custkey AS id, {SPOT} AS lat1, c_custkey*7%360 - 180e0 AS lon1, s_suppkey AS sid, s_suppkey*13%140 - 70e0 AS lat2, s_suppkey*29%360 - 180e0 AS lon2 FROM customer JOIN supplier ON c_nationkey = s_nationkey)"""
+PAIR_SQL = f"""(SELECT l_orderkey AS id, l_linenumber AS line, {SPOT} AS lat1, c_custkey*7%360 - 180e0 AS lon1, l_suppkey AS sid, l_suppkey*13%140 - 70e0 AS lat2, l_suppkey*29%360 - 180e0 AS lon2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
 def pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{SPOT} AS lat1", "c_custkey*7%360 - 180e0 AS lon1", "c_nationkey")
-    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS sid", "s_suppkey*13%140 - 70e0 AS lat2", "s_suppkey*29%360 - 180e0 AS lon2", "s_nationkey")
-    return c.join(s, c.c_nationkey == s.s_nationkey).drop("c_nationkey", "s_nationkey")
+    """(id, line, lat1, lon1, sid, lat2, lon2): for each line item its customer's place and its supplier's."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{SPOT} AS lat1", "c_custkey*7%360 - 180e0 AS lon1")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.selectExpr("l_orderkey AS id", "l_linenumber AS line", "lat1", "lon1", "l_suppkey AS sid", "l_suppkey*13%140 - 70e0 AS lat2", "l_suppkey*29%360 - 180e0 AS lon2")
+
 
+PLACE_SQL = f"""c AS (SELECT c_custkey AS id, {SPOT} AS lat, c_custkey*7%360 - 180e0 AS lon FROM customer), s AS (SELECT s_suppkey AS id, s_suppkey*13%140 - 70e0 AS lat, s_suppkey*29%360 - 180e0 AS lon FROM supplier)"""
 
-@query(f"SELECT id, sid, round(distance, 2) AS distance, round(bearing, 6) AS bearing, compass, eighth, round(flat, 2) AS flat FROM {geodesy.INVERSE.sql(PAIR_SQL)}")
+
+@query(f"""WITH v AS (SELECT *, cos(radians(lat1))*cos(radians(lon1)) AS x1, cos(radians(lat1))*sin(radians(lon1)) AS y1, sin(radians(lat1)) AS z1, cos(radians(lat2))*cos(radians(lon2)) AS x2, cos(radians(lat2))*sin(radians(lon2)) AS y2, sin(radians(lat2)) AS z2 FROM {PAIR_SQL}),
+d AS (SELECT *, 6371008.8e0*atan2(sqrt(pow(y1*z2 - z1*y2, 2) + pow(z1*x2 - x1*z2, 2) + pow(x1*y2 - y1*x2, 2)), x1*x2 + y1*y2 + z1*z2) AS distance,
+  atan2(x1*y2 - y1*x2, z2*(x1*x1 + y1*y1) - z1*(x1*x2 + y1*y2)) AS course FROM v),
+b AS (SELECT *, CASE WHEN course < 0 THEN degrees(course) + 360 ELSE degrees(course) END AS bearing FROM d)
+SELECT id, line, sid, round(distance, 2) AS distance, round(bearing, 6) AS bearing, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW', 'N'][round(bearing/22.5e0)::INT + 1] AS compass,
+['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW', 'N'][round(bearing/45e0)::INT + 1] AS eighth, round(6371000e0*pi()/180*sqrt(pow(lat2 - lat1, 2) + pow((lon2 - lon1)*cos(radians((lat1 + lat2)/2)), 2)), 2) AS flat FROM b""")
 def haversine_bearing(spark, sf_dir):
+    """Distances and courses of every line item; the SQL takes them from vectors in space."""
     found = geodesy.INVERSE.on(pairs(spark, sf_dir))
-    return found.selectExpr("id", "sid", "round(distance, 2) AS distance", "round(bearing, 6) AS bearing", "compass", "eighth", "round(flat, 2) AS flat")
+    return found.selectExpr("id", "line", "sid", "round(distance, 2) AS distance", "round(bearing, 6) AS bearing", "compass", "eighth", "round(flat, 2) AS flat")
 
 
-@query(f"SELECT id, sid FROM {geodesy.INVERSE.sql(PAIR_SQL)} WHERE distance <= 4000000 AND abs(lat1 - lat2) <= 36")
+@query(f"""WITH {PLACE_SQL} SELECT c.id AS a_id, s.id AS b_id, round(d, 2) AS distance FROM (SELECT c.id AS ci, s.id AS si,
+2*6371008.8e0*asin(least(1, sqrt(pow(sin(radians(s.lat - c.lat)/2), 2) + cos(radians(c.lat))*cos(radians(s.lat))*pow(sin(radians(s.lon - c.lon)/2), 2)))) AS d FROM c, s) q JOIN c ON c.id = ci JOIN s ON s.id = si WHERE d <= 900000""")
 def radius_filter(spark, sf_dir):
-    """Within a radius, behind the latitude band that the radius implies."""
-    near = pairs(spark, sf_dir).where("abs(lat1 - lat2) <= 36")
-    return geodesy.INVERSE.on(near).where("distance <= 4000000").select("id", "sid")
+    """Suppliers within 900 km of each customer on the sphere, by grid cells; the SQL tries all pairs."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{SPOT} AS lat", "c_custkey*7%360 - 180e0 AS lon")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_suppkey*13%140 - 70e0 AS lat", "s_suppkey*29%360 - 180e0 AS lon")
+    return places.within(c, s, 900_000.0, places.great_circle).select("a_id", "b_id", F.round("distance", 2).alias("distance"))
 
 
 DIRECT_SQL = f"(SELECT c_custkey AS id, {SPOT} AS lat1, c_custkey*7%360 - 180e0 AS lon1, c_custkey*11%360 + 0e0 AS course, 1000e0*(c_custkey%3000 + 1) AS metres FROM customer)"
@@ -177,10 +181,14 @@ def destination(spark, sf_dir):
     return geodesy.DIRECT.on(rows).selectExpr("id", "round(lat, 6) AS lat", "round(lon, 6) AS lon", "round(wrapped, 6) AS wrapped")
 
 
-@query(f"SELECT id, sid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {geodesy.BETWEEN.sql('(SELECT *, 0.3e0 AS part FROM ' + PAIR_SQL + ')')}")
+@query(f"""WITH v AS (SELECT *, cos(radians(lat1))*cos(radians(lon1)) AS x1, cos(radians(lat1))*sin(radians(lon1)) AS y1, sin(radians(lat1)) AS z1, cos(radians(lat2))*cos(radians(lon2)) AS x2, cos(radians(lat2))*sin(radians(lon2)) AS y2, sin(radians(lat2)) AS z2 FROM {PAIR_SQL}),
+w AS (SELECT *, acos(greatest(-1, least(1, x1*x2 + y1*y2 + z1*z2))) AS a FROM v), m AS (SELECT *, sin(0.7e0*a)/sin(a) AS p, sin(0.3e0*a)/sin(a) AS q FROM w WHERE a BETWEEN 1e-6 AND pi() - 1e-6)
+SELECT id, line, round(degrees(asin(greatest(-1, least(1, p*z1 + q*z2)))), 4) AS lat, round(degrees(atan2(p*y1 + q*y2, p*x1 + q*x2)), 4) AS lon FROM m""")
 def great_circle_point(spark, sf_dir):
+    """The point three tenths along each line item's great circle; none between antipodes or for one place."""
     found = geodesy.BETWEEN.on(pairs(spark, sf_dir).withColumn("part", F.lit(0.3)))
-    return found.selectExpr("id", "sid", "round(lat, 6) AS lat", "round(lon, 6) AS lon")
+    found = found.where("lat IS NOT NULL AND NOT (lat1 = lat2 AND lon1 = lon2)")
+    return found.selectExpr("id", "line", "round(lat, 4) AS lat", "round(lon, 4) AS lon")
 
 
 TILE_SQL = f"(SELECT c_custkey AS id, {SPOT} AS lat, c_custkey*7%360 - 180e0 AS lon, 7 + c_custkey%7 AS zoom FROM customer)"
@@ -259,18 +267,10 @@ def core_position(spark, sf_dir):
 
 
 DAY_OUT = ["id", "round(solar_noon, 1) AS noon", "round(sunrise, 1) AS sunrise", "round(sunset, 1) AS sunset", "polar"]
-DAYS_SQL = f"(SELECT * FROM {TIMES_SQL} WHERE id%10 = 1)"
-
 
-@query(f"SELECT {', '.join(DAY_OUT)} FROM {sky.DAY.sql(DAYS_SQL)}")
+@query(f"SELECT {', '.join(DAY_OUT)} FROM {sky.DAY.sql(TIMES_SQL)}", also="sun_times_all")
 def sun_times(spark, sf_dir):
-    """Noon, rise and set of one order in ten; sun_times_all has every order."""
-    return sky.DAY.on(instants(spark, sf_dir).where("id % 10 = 1")).selectExpr(*DAY_OUT)
-
-
-@query(f"SELECT {', '.join(DAY_OUT)} FROM {sky.DAY.sql(TIMES_SQL)}")
-def sun_times_all(spark, sf_dir):
-    """Noon, rise and set of every order."""
+    """Noon, rise and set for every order."""
     return sky.DAY.on(instants(spark, sf_dir)).selectExpr(*DAY_OUT)
 
 
@@ -422,24 +422,23 @@ def terrain_shadow(spark, sf_dir):
     return terrain.shadow_mask(heights(spark, sf_dir), 90.0, 12.0, 30.0)
 
 
-@query("SELECT p_partkey AS id, round(least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)), 6) AS length, 6 AS corners FROM part WHERE p_partkey%4 <> 0")
+@query("""WITH l AS (SELECT p_partkey AS id, least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)) AS length, radians(p_partkey%4*90 + 213e0) AS away FROM part),
+d AS (SELECT id, length, length*sin(away) AS dx, length*cos(away) AS dy FROM l)
+SELECT id, round(length, 6) AS length, 6 AS corners, round(64 + 8*(abs(dx) + abs(dy)), 4) AS area, round(least(0, dx), 4) AS west, round(8 + greatest(0, dx), 4) AS east, round(least(0, dy), 4) AS south, round(8 + greatest(0, dy), 4) AS north FROM d""", also="cast_shadow_all")
 def cast_shadow(spark, sf_dir):
-    """Shadows of square footprints under a sun that is off their diagonals."""
-    return _shadows(table(spark, sf_dir, "part").where("p_partkey % 4 <> 0"))
-
-
-@query("SELECT p_partkey AS id, round(least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)), 6) AS length, 6 AS corners FROM part")
-def cast_shadow_all(spark, sf_dir):
-    """cast_shadow of every part."""
-    return _shadows(table(spark, sf_dir, "part"))
+    """Shadows of square footprints under a sun that is off their diagonals: corners, area and box.
 
-
-def _shadows(part):
+    The SQL has the area of a square swept along a line in closed form.
+    """
     p = F.col("p_partkey")
     corner = lambda x, y: F.array(F.lit(float(x)), F.lit(float(y)))
-    rows = part.select(p.alias("id"), F.array(corner(0, 0), corner(8, 0), corner(8, 8), corner(0, 8)).alias("ring"), (F.col("p_size") + 2).cast("double").alias("height"))
+    rows = table(spark, sf_dir, "part").select(p.alias("id"), F.array(corner(0, 0), corner(8, 0), corner(8, 8), corner(0, 8)).alias("ring"), (F.col("p_size") + 2).cast("double").alias("height"))
     found = terrain.cast_shadows(rows, F.col("id") % 4 * 90.0 + 33, (F.col("id") % 40 + 1).cast("double"))
-    return found.select("id", F.round("length", 6).alias("length"), F.size("shadow").alias("corners"))
+    side = lambda f, i: F.round(f(F.transform("shadow", lambda q: q[i])), 4)
+    return found.select(
+        "id", F.round("length", 6).alias("length"), F.size("shadow").alias("corners"), F.round(terrain.ring_area(F.col("shadow")), 4).alias("area"),
+        side(F.array_min, 0).alias("west"), side(F.array_max, 0).alias("east"), side(F.array_min, 1).alias("south"), side(F.array_max, 1).alias("north"),
+    )
 
 
 @query()
@@ -508,15 +507,9 @@ def star_trails(spark, sf_dir):
 BAND_OUT = ["id", "round(r_lo, 1) AS low_rise", "round(s_lo, 1) AS low_set", "round(r_hi, 1) AS high_rise", "round(s_hi, 1) AS high_set", "kind"]
 
 
-@query(f"SELECT {', '.join(BAND_OUT)} FROM {sky.GOLDEN.sql(DAYS_SQL)}")
+@query(f"SELECT {', '.join(BAND_OUT)} FROM {sky.GOLDEN.sql(TIMES_SQL)}", also="golden_hours_all")
 def golden_hours(spark, sf_dir):
     """Where golden light begins and ends, morning and evening, with the polar cases named."""
-    return sky.GOLDEN.on(instants(spark, sf_dir).where("id % 10 = 1")).selectExpr(*BAND_OUT)
-
-
-@query(f"SELECT {', '.join(BAND_OUT)} FROM {sky.GOLDEN.sql(TIMES_SQL)}")
-def golden_hours_all(spark, sf_dir):
-    """golden_hours of every order."""
     return sky.GOLDEN.on(instants(spark, sf_dir)).selectExpr(*BAND_OUT)
 
 
@@ -536,15 +529,14 @@ def core_nights(spark, sf_dir):
     return found
 
 
-@query("""WITH s AS (SELECT c_custkey%50 AS spot, c_custkey AS visit, (c_custkey*37%900)/10e0 AS altitude FROM customer), p AS (SELECT s_suppkey AS id, s_suppkey%50 AS spot, (s_suppkey*53%900)/10e0 AS altitude FROM supplier)
-SELECT id, visit, round(abs(s.altitude - p.altitude), 6) AS off FROM p JOIN s USING (spot) QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(s.altitude - p.altitude), visit) = 1""")
+@query("""WITH s AS (SELECT c_custkey%50 AS spot, c_custkey AS visit, (c_custkey*37%900)/10e0 AS altitude, c_custkey*13%360 AS azimuth FROM customer), p AS (SELECT s_suppkey AS id, s_suppkey%50 AS spot, (s_suppkey*53%900)/10e0 AS altitude, s_suppkey*29%360 AS azimuth FROM supplier)
+SELECT id, visit, round(abs(s.altitude - p.altitude), 6) AS off, least(abs(s.azimuth - p.azimuth), 360 - abs(s.azimuth - p.azimuth))::DOUBLE AS round_ FROM p JOIN s USING (spot) QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(s.altitude - p.altitude), visit) = 1""")
 def closest_visit(spark, sf_dir):
-    """The visit of the same spot whose sun stood nearest to a given altitude."""
-    visits = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("spot"), F.col("c_custkey").alias("visit"), (F.col("c_custkey") * 37 % 900 / 10.0).alias("v"))
-    probes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50).alias("spot"), (F.col("s_suppkey") * 53 % 900 / 10.0).alias("a"))
-    off = F.abs(F.col("v") - F.col("a"))
-    best = F.min_by(F.struct("visit", off.alias("off")), F.struct(off, "visit"))
-    return probes.join(visits, "spot").groupBy("id").agg(best.alias("b")).select("id", "b.visit", F.round("b.off", 6).alias("off"))
+    """The visit of the same spot whose sun stood nearest to a given altitude, and how far round it was."""
+    visits = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("spot"), F.col("c_custkey").alias("visit"), (F.col("c_custkey") * 37 % 900 / 10.0).alias("altitude"), (F.col("c_custkey") * 13 % 360).cast("double").alias("azimuth"))
+    probes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50).alias("spot"), (F.col("s_suppkey") * 53 % 900 / 10.0).alias("altitude"), (F.col("s_suppkey") * 29 % 360).cast("double").alias("aim"))
+    found = timeline.nearest_value(probes, visits, ["spot"], "altitude", "visit", ["visit", "azimuth"]).where("visit IS NOT NULL")
+    return found.select("id", "visit", F.round("off", 6).alias("off"), colour.circular_distance(F.col("azimuth"), F.col("aim")).alias("round_"))
 
 
 @query(f"""WITH p AS ({TOWN}), n AS (SELECT id, lat, lon FROM p WHERE id%3 = 0), o AS (SELECT id, lat, lon FROM p WHERE id%3 <> 0),

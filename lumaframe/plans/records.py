@@ -109,32 +109,17 @@ def day_plan(spark, sf_dir):
     return itinerary.day_plans(plan_spots(spark, sf_dir).withColumn("plan", F.floor(F.col("pos") / itinerary.MOST)))
 
 
-@query("""WITH s AS (SELECT c_nationkey AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best FROM customer WHERE c_custkey%4 = 0)
-SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20""")
-def plan_conflicts(spark, sf_dir):
-    return itinerary.conflicts(plan_spots(spark, sf_dir).where("pos % 4 = 0"))
-
-
 @query("""WITH s AS (SELECT c_nationkey AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best FROM customer)
-SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20""")
-def plan_conflicts_all(spark, sf_dir):
-    """plan_conflicts of every customer."""
+SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20""", also="plan_conflicts_all")
+def plan_conflicts(spark, sf_dir):
+    """Stops of a nation whose best minutes are too close for a visit to both; every customer is a stop."""
     return itinerary.conflicts(plan_spots(spark, sf_dir))
 
 
-@query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part WHERE p_partkey%10 = 3 GROUP BY 1""")
+@query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part GROUP BY 1""", also="sequence_export_all")
 def sequence_export(spark, sf_dir):
-    return _sequences(table(spark, sf_dir, "part").where("p_partkey % 10 = 3"))
-
-
-@query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part GROUP BY 1""")
-def sequence_export_all(spark, sf_dir):
-    """sequence_export of every part."""
-    return _sequences(table(spark, sf_dir, "part"))
-
-
-def _sequences(part):
-    rows = part.withColumn("brand", F.col("p_brand")).withColumn("pos", F.col("p_partkey"))
+    """Every part in its brand's sequence."""
+    rows = table(spark, sf_dir, "part").withColumn("brand", F.col("p_brand")).withColumn("pos", F.col("p_partkey"))
     return sinks.sequence_json(rows, "brand", "p_brand", "pos", ["p_partkey", "p_size"]).select("brand", "body")
 
 
@@ -145,18 +130,19 @@ def aligned_report(spark, sf_dir):
     return sinks.aligned(rows, "region", "n_nationkey", "n_name", "note")
 
 
-@query("""SELECT p_partkey AS id, '<rdf:Description' || chr(10) || '  crs:Exposure="' || p_size || '"' || CASE WHEN p_partkey%3 = 0 THEN '' ELSE chr(10) || '  crs:Name="' || p_brand || '"' END || '/>' AS preset FROM part""")
+@query("""SELECT p_partkey AS id, '<rdf:Description' || chr(10) || '  crs:Exposure="' || p_size || '"' || CASE WHEN p_partkey%3 = 0 THEN '' ELSE chr(10) || '  crs:Name="&lt;' || p_brand || ' &amp; &quot;' || p_type || '&quot;&gt;"' END || '/>' AS preset FROM part""")
 def preset_text(spark, sf_dir):
-    fields = {"Exposure": F.col("p_size"), "Name": F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand"))}
+    fields = {"Exposure": F.col("p_size"), "Name": F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("<"), "p_brand", F.lit(' & "'), "p_type", F.lit('">')))}
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), sinks.preset(fields).alias("preset"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, p_partkey%100 - 50 + 0e0 AS x, p_partkey*7%100 - 50 + 0e0 AS y FROM part) SELECT id, abs(x) + abs(y) < 40 AS inside, abs(x) <= 25 AND abs(y) <= 25 AS boxed FROM b WHERE abs(abs(x) + abs(y) - 40) > 0""")
+@query("""WITH b AS (SELECT p_partkey AS id, p_partkey%100 - 50 + 0e0 AS x, p_partkey*7%100 - 50 + 0e0 AS y FROM part), e AS (SELECT * FROM (VALUES (40e0, 0e0, 0e0, 40e0), (0e0, 40e0, -40e0, 0e0), (-40e0, 0e0, 0e0, -40e0), (0e0, -40e0, 40e0, 0e0)) v(ax, ay, bx, by_))
+SELECT id, count(*) FILTER (ay <= y AND y < by_ AND (x - ax)*(by_ - ay) < (y - ay)*(bx - ax) OR by_ <= y AND y < ay AND (x - ax)*(by_ - ay) > (y - ay)*(bx - ax))%2 = 1 AS inside, any_value(abs(x) <= 25 AND abs(y) <= 25) AS boxed FROM b, e GROUP BY id""")
 def ring_and_box(spark, sf_dir):
     """Points inside a diamond, by crossings, and inside a box."""
     corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
     ring = F.array(corner(40, 0), corner(0, 40), corner(-40, 0), corner(0, -40))
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey%100 - 50 + 0e0 AS x", "p_partkey*7%100 - 50 + 0e0 AS y").where("abs(abs(x) + abs(y) - 40) > 0")
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey%100 - 50 + 0e0 AS x", "p_partkey*7%100 - 50 + 0e0 AS y")
     return rows.select("id", places.in_ring(ring, F.col("x"), F.col("y")).alias("inside"), ((F.abs("x") <= 25) & (F.abs("y") <= 25)).alias("boxed"))
 
 

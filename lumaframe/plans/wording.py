@@ -159,19 +159,23 @@ def labels(spark, sf_dir):
     )
 
 
-WINDOW_SQL = "SELECT o_custkey AS id, o_orderkey*37%1380 AS s, o_orderkey*37%1380 + 5 + o_orderkey%50 AS t, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey*37%1380, o_orderkey) AS k FROM orders"
+# places have from one window to some dozen, as the divisor makes places of one order or of several
+PLACE = "o_orderkey//(1 + o_custkey%5)"
+WINDOW_SQL = f"SELECT {PLACE} AS id, o_orderkey*37%1380 AS s, o_orderkey*37%1380 + 5 + o_orderkey%50 AS t, o_orderkey AS o, row_number() OVER (PARTITION BY {PLACE} ORDER BY o_orderkey*37%1380, o_orderkey) AS k FROM orders"
 
 
-@query(f"""WITH w AS (SELECT * FROM ({WINDOW_SQL}) WHERE k <= 1 + id%6 AND id%7 <> 0), a AS (SELECT id, count(*) AS n, sum(t - s)::BIGINT AS total, min(s) AS first_, arg_max(t, k) AS last_, list({CLOCK_SQL.format('s')} || '–' || {CLOCK_SQL.format('t')} ORDER BY k) AS spans FROM w GROUP BY id)
-SELECT c_custkey AS id, CASE WHEN n IS NULL THEN 'No direct sun here today.' WHEN n > 3 THEN 'Sun in ' || n || ' spells, ' || {_duration_sql('total')} || ' in all — first ' || {CLOCK_SQL.format('first_')} || ', last ends ' || {CLOCK_SQL.format('last_')} || '.'
-ELSE 'Direct sun ' || CASE WHEN n = 1 THEN spans[1] WHEN n = 2 THEN spans[1] || ' and ' || spans[2] ELSE spans[1] || ', ' || spans[2] || ' and ' || spans[3] END || ' · ' || {_duration_sql('total')} || ' in all.' END AS sentence FROM customer LEFT JOIN a ON a.id = c_custkey""")
+@query(f"""WITH w AS ({WINDOW_SQL}), c AS (SELECT c_custkey AS id FROM customer UNION SELECT id FROM w), a AS (SELECT id, count(*) AS n, sum(t - s)::BIGINT AS total, min(s) AS first_, arg_max(t, k) AS last_, list({CLOCK_SQL.format('s')} || '–' || {CLOCK_SQL.format('t')} ORDER BY k) AS spans FROM w GROUP BY id)
+SELECT c.id, CASE WHEN n IS NULL THEN 'No direct sun here today.' WHEN n > 3 THEN 'Sun in ' || n || ' spells, ' || {_duration_sql('total')} || ' in all — first ' || {CLOCK_SQL.format('first_')} || ', last ends ' || {CLOCK_SQL.format('last_')} || '.'
+ELSE 'Direct sun ' || CASE WHEN n = 1 THEN spans[1] WHEN n = 2 THEN spans[1] || ' and ' || spans[2] ELSE spans[1] || ', ' || spans[2] || ' and ' || spans[3] END || ' · ' || {_duration_sql('total')} || ' in all.' END AS sentence FROM c LEFT JOIN a ON a.id = c.id""")
 def sun_sentences(spark, sf_dir):
-    """One sentence about the sunlit windows of each place; a day has few."""
+    """One sentence about the sunlit windows of each place: all orders are windows, and customers without any have none."""
     o, start = F.col("o_orderkey"), F.col("o_orderkey") * 37 % 1380
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), start.alias("start"), (start + 5 + o % 50).alias("end"), o)
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("start", "o_orderkey"))).where("k <= 1 + id % 6 AND id % 7 <> 0")
+    place = F.floor(o / (F.col("o_custkey") % 5 + 1)).alias("id")
+    rows = table(spark, sf_dir, "orders").select(place, start.alias("start"), (start + 5 + o % 50).alias("end"), o)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("start", "o_orderkey")))
     days = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "k", "end"))).alias("windows"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(days, "id", "left").select("id", wording.sun_windows(F.col("windows")).alias("sentence"))
+    every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).union(rows.select("id")).distinct()
+    return every.join(days, "id", "left").select("id", wording.sun_windows(F.col("windows")).alias("sentence"))
 
 
 @query(f"""SELECT o_orderkey AS id, strftime(o_orderdate, '%-d %b %Y') AS visited, CASE WHEN o_orderkey%200 = 0 THEN '' ELSE CASE WHEN o_orderkey%2 = 0 THEN 'Lit' ELSE 'In shadow' END || ' in ' || {_duration_sql('(o_orderkey%200)')} || ', at ' || {CLOCK_SQL.format('o_orderkey%1200 + o_orderkey%200')} || '.' END AS next_ FROM orders""")

@@ -20,25 +20,39 @@ def sequence_json(rows: DataFrame, group: str, rank: str, pos: str, fields: list
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes df beside path and then moves it there, so readers see the old table or the new one.
+    """Writes df beside path and then moves it there; the old table is deleted only once the new one stands.
 
-    The move is a rename of Hadoop's file system; on object stores it is a copy, and a table
-    format is the better sink.
+    The old table is renamed aside, the new one renamed in, and the old one deleted; if the
+    second rename fails, the first is undone. Between the two renames path is missing for
+    an instant, and a crash there leaves both tables beside it. Renames are Hadoop's; on
+    object stores they are copies, and a table format is the better sink.
     """
     spark = df.sparkSession
-    fresh = f"{path}.{uuid.uuid4().hex}"
+    fresh, aside = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    store = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(old, True)
-    if not store.rename(new, old):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = at(fresh).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = store.exists(at(path))
+    if had and not store.rename(at(path), at(aside)):
+        raise OSError(f"{path} could not be moved aside")
+    if not store.rename(at(fresh), at(path)):
+        if had:
+            store.rename(at(aside), at(path))
         raise OSError(f"{fresh} could not be moved to {path}")
+    if had:
+        store.delete(at(aside), True)
+
+
+def escaped(text: Column) -> Column:
+    """Text as it stands in an XML attribute."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
 
 
 def preset(fields: dict[str, Column]) -> Column:
     """A preset as XML attributes; fields without a value are left out."""
-    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'  crs:{k}="'), v.cast("string"), F.lit('"'))) for k, v in fields.items()]
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'  crs:{k}="'), escaped(v.cast("string")), F.lit('"'))) for k, v in fields.items()]
     return F.concat(F.lit("<rdf:Description\n"), F.concat_ws("\n", *parts), F.lit("/>"))
 
 

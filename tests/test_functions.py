@@ -189,3 +189,77 @@ def test_percentiles_of_a_flat_image(spark):
     df = spark.createDataFrame([(1, 255, 3.0)], "g int, bin int, n double")
     got = pixels.histogram_percentiles(df, ["g"]).orderBy("step").collect()
     assert len(got) == 21 and got[0].level == 0 and got[1].level == 255 / 511
+
+
+def brute_pairs(a, b, metres, distance):
+    return {(i, j) for i, la, lo in a for j, lb, lp in b if distance(la, lo, lb, lp) <= metres}
+
+
+def flat(la, lo, lb, lp):
+    turn = (lp - lo + 180) % 360 - 180
+    return math.hypot(math.radians(lb - la), math.radians(turn) * math.cos(math.radians((la + lb) / 2))) * 6371000.0
+
+
+def sphere(la, lo, lb, lp):
+    h = math.sin(math.radians(lb - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lb)) * math.sin(math.radians(lp - lo) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(min(1, math.sqrt(h)))
+
+
+@pytest.mark.parametrize(("metres", "kind"), [(60.0, "flat"), (5000.0, "flat"), (5000.0, "sphere"), (700_000.0, "sphere")])
+def test_within_has_no_holes(spark, metres, kind):
+    rng = np.random.default_rng(7)
+    rows, step = [], metres / 111_000
+    for lat in (-90.0, -89.99, -85.0, -80.2, 0.0, 55.9, 79.9, 85.0, 89.0, 89.9999, 90.0):
+        for lon in (-180.0, -179.99, 0.0, 179.99, 180.0):
+            for _ in range(3):
+                rows.append((len(rows), float(np.clip(lat + rng.normal() * step, -90, 90)), float((lon + rng.normal() * step / max(0.01, math.cos(math.radians(lat))) + 180) % 360 - 180)))
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    how = {"flat": (places.flat_metres, flat), "sphere": (places.great_circle, sphere)}[kind]
+    got = [(r.a_id, r.b_id) for r in places.within(df, df, metres, how[0]).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, rows, metres, how[1])
+
+
+def test_connected_parts_of_a_chain(spark):
+    n = 300
+    pairs = [(i, i + 1) for i in range(n - 1) if i % 100 != 99]
+    both = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "a_id long, b_id long")
+    got = {r.id: r.part for r in places.connected(spark.range(n), both).collect()}
+    assert got == {i: i // 100 * 100 for i in range(n)}
+
+
+def test_terrain_shadow_of_any_direction(spark):
+    rng = np.random.default_rng(5)
+    field = {(r, c): float(rng.random() * 60) for r in range(24) for c in range(24)}
+    df = spark.createDataFrame([(r, c, h) for (r, c), h in field.items()], "row long, col long, height double")
+    for azimuth, altitude in ((90.0, 12.0), (301.0, 7.0), (200.0, 20.0)):
+        dx, dy = math.sin(math.radians(azimuth)), -math.cos(math.radians(azimuth))
+        slope, step = math.tan(math.radians(altitude)), 30.0 / max(abs(dx), abs(dy))
+        line = lambda r, c: math.floor(r - c * (dy / dx) + 0.5) if abs(dx) >= abs(dy) else math.floor(c - r * (dx / dy) + 0.5)  # noqa: B023, E731
+        along = lambda r, c: (c if dx > 0 else -c) if abs(dx) >= abs(dy) else (r if dy > 0 else -r)  # noqa: B023, E731
+        want = {}
+        for p, h in field.items():
+            ahead = [(q, g) for q, g in field.items() if line(*q) == line(*p) and along(*q) > along(*p)]
+            away = [((along(*q) - along(*p)) * step, g) for q, g in ahead]
+            want[p] = any(g - d * d / (2 * terrain.EFFECTIVE_RADIUS_M) > h + d * slope for d, g in away)
+        got = {(r.row, r.col): r.shaded for r in terrain.shadow_mask(df, azimuth, altitude, 30.0).collect()}
+        assert got == want
+
+
+def test_path_order_in_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "a" if i % 3 else "b", *(float(x) for x in (rng.random(3) if i % 5 else (0.5, 0.1, 0.1)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, chapter string, L double, a double, b double")
+    got = archive.path_order(df, "chapter", "id", most=50).collect()
+    for c in "ab":
+        assert sorted(r.pos for r in got if r.chapter == c) == list(range(sum(1 for x in rows if x[1] == c)))
+    light = {x[0]: x[2] for x in rows}
+    order = [light[r.id] for r in sorted((r for r in got if r.chapter == "a"), key=lambda r: r.pos)]
+    assert np.mean(order[:100]) < 0.35 < 0.65 < np.mean(order[-100:])
+
+
+def test_replace_table_keeps_one(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for n in (3, 5):
+        sinks.replace_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
