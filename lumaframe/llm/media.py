@@ -105,14 +105,13 @@ class Shards:
             self.out = None
 
 
-def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, n_bytes, folder, shard, offset, length, digest): whole texts as media, one row for each row of df.
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(key, n_bytes, digest) of every row of df and (digest, folder, shard, offset, length) of every digest, as tables.
 
     digest is the SHA-256 of the stored form. A null text counts as empty; an empty text
-    is WIDTH zero samples. Equal texts have one digest and all name one member, whichever
+    is WIDTH zero samples. Equal texts have one digest, which names one member, whichever
     task wrote it first by name; members of the same digest in other shards (tasks don't
-    know of each other's) are named by no row. Other columns are dropped. The manifest is
-    written at once, so shards are made once.
+    know of each other's) are named by no row. Other columns are dropped.
     """
     spark = df.sparkSession
     small_batches(df.sparkSession)
@@ -147,27 +146,28 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: i
 
     packed = rows.mapInArrow(run, f"key {kind}, n_bytes bigint, shard string, offset bigint, length bigint, digest string")
     packed = written(packed, "packed")
-    members = members_of(packed).withColumnRenamed("digest", "d")
-    addressed = packed.select("key", "n_bytes", "digest").join(members, F.col("digest") == F.col("d"))
-    return addressed.select(F.col("key").alias(key), "n_bytes", F.lit(folder).alias("folder"), "shard", "offset", "length", "digest")
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    members = packed.groupBy("digest").agg(place).select("digest", F.lit(folder).alias("folder"), "place.*")
+    return packed.select(F.col("key").alias(key), "n_bytes", "digest"), written(members, "members")
 
 
-def members_of(manifest: DataFrame) -> DataFrame:
-    """One place (shard, offset, length) for each digest, as a table: what rows of equal texts share."""
-    place = F.min(F.struct("shard", "offset", "length")).alias("place")
-    rest = [c for c in ("folder",) if c in manifest.columns]
-    return written(manifest.groupBy("digest", *rest).agg(place).select("digest", *rest, "place.*"), "members")
+def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, n_bytes, folder, shard, offset, length, digest): whole texts as media, one row for each row of df; see pack."""
+    packed, members = pack(df, key, text, shard_bytes)
+    found = members.withColumnRenamed("digest", "d")
+    return packed.join(found, F.col("digest") == F.col("d")).select(*[c for c in packed.columns if c != "digest"], "folder", "shard", "offset", "length", "digest")
 
 
-def _read(manifest: DataFrame, columns: list[str], take, schema: str, size: int | None) -> DataFrame:
+def _read(manifest: DataFrame, columns: list[str], take, schema: str, size: int | None, dealt: bool = False) -> DataFrame:
     """manifest with what take makes of the first size bytes of each member (None: all of it).
 
-    Rows go to tasks by shard, in the order of their offsets; a shard is bounded, and so
-    are the rows that one task of store() made of it.
+    Rows go to tasks by shard, in the order of their offsets, unless they are dealt so
+    already; a shard is bounded, and so are the rows that one task of pack() made of it.
     """
-    shards = manifest.select("shard").distinct().count()
     rows = manifest.select(F.struct(*[f"`{c}`" for c in manifest.columns]).alias("row"), "folder", "shard", "offset", "length")
-    rows = rows.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset")
+    if not dealt:
+        shards = manifest.select("shard").distinct().count()
+        rows = rows.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None
@@ -197,17 +197,18 @@ def metadata(manifest: DataFrame) -> DataFrame:
     return _read(manifest, columns, read_header, "width bigint, height bigint, depth bigint", HEADER_BYTES)
 
 
-def described(manifest: DataFrame) -> DataFrame:
-    """manifest with width, height and depth of metadata(), and what features() makes of the payload.
+def described(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, n_bytes, digest) of pack() with length, width, height and depth, and what features() makes of the payload.
 
     Every digest is read once, its header by a range read of its own; rows of equal texts
     get the same values.
     """
-    members = members_of(manifest)
-    found = features(metadata(members))
+    packed, members = pack(df, key, text, shard_bytes)
+    found = features(metadata(members), dealt=True)
     size = F.concat_ws("x", "width", "height", "depth")
-    found = found.select(F.col("digest").alias("d"), "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", F.concat_ws(";", size, "samples").alias("feature"))
-    return manifest.join(written(found, "described"), F.col("digest") == F.col("d")).drop("d")
+    columns = ["length", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256"]
+    found = found.select(F.col("digest").alias("d"), *columns, F.concat_ws(";", size, "samples").alias("feature"))
+    return packed.join(written(found, "described"), F.col("digest") == F.col("d")).drop("d")
 
 
 def load(manifest: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def load(manifest: DataFrame) -> DataFrame:
     return _read(manifest, [pa.field("payload", pa.binary())], lambda image: (from_image(image),), "payload binary", None)
 
 
-def features(manifest: DataFrame) -> DataFrame:
+def features(manifest: DataFrame, dealt: bool = False) -> DataFrame:
     """manifest with payload_bytes, payload_sha256, tail_crc32, media_sha256 and samples, from stored bytes only.
 
     samples has mean, spread, entropy and number of distinct samples.
@@ -233,4 +234,4 @@ def features(manifest: DataFrame) -> DataFrame:
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(image).hexdigest(), text
 
     columns = [pa.field("payload_bytes", pa.int64()), pa.field("payload_sha256", pa.string()), pa.field("tail_crc32", pa.int64()), pa.field("media_sha256", pa.string()), pa.field("samples", pa.string())]
-    return _read(manifest, columns, take, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, samples string", None)
+    return _read(manifest, columns, take, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, samples string", None, dealt)

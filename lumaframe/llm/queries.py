@@ -121,7 +121,7 @@ FROM x LEFT JOIN q ON x.doc_id = q.doc_id LEFT JOIN a ON x.doc_id = a.doc_id LEF
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.described(media.store(documents(spark, sf_dir)))
+    found = media.described(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature")
 
 
