@@ -15,6 +15,7 @@ chunk to chunk of a document, and each chunk is then run forward and backward.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -237,10 +238,13 @@ def train(
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)) & (F.octet_length(text) <= most_bytes))
     rows = rows.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels)
-    place = Window.partitionBy("lang").orderBy("h")
-    once = rows.select("h", "lang").join(F.broadcast(common), "lang", "left_semi").distinct()
-    chosen = once.withColumn("n", F.row_number().over(place)).where(F.col("n") <= docs).select(F.col("h").alias("k"), F.col("lang").alias("l"))
+    # a share of the hashes that holds docs of them with certainty for all purposes, whatever the number of rows
+    part = F.shiftrightunsigned("h", 11) / float(2**53)
+    once = rows.select("h", "lang").distinct()
+    common = once.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels)
+    common = common.select(F.col("lang").alias("l"), ((docs + 6 * math.sqrt(docs) + 10) / F.col("n")).alias("share"))
+    few = once.withColumn("part", part).join(F.broadcast(common), F.col("lang") == F.col("l")).where(F.col("part") < F.col("share"))
+    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("part", "h"))).where(F.col("n") <= docs).select(F.col("h").alias("k"), "l")
     sample = rows.join(F.broadcast(chosen), (F.col("h") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi")
     got = sample.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
     got = sorted((r["text"], r["lang"]) for r in got.collect())
