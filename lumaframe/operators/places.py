@@ -217,3 +217,96 @@ def profile_path(samples: DataFrame, key: list[str], at: str, ground: str, line:
     )
     sight = F.concat(F.lit("M"), dot(end(F.col("p"), 1)["d"], end(F.col("p"), 1)["l"]), F.lit("L"), dot(end(F.col("p"), -1)["d"], end(F.col("p"), -1)["l"]))
     return made.select(*key, ground_path.alias("terrain"), sight.alias("sight"), "top", "bottom")
+
+
+def tile_row(lat: Column, zoom: Column) -> Column:
+    """Row of the tile that holds a latitude, of the square map."""
+    inside = F.greatest(F.lit(-85.05112878), F.least(F.lit(85.05112878), lat))
+    return F.floor((1 - F.ln(F.tan(F.radians(inside)) + 1 / F.cos(F.radians(inside))) / math.pi) / 2 * F.pow(F.lit(2.0), zoom)).cast("long")
+
+
+def tile_column(lon: Column, zoom: Column) -> Column:
+    return F.floor((lon + 180) / 360 * F.pow(F.lit(2.0), zoom)).cast("long")
+
+
+def tile_count(zoom: Column) -> Column:
+    """How many tiles a box (west, south, east, north) covers, without making any."""
+    across = tile_column(F.col("east"), zoom) - tile_column(F.col("west"), zoom) + 1
+    down = tile_row(F.col("south"), zoom) - tile_row(F.col("north"), zoom) + 1
+    return F.greatest(F.lit(0), across) * F.greatest(F.lit(0), down)
+
+
+def fitting_zoom(boxes: DataFrame, most: int = 16, lowest: int = 7, highest: int = 13) -> DataFrame:
+    """boxes with zoom, tiles and fits: the closest zoom whose tiles are at most most; the lowest, which may not fit, if none is."""
+    zooms = F.transform(F.sequence(F.lit(highest), F.lit(lowest)), lambda z: F.struct(z.alias("zoom"), tile_count(z).alias("tiles")))
+    first = F.get(F.filter(zooms, lambda z: z["tiles"] <= most), F.lit(0))
+    rows = boxes.withColumns({"__first": first, "__last": F.element_at(zooms, -1)})
+    pick = lambda f: F.coalesce(F.col(f"__first.{f}"), F.col(f"__last.{f}")).alias(f)
+    return rows.select(*boxes.columns, pick("zoom"), pick("tiles"), F.col("__first").isNotNull().alias("fits"))
+
+
+def tiles(boxes: DataFrame, zoom: str = "zoom") -> DataFrame:
+    """boxes with x and y, one row for each tile that a box touches; columns go round the map, rows end at its edges."""
+    z, scale = F.col(zoom), F.pow(F.lit(2.0), F.col(zoom)).cast("long")
+    rows = boxes.withColumn("y", F.explode(F.sequence(F.greatest(F.lit(0), tile_row(F.col("north"), z)), F.least(scale - 1, tile_row(F.col("south"), z)))))
+    rows = rows.withColumn("x", F.explode(F.sequence(tile_column(F.col("west"), z), tile_column(F.col("east"), z))))
+    return rows.withColumn("x", F.pmod("x", scale)).select(*boxes.columns, "x", "y")
+
+
+def horizon_reach(above: Column, radius: float = 7 / 6 * EARTH_M) -> Column:
+    """Metres from which a peak so much higher than the observer just clears the horizon."""
+    return F.when(above > 0, F.sqrt(2 * radius * above)).otherwise(0.0)
+
+
+def shaded_at(points: DataFrame, cells: DataFrame, azimuth: Column, altitude: Column, metres: float, side: int) -> DataFrame:
+    """points (id, row, col as fractions, height) with shaded: whether ground nearer to the sun stands above the ray.
+
+    A ray steps one cell along its longer axis to the edge of a field of side cells; its
+    steps are rows that meet their cells, and ground off the field is clear. Below the horizon all is shaded.
+    """
+    dx, dy = F.sin(F.radians(azimuth)), -F.cos(F.radians(azimuth))
+    step = 1 / F.greatest(F.abs(dx), F.abs(dy))
+    rays = points.withColumns({"__dx": dx, "__dy": dy, "__step": step, "__tan": F.tan(F.radians(altitude)), "__up": altitude > 0})
+    walk = rays.where("__up").withColumn("__s", F.explode(F.sequence(F.lit(1), F.lit(side)))).withColumn("__away", F.col("__s") * F.col("__step"))
+    walk = walk.select("id", "height", "__tan", (F.col("__away") * metres).alias("__m"), F.floor(F.col("row") + F.col("__dy") * F.col("__away") + 0.5).alias("r"), F.floor(F.col("col") + F.col("__dx") * F.col("__away") + 0.5).alias("c"))
+    ground = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("height").alias("__h"))
+    drop = F.col("__m") * F.col("__m") / (2 * 7 / 6 * EARTH_M)
+    hit = walk.join(ground, ["r", "c"]).where(F.col("__h") - drop > F.col("height") + F.col("__m") * F.col("__tan")).select("id").distinct().withColumn("__hit", F.lit(True))
+    return rays.join(hit, "id", "left").select(*points.columns, (~F.col("__up") | F.coalesce("__hit", F.lit(False))).alias("shaded"))
+
+
+def facets(cells: DataFrame, key: list[str]) -> DataFrame:
+    """(key, row, col, half, a, b, c): two triangles for each square of neighbouring cells (row, col, height) that are all known."""
+    at = lambda r, c, name: cells.select(*key, (F.col("row") - r).alias("row"), (F.col("col") - c).alias("col"), F.col("height").alias(name))
+    both = at(0, 0, "nw").join(at(0, 1, "ne"), [*key, "row", "col"]).join(at(1, 0, "sw"), [*key, "row", "col"]).join(at(1, 1, "se"), [*key, "row", "col"])
+    corner = lambda *names: F.struct(*[F.col(n).alias(x) for n, x in zip(names, "abc", strict=True)])
+    return both.select(*key, "row", "col", F.posexplode(F.array(corner("nw", "sw", "ne"), corner("ne", "sw", "se"))).alias("half", "t")).select(*key, "row", "col", "half", "t.*")
+
+
+def mosaic(tiles_of: DataFrame, size: int, stride: int = 1) -> DataFrame:
+    """(row, col, height) of a field put together from tiles (x, y, row, col, height) of size samples, every stride-th sample kept.
+
+    Rows and columns count from the least tile; tiles are rows like any other, so a field may be of any size.
+    """
+    first = tiles_of.agg(F.min("x").alias("__x"), F.min("y").alias("__y"))
+    rows = tiles_of.join(F.broadcast(first))  # one row
+    rows = rows.select(((F.col("y") - F.col("__y")) * size + F.col("row")).alias("row"), ((F.col("x") - F.col("__x")) * size + F.col("col")).alias("col"), "height")
+    kept = rows.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0))
+    return kept.select((F.col("row") / stride).cast("long").alias("row"), (F.col("col") / stride).cast("long").alias("col"), "height")
+
+
+def first_covering(points: DataFrame, uploads: DataFrame, world: DataFrame) -> DataFrame:
+    """points (id, row, col) with height: of the first upload (rank, row, col, height) that has the cell, else of the world's field, else null."""
+    best = uploads.groupBy("row", "col").agg(F.min_by("height", "rank").alias("__own"))
+    both = points.join(best, ["row", "col"], "left").join(world.select("row", "col", F.col("height").alias("__world")), ["row", "col"], "left")
+    return both.select("id", "row", "col", F.coalesce("__own", "__world").alias("height"))
+
+
+def resampled(profile: DataFrame, key: list[str], value: str, bins: int, to: int) -> DataFrame:
+    """(key, bin, value): a circular profile of bins read at to bearings, straight between its bins; a bin next to a gap stays unknown."""
+    want = profile.select(*key).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(to - 1))))
+    want = want.withColumn("__at", F.col("bin") * (bins / to)).withColumn("__low", F.floor("__at").cast("int") % bins)
+    side = lambda name, shift: profile.select(*key, F.pmod(F.col("bin") - shift, F.lit(bins)).cast("int").alias("__low"), F.col(value).alias(name))
+    both = want.join(side("__a", 0), [*key, "__low"], "left").join(side("__b", 1), [*key, "__low"], "left")
+    part = F.col("__at") - F.floor("__at")
+    return both.select(*key, "bin", F.when(part == 0, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * part).alias(value))

@@ -155,7 +155,7 @@ def passes(df: DataFrame, key: list[str], order: list[str], off: str, tolerance:
     return near
 
 
-def secant(brackets: DataFrame, body: Formula, value: str, level: float, rounds: int = 5) -> DataFrame:
+def secant(brackets: DataFrame, body: Formula, value: str, level: float, rounds: int = 3) -> DataFrame:
     """brackets (lo, hi in seconds, f_lo and f_hi of value - level there, and what body needs) with t, where value meets level.
 
     Each round puts the straight line's root in place of the end with its sign. What bodies of
@@ -174,8 +174,8 @@ def secant(brackets: DataFrame, body: Formula, value: str, level: float, rounds:
 
 def sampled(spots: DataFrame, body: Formula, start: str, end: str, step: int) -> DataFrame:
     """spots with t and what body makes of it, each step from start to end seconds and at the end itself."""
-    at = F.explode(F.array_distinct(F.concat(F.sequence(F.col(start), F.col(end), F.lit(step)), F.array(F.col(end)))))
-    return body.on(spots.withColumn("t", at.cast("double")))
+    at = F.array_distinct(F.concat(F.sequence(F.col(start), F.col(end), F.lit(step)), F.array(F.col(end))))
+    return body.on(spots.withColumn("t", F.explode(at.cast("array<double>"))))
 
 
 def intervals_where(spots: DataFrame, key: list[str], body: Formula, value: str, level: float, above: bool, start: str, end: str, step: int = 300) -> DataFrame:

@@ -513,22 +513,6 @@ def golden_hours(spark, sf_dir):
     return sky.GOLDEN.on(instants(spark, sf_dir)).selectExpr(*BAND_OUT)
 
 
-@query()
-def core_nights(spark, sf_dir):
-    """Stretches of a night that are dark, without moon, and with the galactic core 10 degrees up, for each supplier."""
-    s = F.col("s_suppkey")
-    start = 1_781_438_400
-    spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s % 80 - 50.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"))
-    rows = spots.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + 86_400), F.lit(300))))
-    rows = sky.CORE.on(sky.MOON.on(sky.SUN.on(rows)))
-    parts = {"dark": -18 - F.col("sun_altitude"), "moonless": -0.833 - F.col("moon_altitude"), "up": F.col("core_altitude") - 10}
-    found = None
-    for name, value in parts.items():
-        own = timeline.positive_intervals(rows.select("spot", "t", value.alias(name)), ["spot"], "t", name)
-        found = own if found is None else timeline.intersections(found, own, ["spot"], 21_600)
-    return found
-
-
 @query("""WITH s AS (SELECT c_custkey%50 AS spot, c_custkey AS visit, (c_custkey*37%900)/10e0 AS altitude, c_custkey*13%360 AS azimuth FROM customer), p AS (SELECT s_suppkey AS id, s_suppkey%50 AS spot, (s_suppkey*53%900)/10e0 AS altitude, s_suppkey*29%360 AS azimuth FROM supplier)
 SELECT id, visit, round(abs(s.altitude - p.altitude), 6) AS off, least(abs(s.azimuth - p.azimuth), 360 - abs(s.azimuth - p.azimuth))::DOUBLE AS round_ FROM p JOIN s USING (spot) QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(s.altitude - p.altitude), visit) = 1""")
 def closest_visit(spark, sf_dir):

@@ -89,15 +89,6 @@ def multi_key_rank(spark, sf_dir):
     return archive.latest_n(rows, ["c_nationkey"], order, 8).select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("place").cast("long").alias("place"))
 
 
-@query("""SELECT l_suppkey AS spot, count(*) FILTER (l_quantity > 5) AS cast_, count(*) FILTER (l_quantity <= 5) AS skipped, count(*) FILTER (l_quantity > 45) AS clipped, max(l_quantity) AS longest, greatest(0, count(*) - 400)::BIGINT AS omitted FROM lineitem GROUP BY 1""")
-def shadow_tally(spark, sf_dir):
-    q = F.col("l_quantity")
-    some = lambda cond: F.count(F.when(cond, 1))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("spot")).agg(
-        some(q > 5).alias("cast_"), some(q <= 5).alias("skipped"), some(q > 45).alias("clipped"), F.max(q).alias("longest"), F.greatest(F.lit(0), F.count("*") - 400).cast("long").alias("omitted")
-    )
-
-
 @query("SELECT count(*) AS shared FROM (SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey IN (SELECT s_nationkey FROM supplier))")
 def shared_keys(spark, sf_dir):
     """Keys that two sides have in common."""

@@ -5,9 +5,10 @@ Bodies come as rows of text; a body that can't be read gives no rows instead of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumaframe.functions.text import plain_text, sane_date
 from lumaframe.operators.archive import keep_first
 
 # Hourly fields of a forecast and the names that rows give them.
@@ -65,13 +66,140 @@ def seeing(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return kept.select(key, (F.col("start") + F.col("p.timepoint") * 3600).alias("time"), F.col("p.seeing").cast("int").alias("seeing"), F.col("p.transparency").cast("int").alias("transparency"))
 
 
-def saved_places(bodies: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, pos, name, lat, lon, radius): valid places of a saved list; names are trimmed, odd radii dropped with the place kept."""
-    parsed = F.from_json(F.col(body), "array<struct<name: string, lat: double, lon: double, radiusKm: double>>")
-    rows = bodies.select(key, F.posexplode(parsed).alias("pos", "p"))
-    radius = F.when(F.col("p.radiusKm").between(0.0000001, 500), F.col("p.radiusKm"))
-    fine = (F.length(F.trim("p.name")) > 0) & F.col("p.lat").between(-90, 90) & F.col("p.lon").between(-180, 180)
-    return rows.where(fine).select(key, "pos", F.trim("p.name").alias("name"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), radius.alias("radius"))
+def forecast_heads(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, latitude, longitude, current fields): what a forecast says of itself and of now; a missing place is 0."""
+    fields = ", ".join(f"{f}: double" for f in HOURLY)
+    parsed = F.from_json(F.col(body), f"struct<latitude: double, longitude: double, current: struct<time: string, {fields}>>")
+    rows = bodies.select(key, parsed.alias("j")).where("j is not null")
+    place = [F.coalesce(finite(F.col(f"j.{c}")), F.lit(0.0)).alias(c) for c in ("latitude", "longitude")]
+    return rows.select(key, *place, utc(F.col("j.current.time")).alias("time"), *[finite(F.col(f"j.current.{f}")).alias(n) for f, n in HOURLY.items()])
+
+
+def air_quality(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, latitude, longitude, time, aod): hours of an air forecast whose time can be read; a depth that is no number is null."""
+    parsed = F.from_json(F.col(body), "struct<latitude: double, longitude: double, hourly: struct<time: array<string>, aerosol_optical_depth: array<double>>>")
+    rows = bodies.select(key, parsed.alias("j")).where("j.hourly.time is not null")
+    place = [F.coalesce(finite(F.col(f"j.{c}")), F.lit(0.0)).alias(c) for c in ("latitude", "longitude")]
+    rows = rows.select(key, *place, F.col("j.hourly.aerosol_optical_depth").alias("d"), F.posexplode("j.hourly.time").alias("i", "text"))
+    return rows.select(key, "latitude", "longitude", utc(F.col("text")).alias("time"), finite(F.get("d", F.col("i"))).alias("aod")).where("time is not null")
+
+
+def search_titles(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, pos, title): files that a search names, in its order."""
+    hits = F.from_json(F.get_json_object(body, "$.query.search"), "array<struct<title: string>>")
+    rows = bodies.select(key, F.posexplode(hits).alias("pos", "hit")).where(F.col("hit.title").startswith("File:"))
+    return rows.select(key, "pos", F.col("hit.title").alias("title"))
+
+
+def photo_details(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, pos, id, title, lat, lon, origin, thumb, author, licence, licence_url, taken, megapixels) of photographs in a details response.
+
+    A file without a valid place, an image type, both links, an author or a licence is dropped.
+    """
+    value = "struct<value: string>"
+    meta = ", ".join(f"{f}: {value}" for f in ("Artist", "LicenseShortName", "License", "LicenseUrl", "DateTimeOriginal"))
+    info = f"struct<mime: string, thumburl: string, descriptionurl: string, width: double, height: double, extmetadata: struct<{meta}>>"
+    pages = F.from_json(F.get_json_object(body, "$.query.pages"), f"array<struct<pageid: string, title: string, coordinates: array<struct<lat: double, lon: double>>, imageinfo: array<{info}>>>")
+    rows = bodies.select(key, F.posexplode(pages).alias("pos", "p")).withColumns({"at": F.get("p.coordinates", F.lit(0)), "i": F.get("p.imageinfo", F.lit(0))})
+    said = lambda f: F.nullif(plain_text(F.col(f"i.extmetadata.{f}.value")), F.lit(""))
+    size = F.floor(F.col("i.width") * F.col("i.height") / 100_000 + 0.5) / 10
+    made = rows.select(
+        key, "pos", F.coalesce("p.pageid", F.regexp_replace("p.title", "^File:", "")).alias("id"), F.coalesce(F.nullif(F.regexp_replace("p.title", "^File:", ""), F.lit("")), F.lit("Untitled")).alias("title"),
+        finite(F.col("at.lat")).alias("lat"), finite(F.col("at.lon")).alias("lon"), F.nullif(F.col("i.descriptionurl"), F.lit("")).alias("origin"), F.nullif(F.col("i.thumburl"), F.lit("")).alias("thumb"),
+        said("Artist").alias("author"), F.coalesce(said("LicenseShortName"), said("License")).alias("licence"), said("LicenseUrl").alias("licence_url"), sane_date(said("DateTimeOriginal")).alias("taken"),
+        F.when((F.col("i.width") > 0) & (F.col("i.height") > 0), size).alias("megapixels"), F.col("i.mime").alias("mime"),
+    )
+    fine = F.col("mime").rlike("^image/(jpeg|png|webp|avif|tiff)$") & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    whole = F.col("origin").isNotNull() & F.col("thumb").isNotNull() & F.col("author").isNotNull() & F.col("licence").isNotNull()
+    return made.where(fine & whole).drop("mime")
+
+
+def places_found(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, pos, name, detail, lat, lon, kind, bounds) of a place search; results without a position are dropped.
+
+    The name is the first part of the whole name where there is none; detail has the next
+    three parts. bounds come as south, north, west, east and leave as west, south, east, north.
+    """
+    fields = "lat: string, lon: string, name: string, display_name: string, type: string, category: string, addresstype: string, boundingbox: array<string>"
+    rows = bodies.select(key, F.posexplode(F.from_json(F.col(body), f"array<struct<{fields}>>")).alias("pos", "p"))
+    full = F.filter(F.transform(F.split(F.coalesce("p.display_name", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    rows = rows.withColumns({"full": full, "la": finite(F.col("p.lat").try_cast("double")), "lo": finite(F.col("p.lon").try_cast("double"))})
+    name = F.coalesce(F.nullif(F.trim("p.name"), F.lit("")), F.get("full", F.lit(0)), F.lit("Unnamed place"))
+    rows = rows.where("la is not null and lo is not null").withColumn("name", name)
+    rest = F.when(F.get("full", F.lit(0)) == F.col("name"), F.slice("full", 2, 3)).otherwise(F.slice("full", 1, 3))
+    kind = F.coalesce(*[F.nullif(F.col(f"p.{c}"), F.lit("")) for c in ("addresstype", "type", "category")], F.lit("place"))
+    box = F.transform("p.boundingbox", lambda x: finite(x.try_cast("double")))
+    bounds = F.when((F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull()), F.array(*[F.get(box, F.lit(i)) for i in (2, 0, 3, 1)]))
+    wrapped = F.when((F.col("lo") >= -180) & (F.col("lo") < 180), F.col("lo")).otherwise(F.pmod(F.col("lo") + 180, F.lit(360.0)) - 180)
+    lat = F.when(F.col("la") < -90, -90.0).when(F.col("la") > 90, 90.0).otherwise(F.col("la"))
+    return rows.select(key, "pos", "name", F.array_join(rest, ", ").alias("detail"), lat.alias("lat"), wrapped.alias("lon"), kind.alias("kind"), bounds.alias("bounds"))
+
+
+# How many entries of a saved list count and how long their texts may be.
+MOST_SPOTS, MOST_PHOTOS, MOST_VISITS, NOTE_LENGTH, URL_LENGTH = 24, 6, 12, 600, 500
+
+
+def _text(v: Column, path: str, most: int) -> Column:
+    """A text field, trimmed and cut; null where it is anything else."""
+    own = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(own) == "STRING", F.nullif(F.left(F.trim(F.try_variant_get(v, path, "string")), F.lit(most)), F.lit("")))
+
+
+def _number(v: Column, path: str) -> Column:
+    return finite(F.try_variant_get(v, path, "double"))
+
+
+def _objects(v: Column, path: str) -> Column:
+    """The members of an array field, each as a variant."""
+    return F.transform(F.from_json(F.try_variant_get(v, path, "string"), "array<string>"), F.try_parse_json)
+
+
+def frame_of(v: Column) -> Column:
+    """A saved lens: all of sensor, focal length, orientation, bearing and tilt, or nothing."""
+    sensor, focal, side, bearing, tilt = _text(v, "$.sensor", 24), _number(v, "$.focalLengthMm"), F.try_variant_get(v, "$.orientation", "string"), _number(v, "$.bearing"), _number(v, "$.tiltDeg")
+    fine = sensor.isNotNull() & focal.between(1, 2000) & side.isin("landscape", "portrait") & bearing.isNotNull() & (F.abs(tilt) <= 90)
+    return F.when(fine, F.struct(sensor.alias("sensor"), focal.alias("focal"), side.alias("orientation"), F.pmod(bearing, F.lit(360.0)).alias("bearing"), tilt.alias("tilt")))
+
+
+def photo_of(v: Column) -> Column:
+    url = F.try_variant_get(v, "$.url", "string")
+    return F.when((F.length(url) <= URL_LENGTH) & url.rlike("(?i)^https?://[^/\\s]+"), F.struct(url.alias("url"), _text(v, "$.credit", 200).alias("credit"), _text(v, "$.licence", 200).alias("licence"), _text(v, "$.source", 40).alias("source")))
+
+
+def visit_of(v: Column) -> Column:
+    """A logged visit with its time and the sun's place; the rest enriches it and never invalidates it."""
+    at, altitude, azimuth, moon = _number(v, "$.at"), _number(v, "$.sunAltitude"), _number(v, "$.sunAzimuth"), _number(v, "$.moonFraction")
+    made = F.struct(
+        at.alias("at"), altitude.alias("altitude"), F.pmod(azimuth, F.lit(360.0)).alias("azimuth"), F.when(moon.between(0, 1), moon).alias("moon"),
+        _text(v, "$.cloud", 200).alias("cloud"), _text(v, "$.weather", 60).alias("weather"), _text(v, "$.outcome", NOTE_LENGTH).alias("outcome"),
+    )
+    return F.when((at > 0) & (F.abs(altitude) <= 90) & azimuth.isNotNull(), made)
+
+
+def saved_spots(bodies: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, pos, name, lat, lon, time_zone, radius, saved_at, note, frame, height, photos, visits) of saved lists.
+
+    One bad entry costs that entry, one bad field of the notebook that field. The latest
+    MOST_SPOTS of a list stay, in the order in which they were saved, with their first photos
+    and latest visits. A body that is no list gives no rows.
+    """
+    rows = bodies.select(key, F.posexplode(F.from_json(F.col(body), "array<string>")).alias("i", "text"))
+    rows = rows.select(key, "i", F.try_parse_json("text").alias("v"))
+    v = F.col("v")
+    lat, lon, radius, height = (_number(v, f"$.{c}") for c in ("lat", "lon", "radiusKm", "slabHeightM"))
+    photos = F.slice(F.array_compact(F.transform(_objects(v, "$.photos"), photo_of)), 1, MOST_PHOTOS)
+    visits = F.array_compact(F.transform(_objects(v, "$.visits"), visit_of))
+    latest = F.slice(F.array_sort(visits, lambda a, b: F.when(a["at"] > b["at"], -1).when(a["at"] < b["at"], 1).otherwise(0)), 1, MOST_VISITS)
+    made = rows.select(
+        key, "i", _text(v, "$.name", 120).alias("name"), lat.alias("lat"), lon.alias("lon"), F.nullif(F.try_variant_get(v, "$.timeZone", "string"), F.lit("")).alias("time_zone"),
+        F.when(radius.between(1, 50), F.floor(radius + 0.5).cast("int")).alias("radius"), F.coalesce(_number(v, "$.savedAt"), F.lit(0.0)).alias("saved_at"), _text(v, "$.note", NOTE_LENGTH).alias("note"),
+        frame_of(F.try_variant_get(v, "$.frame", "variant")).alias("frame"), F.when((height > 0) & (height <= 1000), F.floor(height + 0.5).cast("int")).alias("height"),
+        F.when(F.size(photos) > 0, photos).alias("photos"), F.when(F.size(latest) > 0, latest).alias("visits"),
+    )
+    made = made.where("name is not null and abs(lat) <= 85 and abs(lon) <= 180")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("saved_at"), "i"))
+    kept = made.withColumn("pos", place - 1).where(F.col("pos") < MOST_SPOTS)
+    return kept.select(key, "pos", *[c for c in made.columns if c not in (key, "i")])
 
 
 def link(query: Column) -> Column:

@@ -176,7 +176,7 @@ def test_text_and_feeds(spark, tmp_path):
     bad = spark.createDataFrame([(i, b) for i, b in enumerate([None, "{}", "[]", "x", '{"hourly": {"time": 3}}'])], "k int, body string")
     assert feeds.forecast(bad, "k", "body").count() == 0 and feeds.seeing(bad, "k", "body").count() == 0
     spots = spark.createDataFrame([(1, '[{"name": " a ", "lat": 1, "lon": 2, "radiusKm": 900}, {"name": "", "lat": 1, "lon": 2}, {"name": "b", "lat": 91, "lon": 2}]')], "k int, body string")
-    assert [(r.name, r.radius) for r in feeds.saved_places(spots, "k", "body").collect()] == [("a", None)]
+    assert [(r.name, r.radius) for r in feeds.saved_spots(spots, "k", "body").collect()] == [("a", None)]
     (tmp_path / "a.jpg").write_bytes(b"abc")
     (tmp_path / "b.txt").write_bytes(b"abc")
     assert [r.id for r in feeds.originals(spark, str(tmp_path)).collect()] == ["ba7816bf8f01cfea"]
