@@ -342,14 +342,14 @@ def raster_override(spark, sf_dir):
     return places.first_covering(at, uploads, heights(spark, sf_dir)).select("id", "height")
 
 
-@query(f"""WITH {H_SQL}, p AS (SELECT c_custkey AS id, c_custkey*7%256 AS r, c_custkey*13%256 AS c FROM customer), s AS (SELECT id, r, c, s AS k, floor(r - 0.5e0*s + 0.5) AS rr, c + s AS cc FROM p, range(1, 257) q(s)),
-a AS (SELECT id, 30e0*sqrt(1.25e0)*k AS m, height FROM s JOIN h ON h."row" = rr AND h.col = cc), b AS (SELECT p.id, coalesce(h.height, 0) AS own FROM p LEFT JOIN h ON h."row" = r AND h.col = c)
+@query(f"""WITH {H_SQL}, p AS (SELECT c_custkey AS id, c_custkey*7%256 AS r, c_custkey*13%256 AS c FROM customer), s AS (SELECT id, r, c, s AS k, floor(r - 0.4137e0*s + 0.5) AS rr, c + s AS cc FROM p, range(1, 257) q(s)),
+a AS (SELECT id, 30e0*sqrt(1 + 0.4137e0*0.4137e0)*k AS m, height FROM s JOIN h ON h."row" = rr AND h.col = cc), b AS (SELECT p.id, coalesce(h.height, 0) AS own FROM p LEFT JOIN h ON h."row" = r AND h.col = c)
 SELECT b.id, coalesce(bool_or(a.height - m*m/(2*7/6e0*6371008.8) > own + m*tan(radians(9e0))), FALSE) AS shaded FROM b LEFT JOIN a ON a.id = b.id GROUP BY b.id""")
 def point_shadow(spark, sf_dir):
     """Whether ground nearer to the sun shades a point; one ray for each point."""
     at = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_custkey*7%256 AS row", "c_custkey*13%256 AS col")
     own = at.join(heights(spark, sf_dir), ["row", "col"], "left").select("id", F.col("row").cast("double").alias("row"), F.col("col").cast("double").alias("col"), F.coalesce("height", F.lit(0.0)).alias("height"))
-    azimuth = math.degrees(math.atan2(1.0, 0.5))
+    azimuth = math.degrees(math.atan2(1.0, 0.4137))
     return places.shaded_at(own, heights(spark, sf_dir), F.lit(azimuth), F.lit(9.0), 30.0, 256).select("id", "shaded")
 
 
