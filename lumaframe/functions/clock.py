@@ -28,3 +28,22 @@ def month_grid(spark: SparkSession, months: list[str], minutes: list[int], zone:
 def track(df: DataFrame, start: str, end: str, step_seconds: int) -> DataFrame:
     """df with t, one row for each step from start to end seconds, both included."""
     return df.withColumn("t", F.explode(F.sequence(F.col(start), F.col(end), F.lit(step_seconds))))
+
+
+def offset_minutes(at: Column, zone: str) -> Column:
+    """How far a zone is ahead of UTC at an instant, in minutes; the session's zone must be UTC."""
+    there = F.from_utc_timestamp(at, zone)
+    return F.floor((F.unix_micros(there) - F.unix_micros(at)) / 60_000_000 + 0.5).cast("int")
+
+
+def local_date(at: Column, zone: str) -> Column:
+    return F.to_date(F.from_utc_timestamp(at, zone))
+
+
+def zoned_noon(day: Column, zone: str) -> Column:
+    """Midday of a date at a place: no zone and no change of clocks moves it out of its day."""
+    return F.to_utc_timestamp((F.unix_date(day) * 86400 + 43200).cast("timestamp"), zone)
+
+
+def day_label(day: Column) -> Column:
+    return F.date_format(day, "EEE d MMM")

@@ -171,6 +171,36 @@ def contrast_ratio(y1: Column, y2: Column) -> Column:
     return (F.greatest(y1, y2) + 0.05) / (F.least(y1, y2) + 0.05)
 
 
+def hex_luminance(text: Column) -> Column:
+    """Relative luminance of a colour as #rrggbb, with the knee of the contrast rule."""
+    def linear(i: int) -> Column:
+        c = F.conv(F.substring(F.replace(text, F.lit("#"), F.lit("")), i, 2), 16, 10).cast("double") / 255
+        return F.when(c <= 0.03928, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+    return 0.2126 * linear(1) + 0.7152 * linear(3) + 0.0722 * linear(5)
+
+
+def contrast_of(a: Column, b: Column) -> Column:
+    """WCAG contrast of two hex colours."""
+    return contrast_ratio(hex_luminance(a), hex_luminance(b))
+
+
+def wheel_hue(da: Column, db: Column) -> Column:
+    """The hue, red at 0 and green at 120, of a colour of middle chroma in a direction of the a-b plane; 0 without a direction."""
+    size = F.hypot(da, db)
+    scale = 0.12 / F.when(size < 1e-9, F.lit(1.0)).otherwise(size)
+    rgb = F.transform(F.array(linear_rgb(F.lit(0.62), da * scale, db * scale)), lambda c: F.struct(*[encode(c[n]).alias(n) for n in "rgb"]))
+
+    def hue_of(c: Column) -> Column:
+        top = F.greatest(c["r"], c["g"], c["b"])
+        d = top - F.least(c["r"], c["g"], c["b"])
+        safe = F.when(d < 1e-9, F.lit(1.0)).otherwise(d)
+        sixth = F.when(top == c["r"], (c["g"] - c["b"]) / safe).when(top == c["g"], (c["b"] - c["r"]) / safe + 2).otherwise((c["r"] - c["g"]) / safe + 4)
+        return F.when(d < 1e-9, 0.0).otherwise(F.pmod(sixth * 60, F.lit(360.0)))
+
+    return F.when(size < 1e-9, 0.0).otherwise(F.get(F.transform(rgb, hue_of), F.lit(0)))
+
+
 def ramp(x: Column, stops: list[tuple[float, float]]) -> Column:
     """Piecewise linear through (x, y) stops in rising order, constant beyond the ends."""
     out = F.when(x <= stops[0][0], F.lit(float(stops[0][1])))

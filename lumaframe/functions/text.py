@@ -62,6 +62,64 @@ def coarse_key(lat: Column, lon: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f_%.{digits}f", lat, lon)
 
 
-def preset_name(filename: Column, n: int = 60) -> Column:
-    """A file's name without extension and without the hash that ingest appends."""
-    return F.left(F.regexp_replace(F.regexp_replace(filename, r"\.[^.]*$", ""), r"\.[0-9a-f]{16}$", ""), F.lit(n))
+def query_digest(text: Column, limit: Column, version: int = 2) -> Column:
+    """What a search is cached under: twenty digits of the SHA-1 of its version, its text in one form and its limit."""
+    return F.left(F.sha1(F.concat_ws(" ", F.lit(f"v{version}"), query_key(text), limit.cast("string")).cast("binary")), F.lit(20))
+
+
+def cover_count(html: Column) -> Column:
+    """Struct (count, chapters) off a cover's kicker; null if the cover has changed."""
+    pattern = r'class="cover-kicker"[^>]*>\s*(\d+)\s*·\s*(\d+)\s*chapters'
+    part = lambda i: F.nullif(F.regexp_extract(html, pattern, i), F.lit("")).cast("long")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("count"), part(2).alias("chapters")))
+
+
+def identity_of(seed: Column) -> Column:
+    """32 hex digits that name a text: four 32-bit FNV-1a hashes with salts of their own, the same in every export."""
+    units = F.transform(F.split(seed, ""), lambda c: F.ascii(c).cast("long"))
+    word = lambda x: F.pmod(x, F.lit(2**32))
+    begin = [(0x811C9DC5 ^ (salt * 0x9E3779B9)) & 0xFFFFFFFF for salt in range(4)]
+    parts = [F.lpad(F.hex(F.aggregate(units, F.lit(b).cast("long"), lambda h, u: word(h.bitwiseXOR(u) * 0x01000193))), 8, "0") for b in begin]
+    return F.upper(F.concat(*parts))
+
+
+# Extensions of raw files.
+RAW = "arw srf sr2 axr cr2 cr3 crw nef nrw nefx raf orf rw2 pef dng erf dcr mrw mos rwl iiq srw 3fr fff dxo raw".split()
+
+
+def is_raw(filename: Column) -> Column:
+    return F.lower(F.regexp_extract(filename, r"\.([^.]*)$", 1)).isin(*RAW)
+
+
+def match_name(own: Column, reference: Column, n: int = 60) -> Column:
+    """What a preset is called: both names without extension, then without the hash at their end."""
+    clean = lambda s: F.regexp_replace(F.regexp_replace(s, r"\.[^.]+$", ""), r"(?i)\.[0-9a-f]{8,}$", "")
+    return F.left(F.concat(clean(own), F.lit(" as "), clean(reference)), F.lit(n))
+
+
+def preset_files(name: Column, automatic: Column, safe: Column) -> Column:
+    """Struct (files, chosen): a file with masks if a mask can be made again, always one without, and the one that is asked for."""
+    base = F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9-_ ]+", ""), r"\s+", "-")
+    files = F.when(automatic > 0, F.array(F.concat(base, F.lit(".xmp")), F.concat(base, F.lit("-safe.xmp")))).otherwise(F.array(F.concat(base, F.lit(".xmp"))))
+    return F.struct(files.alias("files"), F.when(safe, F.element_at(files, -1)).otherwise(F.element_at(files, 1)).alias("chosen"))
+
+
+def place_label(lat: Column, lon: Column) -> Column:
+    """Four places of each coordinate with its side."""
+    part = lambda x, pos, neg: F.concat(F.format_string("%.4f°", F.abs(x)), F.when(x >= 0, pos).otherwise(neg))
+    return F.concat_ws(" ", part(lat, "N", "S"), part(lon, "E", "W"))
+
+
+def shadow_caveat(showing: Column, cast: Column, guessed: Column) -> Column:
+    """How much of a shadow picture is inferred; null where there is none."""
+    told = F.when(guessed == 0, F.concat(cast.cast("string"), F.lit(" buildings, all from recorded heights."))).otherwise(F.concat(guessed.cast("string"), F.lit(" of "), cast.cast("string"), F.lit(" building heights are storey-count estimates.")))
+    return F.when(showing & (cast > 0), told)
+
+
+def moon_disc(fraction: Column, waxing: Column, r: int = 12) -> Column:
+    """The lit part of the disc as a path."""
+    k = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
+    sweep = F.when(k > 0.5, 1).otherwise(0)
+    side, back = F.when(waxing, 1).otherwise(0), F.when(waxing, sweep).otherwise(1 - sweep)
+    rx = F.floor(r * F.abs(1 - 2 * k) * 10_000 + 0.5) / 10_000
+    return F.concat(F.lit(f"M 0 {-r} A {r} {r} 0 0 "), side.cast("string"), F.lit(f" 0 {r} A "), rx.cast("string"), F.lit(f" {r} 0 0 "), back.cast("string"), F.lit(f" 0 {-r}"))

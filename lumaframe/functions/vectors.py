@@ -70,3 +70,8 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 def lerp_hue(a: Column, b: Column, t: Column) -> Column:
     """Between two hues along the shorter arc."""
     return F.pmod(a + (F.pmod(b - a + 540, F.lit(360.0)) - 180) * t, F.lit(360.0))
+
+
+def lerp_wheel_hue(a: Column, sat_a: Column, b: Column, sat_b: Column, t: Column) -> Column:
+    """The hue of a blended wheel: one without saturation has no hue of its own and takes the other's."""
+    return F.when(sat_a < 0.5, b).when(sat_b < 0.5, a).otherwise(lerp_hue(a, b, t))

@@ -427,16 +427,6 @@ def curve_table(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), points.alias("p")).select("id", F.round(vectors.total(vectors.curve(F.col("p"))), 4).alias("total"))
 
 
-@query("""SELECT region, coalesce(a, 0) AS a, coalesce(b, 0) AS b, a IS NOT NULL AND b IS NOT NULL AS comparable FROM (SELECT n_name AS region, n AS a FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) JOIN nation ON k = n_nationkey)
-FULL JOIN (SELECT n_name AS region, n AS b FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) JOIN nation ON k = n_nationkey) USING (region)""")
-def comparison_report(spark, sf_dir):
-    """Two sides by region; one-sided regions are kept and marked."""
-    names = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("region"))
-    side = lambda t, k, out: table(spark, sf_dir, t).groupBy(F.col(k).alias("n_nationkey")).agg(F.count("*").alias(out)).join(names, "n_nationkey").drop("n_nationkey")
-    both = side("customer", "c_nationkey", "a").join(side("supplier", "s_nationkey", "b"), "region", "full_outer")
-    return both.select("region", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("comparable"))
-
-
 @query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part", also="stamp_all")
 def stamp(spark, sf_dir):
     """One row that identifies a record set, all its ids in order."""

@@ -263,3 +263,40 @@ def test_replace_table_keeps_one(spark, tmp_path):
         sinks.replace_table(spark.range(n), path)
         assert spark.read.parquet(path).count() == n
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_identity_is_fnv(spark):
+    def plain(seed):
+        out = ""
+        for salt in range(4):
+            h = (0x811C9DC5 ^ (salt * 0x9E3779B9)) & 0xFFFFFFFF
+            for c in seed:
+                h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+            out += f"{h:08X}"
+        return out
+
+    for seed in ("abc:0.50", "d62b2154e7fee842:1.00", "x"):
+        assert one(spark, text.identity_of(F.col("s")), s=seed) == plain(seed)
+
+
+def test_wheel_hue(spark):
+    """Directions of the plane come out at the hue of a colour that lies there."""
+    for rgb, want in (((255, 0, 0), 0), ((0, 255, 0), 120), ((0, 0, 255), 240), ((255, 255, 0), 60)):
+        lab = one(spark, colour.oklch(*(F.lit(x) for x in rgb)))
+        got = one(spark, colour.wheel_hue(F.lit(lab.C * math.cos(math.radians(lab.H))), F.lit(lab.C * math.sin(math.radians(lab.H)))))
+        assert abs((got - want + 180) % 360 - 180) < 20, (rgb, got)
+    assert one(spark, colour.wheel_hue(F.lit(0.0), F.lit(0.0))) == 0
+
+
+def test_guard_stops_a_broken_build(spark):
+    from lumaframe.operators import ledger
+
+    audit = spark.createDataFrame([("missing", 1), ("orphan", None)], "fault string, id long")
+    assert ledger.guarded(spark.range(3), audit.where("fault = 'orphan'")).count() == 3
+    with pytest.raises(Exception, match="1 broken images"):
+        ledger.guarded(spark.range(3), audit).collect()
+
+
+def test_disc_paths(spark):
+    assert one(spark, text.moon_disc(F.lit(1.0), F.lit(True))) == "M 0 -12 A 12 12 0 0 1 0 12 A 12.0 12 0 0 1 0 -12"
+    assert one(spark, text.moon_disc(F.lit(0.25), F.lit(False))) == "M 0 -12 A 12 12 0 0 0 0 12 A 6.0 12 0 0 1 0 -12"
