@@ -208,7 +208,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     joined = joined.join(first, "component").select(F.col("id").alias("node"), "least")
     about = nodes.select("node", "m", "first").join(links, "node", "left").join(joined, "node", "left")
     about = about.select("node", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
-    done = rows.select("key", "node").join(about, "node", "left")
+    # as a table of its own, so that the join of a vector with very many copies can be split
+    done = rows.select("key", "node").join(written(about, "about"), "node", "left")
     component = F.coalesce("component_id", "key")
     return done.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"))
 
