@@ -5,6 +5,9 @@ Published low-precision series; their coefficients are fixed values.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .formulas import Formula, clip, cosd, sind, turn
 
 J2000, UNIX_JD, ELEMENT_JD = 2451545.0, 2440587.5, 2451543.5
@@ -156,14 +159,35 @@ DAY = Formula(
 
 _SIDE = "CASE WHEN {0}_c > 1 THEN 'below' WHEN {0}_c < -1 THEN 'above' ELSE 'ok' END"
 
-#: lat, lon, t -> rise and set through -4 and 6 degrees, and which kind of day that makes.
-GOLDEN = Formula(
-    [
-        *DAY_HEAD,
-        *_crossing(-4, "lo"), *_crossing(6, "hi"),
-        {"lo_k": _SIDE.format("lo"), "hi_k": _SIDE.format("hi")},
-        {"r_lo": "lo_r3", "s_lo": "lo_s3", "r_hi": "hi_r3", "s_hi": "hi_s3",
-         "kind": "CASE WHEN lo_k = 'below' THEN 'none' WHEN lo_k = 'ok' AND hi_k = 'below' THEN 'all day long' WHEN lo_k = 'ok' AND hi_k = 'ok' THEN 'twice' WHEN lo_k = 'ok' THEN 'none' WHEN hi_k = 'above' THEN 'none' WHEN hi_k = 'ok' THEN 'through midnight' ELSE 'whole day' END"},
-    ],
-    ["r_lo", "s_lo", "r_hi", "s_hi", "kind"],
-)
+
+def band(lower: float, upper: float) -> Formula:
+    """lat, lon, t -> rise and set through both ends of a band of altitudes, and which kind of day that makes."""
+    return Formula(
+        [
+            *DAY_HEAD,
+            *_crossing(lower, "lo"), *_crossing(upper, "hi"),
+            {"lo_k": _SIDE.format("lo"), "hi_k": _SIDE.format("hi")},
+            {"r_lo": "lo_r3", "s_lo": "lo_s3", "r_hi": "hi_r3", "s_hi": "hi_s3",
+             "kind": "CASE WHEN lo_k = 'below' THEN 'none' WHEN lo_k = 'ok' AND hi_k = 'below' THEN 'all day long' WHEN lo_k = 'ok' AND hi_k = 'ok' THEN 'twice' WHEN lo_k = 'ok' THEN 'none' WHEN hi_k = 'above' THEN 'none' WHEN hi_k = 'ok' THEN 'through midnight' ELSE 'whole day' END"},
+        ],
+        ["solar_noon", "r_lo", "s_lo", "r_hi", "s_hi", "kind"],
+    )
+
+
+#: Golden light from -4 to 6 degrees, blue light from -6 to -4.
+GOLDEN, BLUE = band(-4, 6), band(-6, -4)
+
+
+def band_windows() -> Column:
+    """Array of (start, end) of a band's row: one or two windows of a solar day, none where the sun doesn't pass it."""
+    window = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    c, noon = F.col, F.col("solar_noon")
+    first, last = noon - 43_200, noon + 43_200
+    none = F.array().cast("array<struct<start: double, end: double>>")
+    return (
+        F.when(c("kind") == "all day long", F.array(window(c("r_lo"), c("s_lo"))))
+        .when(c("kind") == "twice", F.array(window(c("r_lo"), c("r_hi")), window(c("s_hi"), c("s_lo"))))
+        .when(c("kind") == "through midnight", F.array(window(first, c("r_hi")), window(c("s_hi"), last)))
+        .when(c("kind") == "whole day", F.array(window(first, last)))
+        .otherwise(none)
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,15 @@ def lerp_hue(a: Column, b: Column, t: Column) -> Column:
 def lerp_wheel_hue(a: Column, sat_a: Column, b: Column, sat_b: Column, t: Column) -> Column:
     """The hue of a blended wheel: one without saturation has no hue of its own and takes the other's."""
     return F.when(sat_a < 0.5, b).when(sat_b < 0.5, a).otherwise(lerp_hue(a, b, t))
+
+
+def mean_pooled(rows: DataFrame, key: list[str], tokens: str) -> DataFrame:
+    """(key, v): the mean of each row's token vectors (an array of arrays of one length), scaled to unit length.
+
+    Dimensions are averaged inside the row; a row without tokens has an empty vector.
+    """
+    n = F.size(tokens)
+    first = F.get(tokens, F.lit(0))
+    total = F.aggregate(F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), first, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    mean = F.when(n > 0, F.transform(total, lambda x: x / n)).otherwise(F.array().cast("array<double>"))
+    return rows.select(*key, mean.alias("__m")).select(*key, normalised(F.col("__m")).alias("v"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.functions import colour
+from lumaframe.functions import colour, text
 
 SPLIT_ABOVE, MERGE_UP_TO = 5, 2
 
@@ -116,6 +116,27 @@ def delete_by_key(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key), key, "left_anti")
 
 
+def remove_photos(store: DataFrame, overrides: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """store and overrides without the keys of gone: an override doesn't outlive its photo."""
+    return delete_by_key(store, gone, key), delete_by_key(overrides, gone, key)
+
+
+def ingested(files: DataFrame) -> DataFrame:
+    """The record of each file (filename, content, width, camera, software, exposed): its id, the name it is kept under, its medium and its sizes.
+
+    Files of equal content are one record, of the first name.
+    """
+    rows = files.withColumn("id", F.substring(F.sha2("content", 256), 1, 16))
+    first = keep_first(rows, ["id"], [F.col("filename")])
+    kept = F.concat(text.slug(F.regexp_replace("filename", r"\.[^.]*$", ""), 60), F.lit("."), F.col("id"), F.regexp_extract("filename", r"(\.[^.]*)$", 1))
+    return first.select("id", kept.alias("filename"), text.medium(F.col("camera"), F.col("software"), F.col("exposed")).alias("medium"), expected_tags(F.col("width")).alias("tags"))
+
+
+def file_of(url: Column) -> Column:
+    """The file that a page's address of a derivative names."""
+    return F.regexp_replace(url, "^/img/", "")
+
+
 def differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, state) over both sets: added is in left alone, removed in right alone, same in both."""
     a = left.select(F.col(key).alias("__a")).distinct()

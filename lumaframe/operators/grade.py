@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.functions import colour
+from lumaframe.functions import colour, vectors
 
 # Percentiles that set exposure, and ranges of the controls.
 TAPS, LEAST_LEVEL, MOST_STOPS, RATIOS = tuple(range(2, 19, 2)), 0.02, 3.0, (0.25, 3.0)
@@ -159,3 +159,66 @@ def extremes(controls: list[tuple[str, Column, float]]) -> Column:
 def _unit(x: Column) -> Column:
     """x within 0 and 1; null stays null."""
     return F.when(x < 0, 0.0).when(x > 1, 1.0).otherwise(x)
+
+
+# The range of every control, and of a mask's.
+RANGES = {
+    "exposure": (-5, 5), "contrast": (-100, 100), "highlights": (-100, 100), "shadows": (-100, 100), "whites": (-100, 100), "blacks": (-100, 100), "temp": (-100, 100), "tint": (-100, 100), "vibrance": (-100, 100), "saturation": (-100, 100),
+    "texture": (-100, 100), "clarity": (-100, 100), "dehaze": (-100, 100), "vignette": (-100, 100), "grain": (0, 100), "grain_size": (0, 100), "roughness": (0, 100), "sharpen": (0, 150), "sharpen_radius": (0.5, 3), "sharpen_detail": (0, 100),
+    "noise": (0, 100), "colour_noise": (0, 100), "blending": (0, 100), "balance": (-100, 100),
+}
+# Controls of a record that changes nothing, where that isn't 0.
+NEUTRAL = {"grain_size": 25.0, "roughness": 50.0, "sharpen_radius": 1.0, "sharpen_detail": 25.0, "blending": 50.0}
+MASK_RANGES = {"exposure": (-4, 4), "temp": (-100, 100), "tint": (-100, 100), "saturation": (-100, 100), "contrast": (-100, 100)}
+# What a full control does, as shipped.
+CALIBRATION = {"saturation": 1.0, "vibrance": 1.6, "wheel": 0.06, "band_saturation": 1.0, "band_luminance": 320.0, "band_hue": 22.0, "grain": 0.055, "local_temp": 0.05, "local_tint": 0.045, "local_saturation": 1.0}
+
+
+def neutral() -> Column:
+    """The record of controls that changes nothing."""
+    return F.struct(*[F.lit(float(NEUTRAL.get(k, 0.0))).alias(k) for k in RANGES])
+
+
+def _named(value: Column, use) -> Column:
+    """What use makes of a value that is named once, so that a record isn't written out for each of its fields."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def within_ranges(record: Column, ranges: dict[str, tuple[float, float]] | None = None) -> Column:
+    """A record with every control inside its range; what isn't finite is 0 before that. An importer would drop others silently."""
+    return _named(record, lambda r: F.struct(*[vectors.clamp(r[k], float(a), float(b)).alias(k) for k, (a, b) in (ranges or RANGES).items()]))
+
+
+def at_strength(restrained: Column, faithful: Column, strength: Column) -> Column:
+    """The record at a strength of 0 to 1: neutral, restrained at one half, faithful at one; beyond, the ends."""
+    both = F.struct(restrained.alias("r"), faithful.alias("f"), vectors.clamp(strength, 0.0, 1.0).alias("t"))
+    mixed = _named(both, lambda v: F.struct(*[blend(F.lit(float(NEUTRAL.get(k, 0.0))), v["r"][k], v["f"][k], v["t"]).alias(k) for k in RANGES]))
+    return within_ranges(mixed)
+
+
+def blended_masks(a: DataFrame, b: DataFrame, t: Column) -> DataFrame:
+    """(key, region, controls) of both sides' masks at t: a mask of one side alone fades from or to neutral."""
+    side = lambda df, p: df.select("id", "region", *[F.col(c).alias(f"{p}{c}") for c in MASK_RANGES])
+    both = side(a, "a_").join(side(b, "b_"), ["id", "region"], "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    made = both.select("id", "region", *[(zero(f"a_{c}") + (zero(f"b_{c}") - zero(f"a_{c}")) * t).alias(c) for c in MASK_RANGES])
+    return made.select("id", "region", *[vectors.clamp(F.col(c), float(lo), float(hi)).alias(c) for c, (lo, hi) in MASK_RANGES.items()])
+
+
+def render_values(record: Column, masks: Column) -> Column:
+    """What a renderer needs of a record: linear chroma scale, grain and texture, and four mask channels, an array of (exposure, temp, tint, saturation), short ones filled with nothing."""
+    c = CALIBRATION
+    part = lambda f: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: f(F.get(masks, i)))
+    zero = lambda m, k: F.coalesce(m[k], F.lit(0.0))
+    scale = 1 + record["saturation"] / (100 * c["saturation"]) + record["vibrance"] / (100 * c["vibrance"])
+    return F.struct(
+        record["exposure"].alias("exposure"), F.greatest(F.lit(0.0), scale).alias("chroma"), (record["grain"] / 100 * c["grain"]).alias("grain"), (record["texture"] / 100).alias("texture"),
+        part(lambda m: zero(m, "exposure")).alias("mask_exposure"), part(lambda m: zero(m, "tint") / 100 * c["local_tint"]).alias("mask_a"), part(lambda m: zero(m, "temp") / 100 * c["local_temp"]).alias("mask_b"),
+        part(lambda m: F.greatest(F.lit(0.0), 1 + zero(m, "saturation") / (100 * c["local_saturation"]))).alias("mask_chroma"),
+    )
+
+
+def render_bands(hue: Column, saturation: Column, luminance: Column) -> Column:
+    """A colour band's sliders as degrees, a chroma factor and a change of lightness."""
+    c = CALIBRATION
+    return F.struct((hue / 100 * c["band_hue"]).alias("degrees"), F.greatest(F.lit(0.0), 1 + saturation / (100 * c["band_saturation"])).alias("chroma"), (luminance / c["band_luminance"]).alias("lightness"))

@@ -179,3 +179,19 @@ def sea_fraction(heights: Column, index: Column, stride: int = 16) -> Column:
     return F.avg(F.when(index % stride == 0, F.when(heights <= 1, 1.0).otherwise(0.0)))
 
 
+def calibration_constant(kind: str, applied: Column, measured: Column) -> Column:
+    """Aggregate: a control's constant from what was applied and what came of it.
+
+    unit: effect of a full control. gain100: control for an effect of one, by the hundred.
+    gainRaw: control for an effect of one.
+    """
+    if kind == "unit":
+        return 100 * slope_through_origin(applied, measured)
+    slope = slope_through_origin(measured, applied)
+    return slope / 100 if kind == "gain100" else slope
+
+
+def complete_tiles(cells: DataFrame, tile: list[str], size: int) -> DataFrame:
+    """The cells of those tiles that have all size by size samples; a tile of another size is none."""
+    whole = cells.groupBy(*tile).agg(F.count("*").alias("__n"), F.max("row").alias("__r"), F.max("col").alias("__c")).where(f"__n = {size * size} AND __r = {size - 1} AND __c = {size - 1}")
+    return cells.join(whole.select(*tile), tile, "left_semi")

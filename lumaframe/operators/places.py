@@ -310,3 +310,48 @@ def resampled(profile: DataFrame, key: list[str], value: str, bins: int, to: int
     both = want.join(side("__a", 0), [*key, "__low"], "left").join(side("__b", 1), [*key, "__low"], "left")
     part = F.col("__at") - F.floor("__at")
     return both.select(*key, "bin", F.when(part == 0, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * part).alias(value))
+
+
+def growing_steps(most: int = 220, growth: float = 1.03) -> list[float]:
+    """Cells from an observer to the samples of a ray: every step is growth times as long as the one before."""
+    cells, step, out = 1.0, 1.0, []
+    for _ in range(most):
+        out.append(cells)
+        step *= growth
+        cells += step
+    return out
+
+
+def terrain_horizon(points: DataFrame, cells: DataFrame, metres: float, side: int, bins: int = 720, radius: float = 149_000.0, most: int = 220, growth: float = 1.03) -> DataFrame:
+    """(id, bin, angle) round points (id, row, col, height): the highest angle of the ground along each bearing, 0 at least.
+
+    Samples stand further apart the further they are, to the field's edge or radius, and the
+    earth drops away below them. Points, bearings and samples are rows that meet their cells.
+    """
+    away = F.explode(F.array(*[F.lit(c) for c in growing_steps(most, growth) if c * metres <= radius]))
+    rays = points.select("id", "row", "col", F.col("height").alias("__eye"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    rays = rays.withColumn("__k", away).withColumn("__b", F.radians(F.col("bin") * (360.0 / bins)))
+    rays = rays.select("id", "bin", "__eye", (F.col("__k") * metres).alias("__m"), F.floor(F.col("row") - F.cos("__b") * F.col("__k") + 0.5).alias("r"), F.floor(F.col("col") + F.sin("__b") * F.col("__k") + 0.5).alias("c"))
+    ground = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("height").alias("__h"))
+    met = rays.where(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1)).join(ground, ["r", "c"])
+    rise = F.col("__h") - F.col("__m") * F.col("__m") / (2 * 7 / 6 * EARTH_M) - F.col("__eye")
+    found = met.groupBy("id", "bin").agg(F.max(F.degrees(F.atan2(rise, F.col("__m")))).alias("a"))
+    every = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(found, ["id", "bin"], "left").select("id", "bin", F.greatest(F.lit(0.0), F.coalesce("a", F.lit(0.0))).alias("angle"))
+
+
+def between(lat1: Column, lon1: Column, lat2: Column, lon2: Column, part: Column) -> Column:
+    """Struct (lat, lon) at part of the great circle; antipodes have no one great circle and raise an error."""
+    d = great_circle(lat1, lon1, lat2, lon2) / EARTH_M
+    apart = F.when(math.pi - d < 1e-9, F.raise_error(F.lit("no great circle between antipodes")).cast("double")).otherwise(d)
+
+    def point(d: Column) -> Column:
+        p, q = F.sin((1 - part) * d) / F.sin(d), F.sin(part * d) / F.sin(d)
+        rad = lambda f, x: f(F.radians(x))
+        x = p * rad(F.cos, lat1) * rad(F.cos, lon1) + q * rad(F.cos, lat2) * rad(F.cos, lon2)
+        y = p * rad(F.cos, lat1) * rad(F.sin, lon1) + q * rad(F.cos, lat2) * rad(F.sin, lon2)
+        z = p * rad(F.sin, lat1) + q * rad(F.sin, lat2)
+        same = F.struct(lat1.cast("double").alias("lat"), lon1.cast("double").alias("lon"))
+        return F.when(d == 0, same).otherwise(F.struct(F.degrees(F.atan2(z, F.hypot(x, y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon")))
+
+    return F.get(F.transform(F.array(apart), point), F.lit(0))

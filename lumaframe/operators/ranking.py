@@ -121,3 +121,19 @@ def nearest(found: DataFrame, most: float | None = TOO_FAR, n: int | None = 8) -
     return rows if n is None else rows.limit(n)
 
 
+# What the parts of a resemblance are called.
+PART_NAMES = {"tone": "tone curve", "cast": "colour cast", "saturation": "saturation", "contrast": "contrast", "split": "split tone"}
+
+
+def parts_text(parts: Column) -> Column:
+    """A resemblance's parts (a map) in words, the nearest first; ties in the order in which parts are listed."""
+    order = {k: i for i, k in enumerate(PART_NAMES)}
+    named = F.create_map(*[F.lit(x) for kv in PART_NAMES.items() for x in kv])
+    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    rows = F.transform(F.map_entries(parts), lambda e: F.struct(e["value"].alias("v"), F.element_at(place, e["key"]).alias("i"), F.element_at(named, e["key"]).alias("n")))
+    return F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(r["n"], F.lit(" "), F.format_string("%.1f", r["v"]))), " · ")
+
+
+def trimmed(regions: Column, kept: tuple[str, ...]) -> Column:
+    """A look's regions (a map) that a comparison reads."""
+    return F.map_filter(regions, lambda k, _: k.isin(*kept))

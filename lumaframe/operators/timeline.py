@@ -135,9 +135,11 @@ def positive_intervals(df: DataFrame, key: list[str], at: str, value: str) -> Da
     return open_.select(*key, "start", "end").where("end > start")
 
 
-def passes(df: DataFrame, key: list[str], order: list[str], off: str, tolerance: float) -> DataFrame:
+def passes(df: DataFrame, key: list[str], order: list[str], off: str, tolerance: float | Column) -> DataFrame:
     """(key, best, meets, from, to, behind) of each local minimum of |off|: the run of samples within tolerance round it.
 
+    tolerance is a number or a column of each sample's own.
+
     behind tells whether off has both signs in that run and one sample on either side.
     """
     along = Window.partitionBy(*key).orderBy(*order)

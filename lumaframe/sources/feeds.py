@@ -70,7 +70,7 @@ def forecast_heads(bodies: DataFrame, key: str, body: str) -> DataFrame:
     """(key, latitude, longitude, current fields): what a forecast says of itself and of now; a missing place is 0."""
     fields = ", ".join(f"{f}: double" for f in HOURLY)
     parsed = F.from_json(F.col(body), f"struct<latitude: double, longitude: double, current: struct<time: string, {fields}>>")
-    rows = bodies.select(key, parsed.alias("j")).where("j is not null")
+    rows = bodies.select(key, parsed.alias("j"))
     place = [F.coalesce(finite(F.col(f"j.{c}")), F.lit(0.0)).alias(c) for c in ("latitude", "longitude")]
     return rows.select(key, *place, utc(F.col("j.current.time")).alias("time"), *[finite(F.col(f"j.current.{f}")).alias(n) for f, n in HOURLY.items()])
 
