@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_folder, small_batches, written
@@ -108,8 +108,8 @@ class Shards:
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(key, n_bytes, digest) of every row of df and (digest, folder, shard, offset, length) of every digest, as tables.
 
-    digest is the SHA-256 of the stored form. A null text counts as empty; an empty text
-    is WIDTH zero samples. Equal texts have one digest, which names one member, whichever
+    digest is the SHA-256 of the stored form, 32 bytes. A null text counts as empty; an empty
+    text is WIDTH zero samples. Equal texts have one digest, which names one member, whichever
     task wrote it first by name; members of the same digest in other shards (tasks don't
     know of each other's) are named by no row. Other columns are dropped.
     """
@@ -130,8 +130,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: in
                 mark = hashlib.sha256(raw).digest()
                 if mark not in known:
                     image, last = to_image(pad(raw)), shards.name
-                    digest = hashlib.sha256(image).hexdigest()
-                    member = (*shards.add(f"{digest}.png", image), digest)
+                    digest = hashlib.sha256(image)
+                    member = (*shards.add(f"{digest.hexdigest()}.png", image), digest.digest())
                     if shards.name != last:
                         known.clear()  # no more is remembered than one shard holds
                     known[mark] = member
@@ -139,12 +139,12 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: in
                 found.append(known[mark])
             shard, offset, length, digest = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shard, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(shard, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.binary())],
                 ["key", "n_bytes", "shard", "offset", "length", "digest"],
             )
         shards.close()
 
-    packed = rows.mapInArrow(run, f"key {kind}, n_bytes bigint, shard string, offset bigint, length bigint, digest string")
+    packed = rows.mapInArrow(run, f"key {kind}, n_bytes bigint, shard string, offset bigint, length bigint, digest binary")
     packed = written(packed, "packed")
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
     members = packed.groupBy("digest").agg(place).select("digest", F.lit(folder).alias("folder"), "place.*")
@@ -152,10 +152,14 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: in
 
 
 def store(df: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, n_bytes, folder, shard, offset, length, digest): whole texts as media, one row for each row of df; see pack."""
+    """(key, n_bytes, folder, shard, offset, length, digest in hex): whole texts as media, one row for each row of df; see pack."""
     packed, members = pack(df, key, text, shard_bytes)
     found = members.withColumnRenamed("digest", "d")
-    return packed.join(found, F.col("digest") == F.col("d")).select(*[c for c in packed.columns if c != "digest"], "folder", "shard", "offset", "length", "digest")
+    return packed.join(found, F.col("digest") == F.col("d")).select(*[c for c in packed.columns if c != "digest"], "folder", "shard", "offset", "length", _hex("digest"))
+
+
+def _hex(name: str) -> Column:
+    return F.lower(F.hex(name)).alias(name)
 
 
 def _read(manifest: DataFrame, columns: list[str], take, schema: str, size: int | None, dealt: bool = False) -> DataFrame:
@@ -206,9 +210,10 @@ def described(df: DataFrame, key: str = "doc_id", text: str = "text", shard_byte
     packed, members = pack(df, key, text, shard_bytes)
     found = features(metadata(members), dealt=True)
     size = F.concat_ws("x", "width", "height", "depth")
-    columns = ["length", "width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256"]
-    found = found.select(F.col("digest").alias("d"), *columns, F.concat_ws(";", size, "samples").alias("feature"))
-    return packed.join(written(found, "described"), F.col("digest") == F.col("d")).drop("d")
+    columns = ["length", "width", "height", "depth", "payload_bytes", "tail_crc32", *(F.unhex(c).alias(c) for c in ("payload_sha256", "media_sha256"))]
+    found = written(found.select(F.col("digest").alias("d"), *columns, F.concat_ws(";", size, "samples").alias("feature")), "described")
+    both = packed.join(found, F.col("digest") == F.col("d")).drop("d")
+    return both.withColumns({c: _hex(c) for c in ("digest", "payload_sha256", "media_sha256")})
 
 
 def load(manifest: DataFrame) -> DataFrame:
