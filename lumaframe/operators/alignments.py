@@ -34,10 +34,15 @@ def bearing_crossings(spots: DataFrame, key: list[str], body: str, step: int = 2
     form = BODIES[body]
     along = Window.partitionBy(*key).orderBy("t")
     rows = sampled(spots, form, "start", "end", step)
-    seen = rows.withColumns({"p_off": F.lag("off").over(along), "p_alt": F.lag("altitude").over(along), "p_t": F.lag("t").over(along)})
+    seen = rows.withColumns({"p_off": F.lag("off").over(along), "p_t": F.lag("t").over(along)})
     turned = seen.where("p_off IS NOT NULL AND sign(p_off) <> sign(off) AND p_off <> 0 AND abs(p_off) + abs(off) < 180")
-    brackets = turned.select(*spots.columns, F.col("p_t").alias("lo"), F.col("t").alias("hi"), F.col("p_off").alias("f_lo"), F.col("off").alias("f_hi"), (F.col("altitude") < F.col("p_alt")).alias("descending"))
-    found = form.on(secant(brackets, form, "off", 0.0)).select(*key, "t", "altitude", "disc", "descending")
+    brackets = turned.select(*spots.columns, F.col("p_t").alias("lo"), F.col("t").alias("hi"), F.col("p_off").alias("f_lo"), F.col("off").alias("f_hi"))
+    found = secant(brackets, form, "off", 0.0)
+    # rising or setting by the altitude a minute later
+    later = form.on(found.withColumns({"__at": F.col("t"), "t": F.col("t") + 60})).withColumnRenamed("altitude", "__later").drop("off", "disc").withColumn("t", F.col("__at"))
+    found = form.on(later).select(*key, "t", "altitude", "disc", (F.col("__later") < F.col("altitude")).alias("descending"))
+    # a few rows for each spot, kept so that no later filter is pushed down into the chain of formulas
+    found = found.persist()
     gap = F.min(F.struct(F.abs("off").alias("gap"), F.col("t").alias("gap_at"))).alias("g")
     return found, rows.groupBy(*key).agg(gap).select(*key, "g.gap", "g.gap_at")
 
