@@ -25,6 +25,10 @@ def origins(images: DataFrame) -> DataFrame:
     return rows.withColumns({"left": place("width", "gx", GRID[0]), "top": place("height", "gy", GRID[1])})
 
 
+#: The narrowest crop that is measured.
+LEAST_CROP = 8
+
+
 def box_mean(a: np.ndarray, reach: int) -> np.ndarray:
     """Means over boxes; pixels beyond an edge count as the edge's."""
     for axis in (0, 1):
@@ -63,12 +67,18 @@ def measure_crop(luma: np.ndarray) -> dict[str, float] | None:
 
 
 def crops(pixels: DataFrame, key: list[str]) -> DataFrame:
-    """(key, grain, edge, acutance, blockiness, scale) of crops of (key, x, y, luma); crops that can't be measured have no row."""
+    """(key, grain, edge, acutance, blockiness, scale) of crops of (key, x, y, luma).
+
+    A crop that lacks a pixel of its rectangle, is narrower than LEAST_CROP, or can't be
+    measured has no row: nothing is made up for a pixel that isn't there.
+    """
     names = ["grain", "edge", "acutance", "blockiness", "scale"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = rows.pivot_table(index="y", columns="x", values="luma", aggfunc="mean").interpolate(axis=1, limit_direction="both").ffill().bfill().to_numpy(float)
-        got = measure_crop(grid) if min(grid.shape) >= 8 else None
+        x, y = rows["x"].to_numpy(int), rows["y"].to_numpy(int)
+        grid = np.full((y.max() - y.min() + 1, x.max() - x.min() + 1), np.nan)
+        grid[y - y.min(), x - x.min()] = rows["luma"].to_numpy(float)
+        got = measure_crop(grid) if min(grid.shape) >= LEAST_CROP and not np.isnan(grid).any() else None
         return pd.DataFrame([{**{k: rows[k].iloc[0] for k in key}, **got}] if got else [], columns=[*key, *names])
 
     kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in key)
