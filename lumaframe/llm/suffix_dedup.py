@@ -8,8 +8,8 @@ shuffled by anchor. Documents are dealt to buckets by key, anchors to shards by
 1. A bucket sends 32 bits of each distinct anchor to its shard, which answers with two
    bits: whether another bucket has it too, and whether it has very many contexts in all.
 2. A bucket collapses equal contexts and sends the distinct ones whose anchor is shared.
-   The shard collapses equal contexts of different buckets and sorts the windows that are
-   left (suffixes cut at LENGTH) by a mergesort whose comparisons find the common
+   The shard sorts all their windows (suffixes cut at LENGTH), of equal contexts from
+   different buckets as well, by a mergesort whose comparisons find the common
    extension by binary search over prefix polynomial hashes. Neighbours that agree over
    LENGTH bytes are compared byte by byte, so a hash collision can't remove anything. What
    a document with a smaller key holds goes back as one bit for each window.
@@ -225,14 +225,13 @@ class Bucket:
 
     def context_rows(self):
         """(shard, packed contexts) of each shard."""
-        pack = zstandard.ZstdCompressor(level=3)
         c = self.live
         for a, b in _runs(self.shard):
             at = self.distinct[self.packed[a:b]]
             text = _gather(self.data, c.start[at], c.windows[at] + LENGTH - 1)
             keys = self.owner[at]
             body = np.int64(len(at)).tobytes() + keys.tobytes() + c.windows[at].astype(np.uint8).tobytes() + c.anchor[at].astype(np.uint8).tobytes() + text.tobytes()
-            yield int(self.shard[a]), pack.compress(body)
+            yield int(self.shard[a]), _squeezed(body)
 
     def cut(self, replies: list[tuple[int, bytes]]):
         """(number of the row, bytes, removed spans, kept bytes) of each document."""
@@ -284,15 +283,25 @@ def _windows_apart(data: np.ndarray, c: Contexts, of_anchor: np.ndarray, apart:
     return Contexts(*(getattr(made, f)[order] for f in ("start", "windows", "anchor", "seed", "name"))), of_anchor[order], apart[order]
 
 
+def _squeezed(body: bytes) -> bytes:
+    """body compressed if that makes it smaller; with very many shards a row is a few bytes that a frame would only add to."""
+    packed = zstandard.ZstdCompressor(level=3).compress(body)
+    return b"\1" + packed if len(packed) < len(body) else b"\0" + body
+
+
+def _loosened(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body[1:]) if body[0] else body[1:]
+
+
 def _pack_rising(values: np.ndarray, counts: np.ndarray) -> bytes:
     """Rising 32-bit values as steps, and 16-bit counts, byte by byte of their weight, compressed."""
     steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
     planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + counts.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(planes)
+    return _squeezed(planes)
 
 
 def _unpack_rising(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(6, -1)
+    planes = np.frombuffer(_loosened(body), np.uint8).reshape(6, -1)
     values = np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.uint32)
     return values, np.ascontiguousarray(planes[4:].T).view("<u2").ravel()
 
@@ -389,28 +398,14 @@ def earlier(keys: np.ndarray, windows: np.ndarray, anchor: np.ndarray, text: np.
         seed = mix(seed * np.uint64(31) + wide[start + anchor + k])
     # anchors of one context meet nothing
     _, of, count = np.unique(seed, return_inverse=True, return_counts=True)
-    live = np.flatnonzero(count[of] > 1)
-    if not len(live):
-        return mask
-    # equal contexts: the smallest key stands for all
-    name = _span_hashes(text, start[live], size[live], seed[live])
-    first = live[_classes(text, start[live], size[live], name)]
-    heads, of_head = np.unique(first, return_inverse=True)
-    least = np.full(len(heads), np.iinfo(np.int64).max)
-    np.minimum.at(least, of_head, keys[live])
-    whole = live[keys[live] > least[of_head]]
-    mask[whole] = ((np.uint64(1) << windows[whole].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-    # windows of different contexts with one anchor
-    _, of_seed, count = np.unique(seed[heads], return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(count[of_seed] > 1)
-    if not len(mixed):
+    c = np.flatnonzero(count[of] > 1)
+    if not len(c):
         return mask
-    c = heads[mixed]
     body = _gather(text, start[c], size[c])
     begin = np.cumsum(size[c]) - size[c]
     place = np.concatenate([_STEPS[_within(size[c[i : i + _SPANS]])] for i in range(0, len(c), _SPANS)])
     suffixes = Suffixes(body, place)
-    own, windows_c, anchor_c, group = least[mixed], windows[c], anchor[c], of_seed[mixed]
+    own, windows_c, anchor_c, group = keys[c], windows[c], anchor[c], of[c]
     held = np.zeros(len(c), np.uint32)
     # equal windows have their anchor at one place, so places are sorted apart; as many at once as fit in WINDOWS
     of_place = [int(((anchor_c >= k) & (anchor_c - k < windows_c)).sum()) for k in range(LENGTH - SEED + 1)]
@@ -426,10 +421,7 @@ def earlier(keys: np.ndarray, windows: np.ndarray, anchor: np.ndarray, text: np.
             smaller = _smallest(suffixes, begin[which] + offset, group[which] * 32 + place_of + k, own[which]) < own[which]
             np.bitwise_or.at(held, which[smaller], np.uint32(1) << offset[smaller].astype(np.uint32))
         k = end
-    # what a context's smallest key finds held, its other keys find held as well
-    of_mixed = np.zeros(len(heads), np.uint32)
-    of_mixed[mixed] = held
-    mask[live] |= of_mixed[of_head]
+    mask[c] = held
     return mask
 
 
@@ -461,7 +453,7 @@ def _span_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray, salt: np
 
 
 def _unpack(body: bytes):
-    body = zstandard.ZstdDecompressor().decompress(body)
+    body = _loosened(body)
     n = int(np.frombuffer(body, np.int64, 1)[0])
     at = 8 + 8 * n
     return np.frombuffer(body, np.int64, n, 8), np.frombuffer(body, np.uint8, n, at), np.frombuffer(body, np.uint8, n, at + n), np.frombuffer(body, np.uint8, -1, at + 2 * n)
