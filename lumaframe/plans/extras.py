@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, geodesy, sky, text, vectors
-from lumaframe.operators import alignments, archive, buildings, grade, ledger, pixels, places, ranking, terrain
+from lumaframe.operators import alignments, archive, buildings, grade, ledger, pixels, places, ranking, solver, terrain
 from lumaframe.operators.timeline import sampled
 from lumaframe.sources import feeds
 
-from .archive import query, table
+from .archive import images, query, table
 from .light import H_SQL, SPOT, TIMES_SQL, edges, heights, instants
 from .records import bodies
 
@@ -233,3 +233,15 @@ def board_edits(spark, sf_dir):
     edited = archive.update_by_key(rows, rows.where("id % 3 = 0").select("id", F.lit("edited").alias("name")), "id", ["name"])
     kept = archive.delete_by_key(edited, rows.where("id % 5 = 0"), "id")
     return archive.append_new(kept, rows.where("id % 4 = 0").select((F.col("id") + 100000).alias("id"), F.lit("new").alias("name")), "id", [F.col("name")])
+
+
+def graded(spark, sf_dir) -> DataFrame:
+    analyses = solver.analysed(pixels.with_lab(images(spark, sf_dir)), "image")
+    return solver.solution(solver.pairs(analyses, 1))
+
+
+@query()
+def grade_solution(spark, sf_dir):
+    """The whole grade of every image to the first one, at full strength and restrained, and how far it gets."""
+    made = graded(spark, sf_dir)
+    return made.select("id", "faithful", "restrained", "faithful_curve", "restrained_curve", "reachability", "residual")
