@@ -63,10 +63,6 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), fine))
 
 
-def lerp(a: Column, b: Column, t: Column) -> Column:
-    return a + (b - a) * t
-
-
 def lerp_hue(a: Column, b: Column, t: Column) -> Column:
     """Between two hues along the shorter arc."""
     return F.pmod(a + (F.pmod(b - a + 540, F.lit(360.0)) - 180) * t, F.lit(360.0))

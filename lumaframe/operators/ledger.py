@@ -96,10 +96,6 @@ def evicted(records: DataFrame, most: int = MOST_UNKEPT) -> DataFrame:
     return records.where("kept").unionByName(loose)
 
 
-def newest_first(records: DataFrame) -> DataFrame:
-    return records.orderBy(F.desc("created"), "id")
-
-
 def cache_key(content: Column, baseline: Column) -> Column:
     """What a result is cached under: the content's hash and how it was read."""
     return F.concat_ws(":", F.substring(F.sha2(content, 256), 1, 16), baseline)

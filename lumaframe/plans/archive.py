@@ -116,11 +116,12 @@ def colour_classes(spark, sf_dir):
     return photos(spark, sf_dir).select("id", "r", "g", "b", *rounded, "base", colour.lightness_band(F.col("L")).alias("band"))
 
 
-@query(f"""{PHOTO_SQL}, back AS (SELECT id, r, L, a, b_ FROM photo) SELECT id, r AS red FROM back""")
+@query(f"""{PHOTO_SQL} SELECT id, r AS red, g AS green, b AS blue FROM photo""")
 def colour_round_trip(spark, sf_dir):
-    """sRGB to OKLab and back gives the byte again."""
+    """sRGB to OKLab and back gives all three bytes again."""
     back = colour.linear_rgb(F.col("L"), F.col("a"), F.col("b_"))
-    return photos(spark, sf_dir).select("id", F.floor(colour.encode(back["r"]) * 255 + 0.5).cast("long").alias("red"))
+    byte = lambda c: F.floor(colour.encode(back[c]) * 255 + 0.5).cast("long")
+    return photos(spark, sf_dir).select("id", byte("r").alias("red"), byte("g").alias("green"), byte("b").alias("blue"))
 
 
 @query("""WITH o AS (SELECT DISTINCT o_custkey%97 AS key, 'override-' || (o_custkey%97)%5 AS status FROM orders WHERE o_custkey%97 < 40)
@@ -239,7 +240,6 @@ def slope_origin(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(colour.half_up(slope, 4).alias("slope"))
 
 
-R4 = "round({0}, 4)"
 MOMENTS_SQL = f"""round(sum(w), 4) AS weight, round(sum(w*L)/sum(w), 4) AS L_mean, round(sqrt(greatest(0, sum(w*L*L)/sum(w) - pow(sum(w*L)/sum(w), 2))), 4) AS L_sd,
 round(sum(w*C)/sum(w), 4) AS C_mean, round(sqrt(greatest(0, sum(w*C*C)/sum(w) - pow(sum(w*C)/sum(w), 2))), 4) AS C_sd,
 round({hue('sum(w*a)/sum(w)', 'sum(w*b_)/sum(w)')}, 3) AS hue_mean,
@@ -364,18 +364,20 @@ def mask_union(spark, sf_dir):
     return both.select("px", "together", (255 - F.col("together")).alias("complement"))
 
 
-EMB = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id%7+1 AS h, vec_id%5+1 AS w, vec_id%37/37.0::DOUBLE AS L, vec_id%11/40.0::DOUBLE AS C, vec_id%360*1.0::DOUBLE AS H FROM embeddings),
-raw AS (SELECT c.vec_id, 1 - list_dot_product(r.v, c.v) AS emb, abs(ln((c.h/c.w)/(r.h/r.w))) AS asp,
+EMB = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id%7+1 AS h, vec_id%5+1 AS w, vec_id%37/37.0::DOUBLE AS L, vec_id%11/40.0::DOUBLE AS C, vec_id%360*1.0::DOUBLE AS H,
+CASE WHEN vec_id%9 <> 4 THEN list_transform(range(48), lambda i: (vec_id*(i + 3))%17/40.0::DOUBLE) END AS grid FROM embeddings),
+raw AS (SELECT c.vec_id, 1 - list_dot_product(r.v, c.v) AS emb, CASE WHEN c.grid IS NULL THEN 0 ELSE sqrt(list_sum(list_transform(range(16), lambda i: pow(r.grid[i*3 + 1] - c.grid[i*3 + 1], 2)))) END AS tone,
+CASE WHEN c.grid IS NULL THEN 0 ELSE sqrt(list_sum(list_transform(range(16), lambda i: pow(r.grid[i*3 + 2] - c.grid[i*3 + 2], 2) + pow(r.grid[i*3 + 3] - c.grid[i*3 + 3], 2)))) END AS layout, abs(ln((c.h/c.w)/(r.h/r.w))) AS asp,
 sqrt(pow(r.L-c.L, 2)+pow(r.C*cos(radians(r.H))-c.C*cos(radians(c.H)), 2)+pow(r.C*sin(radians(r.H))-c.C*sin(radians(c.H)), 2)) AS dom
 FROM e c, (SELECT * FROM e WHERE vec_id = 0) r WHERE c.vec_id <> 0),
-sc AS (SELECT vec_id, 0.6*emb + 0.15*asp AS comp, 0.35*dom AS col FROM raw),
+sc AS (SELECT vec_id, 0.6*emb + 0.25*tone + 0.15*asp AS comp, 0.65*layout + 0.35*dom AS col FROM raw),
 nm AS (SELECT vec_id, (comp - min(comp) OVER ())/coalesce(nullif(max(comp) OVER () - min(comp) OVER (), 0), 1) AS comp, (col - min(col) OVER ())/coalesce(nullif(max(col) OVER () - min(col) OVER (), 0), 1) AS col FROM sc)"""
 
 
 def _looks(spark, sf_dir):
     k = F.col("vec_id")
     return table(spark, sf_dir, "embeddings").select(
-        k.alias("id"), "embedding", (k % 7 + 1).alias("height"), (k % 5 + 1).alias("width"), F.lit(None).cast("array<double>").alias("grid"),
+        k.alias("id"), "embedding", (k % 7 + 1).alias("height"), (k % 5 + 1).alias("width"), F.when(k % 9 != 4, F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: k * (i + 3) % 17 / 40.0)).alias("grid"),
         (k % 37 / 37.0).alias("L"), (k % 11 / 40.0).alias("C"), (k % 360).cast("double").alias("H"),
     )
 

@@ -44,9 +44,6 @@ def medium_guess(spark, sf_dir):
     return rows.select("id", text.medium(F.col("camera"), F.col("software"), F.col("exposed")).alias("medium"))
 
 
-FEED_SQL = """o AS (SELECT event_id//24 AS body, event_id%24 AS i, event_id, value FROM events)"""
-
-
 def bodies(spark, sf_dir):
     """(body, json): events in groups of 24 as a columnar forecast; every seventh time can't be read, every fifth value is missing."""
     e = table(spark, sf_dir, "events").withColumn("body", F.floor(F.col("event_id") / 24))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions.text import plain_text, sane_date
-from lumaframe.operators.archive import keep_first
 
 # Hourly fields of a forecast and the names that rows give them.
 HOURLY = {
@@ -219,8 +218,3 @@ def to_link(lat: Column, lon: Column, radius: Column, day: Column, name: Column)
     place = lambda x: F.round(x, 5).cast("string")
     parts = [F.concat(F.lit("at="), place(lat), F.lit("%2C"), place(lon)), F.concat(F.lit("r="), F.floor(radius + 0.5).cast("string")), F.concat(F.lit("d="), day), F.concat(F.lit("n="), F.url_encode(F.left(name, F.lit(120))))]
     return F.concat_ws("&", *parts)
-
-
-def unseen(batch: DataFrame, results: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The rows of a batch that have no cached result yet, one for each key."""
-    return keep_first(batch, [key], order).join(results.select(key), key, "left_anti")

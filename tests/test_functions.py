@@ -300,3 +300,21 @@ def test_guard_stops_a_broken_build(spark):
 def test_disc_paths(spark):
     assert one(spark, text.moon_disc(F.lit(1.0), F.lit(True))) == "M 0 -12 A 12 12 0 0 1 0 12 A 12.0 12 0 0 1 0 -12"
     assert one(spark, text.moon_disc(F.lit(0.25), F.lit(False))) == "M 0 -12 A 12 12 0 0 0 0 12 A 6.0 12 0 0 1 0 -12"
+
+
+def test_no_great_circle_between_antipodes(spark):
+    at = lambda *v: one(spark, places.between(*(F.lit(float(x)) for x in v)))
+    got = at(0, 0, 0, 90, 0.5)
+    assert (got.lat, got.lon) == (pytest.approx(0, abs=1e-9), pytest.approx(45))
+    assert at(10, 20, 10, 20, 0.3).lat == 10
+    with pytest.raises(Exception, match="antipodes"):
+        at(0, 0, 0, 180, 0.5)
+
+
+def test_json_store_and_trimmed_regions(spark, tmp_path):
+    from lumaframe.operators import ranking
+
+    (tmp_path / "store.json").write_text('[{"id": "a", "width": 3}, {"id": "b", "width": "x"}]')
+    rows = feeds.json_store(spark, f"{tmp_path}/store.json", "id string, width int").collect()
+    assert [(r.id, r.width) for r in rows] == [("a", 3), ("b", None)]
+    assert one(spark, ranking.trimmed(F.create_map(F.lit("global"), F.lit(1), F.lit("other"), F.lit(2)), ("global",))) == {"global": 1}
