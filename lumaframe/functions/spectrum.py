@@ -119,3 +119,25 @@ TRAILS = Formula(
     ],
     ["pitch", "trail", "sharp", "tolerable", "drift"],
 )
+
+
+def light_reading(direct_lux: Column, direct: Column, diffuse: Column, altitude: Column) -> Column:
+    """Struct (diffuse_lux, ev, stops): the sky's light, the exposure value of a subject that faces the sun, and key against fill.
+
+    direct_lux is the beam's light, direct and diffuse are watts of the beam and of the sky on
+    the ground. Key and fill are both taken on the ground, where a shadow lies, so a low sun is
+    soft. Without a beam the sky gives 110 lumens a watt.
+    """
+    sky = F.when(direct > 1, direct_lux * diffuse / direct).otherwise(diffuse * 110)
+    floor = lambda x: F.greatest(x, F.lit(1e-6))
+    lit = direct_lux * F.greatest(F.lit(0.0), F.sin(F.radians(altitude))) + sky
+    stops = F.when(lit > floor(sky), F.log2(lit / floor(sky))).otherwise(0.0)
+    return F.struct(sky.alias("diffuse_lux"), F.log2(floor(direct_lux + sky) / 2.5).alias("ev"), stops.alias("stops"))
+
+
+def aerosol_note(aod: Column, sea: Column) -> Column:
+    """Where the air's turbidity comes from, in words: measured or from a table, and how the size of its particles is known."""
+    size = F.when(sea.isNull(), "particle size assumed continental").otherwise(F.concat(F.lit("particle size inferred from "), F.floor(sea * 100 + 0.5).cast("long").cast("string"), F.lit("% sea around the pin")))
+    measured = F.concat(F.lit("aerosol depth "), F.format_string("%.2f", aod), F.lit(" at 550 nm, measured; "), size)
+    known = aod.isNotNull() & ~F.isnan(aod)
+    return F.when(known, measured).otherwise(F.concat(F.lit("turbidity from a table, "), size))

@@ -202,3 +202,41 @@ def sides_of_noon(windows: Column, noon: Column) -> Column:
     after = F.coalesce(first(lambda w: w["start"] >= noon), F.try_element_at(F.filter(windows, lambda w: w["end"] > noon), F.lit(-1)))
     again = before["start"] == after["start"]
     return F.struct(before.alias("morning"), F.when(~F.coalesce(again, F.lit(False)), after).alias("evening"))
+
+
+# Rows of a day's light, by key, label and whether they are windows.
+EVENT_ROWS = (("blueMorning", "Blue hour"), ("sunrise", "Sunrise"), ("goldenMorning", "Golden hour"), ("solarNoon", "Solar noon"), ("goldenEvening", "Golden hour"), ("sunset", "Sunset"), ("blueEvening", "Blue hour"))
+
+
+def event_rows(days: DataFrame, key: list[str]) -> DataFrame:
+    """(key, place, event, label, start, end) of days (key, solar_noon, sunrise, sunset, golden, blue with arrays of windows).
+
+    Windows are placed by the side of noon that they are on; an event that a day doesn't have
+    is listed without a time.
+    """
+    sides = {n: sides_of_noon(F.col(n), F.col("solar_noon")) for n in ("golden", "blue")}
+    rows = days.withColumns({f"__{n}": s for n, s in sides.items()})
+    none = F.lit(None).cast("double")
+    of = lambda name: (F.col(f"__{name}.start"), F.col(f"__{name}.end"))
+    span = {"blueMorning": of("blue.morning"), "goldenMorning": of("golden.morning"), "goldenEvening": of("golden.evening"), "blueEvening": of("blue.evening"), "sunrise": (F.col("sunrise"), none), "sunset": (F.col("sunset"), none), "solarNoon": (F.col("solar_noon"), none)}
+    made = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("event"), F.lit(label).alias("label"), span[k][0].alias("start"), span[k][1].alias("end")) for i, (k, label) in enumerate(EVENT_ROWS)])
+    return rows.select(*key, F.inline(made))
+
+
+def audit_report(audit: DataFrame, shown: int = 8) -> DataFrame:
+    """(place, line) of an audit: the count of each kind of fault, the first ids or files of it, and how many more there are.
+
+    Counts are aggregated, and only the names that are shown are gathered.
+    """
+    heads = F.create_map(*[F.lit(x) for kv in (("missing", "Listed but not on disk"), ("undeclared", "Large enough for a width no derivative records"), ("orphan", "On disk, owned by no entry")) for x in kv])
+    order = F.create_map(*[F.lit(x) for kv in (("missing", 0), ("undeclared", 1000), ("orphan", 2000)) for x in kv])
+    name = F.coalesce("file", F.concat(F.col("id").cast("string"), F.lit(" "), F.col("tag")))
+    rows = audit.select("fault", name.alias("name"))
+    place = F.row_number().over(Window.partitionBy("fault").orderBy("name"))
+    top = rows.withColumn("n", place).where(F.col("n") <= shown)
+    counts = rows.groupBy("fault").agg(F.count("*").alias("all"))
+    start = F.element_at(order, F.col("fault"))
+    lines = top.select((start + F.col("n")).alias("place"), F.concat(F.lit("  "), "name").alias("line"))
+    head = counts.select(start.alias("place"), F.concat(F.element_at(heads, F.col("fault")), F.lit(": "), F.col("all").cast("string")).alias("line"))
+    more = counts.where(F.col("all") > shown).select((start + shown + 1).alias("place"), F.concat(F.lit("  …and "), (F.col("all") - shown).cast("string"), F.lit(" more")).alias("line"))
+    return head.unionByName(lines).unionByName(more)

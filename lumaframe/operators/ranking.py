@@ -137,3 +137,19 @@ def parts_text(parts: Column) -> Column:
 def trimmed(regions: Column, kept: tuple[str, ...]) -> Column:
     """A look's regions (a map) that a comparison reads."""
     return F.map_filter(regions, lambda k, _: k.isin(*kept))
+
+
+CLOSE_ENOUGH = 0.75
+
+
+def note(distance: Column, nearest: Column, furthest: Column, missing: Column, measured: Column) -> Column:
+    """What a resemblance says: near, far or in between, by which parts, and what could not be compared."""
+    named = F.create_map(*[F.lit(x) for kv in PART_NAMES.items() for x in kv])
+    name = lambda c: F.element_at(named, c)
+    rest = F.when(measured == 1, "this rests on one measurement").otherwise(F.concat(F.lit("this rests on the other "), measured.cast("string")))
+    listed = F.array_join(F.transform(missing, lambda m: F.element_at(named, m)), " and ")
+    gap = F.when(F.size(missing) == 0, "").otherwise(F.concat(F.lit(" "), listed, F.lit(" could not be compared, so "), rest, F.lit(".")))
+    close = F.concat(F.lit("Measures like the same treatment — closest on "), name(nearest), F.lit(", furthest apart on "), name(furthest), F.lit("."), gap, F.lit(" Alike in the numbers; not a claim about how either was edited."))
+    between = F.concat(F.lit("In the same territory. Agrees on "), name(nearest), F.lit(", parts company on "), name(furthest), F.lit("."), gap)
+    apart = F.concat(F.lit("Different photographs. The nearest they come is "), name(nearest), F.lit("."), gap)
+    return F.when(distance <= CLOSE_ENOUGH, close).when(distance <= TOO_FAR, between).otherwise(apart)

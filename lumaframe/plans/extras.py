@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.functions import colour, geodesy, sky, text, vectors
+from lumaframe.functions import clock, colour, geodesy, sky, spectrum, text, vectors
 from lumaframe.operators import alignments, archive, buildings, grade, ledger, pixels, places, ranking, solver, terrain
 from lumaframe.operators.timeline import sampled
 from lumaframe.sources import feeds
 
 from .archive import images, query, table
 from .light import H_SQL, SPOT, TIMES_SQL, edges, heights, instants
+from .ledger import OWNED_SQL, audited
 from .records import bodies
 
 YEAR = 1_772_323_200
@@ -245,3 +246,67 @@ def grade_solution(spark, sf_dir):
     """The whole grade of every image to the first one, at full strength and restrained, and how far it gets."""
     made = graded(spark, sf_dir)
     return made.select("id", "faithful", "restrained", "faithful_curve", "restrained_curve", "reachability", "residual")
+
+
+TRACK_SQL = "(SELECT s_suppkey AS spot, s_suppkey*13%110 - 55e0 AS lat, s_suppkey*7%360 - 180e0 AS lon, unnest(generate_series(1772323200, 1772409600, 3600))::DOUBLE AS t FROM supplier)"
+
+
+@query(f"SELECT spot, count(*) AS n, round(max(sun_altitude), 4) AS sun, round(max(moon_altitude), 4) AS moon, round(max(core_altitude), 4) AS core FROM (SELECT spot, t, sun_altitude, NULL::DOUBLE AS moon_altitude, NULL::DOUBLE AS core_altitude FROM {sky.SUN.sql(TRACK_SQL)} UNION ALL SELECT spot, t, NULL, moon_altitude, NULL FROM {sky.MOON.sql(TRACK_SQL)} UNION ALL SELECT spot, t, NULL, NULL, core_altitude FROM {sky.CORE.sql(TRACK_SQL)}) GROUP BY spot")
+def day_tracks(spark, sf_dir):
+    """Hourly tracks of sun, moon and core over each supplier: how many points, and how high each gets."""
+    s = F.col("s_suppkey")
+    spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s * 13 % 110 - 55.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"), F.lit(YEAR).cast("long").alias("start"), F.lit(YEAR + 86_400).cast("long").alias("end"))
+    tracks = clock.track(spots, "start", "end", 3600).withColumn("t", F.col("t").cast("double"))
+    made = sky.CORE.on(sky.MOON.on(sky.SUN.on(tracks)))
+    return made.groupBy("spot").agg((F.count("*") * 3).alias("n"), *[F.round(F.max(f"{b}_altitude"), 4).alias(b) for b in ("sun", "moon", "core")])
+
+
+@query()
+def month_sun(spark, sf_dir):
+    """A month of days by the hour with the sun's phase in each cell, and each day's golden runs."""
+    grid = clock.month_grid(spark, ["2026-06"], list(range(0, 1440, 30)), "Europe/London").where("at IS NOT NULL")
+    cells = sky.SUN.on(grid.select("day", "minute", F.lit(55.95).alias("lat"), F.lit(-3.19).alias("lon"), (F.unix_micros("at") / 1e6).alias("t")))
+    runs = ledger.golden_runs(cells.select("day", F.col("minute").cast("long").alias("minute"), "phase"), ["day"])
+    return runs.join(cells.groupBy("day").agg(F.max("sun_altitude").alias("peak")), "day")
+
+
+@query(f"""WITH g AS (SELECT g.id, d.solar_noon AS noon, d.sunrise, d.sunset, g.kind, g.r_lo, g.s_lo, g.r_hi, g.s_hi FROM {sky.GOLDEN.sql(TIMES_SQL)} g JOIN {sky.DAY.sql(TIMES_SQL)} d ON g.id = d.id)
+SELECT id, round(sunrise, 0) AS sunrise, round(CASE kind WHEN 'twice' THEN r_lo WHEN 'all day long' THEN r_lo WHEN 'through midnight' THEN noon - 43200 WHEN 'whole day' THEN noon - 43200 END, 0) AS morning, round(CASE kind WHEN 'twice' THEN s_lo WHEN 'through midnight' THEN noon + 43200 END, 0) AS evening FROM g""")
+def light_events(spark, sf_dir):
+    """The rows of a day's light: golden light before and after noon, and sunrise, whatever the day has."""
+    times = instants(spark, sf_dir)
+    windows = lambda form, name: form.on(times).withColumn(name, sky.band_windows()).select("id", name)
+    days = sky.DAY.on(times).select("id", "solar_noon", "sunrise", "sunset").join(windows(sky.GOLDEN, "golden"), "id").join(windows(sky.BLUE, "blue"), "id")
+    rows = ledger.event_rows(days, ["id"])
+    at = lambda event, c: F.round(F.max(F.when(F.col("event") == event, F.col(c))), 0)
+    return rows.groupBy("id").agg(at("sunrise", "start").alias("sunrise"), at("goldenMorning", "start").alias("morning"), at("goldenEvening", "end").alias("evening"))
+
+
+@query(f"""WITH {OWNED_SQL}, n AS (SELECT fault, coalesce(file, id || ' ' || tag) AS name, CASE fault WHEN 'missing' THEN 0 WHEN 'undeclared' THEN 1000 ELSE 2000 END AS o FROM au), r AS (SELECT *, row_number() OVER (PARTITION BY fault ORDER BY name) AS n, count(*) OVER (PARTITION BY fault) AS all_ FROM n)
+SELECT DISTINCT o AS place, CASE fault WHEN 'missing' THEN 'Listed but not on disk' WHEN 'undeclared' THEN 'Large enough for a width no derivative records' ELSE 'On disk, owned by no entry' END || ': ' || all_ AS line FROM r UNION ALL SELECT o + n, '  ' || name FROM r WHERE n <= 8 UNION ALL SELECT DISTINCT o + 9, '  …and ' || (all_ - 8) || ' more' FROM r WHERE all_ > 8""")
+def audit_lines(spark, sf_dir):
+    """An audit as lines: counts, the first of each kind, and how many more."""
+    return ledger.audit_report(audited(spark, sf_dir))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN d <= 0.75 THEN 'Measures like the same treatment — closest on tone curve, furthest apart on contrast.' || gap || ' Alike in the numbers; not a claim about how either was edited.' WHEN d <= 2.5 THEN 'In the same territory. Agrees on tone curve, parts company on contrast.' || gap ELSE 'Different photographs. The nearest they come is tone curve.' || gap END AS note
+FROM (SELECT p_partkey, p_partkey%40/10e0 AS d, CASE p_partkey%3 WHEN 0 THEN '' WHEN 1 THEN ' split tone could not be compared, so this rests on the other 4.' ELSE ' saturation and split tone could not be compared, so this rests on one measurement.' END AS gap FROM part)""")
+def resemblance_notes(spark, sf_dir):
+    """What a resemblance says in words."""
+    p = F.col("p_partkey")
+    missing = F.when(p % 3 == 0, F.array().cast("array<string>")).when(p % 3 == 1, F.array(F.lit("split"))).otherwise(F.array(F.lit("saturation"), F.lit("split")))
+    told = ranking.note(p % 40 / 10.0, F.lit("tone"), F.lit("contrast"), missing, F.when(p % 3 == 1, 4).otherwise(1))
+    return table(spark, sf_dir, "part").select(p.alias("id"), told.alias("note"))
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_id%1000 + 0e0 AS lux, event_id%70 + 0e0 AS direct, event_id%90 + 0e0 AS diffuse, event_id%90 + 0e0 AS a, CASE WHEN event_id%3 > 0 THEN event_id%50/100e0 END AS aod, CASE WHEN event_id%4 > 0 THEN event_id%11/10e0 END AS sea FROM events),
+s AS (SELECT *, CASE WHEN direct > 1 THEN lux*diffuse/direct ELSE diffuse*110 END AS sky FROM e)
+SELECT id, round(sky, 6) AS diffuse_lux, round(log2(greatest(lux + sky, 1e-6)/2.5), 6) AS ev, round(CASE WHEN lux*greatest(0, sin(radians(a))) + sky > greatest(sky, 1e-6) THEN log2((lux*greatest(0, sin(radians(a))) + sky)/greatest(sky, 1e-6)) ELSE 0 END, 6) AS stops,
+CASE WHEN aod IS NULL THEN 'turbidity from a table, ' ELSE 'aerosol depth ' || printf('%.2f', aod) || ' at 550 nm, measured; ' END || CASE WHEN sea IS NULL THEN 'particle size assumed continental' ELSE 'particle size inferred from ' || floor(sea*100 + 0.5)::INT || '% sea around the pin' END AS note FROM s""")
+def light_readings(spark, sf_dir):
+    """The sky's light, exposure and contrast of clear days, and where the air's turbidity comes from."""
+    e = F.col("event_id")
+    read = spectrum.light_reading(e % 1000 + 0.0, e % 70 + 0.0, e % 90 + 0.0, e % 90 + 0.0)
+    note = spectrum.aerosol_note(F.when(e % 3 > 0, e % 50 / 100.0), F.when(e % 4 > 0, e % 11 / 10.0))
+    rows = table(spark, sf_dir, "events").select(e.alias("id"), read.alias("r"), note.alias("note"))
+    return rows.select("id", *[F.round(f"r.{c}", 6).alias(c) for c in ("diffuse_lux", "ev", "stops")], "note")
