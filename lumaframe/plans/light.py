@@ -155,12 +155,12 @@ PLACE_SQL = f"""c AS (SELECT c_custkey AS id, {SPOT} AS lat, c_custkey*7%360 - 1
 d AS (SELECT *, 6371008.8e0*atan2(sqrt(pow(y1*z2 - z1*y2, 2) + pow(z1*x2 - x1*z2, 2) + pow(x1*y2 - y1*x2, 2)), x1*x2 + y1*y2 + z1*z2) AS distance,
   atan2(x1*y2 - y1*x2, z2*(x1*x1 + y1*y1) - z1*(x1*x2 + y1*y2)) AS course FROM v),
 b AS (SELECT *, CASE WHEN course < 0 THEN degrees(course) + 360 ELSE degrees(course) END AS bearing FROM d)
-SELECT id, line, sid, round(distance, 2) AS distance, round(bearing, 6) AS bearing, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW', 'N'][round(bearing/22.5e0)::INT + 1] AS compass,
+SELECT id, line, sid, round(distance, 2) AS distance, CASE WHEN round(bearing, 6) = 360 THEN 0 ELSE round(bearing, 6) END AS bearing, ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW', 'N'][round(bearing/22.5e0)::INT + 1] AS compass,
 ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW', 'N'][round(bearing/45e0)::INT + 1] AS eighth, round(6371000e0*pi()/180*sqrt(pow(lat2 - lat1, 2) + pow((lon2 - lon1)*cos(radians((lat1 + lat2)/2)), 2)), 2) AS flat FROM b""")
 def haversine_bearing(spark, sf_dir):
     """Distances and courses of every line item; the SQL takes them from vectors in space."""
     found = geodesy.INVERSE.on(pairs(spark, sf_dir))
-    return found.selectExpr("id", "line", "sid", "round(distance, 2) AS distance", "round(bearing, 6) AS bearing", "compass", "eighth", "round(flat, 2) AS flat")
+    return found.selectExpr("id", "line", "sid", "round(distance, 2) AS distance", "CASE WHEN round(bearing, 6) = 360 THEN 0 ELSE round(bearing, 6) END AS bearing", "compass", "eighth", "round(flat, 2) AS flat")
 
 
 @query(f"""WITH {PLACE_SQL} SELECT c.id AS a_id, s.id AS b_id, round(d, 2) AS distance FROM (SELECT c.id AS ci, s.id AS si,

@@ -233,7 +233,7 @@ def tile_cover(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_partkey*7%180 - 90e0 AS a, p_partkey*100e0 AS scouted FROM part), r AS (SELECT *, least(1200, greatest(180, scouted*0.06e0)) AS radius FROM p)
-SELECT id, radius, round(greatest(0, radius*cos(radians(a))), 6) AS ground, round(radius*sin(radians(a)), 6) AS up, CASE WHEN id < 2 THEN 1 ELSE greatest(1, floor(4.5e0*id/360 + 0.5)) END::INT AS stride FROM r""")
+SELECT id, radius, round(greatest(0, radius*cos(radians(a))), 6) AS ground, round(radius*sin(radians(a)), 6) AS up, CASE WHEN id < 2 THEN 1 ELSE greatest(1, floor(4.5e0/(360e0/id) + 0.5)) END::INT AS stride FROM r""")
 def dome_points(spark, sf_dir):
     """Bodies on a dome over a place: its radius, the points, and how far dots stand apart."""
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_partkey*7%180 - 90e0 AS a", "p_partkey*100e0 AS scouted").withColumn("radius", view.dome_radius(F.col("scouted")))
