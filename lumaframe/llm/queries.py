@@ -49,6 +49,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_digests(suffix_dedup.drop_repeated_bytes(documents(spark, sf_dir)))
 
 
+#: Every 50-byte string by its place, its smallest document, and the bytes that later ones cover.
+OP2_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, unnest(range(len(x)//2)) AS i FROM h),
+w AS (SELECT doc_id, i, substr(x, 2*i + 1, 2) AS byte, CASE WHEN 2*i + 100 <= len(x) THEN substr(x, 2*i + 1, 100) END AS s FROM b),
+f AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s),
+m AS (SELECT w.doc_id, i, byte, coalesce(first < w.doc_id, FALSE) AS again FROM w LEFT JOIN f ON w.s = f.s),
+c AS (SELECT doc_id, i, byte, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+p AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS fresh FROM c),
+g AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (fresh) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM p GROUP BY doc_id)
+SELECT h.doc_id, (len(x)//2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN g ON h.doc_id = g.doc_id
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -75,10 +89,33 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: All pairs of vectors, then what links reach.
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e)/(a.n*b.n) >= 0.95),
+r(id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = id AS kept FROM c LEFT JOIN n ON n.a = c.id
+"""
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir), size=4, percent=85)
 
 
+#: Pairs by shared shingles, then what links reach.
+OP7_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM x JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100*c >= 85*(p.n + q.n - c)),
+r(id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT id, min(reached) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
@@ -137,4 +174,11 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op9_license_scan": op9_sql()}
+ORACLES = {
+    "op2_suffix_dedup": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op6_embedding_dedup": OP6_SQL,
+    "op7_jaccard_join": OP7_SQL,
+    "op9_license_scan": op9_sql(),
+}
