@@ -52,12 +52,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every 50-byte string by its place, its smallest document, and the bytes that later ones cover.
 OP2_SQL = """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-b AS (SELECT doc_id, x, unnest(range(len(x)//2)) AS i FROM h),
-w AS (SELECT doc_id, i, substr(x, 2*i + 1, 2) AS byte, CASE WHEN 2*i + 100 <= len(x) THEN substr(x, 2*i + 1, 100) END AS s FROM b),
+k AS (SELECT doc_id, x, unnest(range((len(x)//2 + 999)//1000)) AS k FROM h),
+c AS (SELECT doc_id, k, substr(x, 2000*k + 1, 2098) AS part FROM k),
+b AS (SELECT doc_id, k, part, unnest(range(least(1000, len(part)//2))) AS j FROM c),
+w AS (SELECT doc_id, 1000*k + j AS i, substr(part, 2*j + 1, 2) AS byte, CASE WHEN 2*j + 100 <= len(part) THEN substr(part, 2*j + 1, 100) END AS s FROM b),
 f AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s),
 m AS (SELECT w.doc_id, i, byte, coalesce(first < w.doc_id, FALSE) AS again FROM w LEFT JOIN f ON w.s = f.s),
-c AS (SELECT doc_id, i, byte, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
-p AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS fresh FROM c),
+v AS (SELECT doc_id, i, byte, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+p AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS fresh FROM v),
 g AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (fresh) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (gone = 0) AS kept FROM p GROUP BY doc_id)
 SELECT h.doc_id, (len(x)//2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN g ON h.doc_id = g.doc_id
 """

@@ -2,6 +2,8 @@ import numpy as np
 
 from lumaframe.llm import embedding_dedup, queries
 
+from . import oracle
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -62,3 +64,23 @@ def test_around_the_threshold_and_edges(spark, monkeypatch):
 def test_plan_grows_slowly():
     small, large = embedding_dedup.Plan(64, 50_000, 0.95), embedding_dedup.Plan(64, 10**10, 0.95)
     assert small.depth <= 4 and large.depth <= 20 and large.tables <= 20
+
+
+def test_sql(spark):
+    oracle.compare(spark, queries.op6_embedding_dedup, queries.OP6_SQL, SF)
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """A table of many cells with pairs planted at cosines from 0.95 on: all are found, and none below."""
+    rng = np.random.default_rng(21)
+    vectors = rng.normal(size=(6000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    planted = []
+    for i in range(600):
+        c = 0.95 + 1e-6 + (i % 5) * 0.003 if i % 6 else 0.949
+        off = rng.normal(size=64)
+        off -= (off @ vectors[i]) * vectors[i]
+        planted.append(c * vectors[i] + np.sqrt(1 - c * c) * off / np.linalg.norm(off))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([vectors, planted]))]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("n_links > 0")
+    assert {r.vec_id for r in found.collect()} == {i + d for i in range(600) if i % 6 for d in (0, 6000)}

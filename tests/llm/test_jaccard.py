@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 
 from lumaframe.llm import components, jaccard, queries, shingles
 
+from . import oracle
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -156,3 +158,7 @@ def test_chains_of_unlike_texts_form_no_group(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = jaccard.classes(df, 5, 80)
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i) for i in range(600)}
+
+
+def test_sql(spark):
+    oracle.compare(spark, queries.op7_jaccard_join, queries.OP7_SQL, "/root/testdata/sf0.001")

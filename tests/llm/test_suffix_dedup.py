@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 
 from lumaframe.llm import queries, suffix_dedup
 
+from . import oracle
+
 SF = "/root/testdata/sf0.01"
 N = suffix_dedup.LENGTH
 
@@ -121,3 +123,7 @@ def test_suffix_sort(texts):
     order = own.sort(at, group)
     told = sorted(range(len(at)), key=lambda i: (group[i], text[at[i] : at[i] + N].tobytes()))
     assert [text[at[i] : at[i] + N].tobytes() for i in order] == [text[at[i] : at[i] + N].tobytes() for i in told]
+
+
+def test_sql(spark):
+    oracle.compare(spark, queries.op2_suffix_dedup, queries.OP2_SQL, "/root/testdata/sf0.001")
