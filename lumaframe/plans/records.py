@@ -72,12 +72,12 @@ def seeing_feed(spark, sf_dir):
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN abs(c_custkey%120 - 20) <= 85 THEN c_custkey%120 - 20 END::DOUBLE AS lat, CASE WHEN abs(c_custkey%120 - 20) <= 85 AND c_custkey%60 BETWEEN 1 AND 50 THEN c_custkey%60 END::BIGINT AS radius,
-CASE WHEN abs(c_custkey%120 - 20) <= 85 THEN trim(c_name) END AS name FROM customer""")
+CASE WHEN abs(c_custkey%120 - 20) <= 85 THEN trim(c_name) END AS name, CASE WHEN abs(c_custkey%120 - 20) <= 85 AND c_custkey%1500 <= 1440 THEN c_custkey%1500 END::BIGINT AS minute, CASE WHEN abs(c_custkey%120 - 20) <= 85 AND c_custkey%3 = 0 THEN 'Europe/London' END AS zone, CASE WHEN abs(c_custkey%120 - 20) <= 85 AND c_custkey%4 = 0 THEN '2026-03-01' END AS day FROM customer""")
 def link_codec(spark, sf_dir):
     """Links written and read again."""
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k.alias("id"), feeds.to_link((k % 120 - 20).cast("double"), (k % 360 - 180).cast("double"), k % 60, F.lit("2026-02-30"), F.col("c_name")).alias("q"))
-    return rows.select("id", feeds.link(F.col("q")).alias("l")).select("id", "l.lat", F.col("l.radius").cast("long").alias("radius"), "l.name")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), feeds.to_link((k % 120 - 20).cast("double"), (k % 360 - 180).cast("double"), k % 60, F.when(k % 4 == 0, "2026-03-01").otherwise("2026-02-30"), k % 1500, F.when(k % 3 == 0, "Europe/London").otherwise("Mars/Base"), F.col("c_name")).alias("q"))
+    return rows.select("id", feeds.link(F.col("q")).alias("l")).select("id", "l.lat", F.col("l.radius").cast("long").alias("radius"), "l.name", F.col("l.minute").cast("long").alias("minute"), F.col("l.time_zone").alias("zone"), F.col("l.date").alias("day"))
 
 
 @query("""WITH d AS (SELECT unnest(generate_series(DATE '2026-03-01', DATE '2026-03-31', INTERVAL 1 DAY))::DATE AS day UNION ALL SELECT unnest(generate_series(DATE '2026-10-01', DATE '2026-10-31', INTERVAL 1 DAY))::DATE),

@@ -5,6 +5,8 @@ Bodies come as rows of text; a body that can't be read gives no rows instead of
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -201,20 +203,25 @@ def saved_spots(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return kept.select(key, "pos", *[c for c in made.columns if c not in (key, "i")])
 
 
+def known_zone(zone: Column) -> Column:
+    """A zone's name, null for one that isn't known and would shift every time."""
+    return F.when(zone.isin(*sorted(available_timezones())), zone)
+
+
 def link(query: Column) -> Column:
-    """Struct (lat, lon, radius, date, minute, name) of a link's query text; null without a valid place, null parts where not valid."""
+    """Struct (lat, lon, radius, date, minute, time_zone, name) of a link's query text; null without a valid place, null parts where not valid."""
     part = lambda k: F.nullif(F.try_url_decode(F.regexp_extract(query, rf"(?:^|[?&]){k}=([^&]*)", 1)), F.lit(""))
     at = F.regexp_extract_all(part("at"), F.lit(r"^([^,]*),([^,]*)$"), F.lit(1)), F.regexp_extract_all(part("at"), F.lit(r"^([^,]*),([^,]*)$"), F.lit(2))
     lat, lon = (F.get(x, F.lit(0)).try_cast("double") for x in at)
     number = lambda k, low, high: F.when(part(k).try_cast("double").between(low, high), F.floor(part(k).try_cast("double") + 0.5))
     day = F.when(part("d").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.date_format(F.try_to_date(part("d")), "yyyy-MM-dd"))
     name = F.nullif(F.left(F.trim(part("n")), F.lit(120)), F.lit(""))
-    made = F.struct(lat.alias("lat"), lon.alias("lon"), number("r", 1, 50).alias("radius"), day.alias("date"), number("t", 0, 1440).alias("minute"), name.alias("name"))
+    made = F.struct(lat.alias("lat"), lon.alias("lon"), number("r", 1, 50).alias("radius"), day.alias("date"), number("t", 0, 1440).alias("minute"), known_zone(part("tz")).alias("time_zone"), name.alias("name"))
     return F.when((F.abs(lat) <= 85) & (F.abs(lon) <= 180), made)
 
 
-def to_link(lat: Column, lon: Column, radius: Column, day: Column, name: Column) -> Column:
+def to_link(lat: Column, lon: Column, radius: Column, day: Column, minute: Column, zone: Column, name: Column) -> Column:
     """The query text of a link; parts without a value are left out."""
     place = lambda x: F.round(x, 5).cast("string")
-    parts = [F.concat(F.lit("at="), place(lat), F.lit("%2C"), place(lon)), F.concat(F.lit("r="), F.floor(radius + 0.5).cast("string")), F.concat(F.lit("d="), day), F.concat(F.lit("n="), F.url_encode(F.left(name, F.lit(120))))]
+    parts = [F.concat(F.lit("at="), place(lat), F.lit("%2C"), place(lon)), F.concat(F.lit("r="), F.floor(radius + 0.5).cast("string")), F.concat(F.lit("d="), day), F.concat(F.lit("t="), F.floor(minute + 0.5).cast("string")), F.concat(F.lit("tz="), F.url_encode(zone)), F.concat(F.lit("n="), F.url_encode(F.left(name, F.lit(120))))]
     return F.concat_ws("&", *parts)
