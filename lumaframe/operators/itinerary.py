@@ -7,7 +7,7 @@ spread over the cluster; a plan has under two thousand partial schedules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .places import great_circle
@@ -25,14 +25,16 @@ def day_plans(spots: DataFrame, dwell: int = 20, speed: float = 40.0, start: int
     place = F.row_number().over(Window.partitionBy("plan").orderBy("pos"))
     use = F.filter("windows", lambda w: w["end"] - w["start"] >= dwell)
     rows = spots.withColumn("__n", place).where(F.col("__n") <= MOST).select("plan", "pos", "lat", "lon", "best", use.alias("use")).where(F.size("use") > 0)
-    empty = rows.select("plan").distinct().select(
-        "plan", F.array().cast("array<int>").alias("path"), F.array().cast("array<int>").alias("starts"), F.lit(start).alias("clock"),
+    # each plan may also stop: a schedule that stops passes on as it is, so one chain of joins on the plan holds all of them
+    options = rows.withColumn("stop", F.lit(False)).unionByName(rows.select("plan").distinct().withColumn("stop", F.lit(True)), allowMissingColumns=True)
+    # a plan's one row becomes two thousand, so plans are spread by number, not by what they weigh now
+    parts = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = rows.select("plan").distinct().repartition(parts, "plan").select(
+        "plan", F.array().cast("array<int>").alias("path"), F.array().cast("array<int>").alias("starts"), F.lit(start).alias("clock"), F.lit(True).alias("open"),
         F.lit(None).cast("double").alias("at_lat"), F.lit(None).cast("double").alias("at_lon"), F.lit(0).alias("off"), F.lit(0.0).alias("metres"),
     )
-    every, now = empty, empty
     for _ in range(MOST):
-        now = _extend(now, rows, dwell, speed, end)
-        every = every.unionByName(now)
+        every = _extend(every, options, dwell, speed, end)
     better = F.struct(F.size("path"), -F.col("off"), -F.col("metres"), F.transform("path", lambda p: -p))
     best = F.max_by(F.struct("path", "starts", "off", "metres"), better)
     made = every.groupBy("plan").agg(best.alias("b"))
@@ -40,18 +42,18 @@ def day_plans(spots: DataFrame, dwell: int = 20, speed: float = 40.0, start: int
     return made.select("plan", stops.alias("stops"), F.size("b.path").alias("scheduled"), F.col("b.off").alias("off_best"), F.col("b.metres").alias("metres"))
 
 
-def _extend(partial: DataFrame, spots: DataFrame, dwell: int, speed: float, end: int) -> DataFrame:
-    """Every partial schedule with each spot that it can still reach in its light."""
-    both = partial.join(spots, "plan").where(~F.array_contains("path", F.col("pos")))
+def _extend(partial: DataFrame, options: DataFrame, dwell: int, speed: float, end: int) -> DataFrame:
+    """Every open schedule with each spot that it can still reach in its light, and every schedule as one that has stopped."""
+    both = partial.join(options, "plan").where(F.col("stop") | (F.col("open") & ~F.array_contains("path", F.col("pos"))))
     away = F.coalesce(great_circle(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
     both = both.withColumn("away", away).withColumn("ready", F.col("clock") + F.ceil(F.col("away") / 1000 / speed * 60).cast("int"))
     fits = F.filter(F.transform("use", lambda w: F.struct(F.greatest(w["start"], F.col("ready")).alias("s"), w["end"].alias("e"))), lambda w: (w["s"] + dwell <= w["e"]) & (w["s"] + dwell <= end))
-    both = both.withColumn("begin", F.get(fits, F.lit(0))["s"]).where("begin is not null")
-    off: Column = F.col("off") + F.abs(F.col("begin") - F.col("best"))
-    return both.select(
-        "plan", F.concat("path", F.array("pos")).alias("path"), F.concat("starts", F.array("begin")).alias("starts"), (F.col("begin") + dwell).alias("clock"),
-        F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), off.alias("off"), (F.col("metres") + F.col("away")).alias("metres"),
-    )
+    both = both.withColumn("begin", F.get(fits, F.lit(0))["s"]).where("stop OR begin IS NOT NULL")
+    new = {
+        "path": F.concat("path", F.array("pos")), "starts": F.concat("starts", F.array("begin")), "clock": F.col("begin") + dwell, "at_lat": F.col("lat"), "at_lon": F.col("lon"),
+        "off": F.col("off") + F.abs(F.col("begin") - F.col("best")), "metres": F.col("metres") + F.col("away"),
+    }
+    return both.select("plan", *[F.when(F.col("stop"), F.col(c)).otherwise(v).alias(c) for c, v in new.items()], (~F.col("stop")).alias("open"))
 
 
 def conflicts(spots: DataFrame, dwell: int = 20) -> DataFrame:
