@@ -40,6 +40,7 @@ def test_bursts(spark):
     seconds = {}
     for r in batch.selectExpr("event_type", "unix_micros(cast(ts as timestamp)) / 1e6 AS s").collect():
         seconds.setdefault(r.event_type, []).append(r.s)
+    assert got
     for r in got:
         inside = [s for s in seconds[r[0]] if r.start.timestamp() <= s < r.end.timestamp()]
         assert r.n == len(inside) > 0
