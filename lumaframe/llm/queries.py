@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard, langid, licenses, line_dedup, media, mixing, pii, suffix_dedup
+from . import bpe, embedding_dedup, filter_audit, jaccard, langid, licenses, line_dedup, media, mixing, periodic_runs, pii, suffix_dedup, warc
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -163,6 +163,70 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.described(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature")
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Each order and step by the bits of its filter and of those before it, over counts of masks.
+OP11_SQL = """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+  + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, FALSE)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY part, mask),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x) JOIN f d ON d.x NOT IN (a.x, b.x, c.x) JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, k AS step, 1 << (ascii(substr(filter_order, k, 1)) - 65) AS bit FROM o, (VALUES (1), (2), (3), (4), (5)) v(k)),
+b AS (SELECT *, sum(bit) OVER (PARTITION BY filter_order ORDER BY step)::BIGINT - bit AS earlier FROM s),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (bit + earlier) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS toxic_lost
+  FROM h, b GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.index(warc.chunks(warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+#: Base32 by twenty bits of the SHA-1 at a time.
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+f AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents whose crc32(doc_id) ends in 0 become periodic from some word on; the others stay as they are."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", mark.alias("h"), F.floor(mark / 10).cast("long").alias("g"))
+    rows = rows.withColumn("w", F.array_remove(F.split(F.when(F.col("h") % 10 == 0, F.col("text")), periodic_runs.SPACES), "")).withColumn("n", F.size("w").cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("rest", F.col("n") - F.col("a"))
+    rows = rows.withColumn("p", 1 + F.floor(F.col("rest") / (3 + F.col("g") % 8)))
+    number = lambda c: F.col(c).cast("int")
+    times = F.ceil(F.col("rest") / F.col("p")).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice("w", number("a") + 1, number("p")), times)), F.lit(1), number("rest"))
+    planted = F.concat_ws(" ", F.concat(F.slice("w", F.lit(1), number("a")), repeated))
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(with_planted_runs(documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -175,6 +239,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op2_suffix_dedup": OP2_SQL,
@@ -183,4 +250,6 @@ ORACLES = {
     "op6_embedding_dedup": OP6_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op9_license_scan": op9_sql(),
+    "op11_filter_audit": OP11_SQL,
+    "op12_warc": OP12_SQL,
 }
