@@ -1,7 +1,7 @@
 """Time series and intervals: nearest-in-time joins, runs, crossings, minima, intersections.
 
-Band conditions never become a product: both sides are bucketed by the tolerance, and
-sorted together or joined on equal buckets and filtered exactly.
+Band conditions never become a product: both sides are sorted together and cut into even
+ranges, or joined on equal buckets and filtered exactly.
 """
 
 from __future__ import annotations
@@ -10,37 +10,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions.formulas import Formula
+from lumaframe.sources.scratch import written
 
 
 def _neighbours(probes: DataFrame, feed: DataFrame, on: list[str], at: str, values: list[str]) -> DataFrame:
     """probes with before and after, (at, row) of the feed's nearest row on either side within equal on.
 
-    One sort of both sides together; rows at a probe's own place count as before it. Feed rows
-    of one place are one row, the smallest by its values.
+    Rows at a probe's own place count as before it. Feed rows of one place are one row, the
+    smallest by its values; rows without a place are left out, and probes without one have no
+    neighbours. Both sides are sorted together and cut into even ranges, so one long series,
+    or one place of very many probes, is many tasks. What a range needs of others is the last
+    feed row ahead of it and the first one behind it: a row for each range.
     """
-    feed = feed.groupBy(*on, at).agg(F.min(F.struct(*values)).alias("__row"))
-    left = feed.select(*on, F.col(at).alias("__at"), F.struct(F.col(at).alias("at"), F.col("__row").alias("row")).alias("__feed"))
-    right = probes.select(*on, F.col(at).alias("__at"), F.struct(*[c for c in probes.columns]).alias("__probe"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    along = Window.partitionBy(*on).orderBy("__at", F.col("__probe").isNotNull())
-    before = F.last("__feed", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__feed", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumns({"before": before, "after": after}).where("__probe IS NOT NULL").select("__probe.*", "before", "after")
+    feed = feed.where(F.col(at).isNotNull()).groupBy(*on, at).agg(F.min(F.struct(*values)).alias("__row"))
+    keys = [F.col(c).alias(f"__on{k}") for k, c in enumerate(on)]
+    own, place = [f"__on{k}" for k in range(len(on))], F.struct(F.col(at).alias("at"), F.col("__row").alias("row"))
+    left = feed.select(*keys, F.col(at).alias("__at"), F.struct(*[F.col(c) for c in on], place.alias("place")).alias("__feed"))
+    right = probes.select(*keys, F.col(at).alias("__at"), F.struct(*[c for c in probes.columns]).alias("__probe"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__own", F.col("__probe").isNotNull()).withColumn("__tie", F.monotonically_increasing_id())
+    order = [*own, "__at", "__own", "__tie"]
+    both = written(both.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    up, down = [F.col(c).asc_nulls_first() for c in order], [F.col(c).desc_nulls_last() for c in order]
+    ends = both.groupBy("__part").agg(F.max_by("__feed", F.when(F.col("__feed").isNotNull(), F.struct(*order))).alias("__last"), F.min_by("__feed", F.when(F.col("__feed").isNotNull(), F.struct(*order))).alias("__first"))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    behind = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__part", F.last("__last", ignorenulls=True).over(ahead).alias("__ahead"), F.last("__first", ignorenulls=True).over(behind).alias("__behind"))
+    # the frame that runs from the start is kept up row by row; one that runs to the end would be taken anew for each row
+    so_far = lambda order: F.last("__feed", ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("__b", so_far(up)).withColumn("__a", so_far(down)).where("__own").join(F.broadcast(ends), "__part")
+
+    def of(near: str, far: str) -> Column:
+        found, same = F.coalesce(near, far), F.col("__at").isNotNull()
+        for k, c in enumerate(on):
+            same = same & F.col(f"__on{k}").eqNullSafe(found[c])
+        return F.when(same, found["place"])
+
+    return rows.select("__probe.*", of("__b", "__ahead").alias("before"), of("__a", "__behind").alias("after"))
 
 
 def nearest_in_time(probes: DataFrame, feed: DataFrame, at: str, tolerance: int, values: list[str], skip_null: str | None = None, by: list[str] | None = None) -> DataFrame:
     """probes with the nearest feed row within tolerance seconds on either side, nulls if there is none.
 
     at holds whole seconds in both; of equally near rows the earlier one wins. With
-    skip_null, rows without that value are left out before the nearest is chosen. Feed rows
-    go to three buckets of the tolerance's length, probes to one, where both are sorted
-    together: a dense hour costs a sort, never a product.
+    skip_null, rows without that value are left out before the nearest is chosen. Both sides
+    are sorted together once, whatever the tolerance: a dense hour is a sort, never a product.
     """
-    by, width = by or [], max(1, tolerance)
     feed = feed if skip_null is None else feed.where(F.col(skip_null).isNotNull())
-    own = F.floor(F.col(at) / width)
-    right = feed.withColumn("__bucket", F.explode(F.array(own - 1, own, own + 1)))
-    both = _neighbours(probes.withColumn("__bucket", own), right, [*by, "__bucket"], at, values)
+    both = _neighbours(probes, feed, by or [], at, values)
     past, next_ = F.col(at) - F.col("before.at"), F.col("after.at") - F.col(at)
     best = F.when(next_.isNull() | (past <= next_), F.col("before")).otherwise(F.col("after"))
     both = both.withColumn("__best", best).withColumn("gap", F.abs(F.col(at) - F.col("__best.at")))
