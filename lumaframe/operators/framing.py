@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions.colour import half_up
 from lumaframe.functions.field import FRAME
+from lumaframe.functions.formulas import Formula, cosd, sind
 
 from . import timeline
 
@@ -64,8 +65,43 @@ def region(df: DataFrame, radius: Column) -> DataFrame:
     )
 
 
+def inside_edge(az: str, alt: str) -> list[dict[str, str]]:
+    """Groups of a formula: inside, how far a direction is on the frame's side of edge 0 to 3 (right, left, top, bottom); aim, tilt, across and upward are columns.
+
+    An edge is a plane through the camera, so inside is a smooth function of the direction and
+    has one sign on either side of the edge, behind the camera too; a direction on the inner
+    side of all four is in front of the camera and in the frame.
+    """
+    a = f"({az} - aim)"
+    return [
+        {"right_": f"{cosd(alt)} * {sind(a)}", "ahead_": f"{cosd('tilt')} * {cosd(alt)} * {cosd(a)} + {sind('tilt')} * {sind(alt)}", "up_": f"{cosd('tilt')} * {sind(alt)} - {sind('tilt')} * {cosd(alt)} * {cosd(a)}"},
+        {"inside": "CASE edge WHEN 0 THEN ahead_ * tan(radians(across / 2)) - right_ WHEN 1 THEN ahead_ * tan(radians(across / 2)) + right_"
+                   " WHEN 2 THEN ahead_ * tan(radians(upward / 2)) - up_ ELSE ahead_ * tan(radians(upward / 2)) + up_ END"},
+    ]
+
+
+def in_frame(spots: DataFrame, key: list[str], body: Formula, az: str, alt: str, step: int = 300) -> DataFrame:
+    """(key, start, end): when a body is inside the frame between start and end of spots, ends to a fraction of a second.
+
+    spots has a row for each key with whole seconds start and end, aim, tilt, across, upward
+    (angles of view under 180 degrees) and what body needs to give az and alt. Whichever edge
+    is nearest, the body crosses each edge by itself: roots are found for each of the four,
+    and the frame is where all four have the body on their inner side. So the nearest edge
+    may change between two samples, and a window may be shorter than a step, as long as no
+    edge is crossed twice in one.
+    """
+    side = Formula([*body.groups, *inside_edge(az, alt)], ["inside"])
+    each = spots.withColumn("edge", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    found = timeline.intervals_where(each, [*key, "edge"], side, "inside", 0.0, True, "start", "end", step)
+    ends = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("sign")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("sign"))))
+    along = Window.partitionBy(*key).orderBy("t", "sign")
+    rows = found.select(*key, ends.alias("e")).select(*key, "e.t", "e.sign")
+    rows = rows.withColumns({"__open": F.sum("sign").over(along.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.lead("t").over(along)})
+    return rows.where("__open = 4 AND __next > t").select(*key, F.col("t").alias("start"), F.col("__next").alias("end"))
+
+
 def frame_windows(df: DataFrame, key: list[str], at: str) -> DataFrame:
-    """(key, start, end): when a sampled body is inside the frame, ends by linear interpolation of the distance to the nearest edge.
+    """(key, start, end): when a body of which only samples are known is inside the frame, ends by linear interpolation of the distance to the nearest edge.
 
     df has az, alt, aim, tilt, across and upward beside key and at.
     """

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, field, geodesy, sky, spectrum
 from lumaframe.functions.formulas import Formula, turn
-from lumaframe.operators import places, terrain, timeline
+from lumaframe.operators import areas, places, terrain, timeline
 
-from .archive import query, table
+from .archive import images, query, table
 
 SECOND = "cast(floor(epoch(ts)) as bigint)"
 
@@ -422,6 +422,29 @@ def terrain_shadow(spark, sf_dir):
     return terrain.shadow_mask(heights(spark, sf_dir), 90.0, 12.0, 30.0)
 
 
+def _coverage_sql(reach: int, opacity: float) -> str:
+    box = f"""(SELECT "row" - dr AS "row", col - dc AS col, avg(v) AS coverage FROM m, range(-{reach}, {reach + 1}) y(dr), range(-{reach}, {reach + 1}) x(dc) GROUP BY ALL)"""
+    return f"""SELECT {reach} AS softness, m."row", m.col, coverage, floor(floor({opacity}::DOUBLE*255 + 0.5)*coverage + 0.5)::INT AS alpha FROM m JOIN {box} b ON m."row" = b."row" AND m.col = b.col"""
+
+
+@query(f"""WITH {H_SQL}, s AS (SELECT a."row", a.col, bool_or(b.height - pow(30e0*(b.col-a.col), 2)/(2*7/6e0*6371008.8) > a.height + 30e0*(b.col-a.col)*tan(radians(12e0))) AS shaded FROM h a LEFT JOIN h b ON a."row" = b."row" AND b.col > a.col GROUP BY ALL),
+m AS (SELECT "row", col, coalesce(shaded, FALSE)::INT AS v FROM s) {_coverage_sql(1, 0.42)} UNION ALL {_coverage_sql(3, 0.42)}""")
+def mask_coverage(spark, sf_dir):
+    """The paint of a terrain shadow's mask at two softnesses: how much of the box round a cell is shaded."""
+    mask = terrain.shadow_mask(heights(spark, sf_dir), 90.0, 12.0, 30.0)
+    return areas.mask_coverage(mask, [], "shaded", 0.42, [1, 3])
+
+
+@query(f"""WITH p AS (SELECT l_orderkey%200 AS image, (l_partkey + l_linenumber)%48 AS "row", l_orderkey%64 AS col, max(2126*r + 7152*g + 722*b) AS luma FROM (SELECT *, l_partkey*7%256 AS r, l_suppkey*29%256 AS g, (l_partkey + l_suppkey*3 + l_linenumber*40)%256 AS b FROM lineitem) GROUP BY ALL),
+n AS (SELECT image, "row" - dr AS "row", col - dc AS col, avg(luma) AS mean, count(*) AS n FROM p, range(-2, 3) y(dr), range(-2, 3) x(dc) GROUP BY ALL)
+SELECT p.image, p."row", p.col, mean, n.n FROM p JOIN n ON p.image = n.image AND p."row" = n."row" AND p.col = n.col""")
+def image_blur(spark, sf_dir):
+    """The mean luma (in ten thousandths) of the box two pixels round each pixel of each image, over the pixels that are there."""
+    luma = F.floor(colour.luma(F.col("r"), F.col("g"), F.col("b")) * 10_000 + 0.5)  # a whole number, so sums are exact
+    rows = images(spark, sf_dir).groupBy("image", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.max(luma).alias("luma"))
+    return areas.box_means(rows, ["image"], "luma", [2]).select("image", "row", "col", "mean", "n")
+
+
 @query("""WITH l AS (SELECT p_partkey AS id, least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)) AS length, radians(p_partkey%4*90 + 213e0) AS away FROM part),
 d AS (SELECT id, length, length*sin(away) AS dx, length*cos(away) AS dy FROM l)
 SELECT id, round(length, 6) AS length, 6 AS corners, round(64 + 8*(abs(dx) + abs(dy)), 4) AS area, round(least(0, dx), 4) AS west, round(8 + greatest(0, dx), 4) AS east, round(least(0, dy), 4) AS south, round(8 + greatest(0, dy), 4) AS north FROM d""", also="cast_shadow_all")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumaframe.functions import almanac, appearance
-from lumaframe.operators import nights
+from lumaframe.functions import almanac, appearance, sky
+from lumaframe.operators import framing, nights
 
 from .archive import query, table
 from .light import instants
@@ -43,6 +43,29 @@ def core_stretches(spark, sf_dir):
     return nights.core_nights(nights_of(spark, sf_dir), ["spot"])[0]
 
 
+def frames_of(spark, sf_dir):
+    """nights_of with a camera for each: its aim, tilt and angles of view."""
+    rows = nights_of(spark, sf_dir)
+    return rows.selectExpr("*", "120e0 + spot * 31 % 120 AS aim", "spot * 7 % 40 - 10e0 AS tilt", "20e0 + spot * 11 % 70 AS across", "15e0 + spot * 5 % 50 AS upward")
+
+
+_TEN = f"""WITH n AS (SELECT s_suppkey AS spot, s_suppkey*13%140 - 70e0 AS lat, s_suppkey*7%360 - 180e0 AS lon, floor(1767268800 + s_suppkey*37%365*86400 - (s_suppkey*7%360 - 180e0)*240)::BIGINT AS a,
+120e0 + s_suppkey*31%120 AS aim, s_suppkey*7%40 - 10e0 AS tilt, 20e0 + s_suppkey*11%70 AS across, 15e0 + s_suppkey*5%50 AS upward FROM supplier),
+g AS (SELECT *, unnest(range((a + 9)//10*10, a + 86401, 10))::DOUBLE AS t FROM n),
+p AS (SELECT spot, t, core_azimuth - aim AS az, core_altitude AS alt, tilt, across, upward FROM {sky.CORE.sql('g')} x),
+v AS (SELECT *, cos(radians(alt))*sin(radians(az)) AS rt, cos(radians(tilt))*cos(radians(alt))*cos(radians(az)) + sin(radians(tilt))*sin(radians(alt)) AS ah, cos(radians(tilt))*sin(radians(alt)) - sin(radians(tilt))*cos(radians(alt))*cos(radians(az)) AS u FROM p),
+i AS (SELECT spot, t, row_number() OVER (PARTITION BY spot ORDER BY t) AS k FROM v WHERE ah > 0 AND abs(degrees(atan2(rt, ah))) < across/2 AND abs(degrees(atan2(u, ah))) < upward/2)
+SELECT spot, min(t)::BIGINT AS "start", max(t)::BIGINT AS "end" FROM i GROUP BY spot, t - 10*k"""
+
+
+@query(_TEN)
+def core_in_frame(spark, sf_dir):
+    """When the galactic core crosses a camera's frame in each supplier's night, to whole tens of seconds inside; the SQL looks at every ten seconds."""
+    found = framing.in_frame(frames_of(spark, sf_dir), ["spot"], sky.CORE, "core_azimuth", "core_altitude")
+    ten = lambda c: (c * 10).cast("long")
+    return found.select("spot", ten(F.ceil(F.col("start") / 10)).alias("start"), ten(F.floor(F.col("end") / 10)).alias("end")).where(F.col("start") <= F.col("end"))
+
+
 @query()
 def season_events(spark, sf_dir):
     """Equinoxes and solstices of the years of all orders, by their names in the north and in the south."""
