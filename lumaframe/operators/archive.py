@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, text
 
+from .paths import nearest_path
+
 SPLIT_ABOVE, MERGE_UP_TO = 5, 2
 
 
@@ -213,49 +215,26 @@ def within_ttl(df: DataFrame, key: str, fetched: str, now: Column, seconds: int)
     return keep_first(fresh, [key], [F.col(fetched).desc()])
 
 
-def path_order(photos: DataFrame, group: str, key: str, limit: int = 400, most: int = 2000) -> DataFrame:
+def path_order(photos: DataFrame, group: str, key: str, limit: int = 400) -> DataFrame:
     """(group, key, pos): a short path through each group's colours.
 
     From the darkest photo to the nearest unused one, then, up to limit photos, reversals of
-    stretches while one makes the path shorter. Ties follow key. A group of more than most
-    photos is cut into layers of lightness, as many as it holds times most, and a layer that
-    is still larger into shares by a hash of the key; each part is walked by a task of its
-    own, and parts follow each other from dark to light.
+    stretches while one makes the path shorter. Ties follow key. Each step depends on all
+    before it, so a group is walked by one task, which looks for the next photo in a tree.
     """
-    size = photos.groupBy(group).agg(F.count("*").alias("__n")).where(F.col("__n") > most).withColumnRenamed(group, "__g")
-    rows = photos.select(group, key, "L", "a", "b").join(size, F.col(group).eqNullSafe(F.col("__g")), "left")
-    layer = F.when(F.col("__n").isNotNull(), F.floor(F.col("L") * F.ceil(F.col("__n") / most))).otherwise(0).cast("int")
-    rows = rows.withColumn("__layer", layer).drop("__n", "__g")
-    full = rows.groupBy(group, "__layer").agg(F.count("*").alias("__m")).where(F.col("__m") > most).select(F.col(group).alias("__g"), F.col("__layer").alias("__l"), "__m")
-    rows = rows.join(full, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__layer") == F.col("__l")), "left")
-    share = F.when(F.col("__m").isNotNull(), F.pmod(F.xxhash64(key), F.ceil(F.col("__m") / most))).otherwise(0).cast("int")
-    rows = rows.withColumn("__share", share).drop("__m", "__g", "__l")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key, ignore_index=True)
         lab = rows[["L", "a", "b"]].to_numpy(float)
-        n = len(lab)
-        free, at = np.ones(n, bool), int(lab[:, 0].argmin())
-        order = [at]
-        free[at] = False
-        for _ in range(n - 1):
-            d = np.where(free, np.linalg.norm(lab - lab[at], axis=1), np.inf)
-            at = int(d.argmin())
-            free[at] = False
-            order.append(at)
-        if 2 < n <= limit:
+        order = nearest_path(lab)
+        if 2 < len(lab) <= limit:
             order = shorten(lab, order)
-        pos = np.empty(n, int)
-        pos[order] = np.arange(n)
-        return pd.DataFrame({group: rows[group], key: rows[key], "layer": rows["__layer"], "share": rows["__share"], "pos": pos})
-
-    schema = f"{group} {photos.schema[group].dataType.simpleString()}, {key} {photos.schema[key].dataType.simpleString()}, layer int, share int, pos bigint"
-    walked = rows.groupBy(group, "__layer", "__share").applyInPandas(walk, schema)
-    parts = rows.groupBy(group, "__layer", "__share").agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(group).orderBy("__layer", "__share").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
-    starts = parts.select(F.col(group).alias("__g"), F.col("__layer").alias("layer"), F.col("__share").alias("share"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
-    both = walked.join(starts.withColumnsRenamed({"layer": "__l", "share": "__s"}), F.col(group).eqNullSafe(F.col("__g")) & (F.col("layer") == F.col("__l")) & (F.col("share") == F.col("__s")))
-    return both.select(group, key, (F.col("pos") + F.col("__start")).alias("pos"))
+        pos = np.empty(len(lab), int)
+        pos[order] = np.arange(len(lab))
+        return pd.DataFrame({group: rows[group], key: rows[key], "pos": pos})
+
+    kinds = ", ".join(f"{c} {photos.schema[c].dataType.simpleString()}" for c in (group, key))
+    return photos.select(group, key, "L", "a", "b").groupBy(group).applyInPandas(walk, f"{kinds}, pos bigint")
 
 
 def shorten(points: np.ndarray, order: list[int]) -> list[int]:

@@ -1,4 +1,4 @@
-"""Places: radius and box joins, proximity clusters, horizons, sight lines, skylines.
+"""Places: radius and box joins, horizons, sight lines, skylines.
 
 Points are joined by the cells of a grid whose size is the reach: a point meets its own
 cell and the eight round it, never all points.
@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,85 +57,6 @@ def within(a: DataFrame, b: DataFrame, metres: float, distance=flat_metres) -> D
     return left.join(right, ["y", "x"]).withColumn("distance", d).where(F.col("distance") <= metres).select("a_id", "b_id", "distance")
 
 
-def connected(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, part): each point's connected part, named by its smallest id, over neighbour pairs (a_id, b_id) in both directions.
-
-    Every round takes each point to the smallest part among its neighbours and then follows
-    that part's own part twice, so names travel over doubling distances: rounds grow with the
-    logarithm of a chain's length, not with the length. Rounds are cut by checkpoints.
-    """
-    label = points.select("id", F.col("id").alias("part"))
-    cut = bool(points.sparkSession.sparkContext.getCheckpointDir())
-    while True:
-        near = pairs.join(label.withColumnRenamed("id", "b_id"), "b_id").groupBy(F.col("a_id").alias("id")).agg(F.min("part").alias("near"))
-        new = label.join(near, "id", "left").select("id", "part", F.least("part", F.coalesce("near", "part")).alias("new"))
-        # a part whose members see a smaller one is renamed as a whole
-        names = new.groupBy("part").agg(F.min("new").alias("to")).select(F.col("part").alias("__p"), "to")
-        new = new.join(names, F.col("part") == F.col("__p")).select("id", "part", "to")
-        again = names.select(F.col("__p").alias("__q"), F.col("to").alias("further"))
-        new = new.join(again, F.col("to") == F.col("__q"), "left").select("id", "part", F.least("to", F.coalesce("further", "to")).alias("to"))
-        new = new.checkpoint() if cut else new.persist()
-        moved = not new.where("part != to").isEmpty()
-        label = new.select("id", F.col("to").alias("part"))
-        if not moved:
-            return label
-
-
-def cluster(points: DataFrame, reach: float = 60.0, span: float = 250.0) -> DataFrame:
-    """(id, seed): single-link clusters over steps of reach, kept within span of their centre.
-
-    Points (id, lat, lon) are first cut into the grid's connected parts, since a cluster never
-    leaves its part; each part is then grown in the order of id by one task, which looks for
-    neighbours in cells of a reach. The order decides what joins what, so a part is sequential.
-    """
-    pairs = within(points, points, reach).where("a_id != b_id").select("a_id", "b_id").persist()
-    label = connected(points, pairs)
-    pairs.unpersist()
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        at, n = rows[["lat", "lon"]].to_numpy(float), len(rows)
-        free, seed = np.ones(n, bool), np.full(n, -1)
-        step = math.degrees(reach / FLAT_EARTH_M) * 1.000001
-        high = np.floor(at[:, 0] / step).astype(int)
-        near: dict[int, np.ndarray] = {y: np.flatnonzero(np.abs(high - y) <= 1) for y in np.unique(high)}
-
-        def metres(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            north, turn = np.radians(b[..., 0] - a[..., 0]), (b[..., 1] - a[..., 1] + 180) % 360 - 180
-            return np.hypot(north, np.radians(turn) * np.cos(np.radians((a[..., 0] + b[..., 0]) / 2))) * FLAT_EARTH_M
-
-        for s in range(n):
-            if not free[s]:
-                continue
-            free[s], members, queue, head = False, [s], [s], 0
-            while head < len(queue):
-                origin, found = queue[head], []
-                head += 1
-                band = near[high[origin]]
-                band = band[free[band]]
-                for c in band[metres(at[band], at[origin]) <= reach]:
-                    trial = at[[*members, c]]
-                    if metres(trial, trial.mean(0)).max() <= span:
-                        free[c] = False
-                        members.append(int(c))
-                        found.append(int(c))
-                queue += found
-            seed[members] = s
-        return pd.DataFrame({"id": rows["id"], "seed": rows["id"].to_numpy()[seed]})
-
-    kind = points.schema["id"].dataType.simpleString()
-    return points.join(label, "id").groupBy("part").applyInPandas(grow, f"id {kind}, seed {kind}")
-
-
-def hotspots(points: DataFrame, **options) -> DataFrame:
-    """(seed, n, lat, lon, span, members) of clusters, the largest first."""
-    rows = points.join(cluster(points, **options), "id")
-    middle = rows.groupBy("seed").agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"), F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("members"))
-    span = F.max(flat_metres(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).alias("span")
-    spans = rows.join(middle.select("seed", "c_lat", "c_lon"), "seed").groupBy("seed").agg(span)
-    return middle.join(spans, "seed").select("seed", "n", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), "span", "members").orderBy(F.desc("n"), "seed")
-
-
 def horizon(samples: DataFrame, key: list[str], eye: Column, height: Column, metres: Column, radius: float = 7 / 6 * EARTH_M) -> DataFrame:
     """(key, bearing, angle): the highest angle along each bearing, with the earth's drop."""
     drop = metres * metres / (2 * radius)

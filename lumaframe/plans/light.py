@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, field, geodesy, sky, spectrum
 from lumaframe.functions.formulas import Formula, turn
-from lumaframe.operators import areas, places, terrain, timeline
+from lumaframe.operators import areas, clusters, places, terrain, timeline
 
 from .archive import images, query, table
 
@@ -222,7 +222,7 @@ def spatial_self_join(spark, sf_dir):
 
 @query()
 def hotspots(spark, sf_dir):
-    return places.hotspots(town(spark, sf_dir))
+    return clusters.hotspots(town(spark, sf_dir))
 
 
 TIMES_SQL = f"""(SELECT o_orderkey AS id, {SPOT} AS lat, c_custkey*7%360 - 180e0 AS lon, epoch(o_orderdate) + o_orderkey%1440*60e0 AS t FROM orders JOIN customer ON o_custkey = c_custkey)"""

@@ -97,17 +97,6 @@ def test_geodesy(spark):
     assert geodesy.INVERSE.on(df).first().flat == pytest.approx(50, abs=0.5)
 
 
-def test_clusters(spark):
-    rng = np.random.default_rng(1)
-    near = lambda n, north: [(north / 6371000 * 57.29578 + 55.9533 + x / 111194.9, -3.1883 + y / 62260) for x, y in rng.normal(0, 8, (n, 2))]
-    chain = [(56.0 + i * 50 / 111194.9, -3.0) for i in range(20)]
-    rows = [(i, float(p[0]), float(p[1])) for i, p in enumerate(near(200, 0) + near(5, 3000) + chain)]
-    got = places.hotspots(spark.createDataFrame(rows, "id long, lat double, lon double")).collect()
-    assert got[0].n == 200 and sum(r.n for r in got) == len(rows)
-    assert all(r.span <= 250.000001 for r in got) and len(got) >= 4
-    assert sorted(m for r in got for m in r.members) == list(range(len(rows)))
-
-
 def test_paths_and_folds():
     rng = np.random.default_rng(2)
     p = rng.random((60, 3))
@@ -219,14 +208,6 @@ def test_within_has_no_holes(spark, metres, kind):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, rows, metres, how[1])
 
 
-def test_connected_parts_of_a_chain(spark):
-    n = 300
-    pairs = [(i, i + 1) for i in range(n - 1) if i % 100 != 99]
-    both = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "a_id long, b_id long")
-    got = {r.id: r.part for r in places.connected(spark.range(n), both).collect()}
-    assert got == {i: i // 100 * 100 for i in range(n)}
-
-
 def test_terrain_shadow_of_any_direction(spark):
     rng = np.random.default_rng(5)
     field = {(r, c): float(rng.random() * 60) for r in range(24) for c in range(24)}
@@ -245,18 +226,6 @@ def test_terrain_shadow_of_any_direction(spark):
         assert got == want
 
 
-def test_path_order_in_parts(spark):
-    rng = np.random.default_rng(6)
-    rows = [(i, "a" if i % 3 else "b", *(float(x) for x in (rng.random(3) if i % 5 else (0.5, 0.1, 0.1)))) for i in range(900)]
-    df = spark.createDataFrame(rows, "id long, chapter string, L double, a double, b double")
-    got = archive.path_order(df, "chapter", "id", most=50).collect()
-    for c in "ab":
-        assert sorted(r.pos for r in got if r.chapter == c) == list(range(sum(1 for x in rows if x[1] == c)))
-    light = {x[0]: x[2] for x in rows}
-    order = [light[r.id] for r in sorted((r for r in got if r.chapter == "a"), key=lambda r: r.pos)]
-    assert np.mean(order[:100]) < 0.35 < 0.65 < np.mean(order[-100:])
-
-
 def test_replace_table_keeps_one(spark, tmp_path):
     path = f"{tmp_path}/t"
     for n in (3, 5):
