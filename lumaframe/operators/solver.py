@@ -8,12 +8,12 @@ end is what no control can close.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour
 
-from . import grade, pixels
+from . import grade, measure, pixels
 
 # Limits of a restrained grade, as factors of chroma and shares of the image's own chroma.
 CHROMA_UP, CHROMA_DOWN, CAST_SHARE, ZONE_SHARE, CURVE_PULL, SKIN_DAMP = 0.3, -0.25, 0.4, 0.25, 0.5, 0.35
@@ -24,42 +24,18 @@ MASK_EXPOSURE = {False: 1.0, True: 0.5}
 MASKS = {
     "scene.sky": "sky", "subject": "subject", "background": "background", "people.skin": "manual", "people.hair": "manual", "people.clothing": "manual", "scene.foliage": "manual", "scene.water": "manual", "scene.built": "manual", "scene.ground": "manual",
 }
-ZONES = ("zone.shadow", "zone.midtone", "zone.highlight")
+ZONES = measure.ZONES
 TEMP, TINT, VIGNETTE_STOPS, GRAIN, TEXTURE, NOISE = 0.055, 0.05, 2.2, 0.055, 0.5, 0.45
 
 
-def analysed(rows: DataFrame, image: str) -> DataFrame:
-    """(id, curve, regions, bands) of pixels with L, a, b_, C and H: all that a grade is solved from.
+def analysed(rows: DataFrame, image: str, regions: str | None = None, covered: DataFrame | None = None) -> DataFrame:
+    """(id, curve, regions, bands) of pixels with L, a, b_, C and H: all that a grade is solved from, in one scan.
 
-    regions has key, coverage, L, C, a, b and strength of the whole image and its three tonal
-    zones, bands share, chroma, L and hue of eight hues in order. Pixels are summed by
-    lightness bin for the one and by whole degree for the other, so two scans do.
+    regions has key, coverage, L, C, a, b and strength of the whole image, its three tonal
+    zones and the masks that the column regions names; covered (id, region, coverage) tells
+    how much of the image a mask holds. bands has share, chroma, L and hue of eight hues in order.
     """
-    z = colour.zone_weights(F.col("L"))
-    weight = {"global": F.lit(1.0), **{name: F.get(z, F.lit(i))["w"] for i, name in enumerate(ZONES)}}
-    own = rows.select(F.col(image).alias("id"), pixels.histogram_bin(F.col("L")).alias("bin"), "L", "a", "b_", "C", *[w.alias(f"w{i}") for i, w in enumerate(weight.values())])
-    sums = {f"{c}{i}": F.col(f"w{i}") * (F.col(c) if c != "w" else F.lit(1.0)) for i in range(len(weight)) for c in ("w", "L", "C", "a", "b_")}
-    bins = own.groupBy("id", "bin").agg(*[F.sum(v).alias(f"s_{k}") for k, v in sums.items()])
-    along = Window.partitionBy("id").orderBy("bin")
-    bins = bins.withColumn("cum", F.sum("s_w0").over(along)).withColumn("all", F.sum("s_w0").over(Window.partitionBy("id")))
-    last = pixels.STEPS - 1
-    reached = [F.min(F.when(F.col("cum") >= F.lit(k) / F.lit(float(last)) * F.col("all"), F.col("bin"))).alias(f"q_{k}") for k in range(1, last + 1)]
-    whole = bins.groupBy("id").agg(*[F.sum(f"s_{k}").alias(k) for k in sums], *reached)
-
-    def region(i: int, key: str) -> Column:
-        mean = lambda c: F.col(f"{c}{i}") / F.col(f"w{i}")
-        size = F.hypot(mean("a"), mean("b_"))
-        strength = F.when(mean("C") > 1e-6, F.least(F.lit(1.0), size / mean("C"))).otherwise(0.0)
-        made = F.struct(F.lit(key).alias("key"), (F.col(f"w{i}") / F.col("w0")).alias("coverage"), mean("L").alias("L"), mean("C").alias("C"), mean("a").alias("a"), mean("b_").alias("b"), strength.alias("strength"))
-        return F.when(F.col(f"w{i}") > 0, made)
-
-    curve = F.array(F.lit(0.0), *[F.col(f"q_{k}") / F.lit(float(pixels.HIST_BINS - 1)) for k in range(1, last + 1)])
-    regions = whole.select("id", curve.alias("curve"), F.array_compact(F.array(*[region(i, k) for i, k in enumerate(weight)])).alias("regions"))
-    found = pixels.bands(rows.withColumnRenamed(image, "id"), ["id"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("share", "chroma", "L", "hue")))).alias("m"))
-    none = F.struct(*[F.lit(0.0).alias(c) for c in ("share", "chroma", "L", "hue")])
-    bands = F.array(*[F.coalesce(F.try_element_at("m", F.lit(b)), none) for b, _ in pixels.BANDS])
-    both = regions.join(found, "id", "left")
-    return both.select("id", "curve", "regions", F.when(F.col("m").isNotNull(), bands).otherwise(F.array(*[none for _ in pixels.BANDS])).alias("bands"))
+    return measure.analysed(measure.sums(rows.withColumnRenamed(image, "id"), ["id"], regions), ["id"], covered)
 
 
 def pairs(analyses: DataFrame, reference: int) -> DataFrame:

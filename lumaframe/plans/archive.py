@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, vectors
-from lumaframe.operators import archive, grade, pixels, ranking, texture
+from lumaframe.operators import archive, grade, measure, pixels, ranking, texture
 
 QUERIES, ORACLES = {}, {}
 
@@ -445,6 +445,42 @@ def texture_grid(spark, sf_dir):
     return texture.origins(rows).select("id", "gx", "gy", "left", "top")
 
 
+def image_masks(spark, sf_dir):
+    """(image, region, width, height, x, y, level): a sky for two images of three and skin for every fourth, on a grid of 20 by 15."""
+    k = F.col("image")
+    every = images(spark, sf_dir).select("image").distinct().select("image", F.explode(F.sequence(F.lit(0), F.lit(299))).alias("i"))
+    rows = every.select("image", (F.col("i") % 20).alias("x"), F.floor(F.col("i") / 20).cast("int").alias("y"))
+    sky = rows.where("image % 3 > 0").select("image", F.lit("scene.sky").alias("region"), "x", "y", ((k * 31 + F.col("x") * 7 + F.col("y") * 13) % 256).alias("level"))
+    skin = rows.where("image % 4 = 1").select("image", F.lit("people.skin").alias("region"), "x", "y", ((k * 17 + F.col("x") * 29 + F.col("y") * 3) % 256).alias("level"))
+    return sky.union(skin).select("image", "region", F.lit(20).alias("width"), F.lit(15).alias("height"), "x", "y", "level")
+
+
+_LEVEL_CELL = "least(19, floor(sx*20/sw)::INT) AS mx, least(14, floor(sy*15/sh)::INT) AS my"
+
+
+@query(f"""{IMAGE_SQL}, lv AS (SELECT image, edge, L, a, b_, C, x//s AS sx, y//s AS sy, (64 + s - 1)//s AS sw, (48 + s - 1)//s AS sh FROM lab, (VALUES (64, 1), (32, 2), (16, 4)) v(edge, s) WHERE x%s = 0 AND y%s = 0),
+zw AS (SELECT *, greatest(0, 1-L/0.5) AS wsh, greatest(0, (L-0.5)/0.5) AS whi, greatest(0, 1-abs(L-0.5)/0.5) AS wmi, {_LEVEL_CELL} FROM lv),
+rg AS (SELECT *, 'global' AS region, 1.0::DOUBLE AS w FROM zw UNION ALL SELECT *, 'zone.shadow', wsh/(wsh+wmi+whi) FROM zw UNION ALL SELECT *, 'zone.midtone', wmi/(wsh+wmi+whi) FROM zw UNION ALL SELECT *, 'zone.highlight', whi/(wsh+wmi+whi) FROM zw
+  UNION ALL SELECT *, 'scene.sky', 1.0 FROM zw WHERE image%3 > 0 AND (image*31 + mx*7 + my*13)%256 >= 128 UNION ALL SELECT *, 'people.skin', 1.0 FROM zw WHERE image%4 = 1 AND (image*17 + mx*29 + my*3)%256 >= 128),
+st AS (SELECT image, edge, region, sum(w) AS n, sum(w*L)/sum(w) AS L, sum(w*L*L)/sum(w) AS LL, sum(w*C)/sum(w) AS C, sum(w*C*C)/sum(w) AS CC, sum(w*a)/sum(w) AS a, sum(w*b_)/sum(w) AS b FROM rg WHERE w > 0 GROUP BY ALL),
+gl AS (SELECT image, edge, n AS whole FROM st WHERE region = 'global'),
+mk AS (SELECT i.image, r.region, avg((CASE r.region WHEN 'scene.sky' THEN (i.image*31 + c%20*7 + c//20*13)%256 ELSE (i.image*17 + c%20*29 + c//20*3)%256 END >= 128)::INT) AS coverage FROM (SELECT DISTINCT image FROM image_px) i, (VALUES ('scene.sky'), ('people.skin')) r(region), range(300) q(c) GROUP BY ALL),
+hb AS (SELECT image, edge, region, {BIN_SQL} AS bin, sum(w) AS n FROM rg WHERE w > 0 GROUP BY ALL),
+hc AS (SELECT *, sum(n) OVER (PARTITION BY image, edge, region ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY image, edge, region) AS total FROM hb),
+md AS (SELECT image, edge, region, min(bin) FILTER (cum >= 0.5::DOUBLE*total) AS median FROM hc GROUP BY ALL)
+SELECT st.image, st.edge, st.region, round(CASE WHEN st.region = 'global' THEN 1 WHEN st.region LIKE 'zone.%' THEN n/greatest(1, whole) ELSE mk.coverage END, 6) AS coverage, floor(n + 0.5)::BIGINT AS sampled,
+  round(L, 6) AS L, round(sqrt(greatest(0, LL - L*L)), 5) AS L_sd, round(C, 6) AS C, round(sqrt(greatest(0, CC - C*C)), 5) AS C_sd, round(a, 6) AS a, round(b, 6) AS b, round(CASE WHEN C > 1e-6 THEN least(1, sqrt(a*a + b*b)/C) ELSE 0 END, 5) AS strength, CASE WHEN st.region IN ('global', 'scene.sky', 'people.skin') THEN median END AS median
+FROM st JOIN gl ON st.image = gl.image AND st.edge = gl.edge JOIN md ON st.image = md.image AND st.edge = md.edge AND st.region = md.region LEFT JOIN mk ON st.image = mk.image AND st.region = mk.region WHERE n >= 1e-6""")
+def region_measures(spark, sf_dir):
+    """All regions of each image at three sampling edges (small ones, as the images are), from one scan: the whole, zones and masks on a grid of their own."""
+    masks = image_masks(spark, sf_dir)
+    rows = images(spark, sf_dir).withColumns({"width": F.lit(64), "height": F.lit(48)})
+    found = measure.region_stats(measure.measure(rows, "image", masks, (64, 32, 16)), ["image", "edge"], measure.coverage(masks, "image"))
+    median = F.floor(F.get("curve", F.lit(10)) * 511 + 0.5).cast("int")  # shares of a zone's weight are near ties of sums, so only whole counts are compared
+    names = {"coverage": 6, "L": 6, "L_sd": 5, "C": 6, "C_sd": 5, "a": 6, "b": 6, "strength": 5}
+    return found.select("image", "edge", "region", "sampled", *[F.round(c, n).alias(c) for c, n in names.items()], F.when(F.col("region").isin("global", "scene.sky", "people.skin"), median).alias("median"))
+
+
 def small_images(spark, sf_dir):
     """(image, x, y, luma): five images of 16 by 12 samples, each the mean of many pixels."""
     luma = colour.luma(F.col("r"), F.col("g"), F.col("b"))
