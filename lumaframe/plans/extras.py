@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import clock, colour, geodesy, sky, spectrum, text, vectors
-from lumaframe.operators import alignments, archive, buildings, grade, ledger, pixels, places, ranking, solver, terrain
+from lumaframe.operators import alignments, archive, buildings, daylight, grade, ledger, pixels, places, ranking, solver, terrain
 from lumaframe.operators.timeline import sampled
 from lumaframe.sources import feeds
 
 from .archive import images, query, table
-from .light import H_SQL, SPOT, TIMES_SQL, edges, heights, instants
+from .light import EDGE_SQL, H_SQL, SPOT, TIMES_SQL, edges, heights, instants
 from .ledger import OWNED_SQL, audited
 from .records import bodies
 
@@ -81,18 +81,37 @@ def point_horizons(spark, sf_dir):
     return found.select("id", "bin", F.round("angle", 6).alias("angle"))
 
 
-@query()
-def day_light(spark, sf_dir):
-    """Lit minutes of each supplier's day: its skyline over the ground's horizon, against the sun every ten minutes."""
-    sky_ = terrain.skyline(edges(spark, sf_dir), ["spot"], 5.0, 900.0).select("spot", F.col("bin").cast("int").alias("bin"), F.col("altitude").alias("angle"))
+DAY_SQL = f"""WITH {H_SQL}, {EDGE_SQL}, sk AS (SELECT spot, bin, max(degrees(atan2(height, t))) AS altitude FROM m WHERE t > 0 AND t <= 900 AND k BETWEEN 0 AND 1 GROUP BY ALL),
+p AS (SELECT s_suppkey AS id, s_suppkey*37%256 AS r, s_suppkey*53%256 AS c FROM supplier), o AS (SELECT p.*, h.height AS eye FROM p JOIN h ON h."row" = p.r AND h.col = p.c),
+st AS (SELECT unnest([{', '.join(repr(x) for x in STEPS)}]::DOUBLE[]) AS k), s AS (SELECT id, eye, bin, k*30 AS m, floor(r - cos(radians(bin*5e0))*k + 0.5) AS rr, floor(c + sin(radians(bin*5e0))*k + 0.5) AS cc FROM o, range(72) q(bin), st),
+hz AS (SELECT id, bin, greatest(0, coalesce(max(degrees(atan2(height - m*m/(2*7/6e0*6371008.8e0) - eye, m))), 0)) AS angle FROM s LEFT JOIN h ON h."row" = rr AND h.col = cc GROUP BY ALL),
+gr AS (SELECT a.id, q.bin, a.angle*(1 - (q.bin*2%5)/5e0) + b.angle*(q.bin*2%5)/5e0 AS angle FROM range(180) q(bin) JOIN hz a ON a.bin = q.bin*2//5 JOIN hz b ON b.id = a.id AND b.bin = (q.bin*2//5 + 1)%72),
+pf AS (SELECT p.id, q.bin, greatest(0, coalesce(sk.altitude, 0), coalesce(gr.angle, 0)) AS angle FROM p JOIN range(180) q(bin) ON TRUE LEFT JOIN sk ON sk.spot = p.id AND sk.bin = q.bin LEFT JOIN gr ON gr.id = p.id AND gr.bin = q.bin),
+tk AS (SELECT s_suppkey AS id, s_suppkey*13%110 - 55e0 AS lat, s_suppkey*7%360 - 180e0 AS lon, unnest(generate_series({YEAR}, {YEAR} + 86340, 60))::DOUBLE AS t FROM supplier),
+sn AS (SELECT id, ((t - {YEAR})/60)::BIGINT AS minute, sun_azimuth/2 AS place, sun_altitude AS alt FROM {sky.SUN.sql('tk')} x),
+li AS (SELECT sn.id, minute, alt > 0 AS up, alt > 0 AND alt > a.angle + (b.angle - a.angle)*(place - floor(place)) AS lit FROM sn JOIN pf a ON a.id = sn.id AND a.bin = floor(place)::INT%180 JOIN pf b ON b.id = sn.id AND b.bin = (floor(place)::INT + 1)%180),
+ch AS (SELECT *, CASE WHEN lag(lit) OVER w = lit AND lag(up) OVER w = up THEN 0 ELSE 1 END AS fresh FROM li WINDOW w AS (PARTITION BY id ORDER BY minute)),
+rn AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY minute) AS run FROM ch),
+wn AS (SELECT id, run, min(minute) AS a, max(minute) + 1 AS b FROM rn WHERE lit GROUP BY id, run)
+"""
+
+
+def light_spots(spark, sf_dir):
+    """(spot, row, col, lat, lon, start, end): each supplier's place in the field and on the globe, and a day."""
     s = F.col("s_suppkey")
-    spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s * 13 % 110 - 55.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"), F.lit(YEAR).cast("long").alias("start"), F.lit(YEAR + 86_340).cast("long").alias("end"))
-    ground = spots.select("spot", F.explode(F.sequence(F.lit(0), F.lit(71))).alias("bin"), F.lit(1.5).alias("angle"))
-    both = places.merge_profiles(ground, sky_, ["spot"], "angle")
-    profile = both.groupBy("spot").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "angle"))), lambda x: x["angle"]).alias("profile"))
-    track = sampled(spots, sky.SUN, "start", "end", 600).join(profile, "spot")
-    lit = track.select("spot", ((F.col("t") - F.col("start")) / 60).cast("long").alias("minute"), (~terrain.blocked(F.col("profile"), F.col("sun_azimuth"), F.col("sun_altitude"))).alias("lit"), F.col("sun_altitude").alias("altitude"))
-    return ledger.light_summary(ledger.lit_windows(lit, ["spot"], "minute"), ["spot"]).drop("longest")
+    return table(spark, sf_dir, "supplier").select(
+        s.alias("spot"), (s * 37 % 256).alias("row"), (s * 53 % 256).alias("col"), (s * 13 % 110 - 55.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"),
+        F.lit(YEAR).cast("long").alias("start"), F.lit(YEAR + 86_340).cast("long").alias("end"),
+    )
+
+
+@query(f"""{DAY_SQL} SELECT p.id AS spot, min(a) AS first, max(b) - 1 AS "last", coalesce(sum(b - a), 0)::BIGINT AS total, max(b - a) AS longest FROM p LEFT JOIN wn ON wn.id = p.id GROUP BY p.id""")
+def day_light(spark, sf_dir):
+    """First and last lit minute, all of them and the longest run of each supplier's day, behind its buildings and the field's ground."""
+    spots = light_spots(spark, sf_dir)
+    profiles = daylight.surroundings(spots.select("spot", "row", "col"), edges(spark, sf_dir), heights(spark, sf_dir), 30.0, 256, 2.0, 900.0, 72, 60)
+    windows = daylight.light_windows(spots.drop("row", "col"), profiles)
+    return ledger.light_summary(windows, ["spot"]).withColumn("longest", F.col("longest.end") - F.col("longest.start"))
 
 
 @query("""SELECT l_returnflag AS flag, round(100*sum(l_quantity*l_discount)/sum(l_quantity*l_quantity), 8) AS unit, round(sum(l_quantity*l_discount)/sum(l_discount*l_discount)/100, 6) AS gain100, round(sum(l_quantity*l_discount)/sum(l_discount*l_discount), 4) AS gain_raw FROM lineitem GROUP BY 1""")
