@@ -75,8 +75,10 @@ def cover_count(html: Column) -> Column:
 
 
 def identity_of(seed: Column) -> Column:
-    """32 hex digits that name a text: four 32-bit FNV-1a hashes with salts of their own, the same in every export."""
-    units = F.transform(F.split(seed, ""), lambda c: F.ascii(c).cast("long"))
+    """32 hex digits that name a text: four 32-bit FNV-1a hashes of its UTF-16 units with salts of their own, the same in every export."""
+    coded = F.hex(F.encode(seed, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(1), F.length(coded), F.lit(4)), lambda i: F.conv(F.substr(coded, i, F.lit(4)), 16, 10).cast("long"))
+    units = F.when(F.length(coded) > 0, units).otherwise(F.array().cast("array<bigint>"))
     word = lambda x: F.pmod(x, F.lit(2**32))
     begin = [(0x811C9DC5 ^ (salt * 0x9E3779B9)) & 0xFFFFFFFF for salt in range(4)]
     parts = [F.lpad(F.hex(F.aggregate(units, F.lit(b).cast("long"), lambda h, u: word(h.bitwiseXOR(u) * 0x01000193))), 8, "0") for b in begin]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumaframe.functions import clock, colour, text
-from lumaframe.operators import archive, itinerary, places
-from lumaframe.sources import feeds, sinks
+from lumaframe.functions import clock, colour, sky, text
+from lumaframe.operators import archive, itinerary, places, reports
+from lumaframe.sources import feeds, presets, raws, sinks
 
 from .archive import query, table
 
@@ -100,17 +100,49 @@ def plan_spots(spark, sf_dir):
     return rows
 
 
+def day_spots(spark, sf_dir):
+    """plan_spots in plans of MOST customers with consecutive keys, so that none is left out."""
+    return plan_spots(spark, sf_dir).withColumn("plan", F.floor(F.col("pos") / itinerary.MOST))
+
+
 @query()
 def day_plan(spark, sf_dir):
-    """Plans of MOST customers with consecutive keys, so that none is left out."""
-    return itinerary.day_plans(plan_spots(spark, sf_dir).withColumn("plan", F.floor(F.col("pos") / itinerary.MOST)))
+    """The best day of every plan."""
+    return itinerary.day_plans(day_spots(spark, sf_dir)).select("plan", F.transform("stops", lambda s: F.struct(s["pos"].alias("pos"), s["start"].alias("start"))).alias("stops"), "scheduled", "off_best", "metres")
 
 
-@query("""WITH s AS (SELECT c_nationkey AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best FROM customer)
-SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20""", also="plan_conflicts_all")
+@query("""WITH s AS (SELECT c_custkey//78*13 + c_custkey%13 AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best, c_custkey*7%90 >= 20 OR 60 + c_custkey%200 - c_custkey%100 >= 20 AS lit FROM customer)
+SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20 WHERE a.lit AND b.lit""")
 def plan_conflicts(spark, sf_dir):
-    """Stops of a nation whose best minutes are too close for a visit to both; every customer is a stop."""
-    return itinerary.conflicts(plan_spots(spark, sf_dir))
+    """Spots of a plan whose best minutes are too close for a visit to both; every thirteenth customer is of one plan, six at most."""
+    return itinerary.conflicts(plan_spots(spark, sf_dir).withColumn("plan", F.floor(F.col("pos") / 78) * 13 + F.col("pos") % 13))
+
+
+@query()
+def itinerary_report(spark, sf_dir):
+    """The best day of every plan as text, with all that is left out and all clashes."""
+    spots = day_spots(spark, sf_dir)
+    named = spots.select("plan", "pos", "lat", "lon", F.concat(F.lit("Customer "), F.col("pos").cast("string")).alias("name"))
+    return reports.itinerary_reports(itinerary.day_plans(spots), named, itinerary.conflicts(spots), F.lit("Sun 1 Mar"), 1_772_323_200, "UTC")
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS id, s_suppkey*13%110 - 55e0 AS lat, s_suppkey*7%360 - 180e0 AS lon, 1772366400e0 AS t FROM supplier), d AS (SELECT id, lat, lon, solar_noon, sunrise, sunset FROM {sky.DAY.sql('s')} x),
+m AS (SELECT *, floor((sunrise - 1772323200)/60)::BIGINT%1440 AS a, floor((sunset - 1772323200)/60)::BIGINT%1440 AS b, floor((solar_noon - 1772323200)/60)::BIGINT%1440 AS n FROM d),
+w AS (SELECT *, lpad((((a + 1440)%1440)//60)::VARCHAR, 2, '0') || ':' || lpad((((a + 1440)%1440)%60)::VARCHAR, 2, '0') AS ra, lpad((((b + 1440)%1440)//60)::VARCHAR, 2, '0') || ':' || lpad((((b + 1440)%1440)%60)::VARCHAR, 2, '0') AS rb, lpad((((n + 1440)%1440)//60)::VARCHAR, 2, '0') || ':' || lpad((((n + 1440)%1440)%60)::VARCHAR, 2, '0') AS rn FROM m)
+SELECT id, 'Supplier ' || id || ' — Sun 1 Mar' || chr(10) || printf('%.5f, %.5f', lat, lon) || chr(10) || chr(10) || 'Sunrise     ' || coalesce(ra, '—') || chr(10) || 'Solar noon  ' || rn || chr(10) || 'Sunset      ' || coalesce(rb, '—') || chr(10) || 'Daylight    ' || coalesce(ra || '–' || rb, '—') || chr(10) || chr(10)
+  || CASE WHEN id%3 = 0 THEN 'A note of its own.' || chr(10) || chr(10) ELSE '' END || 'Times are local to UTC.' || chr(10) || 'Sun and moon are computed; shadows are modelled' || CASE WHEN id%4 = 0 THEN ' — guessed.' ELSE ', not measured.' END AS report FROM w""")
+def shoot_plans(spark, sf_dir):
+    """The day of each supplier as text: its events, a note if there is one, and how far it can be trusted."""
+    s = F.col("s_suppkey")
+    spots = table(spark, sf_dir, "supplier").select(s.alias("id"), (s * 13 % 110 - 55.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"), F.lit(1_772_366_400.0).alias("t"))
+    minute = lambda c: F.pmod(F.floor((F.col(c) - 1_772_323_200) / 60), F.lit(1440))
+    row = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    rise, set_ = minute("sunrise"), minute("sunset")
+    events = F.array(row("Sunrise", reports.span(rise)), row("Solar noon", reports.span(minute("solar_noon"))), row("Sunset", reports.span(set_)), row("Daylight", reports.span(rise, set_)))
+    k = F.col("id")
+    notes, caveat = F.array(F.when(k % 3 == 0, "A note of its own.")), F.when(k % 4 == 0, "guessed.")
+    made = reports.shoot_plan(F.concat(F.lit("Supplier "), k.cast("string")), F.lit("Sun 1 Mar"), F.col("lat"), F.col("lon"), events, notes, F.lit("UTC"), caveat)
+    return sky.DAY.on(spots).select("id", made.alias("report"))
 
 
 @query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part GROUP BY 1""", also="sequence_export_all")
@@ -133,6 +165,63 @@ def preset_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), sinks.preset(fields).alias("preset"))
 
 
+def part_grades(spark, sf_dir):
+    """(id, name, and the fields of a grade) of parts, by arithmetic on their keys."""
+    p = F.col("p_partkey")
+    wheel = lambda a, b: F.struct((p * a % 360).alias("hue"), F.greatest(F.lit(0), p * b % 70 - 30).alias("sat"), (p % 5 - 2).alias("lum"))
+    point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"))
+    mask = lambda kind, label: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), (p % 9 / 8.0 - 0.5).alias("exposure"), (p % 41 - 20.0).alias("temp"), (p % 23 - 11.0).alias("tint"), (p % 31 - 15.0).alias("saturation"), F.lit(0.0).alias("contrast"))
+    masks = F.when(p % 3 == 0, F.array(mask("sky", "Sky & <sun>"), mask("manual", "Skin"), mask("subject", "Subject"))).when(p % 3 == 1, F.array(mask("manual", "Hair"))).otherwise(F.array(mask("manual", "")).cast("array<struct<kind:string,label:string,exposure:double,temp:double,tint:double,saturation:double,contrast:double>>"))
+    mix = F.array(*[F.struct(*[F.when(p % 4 == 0, 0.0).otherwise((p * k + n) % 60 - 30.0).alias(c) for n, c in enumerate(("hue", "sat", "lum"))]) for k in range(3, 11)])
+    name = F.concat("p_name", F.when(p % 5 == 0, F.lit(" 🌅 \"dusk\"")).when(p % 5 == 1, F.lit(" <é>")).otherwise(""))
+    return table(spark, sf_dir, "part").select(
+        p.alias("id"), name.alias("name"), (p % 13 / 4.0 - 1.5).alias("exposure"), (p % 3 - 1.0).alias("texture"), (p % 7 - 3.0).alias("vibrance"), (p % 11 - 5.5).alias("saturation"), mix.alias("mix"),
+        F.when(p % 2 == 0, wheel(7, 11)).otherwise(wheel(0, 0)).alias("shadow"), F.when(p % 2 == 0, wheel(5, 3)).otherwise(wheel(0, 0)).alias("midtone"), wheel(0, 0).alias("highlight"), wheel(0, 0).alias("global"), (p % 21 - 10.0).alias("balance"), F.lit(50.0).alias("blending"),
+        F.greatest(F.lit(0), p % 50 - 25).alias("grain"), F.lit(25.0).alias("grain_size"), F.lit(50.0).alias("roughness"), F.greatest(F.lit(0), p % 40 - 30).alias("noise"), (p % 4 * 10.0).alias("vignette"),
+        F.array(point(0, F.lit(0)), point(100, F.when(p % 5 < 2, F.lit(100.4)).otherwise(100 + p % 30)), point(255, F.lit(255))).alias("curve"), masks.alias("masks"),
+    )
+
+
+@query()
+def preset_files(spark, sf_dir):
+    """The preset of each part's grade with the masks that can be made again, and one without masks that always loads."""
+    rows = part_grades(spark, sf_dir)
+    grade = {c: F.col(c) for c in rows.columns if c not in ("id", "name")}
+    made = [presets.xmp(grade, F.col("name"), F.lit("Parts"), F.concat("name", F.lit("#"), F.col("id").cast("string")), masks) for masks in (True, False)]
+    return rows.select("id", F.when(F.size(presets.usable_masks(F.col("masks"))) > 0, made[0]).alias("full"), made[1].alias("safe"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_name || CASE p_partkey%5 WHEN 0 THEN ' 🌅 "dusk"' WHEN 1 THEN ' <é>' ELSE '' END || '#' || p_partkey AS name FROM part),
+u AS (SELECT id, flatten(list_transform(range(1, length(name) + 1), lambda i: CASE WHEN unicode(substr(name, i, 1)) > 65535 THEN [55296 + ((unicode(substr(name, i, 1)) - 65536) >> 10), 56320 + ((unicode(substr(name, i, 1)) - 65536) & 1023)] ELSE [unicode(substr(name, i, 1))] END)) AS units FROM n),
+h AS (SELECT id, salt, list_reduce(list_prepend(CASE salt WHEN 0 THEN 2166136261 WHEN 1 THEN 522970236 WHEN 2 THEN 3178393271 ELSE 1538978030 END, list_transform(units, lambda x: x::BIGINT)), lambda a, b: xor(a, b)*16777619 % 4294967296) AS h FROM u, range(4) r(salt))
+SELECT id, string_agg(upper(lpad(printf('%x', h), 8, '0')), '' ORDER BY salt) AS mark FROM h GROUP BY id""")
+def preset_marks(spark, sf_dir):
+    """The stable identity of each preset, also of names beyond the basic plane."""
+    rows = part_grades(spark, sf_dir).select("id", F.concat("name", F.lit("#"), F.col("id").cast("string")).alias("seed"))
+    return rows.select("id", text.identity_of(F.col("seed")).alias("mark"))
+
+
+def containers(spark, sf_dir):
+    """(id, payload): a container of each supplier, with a thumbnail, false beginnings, and a preview or two of its own size or none."""
+    s = F.col("s_suppkey")
+    kind = s % 6
+    fill = lambda n: F.repeat(F.lit("raw."), n.cast("int")).cast("binary")
+    image = lambda n: F.concat(F.unhex(F.lit("FFD8FFE0")), F.repeat(F.lit("jpeg"), n.cast("int")).cast("binary"), F.unhex(F.lit("FFD9")))
+    none, large = F.lit("").cast("binary"), F.lit(51_200) + s * 7 % 9000
+    thumb = F.concat(fill(s % 300), image(F.lit(500) + s % 40), fill(F.lit(100)))
+    preview = F.when(kind == 0, none).when(kind == 1, image(large)).when(kind == 2, F.concat(image(large), fill(s % 50), image(large))).when(kind == 3, F.concat(image(large), image(large + 1000))).when(kind == 4, image(F.lit(51_198)))
+    preview = F.coalesce(preview, F.concat(F.unhex(F.lit("FFD8FF")), fill(F.lit(30)), image(large)))  # a beginning inside which another stands
+    return table(spark, sf_dir, "supplier").select(s.alias("id"), F.concat(thumb, preview, F.unhex(F.lit("FFD8FFDB")), fill(F.lit(200))).alias("payload"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey%6 AS kind, 51200 + s_suppkey*7%9000 AS large, 4*(s_suppkey%300) + 4*(500 + s_suppkey%40) + 6 + 400 AS begin FROM supplier),
+f AS (SELECT id, CASE WHEN kind IN (1, 2, 5) THEN begin WHEN kind = 3 THEN begin + 4*large + 6 END AS "offset", CASE WHEN kind IN (1, 2) THEN 4*large + 6 WHEN kind = 3 THEN 4*(large + 1000) + 6 WHEN kind = 5 THEN 4*large + 6 + 123 END AS n FROM s)
+SELECT id, "offset"::BIGINT AS "offset", n::BIGINT AS length FROM f""")
+def raw_previews(spark, sf_dir):
+    """Where the preview of each container is; thumbnails and images just under the least size are none."""
+    return raws.embedded_previews(containers(spark, sf_dir), "id", "payload", piece=1 << 16)
+
+
 @query("""WITH b AS (SELECT p_partkey AS id, p_partkey%100 - 50 + 0e0 AS x, p_partkey*7%100 - 50 + 0e0 AS y FROM part), e AS (SELECT * FROM (VALUES (40e0, 0e0, 0e0, 40e0), (0e0, 40e0, -40e0, 0e0), (-40e0, 0e0, 0e0, -40e0), (0e0, -40e0, 40e0, 0e0)) v(ax, ay, bx, by_))
 SELECT id, count(*) FILTER (ay <= y AND y < by_ AND (x - ax)*(by_ - ay) < (y - ay)*(bx - ax) OR by_ <= y AND y < ay AND (x - ax)*(by_ - ay) > (y - ay)*(bx - ax))%2 = 1 AS inside, any_value(abs(x) <= 25 AND abs(y) <= 25) AS boxed FROM b, e GROUP BY id""")
 def ring_and_box(spark, sf_dir):
