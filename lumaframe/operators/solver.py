@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import colour
 
-from . import grade, measure, pixels
+from . import grade, measure, pixels, texture
 
 # Limits of a restrained grade, as factors of chroma and shares of the image's own chroma.
 CHROMA_UP, CHROMA_DOWN, CAST_SHARE, ZONE_SHARE, CURVE_PULL, SKIN_DAMP = 0.3, -0.25, 0.4, 0.25, 0.5, 0.35
@@ -219,6 +219,23 @@ def detail_moves(reference: Column, own: Column, vignette: Column, comparable: C
     )
 
 
+def details(textures: DataFrame, vignettes: DataFrame, reference: int) -> DataFrame:
+    """(id, faithful_details, restrained_details) of every other image: what brings its texture and corners to the reference's.
+
+    textures are rows of texture.gated(), vignettes (id, falloff, usable). Textures that were
+    refused, or measured at sizes too different, are not compared; an image without a row in
+    one of the two has nothing of it moved, and without the reference's nothing is moved at all.
+    """
+    one = lambda t: F.struct(F.col(f"{t}.grain").alias("grain"), F.col(f"{t}.grain_size").alias("period"), F.col(f"{t}.acutance").alias("acutance"))
+    both = textures.select("id", F.struct("grain", "grain_size", "acutance", "usable", "long").alias("t")).join(vignettes.select("id", F.struct("falloff", "usable").alias("v")), "id", "full")
+    told = both.where(F.col("id") == reference).select(F.col("t").alias("rt"), F.col("v").alias("rv")).limit(1)
+    rows = both.where(F.col("id") != reference).join(F.broadcast(told), how="left")  # one row
+    same = texture.comparable(F.col("rt.long"), F.col("t.long"), F.col("rt.usable"), F.col("t.usable"))
+    corners = F.struct(F.col("rv.falloff").alias("reference"), F.col("v.falloff").alias("own"), (F.col("rv.usable") & F.col("v.usable")).alias("usable"))
+    moves = lambda restrained: detail_moves(one("rt"), one("t"), corners, same, restrained)
+    return rows.select("id", moves(False).alias("faithful_details"), moves(True).alias("restrained_details"))
+
+
 def solution(rows: DataFrame) -> DataFrame:
     """rows of pairs() with the faithful and the restrained grade (controls, masks, curve), and reachability and residual of the faithful one.
 

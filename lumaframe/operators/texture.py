@@ -14,17 +14,36 @@ from pyspark.sql import functions as F
 # Fixed values.
 CROP, GRID, INSET = 192, (4, 3), 0.08
 LEAST_LONG, LEAST_SHORT, BLOCKY, UPSCALED, TOLERANCE = 900, 500, 1.28, 0.0016, 0.15
-
-
-def origins(images: DataFrame) -> DataFrame:
+NORM_EDGE, LEAST_ACUTANCE, LEAST_PROBES, LEAST_CROPS = 2400, 0.02, 3, 4
+#: Places of the grid that a native probe takes: its corners and its middle.
+SPREAD = ((0, 0), (GRID[0] - 1, 0), (0, GRID[1] - 1), (GRID[0] - 1, GRID[1] - 1), ((GRID[0] - 1) // 2, (GRID[1] - 1) // 2))
+# Why a texture can't be told.
+REASONS = {
+    "small": "Too small to read grain honestly (%dx%d). Grain, noise and sharpening need roughly 900px on the long edge — below that, what looks like grain is mostly resizing.",
+    "probes": "Not enough usable native-resolution samples to measure texture.",
+    "compression": "JPEG compression artefacts dominate the fine detail here (blockiness %.2fx). Any grain reading would mostly be measuring the compressor, not the photograph.",
+    "crops": "Not enough usable samples to measure texture.",
+    "upscaled": "There is almost no genuine high-frequency detail in this image, which means it was enlarged from something smaller. Grain and sharpening cannot be read from it.",
+}
+
+
+def origins(images: DataFrame, crop: int = CROP) -> DataFrame:
     """images (id, width, height) with gx, gy, left, top: a 4 by 3 grid of crops inside an inset, aligned to 8 pixels."""
     spots = F.explode(F.array(*[F.struct(F.lit(x).alias("gx"), F.lit(y).alias("gy")) for y in range(GRID[1]) for x in range(GRID[0])]))
-    place = lambda size, g, n: F.shiftleft(F.shiftright((F.floor(F.col(size) * INSET) + F.floor((F.col(size) - 2 * F.floor(F.col(size) * INSET) - CROP) * F.col(g) / (n - 1))).cast("int"), 3), 3)
-    room = lambda size: F.col(size) - 2 * F.floor(F.col(size) * INSET) - CROP > 0
-    rows = images.where(room("width") & room("height")).select("*", spots.alias("s")).select("*", "s.gx", "s.gy").drop("s")
+    inset = lambda size: F.floor(F.col(size) * INSET)
+    span = lambda size: F.col(size) - 2 * inset(size) - crop
+    place = lambda size, g, n: F.shiftleft(F.shiftright((inset(size) + F.floor(span(size) * F.col(g) / (n - 1) + 0.5)).cast("int"), 3), 3)
+    rows = images.where((span("width") > 0) & (span("height") > 0)).select("*", spots.alias("s")).select("*", "s.gx", "s.gy").drop("s")
     return rows.withColumns({"left": place("width", "gx", GRID[0]), "top": place("height", "gy", GRID[1])})
 
 
+def normalised(images: DataFrame) -> DataFrame:
+    """images (id, width, height) at the size that textures are compared at: NORM_EDGE on the long edge, never enlarged."""
+    factor = F.least(F.lit(1.0), F.lit(float(NORM_EDGE)) / F.greatest("width", "height"))
+    size = lambda c: F.floor(F.col(c) * factor + 0.5).cast("int")
+    return images.withColumns({"width": size("width"), "height": size("height")})
+
+
 #: The narrowest crop that is measured.
 LEAST_CROP = 8
 
@@ -92,6 +111,38 @@ def image_texture(measured: DataFrame, image: str, long_edge: Column, short_edge
     return mid.withColumn("reason", reason).withColumn("usable", F.col("reason").isNull())
 
 
+def gated(images: DataFrame, probes: DataFrame, measured: DataFrame) -> DataFrame:
+    """(id, usable, blocked, reason, normalised, grain, grain_size, acutance, flat_to_edge, long) of images (id, width, height).
+
+    probes are crops() of the native pixels at SPREAD places, the only ones that can show a
+    compressor's blocks; measured are crops() of the whole grid at the size of normalised(),
+    the same as the native one for a small image. blocked names the first gate that an image
+    does not pass (resolution, compression, upscaled, none); nothing is told of a blocked one.
+    grain_size is an index of how much of the grain outlasts a blur. long is the edge measured at.
+    """
+    probe = probes.groupBy("id").agg(F.count("*").alias("__probes"), F.median("blockiness").alias("__block"))
+    mid = measured.groupBy("id").agg(F.count("*").alias("__crops"), *[F.median(c).alias(c) for c in ("grain", "edge", "acutance", "scale")])
+    rows = images.join(probe, "id", "left").join(mid, "id", "left").withColumn("__long", F.greatest("width", "height"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    small = (F.col("__long") < LEAST_LONG) | (F.least("width", "height") < LEAST_SHORT)
+    gates = [
+        (small, "resolution", F.format_string(REASONS["small"], F.col("width").cast("int"), F.col("height").cast("int"))), (count("__probes") < LEAST_PROBES, "resolution", F.lit(REASONS["probes"])),
+        (F.col("__block") > BLOCKY, "compression", F.format_string(REASONS["compression"].replace("%.2f", "%s"), F.format_string("%.2f", "__block"))), (count("__crops") < LEAST_CROPS, "resolution", F.lit(REASONS["crops"])),
+        ((F.col("grain") < UPSCALED) & (F.col("acutance") < LEAST_ACUTANCE), "upscaled", F.lit(REASONS["upscaled"])),
+    ]
+    blocked, reason = F.lit("none"), F.lit(None).cast("string")
+    for fails, name, why in reversed(gates):
+        blocked, reason = F.when(fails, name).otherwise(blocked), F.when(fails, why).otherwise(reason)
+    rows = rows.withColumns({"blocked": blocked, "reason": reason}).withColumn("usable", F.col("blocked") == "none")
+    told = lambda v: F.when(F.col("usable"), v).otherwise(0.0)
+    size = F.greatest(F.lit(1.0), F.least(F.lit(6.0), 1 + (1 - F.least(F.lit(1.0), F.col("scale"))) * 8))
+    scaled = F.col("__long") > NORM_EDGE
+    return rows.select(
+        "id", "usable", "blocked", "reason", (F.col("usable") & scaled).alias("normalised"), told(F.col("grain")).alias("grain"), told(size).alias("grain_size"), told(F.col("acutance")).alias("acutance"),
+        told(F.when(F.col("edge") > 1e-9, F.col("grain") / F.col("edge")).otherwise(0.0)).alias("flat_to_edge"), F.when(F.col("usable") & scaled, NORM_EDGE).otherwise(F.col("__long")).cast("int").alias("long"),
+    )
+
+
 def comparable(long_a: Column, long_b: Column, usable_a: Column, usable_b: Column) -> Column:
     """Whether two textures were measured at sizes within TOLERANCE of each other."""
     return usable_a & usable_b & (F.abs(long_a - long_b) / F.greatest(long_a, long_b) <= TOLERANCE)

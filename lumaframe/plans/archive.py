@@ -6,7 +6,7 @@ arithmetic on the key), line items for pixels, events for sampled series.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, vectors
@@ -438,7 +438,7 @@ def stamp(spark, sf_dir):
 
 
 @query("""WITH i AS (SELECT p_partkey AS id, 400 + p_partkey*7%3000 AS w, 400 + p_partkey*11%2000 AS h FROM part), r AS (SELECT *, w - 2*floor(w*0.08)::INT - 192 AS sx, h - 2*floor(h*0.08)::INT - 192 AS sy FROM i)
-SELECT id, gx::INT AS gx, gy::INT AS gy, ((floor(w*0.08)::INT + floor(sx*gx/3.0)::INT)>>3)<<3 AS "left", ((floor(h*0.08)::INT + floor(sy*gy/2.0)::INT)>>3)<<3 AS top FROM r, range(4) a(gx), range(3) b(gy) WHERE sx > 0 AND sy > 0""".replace('<<3 AS "left"', '<<3)::INT AS "left"').replace("((floor(w", "(((floor(w").replace("<<3 AS top", "<<3)::INT AS top").replace("((floor(h", "(((floor(h"))
+SELECT id, gx::INT AS gx, gy::INT AS gy, ((floor(w*0.08)::INT + floor(sx*gx/3.0::DOUBLE + 0.5)::INT)>>3)<<3 AS "left", ((floor(h*0.08)::INT + floor(sy*gy/2.0::DOUBLE + 0.5)::INT)>>3)<<3 AS top FROM r, range(4) a(gx), range(3) b(gy) WHERE sx > 0 AND sy > 0""".replace('<<3 AS "left"', '<<3)::INT AS "left"').replace("((floor(w", "(((floor(w").replace("<<3 AS top", "<<3)::INT AS top").replace("((floor(h", "(((floor(h"))
 def texture_grid(spark, sf_dir):
     p = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(p.alias("id"), (p * 7 % 3000 + 400).cast("int").alias("width"), (p * 11 % 2000 + 400).cast("int").alias("height"))
@@ -494,6 +494,47 @@ def texture_crops(spark, sf_dir):
     return texture.image_texture(texture.crops(small_images(spark, sf_dir), ["image"]), "image", F.lit(1000), F.lit(600))
 
 
+#: A side of the crops of photos that arithmetic stands in for.
+SMALL_CROP = 32
+
+
+def textured(spark, sf_dir):
+    """(id, width, height): a photo for each supplier, from too small ones to ones that are compared at a smaller size."""
+    s = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(s.alias("id"), (s * 997 % 3400 + 700).cast("int").alias("width"), (s * 613 % 2000 + 450).cast("int").alias("height"))
+
+
+def texture_luma(k: Column, x: Column, y: Column) -> Column:
+    """Light of a pixel: by key steps of blocks, hardly any detail, or noise over an edge."""
+    noise = F.pmod(F.xxhash64(k, x, y), F.lit(1000)) / 1000.0
+    blocks = F.pmod(F.xxhash64(k, F.floor(x / 8), F.floor(y / 8)), F.lit(180)) + noise * 4
+    smooth = 90 + x % 64 / 8.0 + noise * 0.2
+    grainy = 60 + noise * (k % 9 * 3 + 4) + F.when((x + y) % 40 < 20, k % 7 * 12 + 10).otherwise(0)
+    return F.when(k % 5 == 1, blocks).when(k % 5 == 2, smooth).otherwise(grainy)
+
+
+def crop_pixels(places: DataFrame) -> DataFrame:
+    """(id, gx, gy, x, y, luma) of the crops at places (id, gx, gy, left, top)."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(SMALL_CROP**2 - 1)))
+    rows = places.select("id", "gx", "gy", "left", "top", i.alias("i")).select("id", "gx", "gy", (F.col("left") + F.col("i") % SMALL_CROP).alias("x"), (F.col("top") + F.floor(F.col("i") / SMALL_CROP)).alias("y"))
+    return rows.withColumn("luma", texture_luma(F.col("id"), F.col("x"), F.col("y")))
+
+
+def textures(spark, sf_dir):
+    images = textured(spark, sf_dir)
+    spread = F.array(*[F.struct(F.lit(x).alias("gx"), F.lit(y).alias("gy")) for x, y in texture.SPREAD])
+    native = texture.origins(images, SMALL_CROP).where(F.array_contains(spread, F.struct("gx", "gy")))
+    scaled = texture.origins(texture.normalised(images), SMALL_CROP)
+    crops = [texture.crops(crop_pixels(p), ["id", "gx", "gy"]) for p in (native, scaled)]
+    return texture.gated(images, *crops)
+
+
+@query()
+def image_textures(spark, sf_dir):
+    """Grain, its size and sharpness of each photo, or why they can't be told, through all gates."""
+    return textures(spark, sf_dir)
+
+
 GRADE_SQL = f"""{IMAGE_SQL}, {ZONE_SQL}, zs AS (SELECT image, zone, sum(w) AS n, sum(w*a)/sum(w) AS a, sum(w*b_)/sum(w) AS b FROM zz WHERE w > 0 GROUP BY ALL),
 zc AS (SELECT *, n/sum(n) OVER (PARTITION BY image) AS coverage FROM zs), rf AS (SELECT zone, greatest(1e-4, coverage) AS w, a AS ra, b AS rb FROM zc WHERE image = 1),
 g AS (SELECT image, least(3, greatest(0.25, coalesce(sum(w*sqrt(ra*ra+rb*rb))/nullif(sum(w*sqrt(a*a+b*b)), 0), 1))) AS ratio, sum(w*a) AS sa, sum(w*b) AS sb, sum(w*ra) AS sra, sum(w*rb) AS srb, sum(w) AS n FROM zc JOIN rf USING (zone) WHERE image <> 1 GROUP BY image),

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import clock, colour, geodesy, sky, spectrum, text, vectors
-from lumaframe.operators import alignments, archive, buildings, daylight, grade, ledger, pixels, places, ranking, solver, terrain
+from lumaframe.operators import alignments, archive, buildings, daylight, grade, ledger, measure, pixels, places, ranking, solver, terrain
 from lumaframe.operators.timeline import sampled
 from lumaframe.sources import feeds
 
-from .archive import images, query, table
+from .archive import image_masks, images, query, table, textures
 from .light import EDGE_SQL, H_SQL, SPOT, TIMES_SQL, edges, heights, instants
 from .ledger import OWNED_SQL, audited
 from .records import bodies
@@ -267,6 +267,30 @@ def grade_solution(spark, sf_dir):
     return made.select("id", "faithful", "restrained", "faithful_curve", "restrained_curve", "reachability", "residual")
 
 
+def masked_analyses(spark, sf_dir) -> DataFrame:
+    """What a grade is solved from, for each image, with its masks; one scan of the pixels."""
+    masks = image_masks(spark, sf_dir)
+    rows = images(spark, sf_dir).withColumns({"width": F.lit(64), "height": F.lit(48)})
+    table_ = measure.measure(rows.withColumnRenamed("image", "id"), "id", masks.withColumnRenamed("image", "id"), (64,))
+    return measure.analysed(table_, ["id", "edge"], measure.coverage(masks, "image").withColumnRenamed("image", "id")).drop("edge")
+
+
+def image_details(spark, sf_dir) -> DataFrame:
+    """(textures, vignettes) of images: the texture is that of a supplier's photo, whose number follows the image's."""
+    every = images(spark, sf_dir)
+    n = F.lit(10)  # suppliers that each scale has
+    textures_ = textures(spark, sf_dir).withColumnRenamed("id", "photo")
+    told = every.select(F.col("image").alias("id")).distinct().withColumn("photo", F.col("id") % n).join(textures_, "photo").drop("photo")
+    return told, pixels.vignette(every.withColumnRenamed("image", "id"), ["id"], F.lit(64), F.lit(48)).select("id", "falloff", "usable")
+
+
+@query()
+def grade_masked(spark, sf_dir):
+    """The masks, and the moves of texture and corners, that bring each image to the first one, at full strength and restrained."""
+    made = solver.solution(solver.pairs(masked_analyses(spark, sf_dir), 1)).select("id", "faithful_masks", "restrained_masks", "reachability")
+    return made.join(solver.details(*image_details(spark, sf_dir), 1), "id", "left")
+
+
 TRACK_SQL = "(SELECT s_suppkey AS spot, s_suppkey*13%110 - 55e0 AS lat, s_suppkey*7%360 - 180e0 AS lon, unnest(generate_series(1772323200, 1772409600, 3600))::DOUBLE AS t FROM supplier)"
 
 

@@ -210,3 +210,41 @@ def test_details(spark):
 def test_wheel_hues_of_the_chain(spark):
     row = solver.solution(solver.pairs(solver.analysed(pixels.with_lab(images(spark, SF)), "image").where("id < 6"), 1)).first()
     assert 0 <= row.faithful.global_hue < 360 and colour.ANCHORS
+
+
+def test_masks_and_details_of_an_image_table(spark):
+    """The registered query: masks measured from pixels, solved by the plain version; texture and corners by their formulas."""
+    from lumaframe.plans import catalogue, extras
+
+    analyses = extras.masked_analyses(spark, SF)
+    rows = {r.id: r.asDict(recursive=True) for r in analyses.collect()}
+    assert {r["key"] for r in rows[1]["regions"]} == {"global", *solver.ZONES, "scene.sky", "people.skin"}
+    textures, vignettes = ({r.id: r for r in df.collect()} for df in extras.image_details(spark, SF))
+    made = {r.id: r for r in catalogue.QUERIES["grade_masked"](spark, SF).collect()}
+    assert made.keys() == set(rows) - {1}
+    moved = 0
+    for k, r in made.items():
+        faithful = plain(rows[k], rows[1], False)
+        for name, want in (("faithful", faithful), ("restrained", plain(rows[k], rows[1], True, faithful["curve"]))):
+            assert {m.region: pytest.approx((m.exposure, m.temp, m.tint, m.saturation), abs=1e-5) for m in r[f"{name}_masks"]} == want["masks"], (k, name)
+        a, b, va, vb = textures[1], textures[k], vignettes[1], vignettes[k]
+        same = a.usable and b.usable and abs(a.long - b.long) / max(a.long, b.long) <= 0.15
+        d = r.faithful_details
+        assert d.grain == pytest.approx(min(100, max(0, a.grain - b.grain) / 0.055 * 100) if same else 0)
+        assert d.noise == pytest.approx(min(100, max(0, b.grain - a.grain) / 0.45 * 100) if same else 0)
+        assert d.texture == pytest.approx(clip((a.acutance - b.acutance) / 0.5 * 100, -100, 100) if same else 0)
+        assert d.vignette == pytest.approx(clip((va.falloff - vb.falloff) / 2.2 * 100, -100, 100) if va.usable and vb.usable else 0)
+        moved += bool(r.faithful_masks)
+    assert moved > 20
+
+
+def test_one_scan(spark, monkeypatch):
+    """Whole, zones, masks and bands come from one scan of the pixels, whatever is read from the sums."""
+    from lumaframe.operators import measure
+
+    scans, write = [], measure.written
+    monkeypatch.setattr(measure, "written", lambda df, name: scans.append(df._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")) or write(df, name))
+    table = measure.sums(pixels.with_lab(images(spark, SF)), ["image"])
+    for df in (measure.region_stats(table, ["image"]), measure.band_stats(table, ["image"]), measure.analysed(table, ["image"])):
+        assert df.count() and "lineitem.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+    assert scans == [1]
