@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def zoned_instant(day: Column, minute: Column, zone: str) -> Column:
+def zoned_instant(day: Column, minute: Column, zone: Column | str) -> Column:
     """The instant of a wall-clock minute; null where the clocks skip it, the first where they repeat it.
 
     The session's time zone must be UTC.
@@ -16,13 +16,12 @@ def zoned_instant(day: Column, minute: Column, zone: str) -> Column:
     return F.when(F.from_utc_timestamp(at, zone) == wall, at)
 
 
-def month_grid(spark: SparkSession, months: list[str], minutes: list[int], zone: str) -> DataFrame:
-    """(day, minute, at): every day of the months (yyyy-MM) at each minute; months that are none give no rows."""
-    rows = spark.createDataFrame([(m,) for m in months], "month string")
-    first = F.try_to_date(F.concat("month", F.lit("-01")))
-    days = rows.select(first.alias("first")).where("first is not null").select(F.explode(F.sequence("first", F.last_day("first"))).alias("day"))
-    cells = days.select("day", F.explode(F.array(*map(F.lit, minutes))).alias("minute"))
-    return cells.select("day", "minute", zoned_instant(F.col("day"), F.col("minute"), zone).alias("at"))
+def month_grid(places: DataFrame, minutes: list[int]) -> DataFrame:
+    """places (month as yyyy-MM, zone) with day, minute, at: every day of the month at each minute; a month that is none gives no rows."""
+    days = places.withColumn("__first", F.try_to_date(F.concat("month", F.lit("-01")))).where("__first is not null")
+    days = days.withColumn("day", F.explode(F.sequence("__first", F.last_day("__first")))).drop("__first")
+    cells = days.withColumn("minute", F.explode(F.array(*map(F.lit, minutes))))
+    return cells.withColumn("at", zoned_instant(F.col("day"), F.col("minute"), F.col("zone")))
 
 
 def track(df: DataFrame, start: str, end: str, step_seconds: int) -> DataFrame:

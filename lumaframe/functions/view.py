@@ -107,6 +107,28 @@ def wedge_courses(bearing: Column, wide: Column, steps: int = 48) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: bearing - wide / 2 + i / F.lit(float(steps)) * wide)
 
 
+def axis_feature(lon: Column, lat: Column, far_lon: Column, far_lat: Column, bearing: Column) -> Column:
+    """The centre line of a frame as a GeoJSON feature: from the camera to where the lens points."""
+    line = F.struct(F.lit("LineString").alias("type"), F.array(F.array(lon, lat), F.array(far_lon, far_lat)).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.pmod(bearing, F.lit(360.0)).alias("bearing")).alias("properties"), line.alias("geometry")))
+
+
+def forecast_days(cells: Column, days: Column, columns: Column) -> Column:
+    """About how many days at the start of a month a forecast reaches, from how many of its cells it covers; none for no month."""
+    return F.when((days > 0) & (columns > 0), F.floor(cells / (days * columns) * days + 0.5).cast("long")).otherwise(0)
+
+
+#: Numbers of a vertex of a line.
+LINE_STRIDE = 8
+
+
+def merged_geometry(day: Column, minute: Column, stride: int = LINE_STRIDE) -> Column:
+    """Struct (lines, runs, points) of a day's and a minute's: the minute's runs begin behind the day's vertices."""
+    base = (F.size(day["lines"]) / stride).cast("int")
+    moved = F.transform(minute["runs"], lambda r: F.struct((r["offset"] + base).alias("offset"), r["count"].alias("count")))
+    return F.struct(F.concat(day["lines"], minute["lines"]).alias("lines"), F.concat(day["runs"], moved).alias("runs"), F.concat(day["points"], minute["points"]).alias("points"))
+
+
 # Degrees off the aim that are back- and front-lit, and the sun's altitude up to which back light is a rim.
 BACK_DEG, FRONT_DEG, RIM_ALTITUDE_DEG = 45.0, 135.0, 10.0
 

@@ -15,14 +15,13 @@ from lumaframe.operators import archive, grade, measure, pixels, ranking, textur
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql: str | None = None, also: str | None = None):
-    """Registers a query under its function's name, and under also, a name that it had before."""
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if SQL can express it."""
 
     def add(f):
-        for name in (f.__name__, *([also] if also else [])):
-            QUERIES[name] = f
-            if sql:
-                ORACLES[name] = sql
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -429,7 +428,7 @@ def curve_table(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), points.alias("p")).select("id", F.round(vectors.total(vectors.curve(F.col("p"))), 4).alias("total"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part", also="stamp_all")
+@query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part")
 def stamp(spark, sf_dir):
     """One row that identifies a record set, all its ids in order."""
     rows = table(spark, sf_dir, "part")

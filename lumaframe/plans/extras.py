@@ -13,7 +13,7 @@ from lumaframe.sources import feeds
 from .archive import image_masks, images, query, table, textures
 from .light import EDGE_SQL, H_SQL, SPOT, TIMES_SQL, edges, heights, instants
 from .ledger import OWNED_SQL, audited
-from .records import bodies
+from .records import MONTH_SQL, bodies, places_months
 
 YEAR = 1_772_323_200
 
@@ -150,11 +150,18 @@ def square_footprints(spark, sf_dir):
     return made.select("id", F.col("i").cast("long").alias("i"), F.round((F.col("lat") - F.col("lat1")) * 111195, 2).alias("north"), F.round((F.col("lon") - F.col("lon1")) * 111195, 2).alias("east"))
 
 
-@query("""WITH b AS (SELECT event_id//24 AS body FROM events GROUP BY 1) SELECT body, 0e0 AS latitude, 'Z' AS zone FROM b""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey%7 = 0 OR o_orderkey%5 = 0 THEN 0 ELSE o_orderkey%180 - 90 + 0.25e0 END AS latitude, CASE WHEN o_orderkey%7 = 0 OR o_orderkey%4 = 0 THEN 0 ELSE o_orderkey%360 - 180 + 0.5e0 END AS longitude,
+CASE WHEN o_orderkey%7 <> 0 AND o_orderkey%3 <> 0 AND o_orderkey%11 <> 0 THEN epoch(make_timestamp(2026, 3, o_orderkey%28 + 1, o_orderkey%24, 15, 0.0)) END AS "time", CASE WHEN o_orderkey%7 <> 0 AND o_orderkey%3 <> 0 AND o_orderkey%6 <> 1 THEN o_orderkey%100 + 0e0 END AS cloud FROM orders""")
 def forecast_heads(spark, sf_dir):
-    """What forecasts say of their place; one that says nothing is at 0."""
-    found = feeds.forecast_heads(bodies(spark, sf_dir), "body", "json")
-    return found.select("body", "latitude", F.lit("Z").alias("zone"))
+    """What forecasts say of their place and of now: places, times and values may be missing, and a body may be no forecast."""
+    k = F.col("o_orderkey")
+    part = lambda when, form, *a: F.when(when, F.format_string(form, *a))
+    when = F.when(k % 11 == 0, "soon").otherwise(F.format_string("2026-03-%02dT%02d:15", (k % 28 + 1).cast("int"), (k % 24).cast("int")))
+    now = F.concat(F.lit('"current":{'), F.concat_ws(",", F.concat(F.lit('"time":"'), when, F.lit('"')), part(k % 6 != 1, '"cloud_cover":%d', (k % 100).cast("int"))), F.lit("}"))
+    body = F.concat(F.lit("{"), F.concat_ws(",", part(k % 5 != 0, '"latitude":%s', (k % 180 - 90 + 0.25).cast("string")), part(k % 4 != 0, '"longitude":%s', (k % 360 - 180 + 0.5).cast("string")), F.when(k % 3 != 0, now)), F.lit("}"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 14 == 0, "{}").when(k % 7 == 0, "not json").otherwise(body).alias("json"))
+    found = feeds.forecast_heads(rows, "id", "json")
+    return found.select("id", "latitude", "longitude", "time", "cloud")
 
 
 @query("SELECT o_orderkey AS id, 'photo' AS what FROM orders WHERE o_orderkey%7 <> 0 UNION ALL SELECT o_orderkey, 'override' FROM orders WHERE o_orderkey%5 = 0 AND o_orderkey%7 <> 0")
@@ -304,13 +311,16 @@ def day_tracks(spark, sf_dir):
     return made.groupBy("spot").agg((F.count("*") * 3).alias("n"), *[F.round(F.max(f"{b}_altitude"), 4).alias(b) for b in ("sun", "moon", "core")])
 
 
-@query()
+@query(f"""WITH {MONTH_SQL}, u AS (SELECT place, day, minute, lat, lon, epoch(instant)::DOUBLE AS t FROM g WHERE instant IS NOT NULL), c AS (SELECT place, day, minute, sun_altitude, phase FROM {sky.SUN.sql('u')} x),
+n2 AS (SELECT *, lead(minute) OVER (PARTITION BY place, day ORDER BY minute) AS next, row_number() OVER (PARTITION BY place, day ORDER BY minute) - row_number() OVER (PARTITION BY place, day, phase = 'golden' ORDER BY minute) AS isle FROM c),
+p AS (SELECT place, day, max(sun_altitude) AS peak FROM c GROUP BY ALL)
+SELECT r.place, r.day, r.start_ AS "start", r.end_ AS "end", round(p.peak, 5) AS peak FROM (SELECT place, day, isle, min(minute)::BIGINT AS start_, max(coalesce(next, 1440))::BIGINT AS end_ FROM n2 WHERE phase = 'golden' GROUP BY place, day, isle) r JOIN p ON p.place = r.place AND p.day = r.day""")
 def month_sun(spark, sf_dir):
-    """A month of days by the hour with the sun's phase in each cell, and each day's golden runs."""
-    grid = clock.month_grid(spark, ["2026-06"], list(range(0, 1440, 30)), "Europe/London").where("at IS NOT NULL")
-    cells = sky.SUN.on(grid.select("day", "minute", F.lit(55.95).alias("lat"), F.lit(-3.19).alias("lon"), (F.unix_micros("at") / 1e6).alias("t")))
-    runs = ledger.golden_runs(cells.select("day", F.col("minute").cast("long").alias("minute"), "phase"), ["day"])
-    return runs.join(cells.groupBy("day").agg(F.max("sun_altitude").alias("peak")), "day")
+    """Golden runs of each day of each nation's month, by the half hour on its own clock, and how high the sun gets."""
+    grid = clock.month_grid(places_months(spark, sf_dir), list(range(0, 1440, 30))).where("at IS NOT NULL")
+    cells = sky.SUN.on(grid.select("place", "day", "minute", "lat", "lon", (F.unix_micros("at") / 1e6).alias("t")))
+    runs = ledger.golden_runs(cells.select("place", "day", F.col("minute").cast("long").alias("minute"), "phase"), ["place", "day"])
+    return runs.join(cells.groupBy("place", "day").agg(F.round(F.max("sun_altitude"), 5).alias("peak")), ["place", "day"])
 
 
 @query(f"""WITH g AS (SELECT g.id, d.solar_noon AS noon, d.sunrise, d.sunset, g.kind, g.r_lo, g.s_lo, g.r_hi, g.s_hi FROM {sky.GOLDEN.sql(TIMES_SQL)} g JOIN {sky.DAY.sql(TIMES_SQL)} d ON g.id = d.id)

@@ -260,13 +260,13 @@ def shares(spark, sf_dir):
     return rows.groupBy(F.col("p_brand").alias("spot")).agg(F.count("*").alias("n"), F.round(sea, 6).alias("sea"), F.coalesce(F.sum(F.when(like, 1)), F.lit(0)).cast("long").alias("comparable"))
 
 
-@query("SELECT l_suppkey AS spot, count(*) AS n FROM lineitem GROUP BY 1")
+@query("""WITH s AS (SELECT l_orderkey AS spot, count(*) AS n, string_agg(l_linenumber || ':' || l_suppkey%2, ',' ORDER BY l_linenumber, l_suppkey%2) AS held FROM lineitem GROUP BY 1) SELECT spot, n, min(spot) OVER (PARTITION BY held) AS like_ FROM s""".replace("like_", '"like"'))
 def building_sets(spark, sf_dir):
-    """Sets of buildings by an order-independent signature: the set and itself in another order are one."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("spot"), "l_orderkey", "l_linenumber", "l_quantity")
-    there = buildings.set_signature(rows, ["spot"], "l_orderkey", "l_linenumber", "l_quantity")
-    again = buildings.set_signature(rows.orderBy(F.desc("l_quantity")), ["spot"], "l_orderkey", "l_linenumber", "l_quantity")
-    return there.join(again.select("spot", "n", "mark"), ["spot", "n", "mark"]).select("spot", "n")
+    """Sets of buildings by an order-independent signature: each order with the smallest one that has the same set."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spot"), "l_linenumber", (F.col("l_suppkey") % 2).alias("side"))
+    marks = buildings.set_signature(rows, ["spot"], "l_linenumber", "side")
+    first = marks.groupBy(F.col("n").alias("m"), F.col("mark").alias("own")).agg(F.min("spot").alias("like"))
+    return marks.join(first, (F.col("n") == F.col("m")) & (F.col("mark") == F.col("own"))).select("spot", "n", "like")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_size <= 0 THEN 0 ELSE round(sqrt(2*7/6e0*6371008.8e0*p_size), 4) END AS reach, p_partkey*7%360 AS azimuth, p_partkey%40 - 10 > CASE WHEN p_partkey*7%360%90 = 0 THEN [0, 10, 20, 10][p_partkey*7%360//90 + 1]

@@ -6,6 +6,8 @@ for instants; derived numbers are integer arithmetic on keys.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, field, geodesy, sky, spectrum
@@ -87,7 +89,7 @@ def lit_ahead(spark, sf_dir):
 
 
 @query(f"""WITH {E_SQL}, a AS (SELECT sec AS s, sec + floor(value*3)::BIGINT AS t FROM e WHERE event_id%2 = 0), b AS (SELECT sec + 30 AS s, sec + 30 + floor(value*5)::BIGINT AS t FROM e WHERE event_id%2 <> 0)
-SELECT greatest(a.s, b.s) AS "start", least(a.t, b.t) AS "end" FROM a JOIN b ON greatest(a.s, b.s) < least(a.t, b.t)""", also="interval_intersect_all")
+SELECT greatest(a.s, b.s) AS "start", least(a.t, b.t) AS "end" FROM a JOIN b ON greatest(a.s, b.s) < least(a.t, b.t)""")
 def interval_intersect(spark, sf_dir):
     """Overlaps of the events' intervals; an event is on one side or the other by the parity of its id."""
     rows = samples(spark, sf_dir).withColumn("k", F.lit(0))
@@ -268,7 +270,7 @@ def core_position(spark, sf_dir):
 
 DAY_OUT = ["id", "round(solar_noon, 1) AS noon", "round(sunrise, 1) AS sunrise", "round(sunset, 1) AS sunset", "polar"]
 
-@query(f"SELECT {', '.join(DAY_OUT)} FROM {sky.DAY.sql(TIMES_SQL)}", also="sun_times_all")
+@query(f"SELECT {', '.join(DAY_OUT)} FROM {sky.DAY.sql(TIMES_SQL)}")
 def sun_times(spark, sf_dir):
     """Noon, rise and set for every order."""
     return sky.DAY.on(instants(spark, sf_dir)).selectExpr(*DAY_OUT)
@@ -422,6 +424,20 @@ def terrain_shadow(spark, sf_dir):
     return terrain.shadow_mask(heights(spark, sf_dir), 90.0, 12.0, 30.0)
 
 
+_SLANT = math.sin(math.radians(200.0)) / -math.cos(math.radians(200.0))
+
+
+_AWAY = f'30e0*(b."row" - a."row")/{math.cos(math.radians(20.0))!r}'
+
+
+@query(f"""WITH {H_SQL}, l AS (SELECT *, floor(col - "row"*({_SLANT!r}) + 0.5) AS line FROM h),
+s AS (SELECT a."row", a.col, bool_or(b.height - pow({_AWAY}, 2)/(2*7/6e0*6371008.8) > a.height + {_AWAY}*tan(radians(9e0))) AS shaded FROM l a LEFT JOIN l b ON a.line = b.line AND b."row" > a."row" GROUP BY ALL)
+SELECT "row", col, coalesce(shaded, FALSE) AS shaded FROM s""")
+def terrain_shadow_slanted(spark, sf_dir):
+    """Shadows of a sun that stands between the field's axes: lines run across rows and columns."""
+    return terrain.shadow_mask(heights(spark, sf_dir), 200.0, 9.0, 30.0)
+
+
 def _coverage_sql(reach: int, opacity: float) -> str:
     box = f"""(SELECT "row" - dr AS "row", col - dc AS col, avg(v) AS coverage FROM m, range(-{reach}, {reach + 1}) y(dr), range(-{reach}, {reach + 1}) x(dc) GROUP BY ALL)"""
     return f"""SELECT {reach} AS softness, m."row", m.col, coverage, floor(floor({opacity}::DOUBLE*255 + 0.5)*coverage + 0.5)::INT AS alpha FROM m JOIN {box} b ON m."row" = b."row" AND m.col = b.col"""
@@ -447,7 +463,7 @@ def image_blur(spark, sf_dir):
 
 @query("""WITH l AS (SELECT p_partkey AS id, least((p_size + 2)/tan(radians(p_partkey%40 + 1e0)), 300 + 1200*least(1, (p_partkey%40 + 1)/20e0)) AS length, radians(p_partkey%4*90 + 213e0) AS away FROM part),
 d AS (SELECT id, length, length*sin(away) AS dx, length*cos(away) AS dy FROM l)
-SELECT id, round(length, 6) AS length, 6 AS corners, round(64 + 8*(abs(dx) + abs(dy)), 4) AS area, round(least(0, dx), 4) AS west, round(8 + greatest(0, dx), 4) AS east, round(least(0, dy), 4) AS south, round(8 + greatest(0, dy), 4) AS north FROM d""", also="cast_shadow_all")
+SELECT id, round(length, 6) AS length, 6 AS corners, round(64 + 8*(abs(dx) + abs(dy)), 4) AS area, round(least(0, dx), 4) AS west, round(8 + greatest(0, dx), 4) AS east, round(least(0, dy), 4) AS south, round(8 + greatest(0, dy), 4) AS north FROM d""")
 def cast_shadow(spark, sf_dir):
     """Shadows of square footprints under a sun that is off their diagonals: corners, area and box.
 
@@ -530,7 +546,7 @@ def star_trails(spark, sf_dir):
 BAND_OUT = ["id", "round(r_lo, 1) AS low_rise", "round(s_lo, 1) AS low_set", "round(r_hi, 1) AS high_rise", "round(s_hi, 1) AS high_set", "kind"]
 
 
-@query(f"SELECT {', '.join(BAND_OUT)} FROM {sky.GOLDEN.sql(TIMES_SQL)}", also="golden_hours_all")
+@query(f"SELECT {', '.join(BAND_OUT)} FROM {sky.GOLDEN.sql(TIMES_SQL)}")
 def golden_hours(spark, sf_dir):
     """Where golden light begins and ends, morning and evening, with the polar cases named."""
     return sky.GOLDEN.on(instants(spark, sf_dir)).selectExpr(*BAND_OUT)

@@ -80,14 +80,26 @@ def link_codec(spark, sf_dir):
     return rows.select("id", feeds.link(F.col("q")).alias("l")).select("id", "l.lat", F.col("l.radius").cast("long").alias("radius"), "l.name", F.col("l.minute").cast("long").alias("minute"), F.col("l.time_zone").alias("zone"), F.col("l.date").alias("day"))
 
 
-@query("""WITH d AS (SELECT unnest(generate_series(DATE '2026-03-01', DATE '2026-03-31', INTERVAL 1 DAY))::DATE AS day UNION ALL SELECT unnest(generate_series(DATE '2026-10-01', DATE '2026-10-31', INTERVAL 1 DAY))::DATE),
-m AS (SELECT day, minute FROM d, (VALUES (30), (90), (720)) v(minute))
-SELECT day, minute, CASE WHEN day = DATE '2026-03-29' AND minute = 90 THEN NULL ELSE day::TIMESTAMP + to_minutes(minute) - CASE WHEN (day > DATE '2026-03-29' AND day < DATE '2026-10-25') OR (day = DATE '2026-03-29' AND minute >= 120) OR (day = DATE '2026-10-25' AND minute < 120)
-THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END END AS at FROM m""".replace(" AS at FROM", ' AS "at" FROM'))
+def places_months(spark, sf_dir):
+    """(place, lat, lon, zone, month): for each nation a month of 2026 and a zone; some months are none."""
+    k = F.col("n_nationkey")
+    zone = F.when(k % 2 == 0, "Europe/London").when(k % 3 == 0, "Asia/Kolkata").otherwise("UTC")
+    month = F.concat(F.lit("2026-"), F.lpad((k * 5 % 14 + 1).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "nation").select(k.alias("place"), (k * 13 % 110 - 55.0).alias("lat"), (k * 7 % 360 - 180.0).alias("lon"), zone.alias("zone"), month.alias("month"))
+
+
+#: The year's two changes of the clocks are written out; other zones of places_months keep one offset.
+MONTH_SQL = """n AS (SELECT n_nationkey AS place, n_nationkey*13%110 - 55e0 AS lat, n_nationkey*7%360 - 180e0 AS lon, n_nationkey*5%14 + 1 AS month, n_nationkey%2 = 0 AS london, CASE WHEN n_nationkey%2 <> 0 AND n_nationkey%3 = 0 THEN 330 ELSE 0 END AS ahead FROM nation),
+d AS (SELECT n.*, unnest(generate_series(make_date(2026, month, 1), (make_date(2026, month, 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE, INTERVAL 1 DAY))::DATE AS day FROM n WHERE month <= 12),
+g AS (SELECT d.*, minute, CASE WHEN london AND day = DATE '2026-03-29' AND minute BETWEEN 60 AND 119 THEN NULL ELSE day::TIMESTAMP + to_minutes(minute - ahead
+  - CASE WHEN london AND ((day > DATE '2026-03-29' AND day < DATE '2026-10-25') OR (day = DATE '2026-03-29' AND minute >= 120) OR (day = DATE '2026-10-25' AND minute < 120)) THEN 60 ELSE 0 END) END AS instant FROM d, range(0, 1440, 30) v(minute))"""
+
+
+@query(f"""WITH {MONTH_SQL} SELECT place, day, minute::INT AS minute, instant AS "at" FROM g""")
 def month_grid(spark, sf_dir):
-    """Days of two months at three minutes, through both changes of the clocks."""
-    grid = clock.month_grid(spark, ["2026-03", "2026-10", "2026-13"], [30, 90, 720], "Europe/London")
-    return grid.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    """Each nation's month by the half hour on its own clock, through changes of the clocks."""
+    grid = clock.month_grid(places_months(spark, sf_dir), list(range(0, 1440, 30)))
+    return grid.select("place", "day", "minute", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
 def plan_spots(spark, sf_dir):
@@ -145,7 +157,7 @@ def shoot_plans(spark, sf_dir):
     return sky.DAY.on(spots).select("id", made.alias("report"))
 
 
-@query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part GROUP BY 1""", also="sequence_export_all")
+@query("""SELECT p_brand AS brand, '[' || string_agg('{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}', ',' ORDER BY p_partkey) || ']' AS body FROM part GROUP BY 1""")
 def sequence_export(spark, sf_dir):
     """Every part in its brand's sequence."""
     rows = table(spark, sf_dir, "part").withColumn("brand", F.col("p_brand")).withColumn("pos", F.col("p_partkey"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.functions import geodesy, view, wording
+from lumaframe.functions import geodesy, text, view, wording
 from lumaframe.operators import buildings, places, spots
 from lumaframe.sources import feeds
 
@@ -288,6 +288,31 @@ def frame_wedges(spark, sf_dir):
     return geodesy.DIRECT.on(arcs).select("id", F.col("i").cast("long").alias("i"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+@query(f"""WITH c AS (SELECT c_custkey AS id, {SPOT} AS lat, c_custkey*7%360 - 180e0 AS lon, c_custkey*11%720 - 360e0 AS bearing, (2000 + c_custkey%9000)/6371008.8e0 AS d FROM customer)
+SELECT id, (bearing + 360)%360 AS bearing, 'LineString' AS kind, lat AS from_lat, round(degrees(asin(sin(radians(lat))*cos(d) + cos(radians(lat))*sin(d)*cos(radians(bearing)))), 6) AS lat, round(lon + degrees(atan2(sin(radians(bearing))*sin(d)*cos(radians(lat)), cos(d) - sin(radians(lat))*(sin(radians(lat))*cos(d) + cos(radians(lat))*sin(d)*cos(radians(bearing))))), 6) AS lon FROM c""")
+def frame_axes(spark, sf_dir):
+    """The line from each camera to where its lens points, read back from its feature."""
+    k = "c_custkey"
+    rows = table(spark, sf_dir, "customer").selectExpr(f"{k} AS id", f"{SPOT} AS lat1", f"{k}*7%360 - 180e0 AS lon1", f"{k}*11%720 - 360e0 AS course", f"2000e0 + {k}%9000 AS metres")
+    made = geodesy.DIRECT.on(rows).withColumn("json", view.axis_feature(F.col("lon1"), F.col("lat1"), F.col("lon"), F.col("lat"), F.col("course")))
+    read = F.from_json("json", "struct<type: string, properties: struct<bearing: double>, geometry: struct<type: string, coordinates: array<array<double>>>>")
+    at = lambda i, j: F.get(F.get("j.geometry.coordinates", F.lit(i)), F.lit(j))
+    return made.select("id", read.alias("j")).select("id", "j.properties.bearing", F.col("j.geometry.type").alias("kind"), at(0, 1).alias("from_lat"), F.round(at(1, 1), 6).alias("lat"), F.round(at(1, 0), 6).alias("lon"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey%101/100e0 AS k, p_partkey%2 = 0 AS waxing, p_partkey*13%1500 AS cells, 28 + p_partkey%4 AS days, p_partkey%3*24 AS cols, p_partkey%5 AS n, p_partkey%4 AS m FROM part)
+SELECT id, CASE WHEN cols > 0 THEN floor(cells/(days*cols)::DOUBLE*days + 0.5)::BIGINT ELSE 0 END AS days, 8*n + 8*m AS numbers, list_concat(list_transform(range(n), lambda i: i), list_transform(range(m), lambda i: i + n)) AS offsets, n + 2*m AS points,
+'M 0 -12 A 12 12 0 0 ' || CASE WHEN waxing THEN 1 ELSE 0 END || ' 0 12 A ' || CASE WHEN k = 0.5 THEN '0.0' ELSE regexp_replace(regexp_replace(printf('%.4f', floor(12*abs(1 - 2*k)*10000 + 0.5)/10000), '0+$', ''), '[.]$', '.0') END || ' 12 0 0 ' || CASE WHEN waxing = (k > 0.5) THEN 1 ELSE 0 END || ' 0 -12' AS disc FROM p""")
+def view_pieces(spark, sf_dir):
+    """How far a forecast reaches into a month, a day's drawing joined to a minute's, and the moon's disc."""
+    p = F.col("p_partkey")
+    lines = lambda n: F.array_repeat(F.lit(0.5), (n * view.LINE_STRIDE).cast("int"))
+    runs = lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("offset"), F.lit(1).alias("count")))
+    drawing = lambda n, points: F.struct(lines(n).alias("lines"), runs(n).alias("runs"), F.array_repeat(F.lit(1.0), points.cast("int")).alias("points"))
+    rows = table(spark, sf_dir, "part").select(p.alias("id"), view.merged_geometry(drawing(p % 5, p % 5), drawing(p % 4, p % 4 * 2)).alias("g"), view.forecast_days(p * 13 % 1500, 28 + p % 4, p % 3 * 24).alias("days"), text.moon_disc(p % 101 / 100.0, p % 2 == 0).alias("disc"))
+    return rows.select("id", "days", F.size("g.lines").alias("numbers"), F.transform("g.runs", lambda r: r["offset"]).alias("offsets"), F.size("g.points").alias("points"), "disc")
+
+
 @query("""WITH p AS (SELECT p_partkey AS id, p_partkey%90 - 30 AS a, p_partkey%2 <> 0 AS lit, CASE WHEN p_partkey%7 <> 0 THEN (p_partkey*13%360 - p_partkey*5%360 + 540)%360 - 180 END AS o FROM part),
 d AS (SELECT *, CASE WHEN o > 0 THEN 'right' WHEN o < 0 THEN 'left' END AS side, CASE WHEN a <= 0 THEN 'sun-down' WHEN NOT lit THEN 'in-shadow' WHEN o IS NULL THEN 'aim-unknown' END AS absence FROM p),
 e AS (SELECT *, CASE WHEN absence IS NULL THEN CASE WHEN abs(o) <= 45 THEN CASE WHEN a <= 10 THEN 'rim' ELSE 'back' END WHEN abs(o) >= 135 THEN 'front' ELSE 'side' END END AS direction FROM d)

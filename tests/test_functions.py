@@ -79,7 +79,7 @@ def test_moon_and_core(spark):
 
 
 def test_clock_changes(spark):
-    grid = {(str(r.day), r.minute): r["at"] for r in clock.month_grid(spark, ["2026-03", "2026-10", "2026-13", "2028-02"], [90], "Europe/London").collect()}
+    grid = {(str(r.day), r.minute): r["at"] for r in clock.month_grid(spark.createDataFrame([(m, "Europe/London") for m in ("2026-03", "2026-10", "2026-13", "2028-02")], "month string, zone string"), [90]).collect()}
     assert grid["2026-03-29", 90] is None and len(grid) == 31 + 31 + 29
     assert grid["2026-10-25", 90] == datetime.datetime(2026, 10, 25, 0, 30)
 

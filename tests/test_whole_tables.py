@@ -14,11 +14,11 @@ def run(spark, name):
 
 
 def test_every_row_has_a_result(spark):
-    for name, rows in (("sun_times_all", instants(spark, SF)), ("golden_hours_all", instants(spark, SF)), ("cast_shadow_all", table(spark, SF, "part").select(F.col("p_partkey").alias("id")))):
+    for name, rows in (("sun_times", instants(spark, SF)), ("golden_hours", instants(spark, SF)), ("cast_shadow", table(spark, SF, "part").select(F.col("p_partkey").alias("id")))):
         assert sorted(r.id for r in run(spark, name).select("id").collect()) == sorted(r.id for r in rows.select("id").collect()), name
     parts = {r.p_partkey for r in table(spark, SF, "part").collect()}
-    assert set(map(int, run(spark, "stamp_all").first().ids.split(","))) == parts
-    assert sum(r.body.count("p_partkey") for r in run(spark, "sequence_export_all").collect()) == len(parts)
+    assert set(map(int, run(spark, "stamp").first().ids.split(","))) == parts
+    assert sum(r.body.count("p_partkey") for r in run(spark, "sequence_export").collect()) == len(parts)
 
 
 def test_chapter_fold_takes_every_photo(spark):
