@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaframe.sources.scratch import written
+
 from .terrain import cast_shadows, shadow_length
 
 # Metres of a storey and of a degree of latitude.
@@ -78,7 +80,7 @@ def shadow_set(rows: DataFrame, key: list[str], height: str, tie: str, azimuth:
     length limit is clipped, and buildings beyond the limit are counted as omitted.
     """
     every = rows.groupBy(*key).agg(F.greatest(F.lit(0), F.count("*") - limit).cast("long").alias("omitted"))
-    kept = tallest(rows, key, height, tie, limit)
+    kept = written(tallest(rows, key, height, tie, limit), "tallest")  # ranked once, for shadows and tally
     full = F.col(height) / F.tan(F.radians(altitude))
     made = kept.withColumn("__len", shadow_length(F.col(height), altitude))
     cast = (F.col(height) > 0) & F.col("__len").isNotNull()

@@ -72,13 +72,43 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(side(p) + side(p[::-1]))
 
 
+def hulls(points: np.ndarray) -> list[np.ndarray]:
+    """hull() of each row of points (rings by corners by 2), all rings a corner at a time."""
+    n, many = points.shape[:2]
+    order = np.lexsort((points[..., 1], points[..., 0]), axis=-1)
+    sorted_ = np.take_along_axis(points, order[..., None], axis=1)
+    every = np.arange(n)
+
+    def side(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept, top = np.zeros((n, many, 2)), np.zeros(n, int)
+        for k in range(many):
+            q, left = p[:, k], every[top > 1]
+            while len(left):
+                a, b, c = kept[left, top[left] - 2], kept[left, top[left] - 1], q[left]
+                turn = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+                left = left[turn <= 0]
+                top[left] -= 1
+                left = left[top[left] > 1]
+            kept[every, top] = q
+            top += 1
+        return kept, top - 1  # the last corner begins the other side
+
+    (low, n_low), (high, n_high) = side(sorted_), side(sorted_[:, ::-1])
+    # fewer than three distinct corners have no inside; they are left to the plain form
+    found = [np.concatenate((low[i, : n_low[i]], high[i, : n_high[i]])) for i in range(n)]
+    return [h if len(h) > 2 else hull(points[i]) for i, h in enumerate(found)]
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def swept_hull(rings: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:
-    """Hulls of rings (arrays of [x, y]) and themselves moved by (dx, dy): cast shadows."""
-    out = []
-    for ring, x, y in zip(rings, dx, dy, strict=True):
-        base = np.array([list(p) for p in ring], float).reshape(-1, 2)
-        out.append(hull(np.concatenate([base, base + [x, y]])).tolist())
+    """Hulls of rings (arrays of [x, y]) and themselves moved by (dx, dy): cast shadows. Rings of one size go together."""
+    sizes, move = rings.map(len).to_numpy(), np.stack((dx.to_numpy(float), dy.to_numpy(float)), axis=1)
+    out = np.empty(len(rings), object)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        flat = np.fromiter((v for i in rows for p in rings.iat[i] for v in p), float, len(rows) * size * 2).reshape(len(rows), size, 2)
+        for i, h in zip(rows, hulls(np.concatenate((flat, flat + move[rows, None]), axis=1)) if size else [flat[0]] * len(rows), strict=True):
+            out[i] = h.tolist()
     return pd.Series(out)
 
 

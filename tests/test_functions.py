@@ -226,6 +226,15 @@ def test_terrain_shadow_of_any_direction(spark):
         assert got == want
 
 
+def test_hulls_of_many_rings():
+    rng = np.random.default_rng(8)
+    for many in (1, 2, 3, 4, 9, 30):
+        rings = np.round(rng.random((60, many, 2)) * 6)  # whole numbers: many equal and collinear corners
+        for got, ring in zip(terrain.hulls(rings), rings, strict=True):
+            assert got.tolist() == terrain.hull(ring).tolist()
+    assert terrain.hulls(np.zeros((0, 4, 2))) == []
+
+
 def test_replace_table_keeps_one(spark, tmp_path):
     path = f"{tmp_path}/t"
     for n in (3, 5):
