@@ -7,7 +7,7 @@ texts fall into runs. Forward-backward gives each word's marginals; a document t
 label with the largest mean marginal, and that mean is its score.
 
 Training collects a bounded sample (TRAIN_DOCS documents of at most TRAIN_BYTES for each of
-the TRAIN_LABELS most frequent languages, whole texts) to the driver and fits weights and transitions by the gradient of the
+the TRAIN_LABELS most frequent languages, SAMPLE_BYTES in all, whole texts) to the driver and fits weights and transitions by the gradient of the
 conditional likelihood. Prediction is row-local, over whole texts, and vectorised:
 chunks of CHUNK words are multiplied out to small transfer matrices, messages pass from
 chunk to chunk of a document, and each chunk is then run forward and backward.
@@ -29,6 +29,8 @@ from .shared import small_batches
 #: Bounds of the training sample and of the model; parameters of train(): documents of a
 #: label, bytes of a document, and labels.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_LABELS, LEXICON_WORDS, ROUNDS = 150, 200_000, 100, 2000, 6
+#: Bytes of the whole sample, whatever the number of labels.
+SAMPLE_BYTES = 32 << 20
 #: Words of a chunk; bytes of text that a worker scores at once.
 CHUNK, BLOCK_BYTES = 32, 1_500_000
 GRAMS, AFFIXES = 1 << 16, 1 << 14
@@ -228,23 +230,28 @@ def held_out(key: Column) -> Column:
 
 def train(
     df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS,
-    most_bytes: int = TRAIN_BYTES, labels: int = TRAIN_LABELS, **options,
+    most_bytes: int = TRAIN_BYTES, labels: int = TRAIN_LABELS, sample_bytes: int = SAMPLE_BYTES, **options,
 ) -> Field | None:
     """A field from at most docs documents of each label outside the held-out part; None if there are none.
 
     Documents come in the order of a hash of their key and text; rows that agree in both
     count once, so the sample is bounded however often a key or a text is repeated. Null
-    texts, null labels, texts above most_bytes and labels beyond the most frequent are left out.
+    texts, null labels, texts above most_bytes and labels beyond the most frequent are left
+    out. sample_bytes bounds the whole sample, which the driver holds: it is shared evenly by
+    the labels, and a label's documents end where its share does.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)) & (F.octet_length(text) <= most_bytes))
     rows = rows.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     # a share of the hashes that holds docs of them with certainty for all purposes, whatever the number of rows
     part = F.shiftrightunsigned("h", 11) / float(2**53)
-    once = rows.select("h", "lang").distinct()
+    once = rows.select("h", "lang", F.octet_length("text").alias("bytes")).distinct()
     common = once.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels)
-    common = common.select(F.col("lang").alias("l"), ((docs + 6 * math.sqrt(docs) + 10) / F.col("n")).alias("share"))
+    held = sample_bytes / F.count("*").over(Window.partitionBy())  # over a row for each label
+    common = common.select(F.col("lang").alias("l"), ((docs + 6 * math.sqrt(docs) + 10) / F.col("n")).alias("share"), held.alias("held"))
     few = once.withColumn("part", part).join(F.broadcast(common), F.col("lang") == F.col("l")).where(F.col("part") < F.col("share"))
-    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("part", "h"))).where(F.col("n") <= docs).select(F.col("h").alias("k"), "l")
+    along = Window.partitionBy("l").orderBy("part", "h")
+    sums = {"n": F.row_number().over(along), "upto": F.sum("bytes").over(along.rowsBetween(Window.unboundedPreceding, 0))}
+    chosen = few.withColumns(sums).where((F.col("n") <= docs) & (F.col("upto") <= F.col("held"))).select(F.col("h").alias("k"), "l")
     sample = rows.join(F.broadcast(chosen), (F.col("h") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi")
     got = sample.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
     got = sorted((r["text"], r["lang"]) for r in got.collect())

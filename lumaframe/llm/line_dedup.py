@@ -6,8 +6,10 @@ in document order, is removed there: the lines that the later occurrences cover
 merged and dropped, so an earlier copy of every dropped line stays. Blank lines stay.
 
 Hashes, never lines, are shuffled to find repeats. First occurrences come from an
-aggregation that combines map-side; the join that finds the later ones is one that AQE
-splits when a window is very common. Texts move once, to meet their own covered lines.
+aggregation that combines map-side, and are written before windows meet them: both sides
+of that join, and of the one that brings texts to their covered lines, are then plain
+exchanges, which AQE splits where a window, or one text of many rows, is very common.
+Texts move once.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, written
 
 LINES = 3
 
@@ -52,6 +54,13 @@ def _without(texts: pd.Series, windows: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else cut(t, w) for t, w in zip(texts, windows, strict=True)], dtype=object)
 
 
+def _later(seen: DataFrame) -> DataFrame:
+    """The windows (h1, h2, at) of seen that are not the first of their hashes."""
+    first = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
+    first = written(first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), "windows")
+    return seen.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where("at > first").select("h1", "h2", "at")
+
+
 def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the lines of later window occurrences cut from its text, and n_lines and n_removed appended.
 
@@ -67,9 +76,8 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text")
     rows = df.select(row.alias("row"), F.coalesce(F.col(key).cast("long"), low).alias("k1"), F.xxhash64(text).alias("k2"), F.col(text).alias("t"))
     seen = rows.select("k1", "k2", _filled(F.col("t")).alias("lines")).select("k1", "k2", F.explode(_hashes(F.col("lines"))).alias("x"))
     seen = seen.select("x.h1", "x.h2", F.struct("k1", "k2", "x.w").alias("at"))
-    first = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
-    later = seen.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where("at > first")
-    cut = later.groupBy(F.col("at.k1").alias("c1"), F.col("at.k2").alias("c2")).agg(F.collect_set("at.w").alias("windows"))
+    cut = _later(seen).groupBy(F.col("at.k1").alias("c1"), F.col("at.k2").alias("c2")).agg(F.collect_set("at.w").alias("windows"))
+    cut = written(cut, "covered")
     both = rows.join(cut, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     hit = F.col("windows").isNotNull()
     new = F.coalesce(_without(F.when(hit, F.col("t")), F.col("windows")), F.col("t"))

@@ -7,10 +7,10 @@ sum crosses. The order runs through size classes, so large and small documents a
 sampled evenly and a source's words come close to its target.
 
 The prefix sum is taken in steps: over the size classes of a source, over the shelves of a
-class, over the cells of a shelf, and over the rows of a cell. Cells are dealt by a hash of
-key and text, and a class has about as many shelves as a shelf has cells. No task holds a
-source, a class or the rows of one key, so one that has a third of all rows is dealt out
-like any other. Sources are ranked and levelled by sums as well, and may be very many.
+class, over the cells of a shelf, and over the documents of a cell. Cells are dealt by a hash
+of key and text, and a class has about as many shelves as a shelf has cells. Equal rows are
+counted first and are one document of so many ranks. No task holds a source, a class or the
+rows of one key or one document, so one that has a third of all rows is dealt out like any other. Sources are ranked and levelled by sums as well, and may be very many.
 """
 
 from __future__ import annotations
@@ -97,19 +97,23 @@ def _placed(rows: DataFrame, cells: int) -> DataFrame:
     return rows.withColumn("shelf", F.floor(F.col("cell") / shelf).cast("int"))
 
 
-def _taken(rows: DataFrame, sizes: DataFrame, weights, share: float, most: float, seed: str) -> DataFrame:
-    """rows (key, source, size, spread and any others) with source_size, target and n_copies.
+def _counted(df: DataFrame, key: str, text: str, source: str, *others: Column) -> DataFrame:
+    return df.select(*others, F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _spread(key, text).alias("spread"))
+
 
-    sizes has the same rows without the others. Rows move once, to their cell: the join
-    with the cells' starts and the numbering inside a cell have the same keys. The sums
-    ahead of a cell are taken over its shelf, over the shelves of its size class, and over
-    the classes of its source, so neither a large source nor a large group of documents of
-    equal size is one task.
+def _ranked(df: DataFrame, key: str, text: str, source: str, weights, share: float, most: float, seed: str) -> DataFrame:
+    """(key, source, size, spread, m, first, source_size, target, rate, begin), a table with a row for each document and its m equal rows.
+
+    Equal rows follow each other in the order, so a document is a stretch of ranks, from
+    first + 1 to first + m, however many rows it has. The sums ahead of a cell are taken over
+    its shelf, over the shelves of its size class, and over the classes of its source, so
+    neither a large source nor a large group of documents of equal size is one task.
     """
-    cells = max(1, -(-sizes.count() // (3 * CELL_ROWS)))
+    groups = written(_counted(df, key, text, source).groupBy("key", "source", "size", "spread").agg(F.count("*").alias("m")), "sizes")
+    cells = max(1, -(-(groups.agg(F.sum("m").alias("n")).first()["n"] or 0) // (3 * CELL_ROWS)))
     keys = ["source", "sk", "class", "shelf", "cell"]
     total = [F.sum("n").alias("n"), F.sum("words").alias("words")]
-    by_cell = _placed(sizes, cells).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    by_cell = _placed(groups, cells).groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("size")).alias("words"))
     by_shelf = by_cell.groupBy(*keys[:4]).agg(*total)
     by_class = by_shelf.groupBy(*keys[:3]).agg(*total)
     goal = targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -122,22 +126,16 @@ def _taken(rows: DataFrame, sizes: DataFrame, weights, share: float, most: float
     classes = ahead(by_class, ["source", "sk"], "class", "ahead").join(goal, F.col("source").eqNullSafe(F.col("s")))
     shelves = ahead(by_shelf, ["sk", "class"], "shelf", "upto").join(classes.select("sk", "class", "ahead", "source_size", "target"), ["sk", "class"])
     starts = ahead(by_cell, ["sk", "class", "shelf"], "cell", "within").join(shelves, ["sk", "class", "shelf"])
-    rows = _placed(rows, cells).drop("shelf").join(starts.drop("shelf"), ["sk", "class", "cell"])
-    inside = Window.partitionBy("sk", "class", "cell").orderBy("size", F.col("key").asc_nulls_last(), "spread")
+    rows = _placed(groups, cells).drop("shelf").join(starts.drop("shelf"), ["sk", "class", "cell"])
+    inside = Window.partitionBy("sk", "class", "cell").orderBy("size", F.col("key").asc_nulls_last(), "spread").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("ahead") + F.col("upto") + F.col("within") + F.coalesce(F.sum("m").over(inside), F.lit(0))
     rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
-    rows = rows.withColumn("rank", F.col("ahead") + F.col("upto") + F.col("within") + F.row_number().over(inside)).withColumn("rate", rate)
-    begin = offset(F.col("source"), seed)
-    crossed = F.floor(begin + F.col("rank") * F.col("rate")) - F.floor(begin + (F.col("rank") - 1) * F.col("rate"))
-    return rows.withColumn("n_copies", F.when(F.col("size") == 0, 0).otherwise(crossed).cast("long"))
-
-
-def _sizes(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, size, spread) as a table in the shared folder: texts are counted once."""
-    return written(_counted(df, key, text, source), "sizes")
+    return written(rows.select("key", "source", "size", "spread", "m", first.alias("first"), "source_size", "target", rate.alias("rate"), offset(F.col("source"), seed).alias("begin")), "ranked")
 
 
-def _counted(df: DataFrame, key: str, text: str, source: str, *others: Column) -> DataFrame:
-    return df.select(*others, F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _spread(key, text).alias("spread"))
+def _copies(rank: Column) -> Column:
+    crossed = F.floor(F.col("begin") + rank * F.col("rate")) - F.floor(F.col("begin") + (rank - 1) * F.col("rate"))
+    return F.when(F.col("size") == 0, 0).otherwise(crossed).cast("long")
 
 
 def copies(
@@ -149,12 +147,32 @@ def copies(
     size is the number of words (null text: 0). n_copies is how often the mix takes the
     document, at most ceil(most). A null source is a source of its own; documents without
     words are never taken. Rows with equal key, source and text are interchangeable, so
-    repeated rows give the same rows in every run; they share one cell. Other columns are
-    dropped.
+    repeated rows give the same rows in every run. Other columns are dropped.
+    """
+    rows = _ranked(df, key, text, source, weights, share, most, seed)
+    # a document of very many rows is laid out in parts, so that its rows are many tasks
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(CELL_ROWS).cast("long"))))
+    parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = parts.withColumn("j", F.explode(F.sequence(F.col("part") + 1, F.least(F.col("m"), F.col("part") + CELL_ROWS))))
+    return each.select(F.col("key").alias(key), "size", "source", "source_size", "target", _copies(F.col("first") + F.col("j")).alias("n_copies"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows of documents that have several, with j, the number of a row among those of its document.
+
+    Rows are dealt over strands first and numbered from the sum of the strands before, so
+    that no task meets all rows of a document.
     """
-    rows = _sizes(df, key, text, source)
-    taken = _taken(rows, rows, weights, share, most, seed)
-    return taken.select(F.col("key").alias(key), "size", "source", "source_size", "target", "n_copies")
+    by, strands = ["key", "source", "spread"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "repeated").withColumn("strand", F.pmod("id", F.lit(strands)))
+    counts = rows.groupBy(*by, "strand").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy("strand").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in [*by, "strand"]], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    same = F.col("strand") == F.col("_strand")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.row_number().over(Window.partitionBy(*by, "strand").orderBy("id"))
+    return rows.join(starts, same).withColumn("j", F.col("start") + within)
 
 
 def mix(
@@ -166,6 +184,14 @@ def mix(
     Columns are those of df, whatever their names. Nulls and repeated rows as in copies.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = _counted(df, key, text, source, row.alias("row"))
-    taken = _taken(rows, _sizes(df, key, text, source), weights, share, most, seed).where("n_copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")
+    ranked = _ranked(df, key, text, source, weights, share, most, seed)
+    told = ranked.select(*[F.col(c).alias(f"_{c}") for c in ("key", "source", "spread")], "size", "m", "first", "rate", "begin")
+    rows = df.select(row.alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), _spread(key, text).alias("spread"))
+    same = F.col("spread") == F.col("_spread")
+    for c in ("key", "source"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = rows.join(told, same).drop("_key", "_source", "_spread")
+    taken = found.where("m = 1").withColumn("j", F.lit(1)).select("row", _copies(F.col("first") + 1).alias("n"))
+    if not ranked.where("m > 1").isEmpty():
+        taken = taken.union(_numbered(found.where("m > 1")).select("row", _copies(F.col("first") + F.col("j")).alias("n")))
+    return taken.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

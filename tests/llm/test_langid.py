@@ -79,6 +79,28 @@ def test_sample_is_bounded_whatever_the_keys(spark, monkeypatch):
     assert len(got[1]) == 40 and {y for _, y in got[1]} == {"l0", "l1"} and all(len(t) <= 15 for t, _ in got[1])
 
 
+def test_sample_has_one_bound_for_all_bytes(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(langid, "fit", lambda rows, **_: got.append(rows))
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat(repeat('word ', 200), id) AS text", "concat('l', id % 30) AS lang")
+    langid.train(docs, sample_bytes=60_000)
+    sizes = {}
+    for t, y in got[0]:
+        sizes[y] = sizes.get(y, 0) + len(t.encode())
+    assert len(sizes) == 30 and max(sizes.values()) <= 2000 and sum(sizes.values()) <= 60_000
+    langid.train(docs)
+    assert len(got[1]) > 1500  # the bound of all bytes does not touch a sample this small
+
+
+def test_text_above_a_megabyte(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = langid.train(docs)
+    long = " ".join(r.text for r in docs.where("lang = 'fr' AND length(text) > 1000").limit(300).collect())
+    text = (long + " ") * (1 + 1_500_000 // len(long))
+    r = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).first()
+    assert r.lang_pred == "fr" and 0.5 < r.score <= 1
+
+
 def test_slope_of_the_links():
     rng = np.random.default_rng(3)
     field = langid.Field(["a", "b"], np.zeros(0, np.uint64))

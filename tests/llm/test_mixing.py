@@ -75,3 +75,26 @@ def test_keys_in_strides_or_all_alike_meet_many_cells(spark, monkeypatch):
         most = placed.groupBy("class", "cell").count().agg({"count": "max"}).first()[0]
         assert most < 70
         assert sum(r.n_copies for r in mixing.copies(df).collect()) == sum(r.n_copies for r in mixing.copies(df.repartition(3)).collect()) == 4500
+
+
+def test_equal_rows_are_one_document_of_many_ranks(spark, monkeypatch):
+    """100,000 equal rows among others: taken as often as the mix says, from many tasks, with and without other columns."""
+    df = spark.range(130_000).selectExpr("if(id < 100000, 7, id) AS doc_id", "if(id < 100000, 'one two three', concat('a b ', id)) AS text", "if(id % 2 = 0 OR id < 100000, 's', 't') AS source", "id % 3 AS other", "'x' AS row", "0 AS m")
+    rows = mixing.copies(df)
+    got = rows.groupBy("source", "source_size", "target").agg({"n_copies": "sum", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 130_000
+    taken = {r.source: r.asDict() for r in rows.selectExpr("source", "size * n_copies AS words", "target").groupBy("source", "target").agg({"words": "sum"}).collect()}
+    for r in taken.values():
+        assert abs(r["sum(words)"] - r["target"]) <= 3
+    hot = rows.where("doc_id = 7")
+    dealt = hot.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert sum(r["count"] for r in dealt) == 100_000 and max(r["count"] for r in dealt) < 60_000 and len(dealt) > 1
+    ranked = mixing._ranked(df, "doc_id", "text", "source", mixing.WEIGHTS, mixing.SHARE, mixing.MOST, mixing.SEED)
+    assert ranked.count() == 30_001
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    count = {(r.doc_id, r.source): r["count"] for r in mixed.groupBy("doc_id", "source").count().collect()}
+    want = {(r.doc_id, r.source): r["sum(n_copies)"] for r in rows.groupBy("doc_id", "source").agg({"n_copies": "sum"}).collect() if r["sum(n_copies)"]}
+    assert count == want
+    numbers = mixing._numbered(df.where("doc_id = 7").selectExpr("doc_id AS key", "source", "1L AS spread", "other")).agg({"j": "max", "*": "count"}).first()
+    assert (numbers["max(j)"], numbers["count(1)"]) == (100_000, 100_000)
