@@ -10,13 +10,17 @@ word it is: only template words from its place in the order on count then, and t
 around it must hold o of these (positional filter), before each block, which can't be
 shorter than o words (length filter), is counted exactly.
 
-The templates are a parameter of fixed size, so the join is evaluated inside each row
-with array expressions: no shuffle, no Python, whatever the number of equal texts. The
-only thing collected is one count for each template word.
+The templates are a bounded library, given or read from a table. It stands in the plan as
+one constant, an array of templates with their words in order, and the join is evaluated
+inside each row with array expressions: templates meet a text by the prefix words that it
+has. So the plan is the same for two dozen templates and for hundreds, there is no shuffle
+and no Python, whatever the number of equal texts. The only thing collected is one count
+for each template word.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import string
@@ -24,11 +28,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import count_between
-
 # What a word is, the base phrases with their labels, and sentences of public notices.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
     "apache-2.0": [
@@ -67,6 +68,8 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 THRESHOLD = 0.9
+#: Bytes of templates that a library may have: it is part of the plan.
+LIBRARY_BYTES = 8 << 20
 
 
 def words_of(template: str) -> list[str]:
@@ -83,86 +86,97 @@ def _low(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def library(table: DataFrame, label: str = "label", template: str = "template") -> dict[str, list[str]]:
+    """Templates by label from a table of at most LIBRARY_BYTES; a larger one raises an error. Null labels and templates without words are left out."""
+    rows = table.where(F.col(label).isNotNull() & F.col(template).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(template).alias("template"))
+    size = rows.agg(F.sum(F.octet_length("label") + F.octet_length("template")).alias("n")).first()["n"] or 0
+    if size > LIBRARY_BYTES:
+        raise ValueError(f"{size} bytes of templates are more than {LIBRARY_BYTES}")
+    found: dict[str, list[str]] = {}
+    for r in sorted(rows.collect()):
+        if words_of(r["template"]):
+            found.setdefault(r["label"], []).append(r["template"])
+    return found
+
+
+def _constant(value: list, schema: str) -> Column:
+    """A nested value as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def word_frequencies(df: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:
-    """In how many documents each word of a vocabulary of fixed size occurs, over the whole table."""
-    known = F.array(*map(F.lit, vocabulary))
+    """In how many documents each word of a bounded vocabulary occurs, over the whole table."""
     # words are told apart by the same classes as in the scan; lower() differs from A-Z folding only beyond ASCII
-    words = df.select(F.explode(F.array_intersect(F.split(F.lower(text), NOT_WORD), known)).alias("word"))
+    words = df.select(F.explode(F.array_intersect(F.split(F.lower(text), NOT_WORD), _constant(vocabulary, "array<string>"))).alias("word"))
     return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def _ordered(df: DataFrame, templates: dict[str, list[str]], text: str) -> tuple[dict[str, int], list[tuple[str, int, list[str]]]]:
-    """In how many documents each template word is, and for each template its label, its length and its distinct words, rarest first."""
+def _ordered(df: DataFrame, templates: dict[str, list[str]], text: str, threshold: float) -> list[dict]:
+    """Each template's label and length, how many of its distinct words a block needs, these words, rarest first, and those of the prefix."""
     words = {w for several in templates.values() for t in several for w in words_of(t)}
-    count = word_frequencies(df, sorted(words), text)
-    order = lambda t: sorted(set(words_of(t)), key=lambda w: (count.get(w, 0), w))
-    return count, [(label, len(words_of(t)), order(t)) for label, several in sorted(templates.items()) for t in several]
-
-
-def _best(words: Column, anchors: Column, length: int, own: list[str], threshold: float) -> Column:
-    """The largest part of a template that a block of length words holds, if that is enough; else null."""
-    need, n = needed(len(own), threshold), len(own)
-    tokens = F.array(*map(F.lit, own))
+    count = word_frequencies(df, sorted(words), text) if words else {}
+    found = []
+    for label, several in sorted(templates.items()):
+        for t in several:
+            own = sorted(set(words_of(t)), key=lambda w: (count.get(w, 0), w))
+            need = needed(len(own), threshold)
+            # a word in no document at all needs no search
+            prefix = [w for w in own[: len(own) - need + 1] if count.get(w)]
+            if prefix:
+                found.append({"label": label, "length": len(words_of(t)), "need": need, "tokens": own, "prefix": prefix})
+    return found
+
+
+def _best(words: Column, anchors: Column, template: Column) -> Column:
+    """The largest part of a template that a block of its length holds, if that is enough; else null."""
+    length, tokens = template["length"], template["tokens"]
 
     def around(anchor: Column) -> Column:
-        later = F.slice(tokens, F.array_position(tokens, anchor["word"]).cast("int"), F.lit(n))  # words from this place in the order on
+        later = F.slice(tokens, F.array_position(tokens, anchor["word"]).cast("int"), F.size(tokens))  # words from this place in the order on
         first = F.greatest(anchor["at"] - (length - 1), F.lit(0))
         near = F.slice(words, first + 1, anchor["at"] - first + length)
-        blocks = F.transform(F.sequence(first, anchor["at"]), lambda s: F.size(F.array_intersect(F.slice(words, s + 1, F.lit(length)), later)))
-        return F.when(F.size(F.array_intersect(near, later)) >= need, F.array_max(blocks))
+        blocks = F.transform(F.sequence(first, anchor["at"]), lambda s: F.size(F.array_intersect(F.slice(words, s + 1, length), later)))
+        return F.when(F.size(F.array_intersect(near, later)) >= template["need"], F.array_max(blocks))
 
-    held = F.array_max(F.transform(F.filter(anchors, lambda a: a["word"].isin(*own[: n - need + 1])), around))
-    return F.when(held >= need, held / F.lit(float(n)))
+    held = F.array_max(F.transform(F.filter(anchors, lambda a: F.array_contains(template["prefix"], a["word"])), around))
+    return F.when(held >= template["need"], held / F.size(tokens).cast("double"))
 
 
 def scan(
-    df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None,
+    df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | DataFrame | None = None,
     base: dict[str, str] | None = None, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, matches), one row for each row of df.
 
-    n_base counts the places where a base phrase's words stand consecutively; first_word
+    templates is a table (label, template) or the same as a dictionary of lists. n_base
+    counts the places where a base phrase's words stand consecutively; first_word
     and last_word are the smallest and largest start (words from 0, null without a place).
     matches are (label, part) of labels with a template whose best block holds at least
     threshold of its words; labels joins base and template labels, sorted. score is the
     largest part, 1 with a base label, 0 without any. Null and empty texts have no words;
     rows are independent of each other, so nulls, repeats and other columns of df don't matter.
     """
-    templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
-    count, known = _ordered(df, templates, text)
-    rare = sorted({w for _, _, own in known for w in own[: len(own) - needed(len(own), threshold) + 1]})
-    seen = [w for w in rare if count.get(w)]  # a word in no document at all needs no search
+    base = BASE if base is None else base
+    templates = TEMPLATES if templates is None else library(templates) if isinstance(templates, DataFrame) else templates
+    known = _ordered(df, templates, text, threshold)
     phrases = {tuple(p.split()): label for p, label in base.items()}
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("key", "t", count_between(F.col("t"), NOT_WORD_ANY_CASE).alias("n_words"), F.lower("t").alias("low"))
-
-    def holds(*words: str) -> Column:
-        out = F.lit(True)
-        for w in words:
-            out = out & F.contains("low", F.lit(w))
-        return out
-
-    def some(parts: list[Column]) -> Column:
-        out = F.lit(False)
-        for p in parts:
-            out = out | p
-        return out
-
-    may = some([holds(*p) for p in phrases]) | some([holds(w) for w in seen])
-    rows = rows.select("key", "n_words", F.when(may, _low(F.col("t"))).alias("b"))
-    rows = rows.select("key", "n_words", F.filter(F.split("b", NOT_WORD), lambda w: w != "").alias("words"))
-    at = F.transform("words", lambda w, i: F.when(w.isin(*rare), F.struct(i.alias("at"), w.alias("word")))) if rare else F.array()
+    rows = df.select(F.col(key).alias("key"), F.array_remove(F.split(_low(F.coalesce(F.col(text), F.lit(""))), NOT_WORD), "").alias("words"))
+    rare = _constant(sorted({w for t in known for w in t["prefix"]}), "array<string>")
     starts = [_starts(F.col("words"), p).alias(f"s{i}") for i, p in enumerate(phrases)]
-    rows = rows.select("key", "n_words", "words", F.array_compact(at).alias("anchors"), *starts)
-    found = [F.when(F.size("anchors") > 0, _best(F.col("words"), F.col("anchors"), length, own, threshold)) for _, length, own in known]
+    rows = rows.select("key", "words", F.array_intersect("words", rare).alias("present"), *starts)
+    at = F.transform("words", lambda w, i: F.when(F.array_contains("present", w), F.struct(i.alias("at"), w.alias("word"))))
+    none = F.array().cast("array<struct<at:int,word:string>>")
+    rows = rows.select("*", F.when(F.size("present") > 0, F.array_compact(at)).otherwise(none).alias("anchors"))
     every = F.concat(*[F.col(f"s{i}") for i in range(len(phrases))])
     labels = [F.when(F.size(f"s{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]
-    rows = rows.select("key", "n_words", every.alias("every"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("own"), F.array(*found).alias("found"))
-    matches = []
-    for label in sorted(templates):
-        part = F.array_max(F.array(*[F.get("found", F.lit(i)) for i, (own, _, _) in enumerate(known) if own == label]))
-        matches.append(F.when(part.isNotNull(), F.struct(F.lit(label).alias("label"), part.alias("part"))))
-    rows = rows.select("key", "n_words", "every", "own", F.array_compact(F.array(*matches)).alias("matches"))
+    library_ = _constant(known, "array<struct<label:string,length:int,need:int,tokens:array<string>,prefix:array<string>>>")
+    met = F.filter(library_, lambda t: F.arrays_overlap(t["prefix"], F.col("present")))
+    part_of = lambda t: F.struct(t["label"].alias("label"), _best(F.col("words"), F.col("anchors"), t).alias("part"))
+    found = F.when(F.size("present") > 0, F.filter(F.transform(met, part_of), lambda m: m["part"].isNotNull())).otherwise(F.array().cast("array<struct<label:string,part:double>>"))
+    rows = rows.select("key", F.size("words").cast("long").alias("n_words"), every.alias("every"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("own"), found.alias("found"))
+    own_part = lambda x: F.array_max(F.transform(F.filter("found", lambda m: m["label"] == x), lambda m: m["part"]))
+    named = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["label"])))
+    rows = rows.select("key", "n_words", "every", "own", F.transform(named, lambda x: F.struct(x.alias("label"), own_part(x).alias("part"))).alias("matches"))
     part = F.coalesce(F.array_max(F.transform("matches", lambda m: m["part"])), F.lit(0.0))
     return rows.select(
         F.col("key").alias(key), "n_words", F.size("every").cast("long").alias("n_base"),

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from lumaframe.llm import licenses, queries
 
 from . import oracle
@@ -103,6 +105,53 @@ def test_canonical_notices_wrapped(spark):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
+def test_a_library_from_a_table(spark):
+    """Hundreds of templates of a table give the plan that two dozen give, without Python, and find what the plain form finds."""
+    rng = random.Random(9)
+    vocabulary = [f"term{i}" for i in range(900)]
+    made = {f"license-{i % 170}-{i}": " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 25))) for i in range(500)}
+    table = spark.createDataFrame([(k, t) for k, t in made.items()] + [(None, "term1 term2"), ("empty", " - "), ("none", None)], "label string, template string")
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(40)]
+        for name in rng.sample(sorted(made), 2):
+            own = made[name].split()
+            if rng.random() < 0.4:
+                own[rng.randrange(len(own))] = "other"
+            words[rng.randrange(40) : 0] = own
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    large = licenses.scan(df, templates=table)
+    found = 0
+    for r in large.collect():
+        words, want = texts[r.doc_id].split(), {}
+        for name, t in made.items():
+            t = t.split()
+            part = max(len(set(t) & set(words[i : i + len(t)])) for i in range(len(words))) / len(set(t))
+            if part >= licenses.THRESHOLD - 1e-9:
+                want[name] = part
+        assert {m.label: m.part for m in r.matches} == want, r.doc_id
+        found += len(want)
+    assert found > 60
+    shape = lambda d: re.sub(r"Some\(.*?\)|\[\{.*?\}\]|\[.term.*?\]|#\d+L?|\d+", "", d._jdf.queryExecution().analyzed().toString())
+    small = licenses.scan(df, templates={k: made[k].split("|") for k in sorted(made)[:24]})
+    assert shape(large).count("lambda") == shape(small).count("lambda") and not re.search("Python|Pandas|Arrow|Exchange", large._jdf.queryExecution().executedPlan().toString())
+    assert licenses.library(table).keys() == made.keys()
+
+
+def test_a_library_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "LIBRARY_BYTES", 20)
+    with pytest.raises(ValueError):
+        licenses.library(spark.createDataFrame([("a", "word " * 20)], "label string, template string"))
+    assert licenses.library(spark.createDataFrame([("a", "word")], "label string, template string")) == {"a": ["word"]}
+    assert licenses.scan(spark.createDataFrame([(1, "cc by")], "doc_id long, text string"), templates={}).first().labels == "cc-by"
+
+
+def test_text_above_a_megabyte(spark):
+    text = "plain words of a text " * 60_000 + "Released under the MIT License " + "and more of it " * 20_000 + "all rights reserved"
+    assert rows_of(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))) == {1: plain(text)}
+
+
 def test_random_runs_of_template_words(spark):
     rng = random.Random(4)
     texts = []
