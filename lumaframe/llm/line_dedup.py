@@ -57,7 +57,7 @@ def _without(texts: pd.Series, windows: pd.Series) -> pd.Series:
 def _later(seen: DataFrame) -> DataFrame:
     """The windows (h1, h2, at) of seen that are not the first of their hashes."""
     first = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last")
-    first = written(first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), "windows")
+    first = written(first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), "windows").hint("merge")
     return seen.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where("at > first").select("h1", "h2", "at")
 
 
@@ -77,7 +77,7 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text")
     seen = rows.select("k1", "k2", _filled(F.col("t")).alias("lines")).select("k1", "k2", F.explode(_hashes(F.col("lines"))).alias("x"))
     seen = seen.select("x.h1", "x.h2", F.struct("k1", "k2", "x.w").alias("at"))
     cut = _later(seen).groupBy(F.col("at.k1").alias("c1"), F.col("at.k2").alias("c2")).agg(F.collect_set("at.w").alias("windows"))
-    cut = written(cut, "covered")
+    cut = written(cut, "covered").hint("merge")  # it grows with the texts: the same join at every size
     both = rows.join(cut, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     hit = F.col("windows").isNotNull()
     new = F.coalesce(_without(F.when(hit, F.col("t")), F.col("windows")), F.col("t"))
