@@ -2,48 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaframe.sources.scratch import discard, folder, written  # noqa: F401
 
 #: Texts of an Arrow batch.
 TEXT_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else on one machine only a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir is not set: executors of {master} share no folder")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path for one run below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor loses none of it."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table that written() made and no plan reads any more."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
