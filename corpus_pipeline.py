@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.llm import bpe, jaccard, langid, line_dedup, mixing
-from lumaframe.llm.shared import documents, written
+from lumaframe.llm.shared import discard, documents, written
 
 #: A document is rejected as of no known language below this mean marginal; clear mixtures of two stay.
 LEAST_SCORE = 0.4
@@ -60,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages one after the other; a stage's table goes once the next one is written, the last one stays for the result."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
