@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import sky
 from lumaframe.functions.formulas import Formula, turn
+from lumaframe.sources.scratch import written
 
 from .timeline import passes, sampled, secant
 
@@ -41,8 +42,8 @@ def bearing_crossings(spots: DataFrame, key: list[str], body: str, step: int = 2
     # rising or setting by the altitude a minute later
     later = form.on(found.withColumns({"__at": F.col("t"), "t": F.col("t") + 60})).withColumnRenamed("altitude", "__later").drop("off", "disc").withColumn("t", F.col("__at"))
     found = form.on(later).select(*key, "t", "altitude", "disc", (F.col("__later") < F.col("altitude")).alias("descending"))
-    # a few rows for each spot, kept so that no later filter is pushed down into the chain of formulas
-    found = found.persist()
+    # a few rows for each spot, as a table, so that no later filter is pushed down into the chain of formulas
+    found = written(found, "crossings")
     gap = F.min(F.struct(F.abs("off").alias("gap"), F.col("t").alias("gap_at"))).alias("g")
     return found, rows.groupBy(*key).agg(gap).select(*key, "g.gap", "g.gap_at")
 

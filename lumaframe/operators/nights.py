@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import almanac, sky
+from lumaframe.sources.scratch import written
 
 from .timeline import intersections, intervals_where, sampled
 
@@ -61,12 +62,12 @@ def core_nights(spots: DataFrame, key: list[str], least: float = almanac.CORE_US
     condition that failed, from the most lasting to the most passing.
     """
     # each set of intervals is used more than once, and is a few rows for a night
-    find = lambda body, value, level, above: intervals_where(spots, key, body, value, level, above, "start", "end", step).persist()
+    find = lambda body, value, level, above: written(intervals_where(spots, key, body, value, level, above, "start", "end", step), "intervals")
     dark = find(sky.SUN, "sun_altitude", DARK, False)
     moonless = find(sky.MOON, "moon_altitude", almanac.MOONRISE, False)
     high = find(sky.CORE, "core_altitude", least, True)
-    free = intersections(dark, moonless, key, 21_600).persist()
-    seen = intersections(free, high, key, 21_600).persist()
+    free = written(intersections(dark, moonless, key, 21_600), "intervals")
+    seen = written(intersections(free, high, key, 21_600), "intervals")
     # the core along each stretch, from its own beginning
     stretches = seen.withColumnsRenamed({"start": "s0", "end": "e0"}).join(spots.drop("start", "end"), key)
     walked = stretches.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("e0") - F.col("s0")) / step).cast("int")), lambda i: F.col("s0") + i * step)))

@@ -147,7 +147,8 @@ def _text(v: Column, path: str, most: int) -> Column:
 
 
 def _number(v: Column, path: str) -> Column:
-    return finite(F.try_variant_get(v, path, "double"))
+    """A finite number; the field is looked up once."""
+    return F.get(F.filter(F.array(F.try_variant_get(v, path, "double")), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(0))
 
 
 def _objects(v: Column, path: str) -> Column:
@@ -162,19 +163,32 @@ def frame_of(v: Column) -> Column:
     return F.when(fine, F.struct(sensor.alias("sensor"), focal.alias("focal"), side.alias("orientation"), F.pmod(bearing, F.lit(360.0)).alias("bearing"), tilt.alias("tilt")))
 
 
-def photo_of(v: Column) -> Column:
-    url = F.try_variant_get(v, "$.url", "string")
-    return F.when((F.length(url) <= URL_LENGTH) & url.rlike("(?i)^https?://[^/\\s]+"), F.struct(url.alias("url"), _text(v, "$.credit", 200).alias("credit"), _text(v, "$.licence", 200).alias("licence"), _text(v, "$.source", 40).alias("source")))
+def _some(items: Column) -> Column:
+    """items, or null if there are none; what makes them is evaluated once."""
+    return F.get(F.filter(F.array(items), lambda x: F.size(x) > 0), F.lit(0))
 
 
-def visit_of(v: Column) -> Column:
-    """A logged visit with its time and the sun's place; the rest enriches it and never invalidates it."""
-    at, altitude, azimuth, moon = _number(v, "$.at"), _number(v, "$.sunAltitude"), _number(v, "$.sunAzimuth"), _number(v, "$.moonFraction")
-    made = F.struct(
-        at.alias("at"), altitude.alias("altitude"), F.pmod(azimuth, F.lit(360.0)).alias("azimuth"), F.when(moon.between(0, 1), moon).alias("moon"),
-        _text(v, "$.cloud", 200).alias("cloud"), _text(v, "$.weather", 60).alias("weather"), _text(v, "$.outcome", NOTE_LENGTH).alias("outcome"),
+def photos_of(items: Column) -> Column:
+    """The photos of saved members: those with an address, the first MOST_PHOTOS."""
+    # members are read into structs first and judged by their fields, so that each field is read once
+    read = F.transform(items, lambda v: F.struct(F.try_variant_get(v, "$.url", "string").alias("url"), _text(v, "$.credit", 200).alias("credit"), _text(v, "$.licence", 200).alias("licence"), _text(v, "$.source", 40).alias("source")))
+    return F.slice(F.filter(read, lambda p: (F.length(p["url"]) <= URL_LENGTH) & p["url"].rlike("(?i)^https?://[^/\\s]+")), 1, MOST_PHOTOS)
+
+
+def visits_of(items: Column) -> Column:
+    """The latest MOST_VISITS logged visits that have a time and the sun's place; the rest enriches a visit and never invalidates it."""
+    read = F.transform(
+        items,
+        lambda v: F.struct(
+            _number(v, "$.at").alias("at"), _number(v, "$.sunAltitude").alias("altitude"), _number(v, "$.sunAzimuth").alias("azimuth"), _number(v, "$.moonFraction").alias("moon"),
+            _text(v, "$.cloud", 200).alias("cloud"), _text(v, "$.weather", 60).alias("weather"), _text(v, "$.outcome", NOTE_LENGTH).alias("outcome"),
+        ),
     )
-    return F.when((at > 0) & (F.abs(altitude) <= 90) & azimuth.isNotNull(), made)
+    fine = F.filter(read, lambda x: (x["at"] > 0) & (F.abs(x["altitude"]) <= 90) & x["azimuth"].isNotNull())
+    latest = F.slice(F.array_sort(fine, lambda a, b: F.when(a["at"] > b["at"], -1).when(a["at"] < b["at"], 1).otherwise(0)), 1, MOST_VISITS)
+    made = {"azimuth": lambda x: F.pmod(x["azimuth"], F.lit(360.0)), "moon": lambda x: F.when(x["moon"].between(0, 1), x["moon"])}
+    names = ("at", "altitude", "azimuth", "moon", "cloud", "weather", "outcome")
+    return F.transform(latest, lambda x: F.struct(*[(made[n](x) if n in made else x[n]).alias(n) for n in names]))
 
 
 def saved_spots(bodies: DataFrame, key: str, body: str) -> DataFrame:
@@ -185,17 +199,15 @@ def saved_spots(bodies: DataFrame, key: str, body: str) -> DataFrame:
     and latest visits. A body that is no list gives no rows.
     """
     rows = bodies.select(key, F.posexplode(F.from_json(F.col(body), "array<string>")).alias("i", "text"))
-    rows = rows.select(key, "i", F.try_parse_json("text").alias("v"))
+    # a body may hold very many entries: they are dealt out before they are read
+    rows = rows.repartition(key, "i").select(key, "i", F.try_parse_json("text").alias("v"))
     v = F.col("v")
     lat, lon, radius, height = (_number(v, f"$.{c}") for c in ("lat", "lon", "radiusKm", "slabHeightM"))
-    photos = F.slice(F.array_compact(F.transform(_objects(v, "$.photos"), photo_of)), 1, MOST_PHOTOS)
-    visits = F.array_compact(F.transform(_objects(v, "$.visits"), visit_of))
-    latest = F.slice(F.array_sort(visits, lambda a, b: F.when(a["at"] > b["at"], -1).when(a["at"] < b["at"], 1).otherwise(0)), 1, MOST_VISITS)
     made = rows.select(
         key, "i", _text(v, "$.name", 120).alias("name"), lat.alias("lat"), lon.alias("lon"), F.nullif(F.try_variant_get(v, "$.timeZone", "string"), F.lit("")).alias("time_zone"),
         F.when(radius.between(1, 50), F.floor(radius + 0.5).cast("int")).alias("radius"), F.coalesce(_number(v, "$.savedAt"), F.lit(0.0)).alias("saved_at"), _text(v, "$.note", NOTE_LENGTH).alias("note"),
         frame_of(F.try_variant_get(v, "$.frame", "variant")).alias("frame"), F.when((height > 0) & (height <= 1000), F.floor(height + 0.5).cast("int")).alias("height"),
-        F.when(F.size(photos) > 0, photos).alias("photos"), F.when(F.size(latest) > 0, latest).alias("visits"),
+        _some(photos_of(_objects(v, "$.photos"))).alias("photos"), _some(visits_of(_objects(v, "$.visits"))).alias("visits"),
     )
     made = made.where("name is not null and abs(lat) <= 85 and abs(lon) <= 180")
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("saved_at"), "i"))
