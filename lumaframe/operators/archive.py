@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, text
+from lumaframe.sources.scratch import written
 
 from .paths import nearest_path
 
@@ -208,6 +209,24 @@ def latest_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """df with place, the number of a row in its group from 0; a group of any size is many tasks.
+
+    Rows are cut into even ranges of (group, order), numbered inside a range, and moved on by
+    what the ranges before hold of the group: a row for each range and group. Equal rows are in any order.
+    """
+    rows = df.withColumn("__tie", F.monotonically_increasing_id())
+    rows = written(rows.repartitionByRange(*group, *order, "__tie").withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(*group, "__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    held = held.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__part").alias("__p"), "__start")
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    own = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order, "__tie"))
+    return rows.withColumn("__own", own).join(held, same).select(*df.columns, (F.col("__start") + F.col("__own") - 1).cast("long").alias("place"))
+
+
 def within_ttl(df: DataFrame, key: str, fetched: str, now: Column, seconds: int) -> DataFrame:
     """The latest row of each key that is at most seconds old."""
     age = now.cast("timestamp").cast("long") - F.col(fetched).cast("timestamp").cast("long")

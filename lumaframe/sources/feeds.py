@@ -24,9 +24,9 @@ def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE")
 
 
-def originals(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,tif,tiff,webp,avif}") -> DataFrame:
-    """(id, path, length): files of a directory, named by the first 16 digits of their SHA-256."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+def originals(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,tif,tiff,webp,avif}", below: bool = False) -> DataFrame:
+    """(id, path, length): files of a directory, and of those below it, named by the first 16 digits of their SHA-256."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", below).load(path)
     return files.select(F.substring(F.sha2("content", 256), 1, 16).alias("id"), "path", "length")
 
 

@@ -19,6 +19,18 @@ def sequence_json(rows: DataFrame, group: str, rank: str, pos: str, fields: list
     return made.orderBy(rank).select(group, F.to_json(F.transform("rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))).alias("body"))
 
 
+def sequence_pages(numbered: DataFrame, group: str, fields: list[str], page: int = 1000) -> DataFrame:
+    """(group, page, body): sequences as JSON arrays of at most page rows, from rows with their place in their group."""
+    rows = numbered.withColumn("page", F.floor(F.col("place") / page).cast("long"))
+    made = rows.groupBy(group, "page").agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("rows"))
+    return made.select(group, "page", F.to_json(F.transform("rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))).alias("body"))
+
+
+def write_pages(pages: DataFrame, group: str, path: str) -> None:
+    """Writes sequence_pages() as a store: one JSON file for each page, in folders by group and page."""
+    pages.repartition(group, "page").write.partitionBy(group, "page").text(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Writes df beside path and then moves it there; the old table is deleted only once the new one stands.
 

@@ -228,3 +228,19 @@ def test_text_of_a_plan_without_notes(spark):
 @pytest.mark.parametrize("value,want", [(0.4, "0"), (0.5, "+1"), (-0.5, "0"), (-1.6, "-2"), (12.0, "+12")])
 def test_signed_numbers(spark, value, want):
     assert spark.range(1).select(presets.whole(F.lit(value)).alias("v")).first().v == want
+
+
+def test_numbers_of_large_groups(spark):
+    """Places in groups of any size, nulls and equal rows included, from many ranges."""
+    from lumaframe.operators import archive
+
+    df = spark.range(20_000).selectExpr("if(id % 5 > 0, 'hot', if(id % 10 = 0, null, concat('g', id % 30))) AS g", "id % 7 AS o", "if(id % 11 = 0, 1, id) AS v").repartition(5)
+    got = archive.numbered(df, ["g"], ["o", "v"]).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append((r.place, r.o, r.v))
+    assert sum(map(len, groups.values())) == 20_000 and len(groups["hot"]) == 16_000
+    for rows in groups.values():
+        rows.sort()
+        assert [p for p, _, _ in rows] == list(range(len(rows))) and [(o, v) for _, o, v in rows] == sorted((o, v) for _, o, v in rows)
+    assert archive.numbered(df.limit(0), ["g"], ["o"]).count() == 0
