@@ -177,7 +177,14 @@ def radius_filter(spark, sf_dir):
 DIRECT_SQL = f"(SELECT c_custkey AS id, {SPOT} AS lat1, c_custkey*7%360 - 180e0 AS lon1, c_custkey*11%360 + 0e0 AS course, 1000e0*(c_custkey%3000 + 1) AS metres FROM customer)"
 
 
-@query(f"SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, round(wrapped, 6) AS wrapped FROM {geodesy.DIRECT.sql(DIRECT_SQL)}")
+def along_sql(source: str) -> str:
+    """source with the end of its course: a vector in the plane of its own meridian, turned by the arc."""
+    arc, lat, course = "metres/6371008.8e0", "radians(lat1)", "radians(course)"
+    vector = f"cos({arc})*cos({lat}) - sin({arc})*cos({course})*sin({lat}) AS x_, sin({arc})*sin({course}) AS y_, cos({arc})*sin({lat}) + sin({arc})*cos({course})*cos({lat}) AS z_"
+    return f"(SELECT *, degrees(atan2(z_, sqrt(x_*x_ + y_*y_))) AS lat, lon1 + degrees(atan2(y_, x_)) AS lon FROM (SELECT *, {vector} FROM {source}))"
+
+
+@query(f"SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, round(CASE WHEN lon < -180 THEN lon + 360 WHEN lon >= 180 THEN lon - 360 ELSE lon END, 6) AS wrapped FROM {along_sql(DIRECT_SQL)}")
 def destination(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{SPOT} AS lat1", "c_custkey*7%360 - 180e0 AS lon1", "c_custkey*11%360 + 0e0 AS course", "1000e0*(c_custkey%3000 + 1) AS metres")
     return geodesy.DIRECT.on(rows).selectExpr("id", "round(lat, 6) AS lat", "round(lon, 6) AS lon", "round(wrapped, 6) AS wrapped")
@@ -196,7 +203,8 @@ def great_circle_point(spark, sf_dir):
 TILE_SQL = f"(SELECT c_custkey AS id, {SPOT} AS lat, c_custkey*7%360 - 180e0 AS lon, 7 + c_custkey%7 AS zoom FROM customer)"
 
 
-@query(f"SELECT id, floor(tile_x)::BIGINT AS x, floor(tile_y)::BIGINT AS y, round(west, 6) AS west, round(north, 6) AS north, round(metres, 4) AS metres FROM {geodesy.TILE.sql(TILE_SQL)}")
+@query(f"""WITH m AS (SELECT *, greatest(-85.05112878e0, least(85.05112878e0, lat)) AS la, pow(2e0, zoom) AS n FROM {TILE_SQL}), t AS (SELECT *, floor((lon + 180)*n/360)::BIGINT AS x, floor(n/2*(1 - 0.5e0*ln((1 + sin(radians(la)))/(1 - sin(radians(la))))/pi()))::BIGINT AS y FROM m)
+SELECT id, x, y, round(360*x/n - 180, 6) AS west, round(90 - 2*degrees(atan(exp(-pi()*(1 - 2*y/n)))), 6) AS north, round(40075016.686e0*cos(radians(lat))/256/n, 4) AS metres FROM t""")
 def slippy_tiles(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{SPOT} AS lat", "c_custkey*7%360 - 180e0 AS lon", "7 + c_custkey%7 AS zoom")
     return geodesy.TILE.on(rows).selectExpr("id", "cast(floor(tile_x) as bigint) AS x", "cast(floor(tile_y) as bigint) AS y", "round(west, 6) AS west", "round(north, 6) AS north", "round(metres, 4) AS metres")
@@ -281,7 +289,15 @@ CASE WHEN event_id%7 = 0 THEN NULL ELSE event_id*11%101 + 0e0 END AS mid, CASE W
 CLOUD_OUT = ["id", "condition", "round(blocking, 6) AS blocking", "quality", "round(direct, 6) AS direct", "dominant"]
 
 
-@query(f"SELECT {', '.join(CLOUD_OUT)} FROM {field.CLOUD.sql(CLOUD_SQL)}")
+_CODES = "[" + ", ".join(f"{{'k': {k}, 'v': '{v}'}}" for k, v in field.CODES.items()) + "]"
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN low IS NULL AND mid IS NULL THEN NULL ELSE 100 - (100 - coalesce(low, 0))*(100 - coalesce(mid, 0))/100e0 END AS blocking, list_sort(list_filter([low, mid, high], lambda x: x IS NOT NULL)) AS decks FROM {CLOUD_SQL}),
+n AS (SELECT c.*, t.x.v AS told FROM c LEFT JOIN (SELECT unnest({_CODES}) AS x) t ON t.x.k = c.code)
+SELECT id, CASE WHEN code IS NULL THEN 'Not known' ELSE coalesce(told, 'Code ' || code) END AS condition, round(blocking, 6) AS blocking,
+CASE WHEN sun <= -0.833 THEN 'none' WHEN cloud IS NULL THEN 'unknown' WHEN cloud >= 88 THEN 'flat' WHEN cloud >= 65 THEN 'mostly cloud' WHEN cloud >= 35 THEN 'broken' WHEN cloud >= 12 THEN 'mostly sun' ELSE 'hard' END AS quality,
+round(CASE WHEN coalesce(blocking, cloud) IS NULL THEN 1 ELSE 1 - pow(least(100, greatest(0, coalesce(blocking, cloud)))/100e0, 2.2e0) END, 6) AS direct,
+CASE WHEN len(decks) > 0 AND decks[-1] >= 10 AND (len(decks) = 1 OR decks[-1] - decks[-2] >= 10) THEN CASE decks[-1] WHEN low THEN 'low' WHEN mid THEN 'mid' ELSE 'high' END END AS dominant FROM n""")
 def weather_scalars(spark, sf_dir):
     e = "event_id"
     rows = table(spark, sf_dir, "events").selectExpr(
@@ -295,7 +311,9 @@ HORIZON_SQL = "(SELECT event_id AS id, CASE WHEN event_id%9 = 0 THEN NULL ELSE e
 HORIZON_OUT = ["id", "round(gate, 6) AS gate", "round(canvas, 6) AS canvas", "round(metres, 2) AS metres", "verdict", "side"]
 
 
-@query(f"SELECT {', '.join(HORIZON_OUT)} FROM {field.HORIZON.sql(HORIZON_SQL)}")
+@query(f"""WITH h AS (SELECT *, CASE WHEN low IS NULL THEN NULL ELSE 100 - (100 - low)*(100 - mid)/100e0 END AS gate, 100 - (100 - mid2)*(100 - high2)/100e0 AS canvas FROM {HORIZON_SQL})
+SELECT id, round(gate, 6) AS gate, round(canvas, 6) AS canvas, round(sqrt(2*7*6371008.8e0*6000/6e0), 2) AS metres, CASE WHEN gate IS NULL THEN 'unknown' WHEN gate >= 65 THEN 'blocked' WHEN canvas < 12 THEN 'bare' ELSE 'lit' END AS verdict,
+['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][((bearing::INT*2 + 45)//90)%8 + 1] AS side FROM h""")
 def horizon_verdict(spark, sf_dir):
     e = "event_id"
     rows = table(spark, sf_dir, "events").selectExpr(f"{e} AS id", f"CASE WHEN {e}%9 = 0 THEN NULL ELSE {e}*3%101 + 0e0 END AS low", f"CASE WHEN {e}%9 = 0 THEN NULL ELSE {e}*5%60 + 0e0 END AS mid", f"{e}*7%40 + 0e0 AS mid2", f"{e}*11%30 + 0e0 AS high2", f"{e}*13%360 + 0e0 AS bearing")
@@ -306,7 +324,9 @@ AIR_SQL = "(SELECT event_id AS id, event_id%100 - 5e0 AS altitude, event_id%3000
 AIR_OUT = ["id", "round(air_mass, 5) AS air_mass", "round(pressure_ratio, 6) AS pressure", "round(water, 5) AS water", "round(alpha, 6) AS alpha", "round(beta, 6) AS beta", "basis"]
 
 
-@query(f"SELECT {', '.join(AIR_OUT)} FROM {field.AIR.sql(AIR_SQL)}")
+@query(f"""WITH a AS (SELECT *, least(1, coalesce(sea, 0)) AS s FROM {AIR_SQL}), b AS (SELECT *, 1.3e0 - 0.9e0*s AS alpha FROM a)
+SELECT id, round(CASE WHEN altitude > -1 THEN pow(sin(radians(greatest(altitude, -0.9e0))) + 0.50572e0/pow(greatest(altitude, -0.9e0) + 6.07995e0, 1.6364e0), -1) END, 5) AS air_mass, round(1/exp(elevation/8434.5e0), 6) AS pressure,
+round(CASE WHEN dew IS NULL THEN 1.5e0 ELSE greatest(0.1e0, least(6, exp(0.1102e0)*exp(0.0614e0*dew))) END, 5) AS water, round(alpha, 6) AS alpha, round(coalesce(aod*exp(alpha*ln(0.55e0)), 0.05e0 + 0.07e0*s), 6) AS beta, CASE WHEN aod IS NULL THEN 'assumed' ELSE 'measured' END AS basis FROM b""")
 def air_state(spark, sf_dir):
     e = "event_id"
     rows = table(spark, sf_dir, "events").selectExpr(f"{e} AS id", f"{e}%100 - 5e0 AS altitude", f"{e}%3000 + 0e0 AS elevation", f"CASE WHEN {e}%7 = 0 THEN NULL ELSE {e}%40 - 10e0 END AS dew", f"CASE WHEN {e}%3 = 0 THEN NULL ELSE {e}%50/100e0 END AS aod", f"CASE WHEN {e}%4 = 0 THEN NULL ELSE {e}%11/10e0 END AS sea")
@@ -317,7 +337,9 @@ LENS_SQL = "(SELECT p_partkey AS id, 36e0 - p_partkey%3*8 AS sensor_w, 24e0 - p_
 LENS_OUT = ["id", *[f"round({c}, 3) AS {c}" for c in field.LENS.out]]
 
 
-@query(f"SELECT {', '.join(LENS_OUT)} FROM {field.LENS.sql(LENS_SQL)}")
+@query(f"""WITH l AS (SELECT *, sqrt(sensor_w*sensor_w + sensor_h*sensor_h) AS d, focal*focal/(aperture*coc) AS g, focus*1000 AS s FROM {LENS_SQL}), t AS (SELECT *, 2*degrees(atan2(sensor_w/2, focal)) AS a_, 2*degrees(atan2(sensor_h/2, focal)) AS u_, 2*degrees(atan2(d/2, focal)) AS d_ FROM l)
+SELECT id, round(a_, 3) AS across, round(u_, 3) AS upward, round(d_, 3) AS diagonal, round(focal*sqrt(1872e0)/d, 3) AS equivalent, round((g + focal)/1000, 3) AS hyperfocal, round(s*g/(g + s - focal)/1000, 3) AS near,
+round(CASE WHEN 1 - (s - focal)/g > 1e-9 THEN s*g/(g - s + focal)/1000 END, 3) AS far, round(focus*sensor_w/focal, 3) AS width FROM t""")
 def lens_geometry(spark, sf_dir):
     p = "p_partkey"
     rows = table(spark, sf_dir, "part").selectExpr(f"{p} AS id", f"36e0 - {p}%3*8 AS sensor_w", f"24e0 - {p}%3*5 AS sensor_h", f"12e0 + {p}%390 AS focal", f"1.4e0 + {p}%20 AS aperture", "0.03e0 AS coc", f"1e0 + {p}%500 AS focus")
@@ -328,7 +350,9 @@ EXPOSURE_SQL = "(SELECT p_partkey AS id, 1e0/(p_partkey%250 + 1) AS shutter, p_p
 EXPOSURE_OUT = ["id", "round(long, 5) AS long_s", "cast(photos as bigint) AS photos", "shoot", "storage", "speed", "label"]
 
 
-@query(f"SELECT {', '.join(EXPOSURE_OUT)} FROM {field.EXPOSURE.sql(EXPOSURE_SQL)}")
+@query(f"""WITH e AS (SELECT *, shutter*(1 << stops::INT) AS long_, ceil(clip*fps)::BIGINT AS photos FROM {EXPOSURE_SQL}), w AS (SELECT *, floor(long_ + 0.5)::BIGINT AS n FROM e)
+SELECT id, round(long_, 5) AS long_s, photos, photos*every AS shoot, photos*mb AS storage, fps*every AS speed, CASE WHEN long_ < 1 THEN '1/' || floor(1/long_ + 0.5)::BIGINT || ' s' WHEN n < 60 THEN n || ' s' WHEN n < 3600 THEN n//60 || ' min' || CASE WHEN n%60 > 0 THEN ' ' || n%60 || ' s' ELSE '' END
+ELSE n//3600 || ' h ' || lpad((n%3600//60)::VARCHAR, 2, '0') || ' min' END AS label FROM w""")
 def exposure_plan(spark, sf_dir):
     p = "p_partkey"
     rows = table(spark, sf_dir, "part").selectExpr(f"{p} AS id", f"1e0/({p}%250 + 1) AS shutter", f"{p}%17 + 0e0 AS stops", f"5e0 + {p}%30 AS clip", "24e0 AS fps", f"{p}%60 + 1e0 AS every", "25e0 AS mb")
@@ -536,7 +560,8 @@ TRAIL_SQL = "(SELECT p_partkey AS id, 36e0 - p_partkey%3*8 AS sensor_w, 24e0 - p
 TRAIL_OUT = ["id", *[f"round({c}, 5) AS {c}" for c in spectrum.TRAILS.out]]
 
 
-@query(f"SELECT {', '.join(TRAIL_OUT)} FROM {spectrum.TRAILS.sql(TRAIL_SQL)}")
+@query(f"""WITH t AS (SELECT *, sqrt(sensor_w*sensor_h/(megapixels*1e6)) AS p, CASE WHEN abs(declination) = 90 THEN 0 ELSE cos(radians(declination))*360/86164.0905e0 END AS r FROM {TRAIL_SQL})
+SELECT id, round(p, 5) AS pitch, round(CASE WHEN r*seconds < 90 THEN focal/p*tan(radians(r*seconds)) END, 5) AS trail, round(CASE WHEN r > 0 THEN degrees(atan2(p, focal))/r END, 5) AS sharp, round(CASE WHEN r > 0 THEN degrees(atan2(3*p, focal))/r END, 5) AS tolerable, round(r*3600, 5) AS drift FROM t""")
 def star_trails(spark, sf_dir):
     p = "p_partkey"
     rows = table(spark, sf_dir, "part").selectExpr(f"{p} AS id", f"36e0 - {p}%3*8 AS sensor_w", f"24e0 - {p}%3*5 AS sensor_h", f"12e0 + {p}%50 AS megapixels", f"12e0 + {p}%390 AS focal", f"{p}%181 - 90e0 AS declination", f"{p}%600 + 0e0 AS seconds")

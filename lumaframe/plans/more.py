@@ -9,7 +9,7 @@ from lumaframe.functions import colour, geodesy
 from lumaframe.operators import archive, timeline
 
 from .archive import photos, query, table
-from .light import E_SQL, SPOT, samples
+from .light import along_sql, E_SQL, SPOT, samples
 
 
 @query()
@@ -43,13 +43,13 @@ def rings(spark, sf_dir):
     return geodesy.DIRECT.on(rows)
 
 
-@query(f"SELECT id, k, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {geodesy.DIRECT.sql(RING_SQL)}")
+@query(f"SELECT id, k, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {along_sql(RING_SQL)}")
 def circle_rings(spark, sf_dir):
     """Sixteen points of a circle round each place; longitudes run on past 180."""
     return rings(spark, sf_dir).selectExpr("id", "cast(k as bigint) AS k", "round(lat, 6) AS lat", "round(lon, 6) AS lon")
 
 
-@query(f"""WITH b AS (SELECT id, any_value(lat1) AS lat1, any_value(metres) AS metres, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM {geodesy.DIRECT.sql(RING_SQL)} GROUP BY id),
+@query(f"""WITH b AS (SELECT id, any_value(lat1) AS lat1, any_value(metres) AS metres, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM {along_sql(RING_SQL)} GROUP BY id),
 p AS (SELECT *, radians(90 - lat1)*6371008.8e0 <= metres AS np, radians(90 + lat1)*6371008.8e0 <= metres AS sp FROM b)
 SELECT id, round(CASE WHEN np OR sp THEN -180 ELSE west END, 6) AS west, round(CASE WHEN sp THEN -90 ELSE south END, 6) AS south, round(CASE WHEN np OR sp THEN 180 ELSE east END, 6) AS east, round(CASE WHEN np THEN 90 ELSE north END, 6) AS north FROM p""")
 def bounding_boxes(spark, sf_dir):
