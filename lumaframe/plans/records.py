@@ -199,7 +199,8 @@ def preset_files(spark, sf_dir):
     """The preset of each part's grade with the masks that can be made again, and one without masks that always loads."""
     rows = part_grades(spark, sf_dir)
     grade = {c: F.col(c) for c in rows.columns if c not in ("id", "name")}
-    made = [presets.xmp(grade, F.col("name"), F.lit("Parts"), F.concat("name", F.lit("#"), F.col("id").cast("string")), masks) for masks in (True, False)]
+    rows = rows.withColumn("mark", text.identity_of(F.concat("name", F.lit("#"), F.col("id").cast("string"))))
+    made = [presets.xmp(grade, F.col("name"), F.lit("Parts"), F.col("mark"), masks) for masks in (True, False)]
     return rows.select("id", F.when(F.size(presets.usable_masks(F.col("masks"))) > 0, made[0]).alias("full"), made[1].alias("safe"))
 
 

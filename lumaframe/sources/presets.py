@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumaframe.functions import text
-
 from .sinks import escaped
 
 # Fixed values of the format: namespaces, versions, flags, names of bands and kinds of masks that can be made again.
@@ -48,18 +46,19 @@ def attribute(name: str, value: Column, when: Column | None = None) -> Column:
 def element(name: str, depth: int, attributes: list[Column] | None = None, children: list[Column] | None = None, content: Column | None = None) -> Column:
     """An element on lines of its own, depth spaces in; null attributes and children are left out, and one without either is closed at once.
 
-    Attributes stand on lines of their own unless there is just one; content is text on the element's own line.
+    Attributes stand on lines of their own unless there is just one, of which one at least is
+    not null; content is text on the element's own line.
     """
-    pad = " " * depth
-    own = F.array_compact(F.array(*attributes)) if attributes else F.array().cast("array<string>")
-    split = "\n" + pad + " "
-    lead = F.when(F.size(own) == 0, F.lit("")).when(F.size(own) == 1, F.concat(F.lit(" "), F.array_join(own, ""))).otherwise(F.concat(F.lit(split), F.array_join(own, split)))
+    pad, lead = " " * depth, F.lit("")
+    if attributes:
+        # array_join skips nulls
+        before = " " if len(attributes) == 1 else f"\n{pad} "
+        lead = F.concat(F.lit(before), F.array_join(F.array(*attributes), before))
     if content is not None:
         return F.concat(F.lit(f"{pad}<{name}"), lead, F.lit(">"), escaped(content), F.lit(f"</{name}>"))
     if not children:
         return F.concat(F.lit(f"{pad}<{name}"), lead, F.lit("/>"))
-    inner = F.array_compact(F.array(*children))
-    return F.concat(F.lit(f"{pad}<{name}"), lead, F.lit(">\n"), F.array_join(inner, "\n"), F.lit(f"\n{pad}</{name}>"))
+    return F.concat(F.lit(f"{pad}<{name}"), lead, F.lit(">\n"), F.array_join(F.array(*children), "\n"), F.lit(f"\n{pad}</{name}>"))
 
 
 def _alternative(name: str, value: Column) -> Column:
@@ -99,8 +98,8 @@ def _masks(masks: Column) -> Column:
     return F.when(F.size(own) > 0, made)
 
 
-def xmp(grade: dict[str, Column], name: Column, group: Column, seed: Column, masks: bool = True, toolkit: str = "lumaframe") -> Column:
-    """A grade as a preset's text.
+def xmp(grade: dict[str, Column], name: Column, group: Column, mark: Column, masks: bool = True, toolkit: str = "lumaframe") -> Column:
+    """A grade as a preset's text; mark is its identity (text.identity_of), the same in every export.
 
     grade has exposure, texture, vibrance, saturation, mix (eight of hue, sat, lum), shadow,
     midtone, highlight and global (hue, sat, lum), balance, blending, grain, grain_size,
@@ -136,7 +135,7 @@ def xmp(grade: dict[str, Column], name: Column, group: Column, seed: Column, mas
     for key, value in (("Midpoint", "50"), ("Feather", "50"), ("Roundness", "0"), ("Style", "1")):
         setting(f"PostCropVignette{key}", F.lit(value), g["vignette"] != 0)
     setting("LuminanceSmoothing", unsigned(g["noise"]), g["noise"] > 0)
-    head = [attribute("rdf:about", F.lit("")), attribute("xmlns:crs", F.lit(CRS)), *[attribute(f"crs:{k}", text.identity_of(seed) if v is None else F.lit(v)) for k, v in HEAD.items()]]
+    head = [attribute("rdf:about", F.lit("")), attribute("xmlns:crs", F.lit(CRS)), *[attribute(f"crs:{k}", mark if v is None else F.lit(v)) for k, v in HEAD.items()]]
     children = [_alternative("Name", name), _alternative("ShortName", name), _alternative("SortName", F.lower(name)), _alternative("Group", group), _curve(g["curve"])]
     if masks:
         children.append(_masks(g["masks"]))
