@@ -17,11 +17,15 @@ from .timeline import intersections, intervals_where, sampled
 DARK = -18.0
 
 
-def _peaks(spots: DataFrame, key: list[str], body, value: str, step: int) -> DataFrame:
+def _samples(spots: DataFrame, body, value: str, step: int) -> DataFrame:
+    """spots with t and value, each step from start to end, as a table: one series for the peak and the crossings."""
+    return written(sampled(spots, body, "start", "end", step).select(*spots.columns, "t", value), "samples")
+
+
+def _peaks(samples: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, peak, peak_at): the highest sample and when; the first of equals."""
-    rows = sampled(spots, body, "start", "end", step)
     best = F.max_by(F.struct("t", value), F.struct(F.col(value), -F.col("t")))
-    return rows.groupBy(*key).agg(best.alias("__b")).select(*key, F.col(f"__b.{value}").alias("peak"), F.col("__b.t").alias("peak_at"))
+    return samples.groupBy(*key).agg(best.alias("__b")).select(*key, F.col(f"__b.{value}").alias("peak"), F.col("__b.t").alias("peak_at"))
 
 
 def moon_times(spots: DataFrame, key: list[str], step: int = 600) -> DataFrame:
@@ -30,26 +34,28 @@ def moon_times(spots: DataFrame, key: list[str], step: int = 600) -> DataFrame:
     rise and set are the first in the window, null where there is none: a moon that is up
     all along rose before it.
     """
-    up = intervals_where(spots, key, sky.MOON, "moon_altitude", almanac.MOONRISE, True, "start", "end", step)
+    samples = _samples(spots, sky.MOON, "moon_altitude", step)
+    up = intervals_where(spots, key, sky.MOON, "moon_altitude", almanac.MOONRISE, True, "start", "end", step, samples)
     every = spots.select(*key, F.col("start").alias("__s"), F.col("end").alias("__e"))
     both = up.join(every, key)
     inside = lambda c: F.when((F.col(c) > F.col("__s")) & (F.col(c) < F.col("__e")), F.col(c))
     whole = F.max((F.col("start") <= F.col("__s")) & (F.col("end") >= F.col("__e")))
     found = both.groupBy(*key).agg(F.min(inside("start")).alias("rise"), F.min(inside("end")).alias("set"), whole.alias("always_up"), F.count("*").alias("__n"))
-    made = _peaks(spots, key, sky.MOON, "moon_altitude", step).join(found, key, "left")
+    made = _peaks(samples, key, "moon_altitude").join(found, key, "left")
     return made.select(*key, "rise", "set", F.coalesce("always_up", F.lit(False)).alias("always_up"), F.col("__n").isNull().alias("always_down"), "peak", "peak_at")
 
 
 def core_times(spots: DataFrame, key: list[str], step: int = 300) -> DataFrame:
     """(key, rise, transit, set, always_up, always_down, peak, peak_at) of the galactic core; set is the last one in the window."""
-    up = intervals_where(spots, key, sky.CORE, "core_altitude", almanac.CORE_RISE, True, "start", "end", step)
+    samples = _samples(spots, sky.CORE, "core_altitude", step)
+    up = intervals_where(spots, key, sky.CORE, "core_altitude", almanac.CORE_RISE, True, "start", "end", step, samples)
     every = spots.select(*key, F.col("start").alias("__s"), F.col("end").alias("__e"))
     both = up.join(every, key)
     rise = F.min(F.when(F.col("start") > F.col("__s"), F.col("start")))
     down = F.max(F.when(F.col("end") < F.col("__e"), F.col("end")))
     whole = F.max((F.col("start") <= F.col("__s")) & (F.col("end") >= F.col("__e")))
     found = both.groupBy(*key).agg(rise.alias("rise"), down.alias("set"), whole.alias("always_up"), F.count("*").alias("__n"))
-    made = _peaks(spots, key, sky.CORE, "core_altitude", step).join(found, key, "left")
+    made = _peaks(samples, key, "core_altitude").join(found, key, "left")
     transit = F.when(F.col("peak") > almanac.CORE_RISE, F.col("peak_at"))
     return made.select(*key, "rise", transit.alias("transit"), "set", F.coalesce("always_up", F.lit(False)).alias("always_up"), F.col("__n").isNull().alias("always_down"), "peak", "peak_at")
 

@@ -196,16 +196,17 @@ def sampled(spots: DataFrame, body: Formula, start: str, end: str, step: int) ->
     return body.on(spots.withColumn("t", F.explode(at.cast("array<double>"))))
 
 
-def intervals_where(spots: DataFrame, key: list[str], body: Formula, value: str, level: float, above: bool, start: str, end: str, step: int = 300) -> DataFrame:
+def intervals_where(spots: DataFrame, key: list[str], body: Formula, value: str, level: float, above: bool, start: str, end: str, step: int = 300, samples: DataFrame | None = None) -> DataFrame:
     """(key, start, end): where value is above (or below) level between start and end, ends to a fraction of a second.
 
     spots has one row for each key with whole seconds start and end and what body needs.
     Samples find the changes of sign, roots are found in those brackets alone, and an
-    interval that is open at an end of the window is cut there.
+    interval that is open at an end of the window is cut there. samples are those of
+    sampled() over the same window and step, if there are some already.
     """
     along = Window.partitionBy(*key).orderBy("t")
     off = (F.col(value) - level) * (1 if above else -1)
-    rows = sampled(spots, body, start, end, step).withColumn("__v", off)
+    rows = (sampled(spots, body, start, end, step) if samples is None else samples).withColumn("__v", off)
     rows = rows.withColumns({"__p": F.lag("__v").over(along), "__pt": F.lag("t").over(along), "__n": F.lead("t").over(along)})
     turns = rows.where("(__p <= 0 AND __v > 0) OR (__p > 0 AND __v <= 0)")
     sign = 1.0 if above else -1.0
