@@ -145,10 +145,13 @@ def gate_forecasts(spark, sf_dir):
 @query(f"""WITH p AS ({TOWN}), h AS (SELECT * FROM p WHERE id%5 = 0), b AS (SELECT * FROM p WHERE id%5 <> 0), d AS (SELECT h.id AS spot, b.id, sqrt(pow(radians(b.lat - h.lat), 2) + pow(radians(b.lon - h.lon)*cos(radians((h.lat + b.lat)/2)), 2))*6371000e0 AS m FROM h, b)
 SELECT spot, count(*) AS n, round(max(m), 3) AS furthest FROM d WHERE m <= 1500 GROUP BY spot""")
 def buildings_near(spark, sf_dir):
-    """Buildings within a kilometre and a half of each hotspot, by grid cells."""
+    """Buildings within a kilometre and a half of each hotspot, by grid cells; buildings of one place are counted first."""
     rows = town(spark, sf_dir)
-    near = places.within(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), 1500.0)
-    return near.groupBy(F.col("a_id").alias("spot")).agg(F.count("*").alias("n"), F.round(F.max("distance"), 3).alias("furthest"))
+    spots, others = rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")
+    counts = others.groupBy(F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).agg(F.count("*").alias("__n"))
+    near = places.places_within(spots, others, 1500.0).join(counts, ["b_lat", "b_lon"])
+    found = near.groupBy(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).agg(F.sum("__n").alias("n"), F.round(F.max("distance"), 3).alias("furthest"))
+    return spots.join(found, ["lat", "lon"]).select(F.col("id").alias("spot"), "n", "furthest")
 
 
 @query(f"""WITH {E_SQL}, f AS (SELECT sec AS fat, min(value) AS reading FROM e WHERE event_id%3 = 0 GROUP BY 1), p AS (SELECT event_id, sec FROM e WHERE event_id%3 <> 0), j AS (SELECT event_id, abs(sec - fat) AS gap, reading, row_number() OVER (PARTITION BY event_id ORDER BY abs(sec - fat), fat) AS n FROM p JOIN f ON abs(sec - fat) <= 5400)

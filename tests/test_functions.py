@@ -296,3 +296,14 @@ def test_json_store_and_trimmed_regions(spark, tmp_path):
     rows = feeds.json_store(spark, f"{tmp_path}/store.json", "id string, width int").collect()
     assert [(r.id, r.width) for r in rows] == [("a", 3), ("b", None)]
     assert one(spark, ranking.trimmed(F.create_map(F.lit("global"), F.lit(1), F.lit("other"), F.lit(2)), ("global",))) == {"global": 1}
+
+
+def test_places_of_many_rows_meet_once(spark):
+    """Pairs are found between distinct places; rows of one place are counted or joined to them."""
+    rows = [(i, 55.9 + i % 3 * 0.0004, -3.2) for i in range(3000)]
+    df = spark.createDataFrame([*rows, (3000, None, -3.2)], "id long, lat double, lon double")
+    near = places.places_within(df, df, 60.0).collect()
+    assert len(near) == 7 and len(set(near)) == 7  # three places in a row, the outer two are 89 m apart
+    few = df.where("id < 30 OR lat IS NULL")
+    got = [(r.a_id, r.b_id) for r in places.within(few, few, 60.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows[:30], rows[:30], 60.0, flat)
