@@ -594,5 +594,7 @@ def spot_upsert(spark, sf_dir):
     """New places matched to the first saved spot within 50 m, or kept as new ones."""
     rows = town(spark, sf_dir)
     saved, new = rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
-    near = places.within(new, saved, 50.0).groupBy("a_id").agg(F.min("b_id").alias("spot"))
-    return new.join(near, F.col("id") == F.col("a_id"), "left").select("id", F.coalesce("spot", "id").alias("spot"), F.col("spot").isNull().alias("fresh"))
+    first = saved.groupBy(F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).agg(F.min("id").alias("__first"))
+    near = places.places_within(new, saved, 50.0).join(first, ["b_lat", "b_lon"])
+    near = near.groupBy(F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).agg(F.min("__first").alias("spot"))
+    return new.join(near, ["lat", "lon"], "left").select("id", F.coalesce("spot", "id").alias("spot"), F.col("spot").isNull().alias("fresh"))
