@@ -136,3 +136,20 @@ def conflicts(spots: DataFrame, dwell: int = 20) -> DataFrame:
     sides = rows.select("plan", "s", F.posexplode("s").alias("i", "x"))
     pairs = sides.select("plan", "x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
     return pairs.where(F.abs(F.col("x.best") - F.col("y.best")) < width).select("plan", F.col("x.pos").alias("a"), F.col("y.pos").alias("b"))
+
+
+def clashes(spots: DataFrame, dwell: int = 20) -> DataFrame:
+    """(plan, a, b): pairs of all spots (plan, pos, best) of a plan, however many, whose best minutes are within a visit of each other.
+
+    A spot meets those of its own stretch of minutes and of the next one; what is found is as
+    many rows as there are clashes, and no task holds a plan.
+    """
+    width = max(LEAST_CLASH, dwell)
+    rows = spots.select("plan", "pos", "best", F.floor(F.col("best") / width).alias("cell"))
+    side = lambda p: [F.col("pos").alias(f"{p}_pos"), F.col("best").alias(f"{p}_best")]
+    left = rows.select("plan", "cell", *side("x"), F.col("cell").alias("own"))
+    right = rows.select("plan", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"), *side("y"), F.col("cell").alias("other"))
+    both = left.join(right.hint("merge"), ["plan", "cell"]).where(F.abs(F.col("x_best") - F.col("y_best")) < width)
+    # a pair of one stretch is met twice, once each way round
+    both = both.where((F.col("own") != F.col("other")) | (F.col("x_pos") < F.col("y_pos")))
+    return both.where(F.col("x_pos") != F.col("y_pos")).select("plan", F.least("x_pos", "y_pos").alias("a"), F.greatest("x_pos", "y_pos").alias("b"))

@@ -123,11 +123,11 @@ def day_plan(spark, sf_dir):
     return itinerary.day_plans(day_spots(spark, sf_dir)).select("plan", F.transform("stops", lambda s: F.struct(s["pos"].alias("pos"), s["start"].alias("start"))).alias("stops"), "scheduled", "off_best", "metres")
 
 
-@query("""WITH s AS (SELECT c_custkey//78*13 + c_custkey%13 AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best, c_custkey*7%90 >= 20 OR 60 + c_custkey%200 - c_custkey%100 >= 20 AS lit FROM customer)
-SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20 WHERE a.lit AND b.lit""")
+@query("""WITH s AS (SELECT c_nationkey AS plan, c_custkey::INT AS pos, (400 + c_custkey*37%500)::INT AS best FROM customer)
+SELECT a.plan, a.pos AS a, b.pos AS b FROM s a JOIN s b ON a.plan = b.plan AND a.pos < b.pos AND abs(a.best - b.best) < 20""")
 def plan_conflicts(spark, sf_dir):
-    """Spots of a plan whose best minutes are too close for a visit to both; every thirteenth customer is of one plan, six at most."""
-    return itinerary.conflicts(plan_spots(spark, sf_dir).withColumn("plan", F.floor(F.col("pos") / 78) * 13 + F.col("pos") % 13))
+    """Stops of a nation whose best minutes are too close for a visit to both; every customer is a stop."""
+    return itinerary.clashes(plan_spots(spark, sf_dir))
 
 
 @query()

@@ -244,3 +244,14 @@ def test_numbers_of_large_groups(spark):
         rows.sort()
         assert [p for p, _, _ in rows] == list(range(len(rows))) and [(o, v) for _, o, v in rows] == sorted((o, v) for _, o, v in rows)
     assert archive.numbered(df.limit(0), ["g"], ["o"]).count() == 0
+
+
+def test_clashes_of_more_spots_than_are_weighed(spark):
+    """All pairs of a plan's spots count, also from the seventh on and across stretches of minutes."""
+    from lumaframe.operators import itinerary
+
+    rows = [(p, i, 400 + i * 37 % 60) for p in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "plan int, pos int, best int")
+    got = [tuple(r) for r in itinerary.clashes(df).collect()]
+    want = {(p, i, j) for p, i, x in rows for q, j, y in rows if p == q and i < j and abs(x - y) < 20}
+    assert len(got) == len(set(got)) and set(got) == want
