@@ -9,7 +9,7 @@ from lumaframe.functions import sky
 from lumaframe.functions.formulas import Formula, turn
 from lumaframe.sources.scratch import written
 
-from .timeline import passes, sampled, secant
+from .timeline import alike, passes, sampled, secant, told_all
 
 # The sun's radius and the astronomical unit in km.
 SUN_KM, UNIT_KM = 695700.0, 149597870.7
@@ -55,8 +55,10 @@ def alignments(spots: DataFrame, key: list[str], body: str, step: int = 240, tol
     distance from that horizon along the crossings on the way up, or on the way down; dates
     counts the crossings in a row whose disc touches it (or that are within tolerance), behind
     tells whether these and one on either side lie on both sides. absence is null where a disc
-    meets the horizon, else no-bearing, always-above, always-below or never-quite.
+    meets the horizon, else no-bearing, always-above, always-below or never-quite. Spots that
+    agree in all but their key are searched once.
     """
+    every_spot, spots = spots, alike(spots, key)
     found, gaps = bearing_crossings(spots, key, body, step)
     every = found.join(spots.select(*key, "horizon"), key).withColumn("clearance", F.col("altitude") - F.col("horizon"))
     within = F.lit(tolerance) if tolerance is not None else F.col("disc")
@@ -73,7 +75,8 @@ def alignments(spots: DataFrame, key: list[str], body: str, step: int = 240, tol
     )
     both = gaps.join(sums, key, "left")
     absence = F.when(F.col("n").isNull(), "no-bearing").when(F.col("touched"), F.lit(None)).when(F.col("lo") > 0, "always-above").when(F.col("hi") < 0, "always-below").otherwise("never-quite")
-    return events, both.select(*key, F.coalesce("n", F.lit(0)).alias("crossings"), absence.alias("absence"), F.col("near.c").alias("nearest"), "gap")
+    searches = both.select(*key, F.coalesce("n", F.lit(0)).alias("crossings"), absence.alias("absence"), F.col("near.c").alias("nearest"), "gap")
+    return told_all(events, every_spot, spots, key), told_all(searches, every_spot, spots, key)
 
 
 def with_moon_phase(events: DataFrame, at: str = "at") -> DataFrame:

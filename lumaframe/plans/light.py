@@ -510,13 +510,15 @@ def sun_alignments(spark, sf_dir):
     s = F.col("s_suppkey")
     spots = table(spark, sf_dir, "supplier").select(s.alias("spot"), (s % 100 - 50.0).alias("lat"), (s * 7 % 360 - 180.0).alias("lon"), (s * 31 % 360).cast("double").alias("bearing"))
     start = 1_772_323_200
-    tracked = spots.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + 365 * 86_400), F.lit(240))))
+    every_spot, spots = spots, timeline.alike(spots, ["spot"])
+    tracked = timeline.dealt_out(spots).withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + 365 * 86_400), F.lit(240))))
     sampled = sky.SUN.on(tracked).select("spot", "lat", "lon", "bearing", "t", colour.signed_delta(F.col("sun_azimuth"), F.col("bearing")).alias("gap"))
     found = timeline.crossings(sampled, ["spot"], ["t"], "gap", wrap=True)
     brackets = found.select("spot", "lat", "lon", "bearing", (F.col("t") - 240.0).alias("lo"), F.col("t").cast("double").alias("hi"), "rising")
     # the difference from the bearing is taken without a jump inside a bracket
     turned = terrain.refine(brackets.withColumn("goal", F.lit(0.0)), _OffBearing(), "off", F.col("goal"))
-    return sky.SUN.on(turned).select("spot", "rising", F.round("t", 1).alias("t"), F.round("sun_altitude", 4).alias("altitude"))
+    found = sky.SUN.on(turned).select("spot", "rising", F.round("t", 1).alias("t"), F.round("sun_altitude", 4).alias("altitude"))
+    return timeline.told_all(found, every_spot, spots, ["spot"])
 
 
 class _OffBearing(Formula):

@@ -65,3 +65,14 @@ def test_sun(spark, spots):
 def test_moon_has_a_phase(spark, spots):
     events = alignments.with_moon_phase(alignments.alignments(spots.where("spot = 1"), ["spot"], "moon", 600)[0]).collect()
     assert events and all(0 <= r.fraction <= 1 and isinstance(r.waxing, bool) for r in events)
+
+
+def test_alike_spots_are_searched_once(spark):
+    """Spots that agree in all but their key, nulls too, are one search whose result is told of all."""
+    from lumaframe.operators import timeline
+
+    spots = spark.createDataFrame([(3, 1.0, None), (1, 1.0, None), (2, 1.0, 5.0), (9, 1.0, 5.0), (7, 2.0, 5.0)], "spot long, lat double, bearing double")
+    kept = timeline.alike(spots, ["spot"])
+    assert {r.spot for r in kept.collect()} == {1, 2, 7}
+    found = kept.where("spot <> 7").select("spot", (F.col("spot") * 10).alias("v"))
+    assert sorted((r.spot, r.v) for r in timeline.told_all(found, spots, kept, ["spot"]).collect()) == [(1, 10), (2, 20), (3, 10), (9, 20)]
