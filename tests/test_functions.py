@@ -307,3 +307,12 @@ def test_places_of_many_rows_meet_once(spark):
     few = df.where("id < 30 OR lat IS NULL")
     got = [(r.a_id, r.b_id) for r in places.within(few, few, 60.0).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows[:30], rows[:30], 60.0, flat)
+
+
+def test_rows_of_places_are_merged(spark):
+    """Rows are joined to pairs of places by merges at every size: none is broadcast, so none passes through the driver."""
+    df = spark.createDataFrame([(i, 55.9, -3.2) for i in range(20)], "id long, lat double, lon double")
+    pairs = places.within(df, df, 60.0)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+    assert pairs.count() == 400
