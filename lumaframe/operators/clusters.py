@@ -69,9 +69,9 @@ class _Members:
             self.known.add((lat, lon))
         return True
 
-    def possible(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        """Which of a few places may be taken, as the mean may move while they are."""
-        moved = self.span * min(1.0, len(lat) / (self.n + 1))
+    def possible(self, lat: np.ndarray, lon: np.ndarray, many: int | None = None) -> np.ndarray:
+        """Which of a few places may be taken, as the mean may move while they, or many points of theirs, are."""
+        moved = self.span * min(1.0, (len(lat) if many is None else many) / (self.n + 1))
         return _metres(lat, lon, self.lat, self.lon) * (self.n / (self.n + 1)) <= (self.span + moved) * 1.001 + 0.01
 
 
@@ -126,30 +126,40 @@ def _grow(lat: np.ndarray, lon: np.ndarray, known: np.ndarray, reach: float, spa
         return np.floor(lat / step).astype(np.int64), np.floor(turned / (step / narrow)).astype(np.int64)
 
     ys, xs = cells(reach)
-    order = np.lexsort((np.arange(n), xs, ys))
-    cut = np.flatnonzero(np.append(True, (np.diff(ys[order]) != 0) | (np.diff(xs[order]) != 0)))
-    held = {(int(ys[o[0]]), int(xs[o[0]])): o for o in np.split(order, cut[1:])}
+    # points of one place are looked at together: a place has its free points, in order, and a cell its places
+    spot, first, at = np.unique(np.stack((lat, lon), axis=1), axis=0, return_index=True, return_inverse=True)
+    at = at.reshape(-1)
+    order = np.argsort(at, kind="stable")
+    left = np.split(order, np.cumsum(np.bincount(at, minlength=len(spot)))[:-1])
+    order = np.lexsort((xs[first], ys[first]))
+    cut = np.flatnonzero(np.append(True, (np.diff(ys[first[order]]) != 0) | (np.diff(xs[first[order]]) != 0)))
+    held = {(int(ys[first[o[0]]]), int(xs[first[o[0]]])): o for o in np.split(order, cut[1:])}
+    full, taken = np.bincount(at, minlength=len(spot)), np.zeros(len(spot), np.int64)
+    round_: dict[int, np.ndarray] = {}
     wide_y, wide_x = cells(influence)
     part_of = _parts(lat, lon, *cells(reach / 1.6), reach)
     blocked: set[tuple[int, int, int]] = set()  # parts and cells in which a point that can't be decided may have a say
 
     def near(i: int) -> np.ndarray:
-        """Free points within reach of point i, in order."""
-        y, x, found = int(ys[i]), int(xs[i]), []
-        for key in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
-            if key in held:
-                some = held[key]
-                left = some[free[some]]
-                if len(left) < len(some):
-                    if len(left):
-                        held[key] = left
-                    else:
-                        del held[key]
-                found.append(left)
-        if not found:
-            return order[:0]
-        some = np.concatenate(found)
-        return np.sort(some[_metres(lat[some], lon[some], lat[i], lon[i]) <= reach])
+        """Places within reach of point i that have free points."""
+        p = int(at[i])
+        if p not in round_:
+            y, x = int(ys[i]), int(xs[i])
+            found = [held[key] for key in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)] if key in held]
+            some = np.concatenate(found)
+            round_[p] = some[_metres(spot[some, 0], spot[some, 1], lat[i], lon[i]) <= reach]
+        some = round_[p]
+        open_ = taken[some] < full[some]
+        if not open_.all():
+            round_[p] = some = some[open_]
+        return some
+
+    def points_of(some: np.ndarray) -> np.ndarray:
+        """Free points of places, in order."""
+        for p in some.tolist():
+            if taken[p] > full[p] - len(left[p]):
+                left[p] = left[p][free[left[p]]]
+        return np.sort(np.concatenate([left[p] for p in some.tolist()])) if len(some) else first[:0]
 
     for s in range(n):
         if not free[s]:
@@ -160,15 +170,27 @@ def _grow(lat: np.ndarray, lon: np.ndarray, known: np.ndarray, reach: float, spa
             continue
         members = _Members(float(lat[s]), float(lon[s]), span)
         free[s], seed[s], queue, head = False, s, [s], 0
+        taken[at[s]] += 1
+        refused: dict[int, int] = {}  # the cluster's size when all round a place were last refused
         while head < len(queue):
-            some = near(queue[head])
+            here = int(at[queue[head]])
+            some = near(queue[head]) if refused.get(here) != members.n else first[:0]
             head += 1
+            size = members.n
+            # in the order of keys over all places, but those alone that may be taken however the mean moves
+            many = int((full[some] - taken[some]).sum())
+            if many > SOME:
+                some = some[members.possible(spot[some, 0], spot[some, 1], many)]
+            some = points_of(some)
             for low in range(0, len(some), SOME):
                 few = some[low : low + SOME]
                 for c in few[members.possible(lat[few], lon[few])].tolist():
                     if members.take(float(lat[c]), float(lon[c])):
                         free[c], seed[c] = False, s
+                        taken[at[c]] += 1
                         queue.append(c)
+            if members.n == size:
+                refused[here] = size
     return seed
 
 
