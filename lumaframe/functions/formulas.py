@@ -9,7 +9,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The largest method, in bytes, that a JVM compiles; larger ones are interpreted.
+COMPILED = 8000
+
+
+def keep_compiled(spark: SparkSession) -> None:
+    """Lowers the session's limit for generated methods to what a JVM compiles, when it is higher.
+
+    A long formula in one generated method is interpreted for every row; above the limit
+    Spark evaluates it in parts, each of which is compiled.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > COMPILED:
+        spark.conf.set(name, str(COMPILED))
 
 
 def _doubles(text: str) -> str:
@@ -25,6 +39,7 @@ class Formula:
 
     def on(self, df: DataFrame) -> DataFrame:
         """df with the formula's results appended."""
+        keep_compiled(df.sparkSession)
         keep = [f"`{c}`" for c in df.columns]
         for group in self.groups:
             df = df.selectExpr("*", *[f"{v} AS {k}" for k, v in group.items()])
