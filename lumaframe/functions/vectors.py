@@ -47,14 +47,25 @@ def normalised(v: Column, digits: int = 5) -> Column:
 
 
 def curve(points: Column, steps: int = 256) -> Column:
-    """A lookup table of a piecewise linear curve through points (x, y) in rising order of x, over 0..255."""
-    def at(x: Column) -> Column:
-        low = F.element_at(F.filter(points, lambda p: p["x"] <= x), -1)
-        high = F.get(F.filter(points, lambda p: p["x"] > x), F.lit(0))
-        between = low["y"] + (high["y"] - low["y"]) * (x - low["x"]) / (high["x"] - low["x"])
-        return F.when(low.isNull(), F.get(points, F.lit(0))["y"]).when(high.isNull(), F.element_at(points, -1)["y"]).otherwise(between)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: at(i * 255.0 / (steps - 1)))
+    """A lookup table of a piecewise linear curve through points (x, y) in rising order of x, over 0..255.
+
+    Each stretch between two points takes the steps that lie in it; the ends are level.
+    """
+    at = F.array(*[F.lit(i * 255.0 / (steps - 1)) for i in range(steps)])
+    known = F.coalesce(F.filter(points, lambda p: p["x"].isNotNull()), F.array().cast("array<struct<x:double,y:double>>"))
+    # from and up to which x, and the straight line there; all of a stretch is named once
+    line = lambda low, high, y, x, rise, run: F.struct(low.alias("low"), high.alias("high"), y.cast("double").alias("y"), x.cast("double").alias("x"), rise.cast("double").alias("rise"), run.cast("double").alias("run"))
+    level = lambda low, high, y: line(low, high, y, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    def lines(p: Column) -> Column:
+        pair = lambda i: line(F.get(p, i - 1)["x"], F.get(p, i)["x"], F.get(p, i - 1)["y"], F.get(p, i - 1)["x"], F.get(p, i)["y"] - F.get(p, i - 1)["y"], F.get(p, i)["x"] - F.get(p, i - 1)["x"])
+        inner = F.transform(F.slice(F.sequence(F.lit(0), F.size(p)), 2, F.greatest(F.size(p) - 1, F.lit(0))), pair)
+        first, last = F.coalesce(F.get(p, F.lit(0))["x"], F.lit(float("inf"))), F.coalesce(F.get(p, F.size(p) - 1)["x"], F.lit(float("inf")))
+        return F.concat(F.array(level(F.lit(float("-inf")), first, F.get(points, F.lit(0))["y"])), inner, F.array(level(last, F.lit(float("inf")), F.get(points, F.size(points) - 1)["y"])))
+
+    value = lambda s: lambda x: s["y"] + s["rise"] * (x - s["x"]) / s["run"]
+    steps_of = lambda s: F.transform(F.filter(at, lambda x: (x >= s["low"]) & (x < s["high"])), value(s))
+    return F.flatten(F.transform(F.flatten(F.transform(F.array(known), lines)), steps_of))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -43,7 +43,8 @@ def region(df: DataFrame, radius: Column) -> DataFrame:
 
     half_w, half_h = F.col("across") / 2, F.col("upward") / 2
     inside = lambda p: p["ahead"] & (F.abs(p["across"]) <= half_w) & (F.abs(p["up"]) <= half_h)
-    rows = df.withColumn("__c", _on_frame(az, F.col("alt"), F.col("aim"), F.col("tilt"))).withColumn("__r", F.transform(F.sequence(F.lit(0), F.lit(RIM - 1)), rim))
+    # a small file would be one task
+    rows = timeline.dealt_out(df).withColumn("__c", _on_frame(az, F.col("alt"), F.col("aim"), F.col("tilt"))).withColumn("__r", F.transform(F.sequence(F.lit(0), F.lit(RIM - 1)), rim))
     rows = rows.withColumns({
         "__all": F.col("__c.ahead") & F.forall("__r", lambda p: p["ahead"]), "partly": inside(F.col("__c")) | F.exists("__r", inside),
         "__w": F.array_min("__r.across"), "__e": F.array_max("__r.across"), "__s": F.array_min("__r.up"), "__n": F.array_max("__r.up"),

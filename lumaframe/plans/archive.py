@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import colour, vectors
-from lumaframe.operators import archive, grade, measure, pixels, ranking, texture
+from lumaframe.operators import archive, grade, measure, pixels, ranking, texture, timeline
 
 QUERIES, ORACLES = {}, {}
 
@@ -424,8 +424,9 @@ def unit_vectors(spark, sf_dir):
 SELECT id, round((SELECT sum(CASE WHEN i <= p[2].x THEN 90.0*i/p[2].x ELSE 90 + 165*(i-p[2].x)/(255-p[2].x) END) FROM range(256) r(i)), 4) AS total FROM c""")
 def curve_table(spark, sf_dir):
     point = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
-    points = F.array(point(F.lit(0), 0), point(60 + F.col("c_custkey") % 40, 90), point(F.lit(255), 255))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), points.alias("p")).select("id", F.round(vectors.total(vectors.curve(F.col("p"))), 4).alias("total"))
+    points = F.array(point(F.lit(0), 0), point(60 + F.col("id") % 40, 90), point(F.lit(255), 255))
+    rows = timeline.dealt_out(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))  # a small file would be one task
+    return rows.select("id", points.alias("p")).select("id", F.round(vectors.total(vectors.curve(F.col("p"))), 4).alias("total"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT p_brand) AS chapters, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumaframe.functions import clock, colour, sky, text
-from lumaframe.operators import archive, itinerary, places, reports
+from lumaframe.functions.formulas import keep_compiled
+from lumaframe.operators import archive, itinerary, places, reports, timeline
 from lumaframe.sources import feeds, presets, raws, sinks
 
 from .archive import query, table
@@ -197,7 +198,8 @@ def part_grades(spark, sf_dir):
 @query()
 def preset_files(spark, sf_dir):
     """The preset of each part's grade with the masks that can be made again, and one without masks that always loads."""
-    rows = part_grades(spark, sf_dir)
+    rows = timeline.dealt_out(part_grades(spark, sf_dir))  # a small file would be one task
+    keep_compiled(spark)
     grade = {c: F.col(c) for c in rows.columns if c not in ("id", "name")}
     rows = rows.withColumn("mark", text.identity_of(F.concat("name", F.lit("#"), F.col("id").cast("string"))))
     made = [presets.xmp(grade, F.col("name"), F.lit("Parts"), F.col("mark"), masks) for masks in (True, False)]
