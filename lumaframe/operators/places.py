@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import timeline
+
 FLAT_EARTH_M, EARTH_M = 6371000.0, 6371008.8
 
 
@@ -199,12 +201,15 @@ def shaded_at(points: DataFrame, cells: DataFrame, azimuth: Column, altitude: Co
     dx, dy = F.sin(F.radians(azimuth)), -F.cos(F.radians(azimuth))
     step = 1 / F.greatest(F.abs(dx), F.abs(dy))
     rays = points.withColumns({"__dx": dx, "__dy": dy, "__step": step, "__tan": F.tan(F.radians(altitude)), "__up": altitude > 0})
-    walk = rays.where("__up").withColumn("__s", F.explode(F.sequence(F.lit(1), F.lit(side)))).withColumn("__away", F.col("__s") * F.col("__step"))
+    alike = ["row", "col", "height", "__dx", "__dy", "__step", "__tan"]
+    once = timeline.alike(rays.where("__up").select("id", *alike), ["id"])
+    walk = once.withColumn("__s", F.explode(F.sequence(F.lit(1), F.lit(side)))).withColumn("__away", F.col("__s") * F.col("__step"))
     walk = walk.select("id", "height", "__tan", (F.col("__away") * metres).alias("__m"), F.floor(F.col("row") + F.col("__dy") * F.col("__away") + 0.5).alias("r"), F.floor(F.col("col") + F.col("__dx") * F.col("__away") + 0.5).alias("c"))
     ground = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("height").alias("__h"))
     drop = F.col("__m") * F.col("__m") / (2 * 7 / 6 * EARTH_M)
     hit = walk.join(ground, ["r", "c"]).where(F.col("__h") - drop > F.col("height") + F.col("__m") * F.col("__tan")).select("id").distinct().withColumn("__hit", F.lit(True))
-    return rays.join(hit, "id", "left").select(*points.columns, (~F.col("__up") | F.coalesce("__hit", F.lit(False))).alias("shaded"))
+    hit = once.join(hit, "id").drop("id")  # a point whose place is unknown meets nothing
+    return rays.join(hit, alike, "left").select(*[F.col(c) for c in points.columns], (~F.col("__up") | F.coalesce("__hit", F.lit(False))).alias("shaded"))
 
 
 def facets(cells: DataFrame, key: list[str]) -> DataFrame:
@@ -264,12 +269,15 @@ def terrain_horizon(points: DataFrame, cells: DataFrame, metres: float, side: in
     rays = points.select("id", "row", "col", F.col("height").alias("__eye"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     rays = rays.withColumn("__k", away).withColumn("__b", F.radians(F.col("bin") * (360.0 / bins)))
     rays = rays.select("id", "bin", "__eye", (F.col("__k") * metres).alias("__m"), F.floor(F.col("row") - F.cos("__b") * F.col("__k") + 0.5).alias("r"), F.floor(F.col("col") + F.sin("__b") * F.col("__k") + 0.5).alias("c"))
+    every_point = points.select("id", "row", "col", "height")
+    points = timeline.alike(every_point, ["id"])
     ground = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("height").alias("__h"))
     met = rays.where(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1)).join(ground, ["r", "c"])
     rise = F.col("__h") - F.col("__m") * F.col("__m") / (2 * 7 / 6 * EARTH_M) - F.col("__eye")
     found = met.groupBy("id", "bin").agg(F.max(F.degrees(F.atan2(rise, F.col("__m")))).alias("a"))
     every = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(found, ["id", "bin"], "left").select("id", "bin", F.greatest(F.lit(0.0), F.coalesce("a", F.lit(0.0))).alias("angle"))
+    every = every.join(found, ["id", "bin"], "left").select("id", "bin", F.greatest(F.lit(0.0), F.coalesce("a", F.lit(0.0))).alias("angle"))
+    return timeline.told_all(every, every_point, points, ["id"])
 
 
 def between(lat1: Column, lon1: Column, lat2: Column, lon2: Column, part: Column) -> Column:
