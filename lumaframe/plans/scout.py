@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import geodesy, text, view, wording
-from lumaframe.operators import buildings, places, spots
+from lumaframe.operators import buildings, places, spots, timeline
 from lumaframe.sources import feeds
+from lumaframe.sources.scratch import written
 
 from .archive import query, table
 from .light import H_SQL, SPOT, heights
@@ -26,7 +27,8 @@ def spot_lists(spark, sf_dir) -> DataFrame:
         bad(17, F.concat(F.lit("  "), "c_name", F.lit(" ")), F.lit("   ")).alias("name"), (k % 90 - 2.5).alias("lat"), (k * 7 % 400 - 190.0).alias("lon"), (k % 60).alias("radiusKm"), (k * 37 % 1000).alias("savedAt"),
         bad(5, F.concat(F.lit(" note "), k), F.lit(None)).alias("note"), frame.alias("frame"), (k % 1200 - 50.6).alias("slabHeightM"), F.array(*[photo(i) for i in range(8)]).alias("photos"), F.array(*[visit(i) for i in range(1, 15)]).alias("visits"),
     )
-    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("list")).agg(F.array_sort(F.collect_list(F.struct(k, entry.alias("e")))).alias("rows"))
+    # entries are made in many tasks, though a small file is one
+    rows = timeline.dealt_out(table(spark, sf_dir, "customer")).groupBy(F.col("c_nationkey").alias("list")).agg(F.array_sort(F.collect_list(F.struct(k, entry.alias("e")))).alias("rows"))
     return rows.select("list", F.to_json(F.transform("rows", lambda r: r["e"])).alias("body"))
 
 
@@ -55,7 +57,11 @@ def saved_spots(spark, sf_dir):
 
 def news(spark, sf_dir) -> DataFrame:
     """One new spot for each list: at a kept one's place for every second list, at a place of its own for the others."""
-    old = saved(spark, sf_dir).where("pos = 3")
+    return new_of(saved(spark, sf_dir))
+
+
+def new_of(spots_: DataFrame) -> DataFrame:
+    old = spots_.where("pos = 3")
     new = old.withColumns({"name": F.concat(F.lit("new "), "name"), "lat": F.col("lat") + F.when(F.col("list") % 2 == 0, 0.0003).otherwise(0.01), "note": F.lit(None).cast("string"), "saved_at": F.lit(5000.0), "height": F.lit(7)})
     return new.drop("pos")
 
@@ -72,9 +78,9 @@ def spots_saved_over(spark, sf_dir):
 g AS (SELECT * FROM v WHERE pos <> 0) SELECT list, row_number() OVER (PARTITION BY list ORDER BY pos) - 1 AS pos, name, visits FROM g""")
 def spots_logged_and_removed(spark, sf_dir):
     """A visit logged at a place, and the first spot of every list removed by its place."""
-    rows = saved(spark, sf_dir)
+    rows = written(saved(spark, sf_dir), "saved")
     visit = F.struct(F.lit(1e9).alias("at"), F.lit(5.0).alias("altitude"), F.lit(9.0).alias("azimuth"), *[F.lit(None).cast(t).alias(c) for c, t in (("moon", "double"), ("cloud", "string"), ("weather", "string"), ("outcome", "string"))])
-    at = news(spark, sf_dir).select("list", "lat", "lon", visit.alias("visit"))
+    at = new_of(rows).select("list", "lat", "lon", visit.alias("visit"))
     logged = spots.add_visit(rows, at, ["list"])
     left = spots.remove(logged, rows.where("pos = 0").select("list", "lat", "lon"), ["list"])
     return left.select("list", "pos", "name", F.when(F.col("visits").isNotNull(), F.size("visits")).alias("visits"))
