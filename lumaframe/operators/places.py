@@ -247,7 +247,8 @@ def resampled(profile: DataFrame, key: list[str], value: str, bins: int, to: int
     want = profile.select(*key).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(to - 1))))
     want = want.withColumn("__at", F.col("bin") * (bins / to)).withColumn("__low", F.floor("__at").cast("int") % bins)
     side = lambda name, shift: profile.select(*key, F.pmod(F.col("bin") - shift, F.lit(bins)).cast("int").alias("__low"), F.col(value).alias(name))
-    both = want.join(side("__a", 0), [*key, "__low"], "left").join(side("__b", 1), [*key, "__low"], "left")
+    # merges: profiles grow with their keys and are never sent to the driver
+    both = want.join(side("__a", 0).hint("merge"), [*key, "__low"], "left").join(side("__b", 1).hint("merge"), [*key, "__low"], "left")
     part = F.col("__at") - F.floor("__at")
     return both.select(*key, "bin", F.when(part == 0, F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * part).alias(value))
 
