@@ -521,8 +521,10 @@ def crop_pixels(places: DataFrame) -> DataFrame:
     return rows.withColumn("luma", texture_luma(F.col("id"), F.col("x"), F.col("y")))
 
 
-def textures(spark, sf_dir):
+def textures(spark, sf_dir, wanted: DataFrame | None = None):
+    """Textures of all photos, or of those that wanted (photo) names: no others are measured."""
     images = textured(spark, sf_dir)
+    images = images if wanted is None else images.join(wanted, F.col("id") == F.col("photo"), "left_semi")
     spread = F.array(*[F.struct(F.lit(x).alias("gx"), F.lit(y).alias("gy")) for x, y in texture.SPREAD])
     native = texture.origins(images, SMALL_CROP).where(F.array_contains(spread, F.struct("gx", "gy")))
     scaled = texture.origins(texture.normalised(images), SMALL_CROP)

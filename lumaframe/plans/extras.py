@@ -286,8 +286,9 @@ def image_details(spark, sf_dir) -> DataFrame:
     """(textures, vignettes) of images: the texture is that of a supplier's photo, whose number follows the image's."""
     every = images(spark, sf_dir)
     n = F.lit(10)  # suppliers that each scale has
-    textures_ = textures(spark, sf_dir).withColumnRenamed("id", "photo")
-    told = every.select(F.col("image").alias("id")).distinct().withColumn("photo", F.col("id") % n).join(textures_, "photo").drop("photo")
+    of = every.select(F.col("image").alias("id")).distinct().withColumn("photo", F.col("id") % n)
+    textures_ = textures(spark, sf_dir, of.select("photo")).withColumnRenamed("id", "photo")
+    told = of.join(textures_, "photo").drop("photo")
     return told, pixels.vignette(every.withColumnRenamed("image", "id"), ["id"], F.lit(64), F.lit(48)).select("id", "falloff", "usable")
 
 
