@@ -16,8 +16,12 @@ from .archive import query, table
 from .light import H_SQL, SPOT, heights
 
 
+#: Keys of customers whose entries share a body.
+PART = 2000
+
+
 def spot_lists(spark, sf_dir) -> DataFrame:
-    """(list, body): the customers of each nation as a saved list; some entries and some fields are not valid."""
+    """(list, part, body): the customers of each nation as a saved list, in bodies of at most PART keys; some entries and some fields are not valid."""
     k = F.col("c_custkey")
     bad = lambda n, value, other: F.when(k % n == 0, other).otherwise(value)
     frame = F.struct(F.lit("ff").alias("sensor"), (k % 90 + 10).alias("focalLengthMm"), bad(11, F.lit("landscape"), F.lit("sideways")).alias("orientation"), (k % 700).alias("bearing"), (k % 40 - 20).alias("tiltDeg"))
@@ -27,13 +31,14 @@ def spot_lists(spark, sf_dir) -> DataFrame:
         bad(17, F.concat(F.lit("  "), "c_name", F.lit(" ")), F.lit("   ")).alias("name"), (k % 90 - 2.5).alias("lat"), (k * 7 % 400 - 190.0).alias("lon"), (k % 60).alias("radiusKm"), (k * 37 % 1000).alias("savedAt"),
         bad(5, F.concat(F.lit(" note "), k), F.lit(None)).alias("note"), frame.alias("frame"), (k % 1200 - 50.6).alias("slabHeightM"), F.array(*[photo(i) for i in range(8)]).alias("photos"), F.array(*[visit(i) for i in range(1, 15)]).alias("visits"),
     )
-    # entries are made in many tasks, though a small file is one
-    rows = timeline.dealt_out(table(spark, sf_dir, "customer")).groupBy(F.col("c_nationkey").alias("list")).agg(F.array_sort(F.collect_list(F.struct(k, entry.alias("e")))).alias("rows"))
-    return rows.select("list", F.to_json(F.transform("rows", lambda r: r["e"])).alias("body"))
+    # entries are made where their body is, in tasks whose number grows with the customers, though a small file is one
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("list"), F.floor(k / PART).alias("part"), k, "c_name")
+    rows = timeline.dealt_out(rows, ["list", "part"]).groupBy("list", "part").agg(F.array_sort(F.collect_list(F.struct(k, entry.alias("e")))).alias("rows"))
+    return rows.select("list", "part", F.to_json(F.transform("rows", lambda r: r["e"])).alias("body"))
 
 
 def saved(spark, sf_dir) -> DataFrame:
-    return feeds.saved_spots(spot_lists(spark, sf_dir), "list", "body")
+    return feeds.saved_spots(spot_lists(spark, sf_dir), "list", "body", "part")
 
 
 SPOTS_SQL = """s AS (SELECT c_nationkey AS list, c_custkey AS k, trim(c_name) AS name, c_custkey%90 - 2.5e0 AS lat, c_custkey*7%400 - 190e0 AS lon, CASE WHEN c_custkey%60 BETWEEN 1 AND 50 THEN (c_custkey%60)::INT END AS radius,
@@ -55,12 +60,8 @@ def saved_spots(spark, sf_dir):
     return shown(saved(spark, sf_dir))
 
 
-def news(spark, sf_dir) -> DataFrame:
-    """One new spot for each list: at a kept one's place for every second list, at a place of its own for the others."""
-    return new_of(saved(spark, sf_dir))
-
-
 def new_of(spots_: DataFrame) -> DataFrame:
+    """One new spot for each list: at a kept one's place for every second list, at a place of its own for the others."""
     old = spots_.where("pos = 3")
     new = old.withColumns({"name": F.concat(F.lit("new "), "name"), "lat": F.col("lat") + F.when(F.col("list") % 2 == 0, 0.0003).otherwise(0.01), "note": F.lit(None).cast("string"), "saved_at": F.lit(5000.0), "height": F.lit(7)})
     return new.drop("pos")
@@ -70,7 +71,8 @@ def new_of(spots_: DataFrame) -> DataFrame:
 u AS (SELECT * FROM saved WHERE NOT (pos = 3 AND list IN (FROM hit)) UNION ALL SELECT * FROM n), r AS (SELECT * REPLACE (row_number() OVER (PARTITION BY list ORDER BY pos) - 1 AS pos) FROM u) SELECT * REPLACE (round(lat, 6) AS lat) FROM r WHERE pos < 24""")
 def spots_saved_over(spark, sf_dir):
     """Saving a spot again moves it to the front and keeps what its notebook said."""
-    made = spots.save(saved(spark, sf_dir), news(spark, sf_dir), ["list"])
+    rows = written(saved(spark, sf_dir), "saved")
+    made = spots.save(rows, new_of(rows), ["list"])
     return shown(made).withColumn("lat", F.round("lat", 6))
 
 

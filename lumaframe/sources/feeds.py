@@ -191,28 +191,31 @@ def visits_of(items: Column) -> Column:
     return F.transform(latest, lambda x: F.struct(*[(made[n](x) if n in made else x[n]).alias(n) for n in names]))
 
 
-def saved_spots(bodies: DataFrame, key: str, body: str) -> DataFrame:
+def saved_spots(bodies: DataFrame, key: str, body: str, part: str | None = None) -> DataFrame:
     """(key, pos, name, lat, lon, time_zone, radius, saved_at, note, frame, height, photos, visits) of saved lists.
 
     One bad entry costs that entry, one bad field of the notebook that field. The latest
     MOST_SPOTS of a list stay, in the order in which they were saved, with their first photos
-    and latest visits. A body that is no list gives no rows.
+    and latest visits. A body that is no list gives no rows. A long list may come in several
+    bodies, in the order of part. Only what decides which entries stay is read of all of them.
     """
-    rows = bodies.select(key, F.posexplode(F.from_json(F.col(body), "array<string>")).alias("i", "text"))
-    # a body may hold very many entries: they are dealt out before they are read
-    rows = rows.repartition(key, "i").select(key, "i", F.try_parse_json("text").alias("v"))
+    order = [part, "i"] if part else ["i"]
+    rows = bodies.select(key, *order[:-1], F.posexplode(F.from_json(F.col(body), "array<string>")).alias("i", "text"))
+    # a whole list in one body may hold very many entries: they are dealt out before they are read
+    rows = (rows if part else rows.repartition(key, "i")).select(key, *order, F.try_parse_json("text").alias("v"))
     v = F.col("v")
     lat, lon, radius, height = (_number(v, f"$.{c}") for c in ("lat", "lon", "radiusKm", "slabHeightM"))
-    made = rows.select(
-        key, "i", _text(v, "$.name", 120).alias("name"), lat.alias("lat"), lon.alias("lon"), F.nullif(F.try_variant_get(v, "$.timeZone", "string"), F.lit("")).alias("time_zone"),
-        F.when(radius.between(1, 50), F.floor(radius + 0.5).cast("int")).alias("radius"), F.coalesce(_number(v, "$.savedAt"), F.lit(0.0)).alias("saved_at"), _text(v, "$.note", NOTE_LENGTH).alias("note"),
+    made = rows.select(key, *order, "v", _text(v, "$.name", 120).alias("name"), lat.alias("lat"), lon.alias("lon"), F.coalesce(_number(v, "$.savedAt"), F.lit(0.0)).alias("saved_at"))
+    made = made.where("name is not null and abs(lat) <= 85 and abs(lon) <= 180")
+    # the place itself is what is limited, so that every task keeps the latest of its own and no list is sorted whole
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("saved_at"), *order))
+    kept = made.withColumn("__place", place).where(F.col("__place") <= MOST_SPOTS)
+    return kept.select(
+        key, (F.col("__place") - 1).alias("pos"), "name", "lat", "lon", F.nullif(F.try_variant_get(v, "$.timeZone", "string"), F.lit("")).alias("time_zone"),
+        F.when(radius.between(1, 50), F.floor(radius + 0.5).cast("int")).alias("radius"), "saved_at", _text(v, "$.note", NOTE_LENGTH).alias("note"),
         frame_of(F.try_variant_get(v, "$.frame", "variant")).alias("frame"), F.when((height > 0) & (height <= 1000), F.floor(height + 0.5).cast("int")).alias("height"),
         _some(photos_of(_objects(v, "$.photos"))).alias("photos"), _some(visits_of(_objects(v, "$.visits"))).alias("visits"),
     )
-    made = made.where("name is not null and abs(lat) <= 85 and abs(lon) <= 180")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("saved_at"), "i"))
-    kept = made.withColumn("pos", place - 1).where(F.col("pos") < MOST_SPOTS)
-    return kept.select(key, "pos", *[c for c in made.columns if c not in (key, "i")])
 
 
 def known_zone(zone: Column) -> Column:
