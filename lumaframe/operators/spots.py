@@ -15,10 +15,15 @@ NOTEBOOK = ("note", "frame", "height", "photos", "visits")
 
 
 def matched(saved: DataFrame, at: DataFrame, key: list[str]) -> DataFrame:
-    """(key, pos): the first spot of each list within SAME_SPOT_M of at's place; lists without one have no row."""
-    near = saved.select(*key, "pos", F.col("lat").alias("__la"), F.col("lon").alias("__lo")).join(at.select(*key, "lat", "lon"), key)
+    """(key, pos): the first spot of each list within SAME_SPOT_M of at's place; lists without one have no row.
+
+    Several spots of a list may stand at one place. Where at has opened, the pos of the spot
+    that it was opened from, that one goes before the others if it is within reach too.
+    """
+    opened = F.col("opened") if "opened" in at.columns else F.lit(None).cast("int")
+    near = saved.select(*key, "pos", F.col("lat").alias("__la"), F.col("lon").alias("__lo")).join(at.select(*key, "lat", "lon", opened.alias("__opened")), key)
     near = near.where(flat_metres(F.col("__la"), F.col("__lo"), F.col("lat"), F.col("lon")) <= SAME_SPOT_M)
-    return near.groupBy(*key).agg(F.min("pos").alias("pos"))
+    return near.groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("pos") == F.col("__opened"), F.col("pos"))), F.min("pos")).alias("pos"))
 
 
 def save(saved: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

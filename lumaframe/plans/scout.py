@@ -61,10 +61,10 @@ def saved_spots(spark, sf_dir):
 
 
 def new_of(spots_: DataFrame) -> DataFrame:
-    """One new spot for each list: at a kept one's place for every second list, at a place of its own for the others."""
+    """One new spot for each list, opened from a kept one: at its place for every second list, at a place of its own for the others."""
     old = spots_.where("pos = 3")
     new = old.withColumns({"name": F.concat(F.lit("new "), "name"), "lat": F.col("lat") + F.when(F.col("list") % 2 == 0, 0.0003).otherwise(0.01), "note": F.lit(None).cast("string"), "saved_at": F.lit(5000.0), "height": F.lit(7)})
-    return new.drop("pos")
+    return new.withColumnRenamed("pos", "opened")
 
 
 @query(f"""WITH {SPOTS_SQL}, hit AS (SELECT list FROM saved WHERE pos = 3 AND list%2 = 0), n AS (SELECT list, -1 AS pos, 'new ' || name AS name, lat + CASE WHEN list%2 = 0 THEN 0.0003e0 ELSE 0.01e0 END AS lat, lon, radius, 5000e0 AS saved_at, CASE WHEN list%2 = 0 THEN note END AS note, bearing, 7 AS height, visits, photos FROM saved WHERE pos = 3),
@@ -82,7 +82,7 @@ def spots_logged_and_removed(spark, sf_dir):
     """A visit logged at a place, and the first spot of every list removed by its place."""
     rows = written(saved(spark, sf_dir), "saved")
     visit = F.struct(F.lit(1e9).alias("at"), F.lit(5.0).alias("altitude"), F.lit(9.0).alias("azimuth"), *[F.lit(None).cast(t).alias(c) for c, t in (("moon", "double"), ("cloud", "string"), ("weather", "string"), ("outcome", "string"))])
-    at = new_of(rows).select("list", "lat", "lon", visit.alias("visit"))
+    at = new_of(rows).select("list", "lat", "lon", "opened", visit.alias("visit"))
     logged = spots.add_visit(rows, at, ["list"])
     left = spots.remove(logged, rows.where("pos = 0").select("list", "lat", "lon"), ["list"])
     return left.select("list", "pos", "name", F.when(F.col("visits").isNotNull(), F.size("visits")).alias("visits"))
