@@ -272,7 +272,8 @@ def terrain_horizon(points: DataFrame, cells: DataFrame, metres: float, side: in
     """
     every_point = points.select("id", "row", "col", "height")
     points = timeline.alike(every_point, ["id"])
-    away = F.explode(F.array(*[F.lit(c) for c in growing_steps(most, growth) if c * metres <= radius]))
+    # beyond the field's diagonal no sample meets a cell
+    away = F.explode(F.array(*[F.lit(c) for c in growing_steps(most, growth) if c * metres <= radius and c <= math.hypot(side, side)]))
     rays = points.select("id", "row", "col", F.col("height").alias("__eye"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     rays = rays.withColumn("__k", away).withColumn("__b", F.radians(F.col("bin") * (360.0 / bins)))
     rays = rays.select("id", "bin", "__eye", (F.col("__k") * metres).alias("__m"), F.floor(F.col("row") - F.cos("__b") * F.col("__k") + 0.5).alias("r"), F.floor(F.col("col") + F.sin("__b") * F.col("__k") + 0.5).alias("c"))

@@ -81,15 +81,16 @@ def point_horizons(spark, sf_dir):
     return found.select("id", "bin", F.round("angle", 6).alias("angle"))
 
 
-DAY_SQL = f"""WITH {H_SQL}, {EDGE_SQL}, sk AS (SELECT spot, bin, max(degrees(atan2(height, t))) AS altitude FROM m WHERE t > 0 AND t <= 900 AND k BETWEEN 0 AND 1 GROUP BY ALL),
+# every sample to the field's edge and every wall that the tables place, at the bearings that the operators name
+DAY_SQL = f"""WITH {H_SQL}, {EDGE_SQL.replace("bin*2e0", "bin/2e0").replace("range(180)", "range(720)")}, sk AS (SELECT spot, bin, max(degrees(atan2(height, t))) AS altitude FROM m WHERE t > 0 AND t <= 1500 AND k BETWEEN 0 AND 1 GROUP BY ALL),
 p AS (SELECT s_suppkey AS id, s_suppkey*37%256 AS r, s_suppkey*53%256 AS c FROM supplier), o AS (SELECT p.*, h.height AS eye FROM p JOIN h ON h."row" = p.r AND h.col = p.c),
-st AS (SELECT unnest([{', '.join(repr(x) for x in STEPS)}]::DOUBLE[]) AS k), s AS (SELECT id, eye, bin, k*30 AS m, floor(r - cos(radians(bin*5e0))*k + 0.5) AS rr, floor(c + sin(radians(bin*5e0))*k + 0.5) AS cc FROM o, range(72) q(bin), st),
+st AS (SELECT unnest([{', '.join(repr(x) for x in places.growing_steps())}]::DOUBLE[]) AS k), s AS (SELECT id, eye, bin, k*30 AS m, floor(r - cos(radians(bin*1e0))*k + 0.5) AS rr, floor(c + sin(radians(bin*1e0))*k + 0.5) AS cc FROM o, range(360) q(bin), st),
 hz AS (SELECT id, bin, greatest(0, coalesce(max(degrees(atan2(height - m*m/(2*7/6e0*6371008.8e0) - eye, m))), 0)) AS angle FROM s LEFT JOIN h ON h."row" = rr AND h.col = cc GROUP BY ALL),
-gr AS (SELECT a.id, q.bin, a.angle*(1 - (q.bin*2%5)/5e0) + b.angle*(q.bin*2%5)/5e0 AS angle FROM range(180) q(bin) JOIN hz a ON a.bin = q.bin*2//5 JOIN hz b ON b.id = a.id AND b.bin = (q.bin*2//5 + 1)%72),
-pf AS (SELECT p.id, q.bin, greatest(0, coalesce(sk.altitude, 0), coalesce(gr.angle, 0)) AS angle FROM p JOIN range(180) q(bin) ON TRUE LEFT JOIN sk ON sk.spot = p.id AND sk.bin = q.bin LEFT JOIN gr ON gr.id = p.id AND gr.bin = q.bin),
+gr AS (SELECT a.id, q.bin, a.angle*(1 - (q.bin%2)/2e0) + b.angle*(q.bin%2)/2e0 AS angle FROM range(720) q(bin) JOIN hz a ON a.bin = q.bin//2 JOIN hz b ON b.id = a.id AND b.bin = (q.bin//2 + 1)%360),
+pf AS (SELECT p.id, q.bin, greatest(0, coalesce(sk.altitude, 0), coalesce(gr.angle, 0)) AS angle FROM p JOIN range(720) q(bin) ON TRUE LEFT JOIN sk ON sk.spot = p.id AND sk.bin = q.bin LEFT JOIN gr ON gr.id = p.id AND gr.bin = q.bin),
 tk AS (SELECT s_suppkey AS id, s_suppkey*13%110 - 55e0 AS lat, s_suppkey*7%360 - 180e0 AS lon, unnest(generate_series({YEAR}, {YEAR} + 86340, 60))::DOUBLE AS t FROM supplier),
-sn AS (SELECT id, ((t - {YEAR})/60)::BIGINT AS minute, sun_azimuth/2 AS place, sun_altitude AS alt FROM {sky.SUN.sql('tk')} x),
-li AS (SELECT sn.id, minute, alt > 0 AS up, alt > 0 AND alt > a.angle + (b.angle - a.angle)*(place - floor(place)) AS lit FROM sn JOIN pf a ON a.id = sn.id AND a.bin = floor(place)::INT%180 JOIN pf b ON b.id = sn.id AND b.bin = (floor(place)::INT + 1)%180),
+sn AS (SELECT id, ((t - {YEAR})/60)::BIGINT AS minute, sun_azimuth*2 AS place, sun_altitude AS alt FROM {sky.SUN.sql('tk')} x),
+li AS (SELECT sn.id, minute, alt > 0 AS up, alt > 0 AND alt > a.angle + (b.angle - a.angle)*(place - floor(place)) AS lit FROM sn JOIN pf a ON a.id = sn.id AND a.bin = floor(place)::INT%720 JOIN pf b ON b.id = sn.id AND b.bin = (floor(place)::INT + 1)%720),
 ch AS (SELECT *, CASE WHEN lag(lit) OVER w = lit AND lag(up) OVER w = up THEN 0 ELSE 1 END AS fresh FROM li WINDOW w AS (PARTITION BY id ORDER BY minute)),
 rn AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY minute) AS run FROM ch),
 wn AS (SELECT id, run, min(minute) AS a, max(minute) + 1 AS b FROM rn WHERE lit GROUP BY id, run)
@@ -109,7 +110,7 @@ def light_spots(spark, sf_dir):
 def day_light(spark, sf_dir):
     """First and last lit minute, all of them and the longest run of each supplier's day, behind its buildings and the field's ground."""
     spots = light_spots(spark, sf_dir)
-    profiles = daylight.surroundings(spots.select("spot", "row", "col"), edges(spark, sf_dir), heights(spark, sf_dir), 30.0, 256, 2.0, 900.0, 72, 60)
+    profiles = daylight.surroundings(spots.select("spot", "row", "col"), edges(spark, sf_dir), heights(spark, sf_dir), 30.0, 256, 0.5)
     windows = daylight.light_windows(spots.drop("row", "col"), profiles)
     return ledger.light_summary(windows, ["spot"]).withColumn("longest", F.col("longest.end") - F.col("longest.start"))
 
